@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, packing, quality
+from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,17 +35,40 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(_docs(spark, sf_dir))
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_docs(spark, sf_dir), size=4, least=80)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.predict(docs, model)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lmscore.score(_docs(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_license_scan": op4_license_scan,
     "op5_fingerprints": op5_fingerprints,
+    "op6_minhash_neardup": op6_minhash_neardup,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _LINE_OK = f"""(regexp_matches(l, '{quality.SENTENCE_END.replace("'", "''")}')
