@@ -1,4 +1,8 @@
-"""From raw documents to packed batches, one stage after another."""
+"""From raw documents to packed batches, one stage after another.
+
+Each stage reads what its predecessor wrote. All but the last return the columns of
+``documents``; the last returns the packing of every document that is left.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import quality
+from leafmark.llm import langid, linededup, neardup, packing, quality
+from leafmark.llm.common import hold
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +19,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no known language go; ``lang`` becomes the prediction."""
+    return langid.keep_known(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go, and documents of which nothing is left."""
+    return linededup.apply(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, Jaccard 0.8 or more."""
+    return neardup.keep_one(docs, size=5, least=80)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of all that is left."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", minhash_near_dedup),
+    ("packing", pack),
 ]
+#: The language stage's machines have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = hold(docs, name.replace(" ", "-"))
     return docs
