@@ -2,8 +2,8 @@
 
 One weight vector is shared by all ordered thresholds: P(grade >= k) is the logistic
 of the text's score minus threshold k. L1 keeps few words, so long clean texts
-gather no noise. A text's features are log(1 + count) of its words (lower-cased,
-stripped of punctuation), hashed.
+gather no noise. A text's features are 1 + log(count) of its words (lower-cased,
+stripped of punctuation), hashed to 32 bits.
 
 Labels say only toxic or not. Toxic training rows are graded by how many words they
 hold that are far commoner in toxic rows (below or above the median of such
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,26 +29,32 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import documents, map_rows
 
 WORD = re.compile(r"[^\W_]+")
-BITS, SAMPLE, SPARSE = 18, 6000, 2e-4
+SAMPLE, SPARSE = 16_000, 2e-3
 CACHED_WORDS = 500_000
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        at = self[word] = zlib.crc32(word.encode("utf-8", "replace")) & ((1 << BITS) - 1)
-        return at
+class _Packed(dict):
+    """Packed place (in ``known``, ascending; else the 32-bit bucket itself) of each word."""
 
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = known
 
-_BUCKETS = _Buckets()
-
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        found = np.array([zlib.crc32(word.encode("utf-8", "replace"))], np.int64)
+        if self.known is not None:
+            place = np.searchsorted(self.known, found)
+            place = np.minimum(place, max(0, len(self.known) - 1))
+            found = place[self.known[place] == found] if len(self.known) else found[:0]
+        packed = self[word] = found.astype(np.int64).tobytes()
+        return packed
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets (ascending) and log(1 + count) of the text's words."""
-    words = WORD.findall((text or "").lower())
-    at, n = np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int32, len(words)), return_counts=True)
-    return at, np.log1p(n).astype(np.float32)
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (ascending) and 1 + log(count) of all of the text's words."""
+        words = WORD.findall((text or "").lower())
+        at, n = np.unique(np.frombuffer(b"".join(map(self.__getitem__, words)), np.int64), return_counts=True)
+        return at, (1 + np.log(n)).astype(np.float32)
 
 
 class Ordinal:
@@ -67,30 +72,31 @@ class Ordinal:
         top = int(grades.max(initial=0))
         if not top:
             return cls(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0))
-        # Buckets in few rows can't be told from noise.
-        seen = Counter(int(b) for at, _ in rows for b in at)
-        named = np.array(sorted(b for b, n in seen.items() if n >= 5), np.int64)
+        named = telling(rows, grades > 0)
         owner = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
         every, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
         place = np.searchsorted(named, every)
-        live = (place < len(named)) & (named[np.minimum(place, len(named) - 1)] == every) if len(named) else np.zeros(len(every), bool)
+        live = named[np.minimum(place, len(named) - 1)] == every if len(named) else np.zeros(len(every), bool)
         owner, place, value = owner[live], place[live], value[live].astype(np.float64)
         n, m = len(rows), len(named)
         above = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(np.float64)
-        cuts = -np.log(np.clip(above.mean(0), 1e-4, 1 - 1e-4) / (1 - np.clip(above.mean(0), 1e-4, 1 - 1e-4)))
+        # Grade 0 and the rest weigh the same, however rare the rest is.
+        each = np.where(grades > 0, 0.5 / (grades > 0).sum(), 0.5 / max(1, (grades == 0).sum()))
+        base = np.clip(each @ above, 1e-4, 1 - 1e-4)
+        cuts = np.log((1 - base) / base)
         w, v, old_cuts, ahead = np.zeros(m), np.zeros(m), cuts.copy(), cuts.copy()
         # Features are scaled by their own spread, so that one step length serves all.
-        square = np.bincount(place, value * value, m) / n
+        square = np.bincount(place, value * value * each[owner], m)
         scale = 1 / np.sqrt(square + 1e-3)
         value = value * scale[place]
         x = np.random.default_rng(1).normal(size=m)
         for _ in range(20):  # the largest eigenvalue of the features' second moments
             x /= np.linalg.norm(x) or 1
-            x = np.bincount(place, value * np.bincount(owner, value * x[place], n)[owner], m) / n
+            x = np.bincount(place, value * (each * np.bincount(owner, value * x[place], n))[owner], m)
         rate = 1 / (0.25 * top * max(1.0, float(np.linalg.norm(x))) + 1)
         for k in range(steps):
             p = 1 / (1 + np.exp(np.clip(ahead[None, :] - np.bincount(owner, value * v[place], n)[:, None], -60, 60)))
-            pull = (p - above) / n
+            pull = (p - above) * each[:, None]
             grad = np.bincount(place, value * pull.sum(1)[owner], m)
             fresh = v - rate * grad
             fresh = np.sign(fresh) * np.maximum(0, np.abs(fresh) - rate * sparse * scale)
@@ -102,19 +108,60 @@ class Ordinal:
         return cls(named[kept], (w * scale)[kept], old_cuts)
 
 
+def telling(rows: list[tuple[np.ndarray, np.ndarray]], yes: np.ndarray, times: float = 5.0, least: float = 2.5, share: float = 0.4) -> np.ndarray:
+    """Buckets ``times`` as frequent in rows marked ``yes`` as in the others, ascending.
+
+    Their log-odds must differ by ``least`` standard errors, and by ``share`` of the
+    largest such figure: words of a few near copies gain in standard errors with
+    the sample too, but less than words that toxic texts have in common.
+    """
+    at, count = _rows_with(rows, yes)
+    if not len(at):
+        return at
+    size = np.array([[(~yes).sum()], [yes.sum()]])
+    inside, outside = count + 0.5, np.maximum(size - count, 0) + 0.5
+    odds = np.log(inside / outside)
+    error = np.sqrt((1 / inside + 1 / outside).sum(0))
+    often = inside[1] / size[1] >= times * inside[0] / np.maximum(size[0], 1)
+    sure = np.where(often & (count[1] >= 3), (odds[1] - odds[0]) / error, 0.0)
+    return at[(sure >= least) & (sure >= share * sure.max())]
+
+
+def _rows_with(rows: list[tuple[np.ndarray, np.ndarray]], yes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets, and how many rows not marked, and marked, hold each."""
+    every = np.concatenate([a for a, _ in rows]) if rows else np.empty(0, np.int64)
+    named, place = np.unique(every, return_inverse=True)
+    marked = np.repeat(yes, [len(a) for a, _ in rows])
+    return named, np.stack([np.bincount(place, ~marked, len(named)), np.bincount(place, marked, len(named))])
+
+
+def first_of_copies(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Rows of the sample that aren't near copies of an earlier row with the label: a
+    word of many copies of one text is no more telling than a word of one text."""
+    seen, out = set(), []
+    odd = np.random.default_rng(3).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
+    for i, (at, _) in enumerate(rows):
+        if len(at):
+            least = ((at.astype(np.uint64)[None, :] + np.uint64(1)) * odd[:, None]).min(1).tolist()
+            bands = {(b, int(labels[i]), *least[2 * b : 2 * b + 2]) for b in range(4)}
+            if seen & bands:
+                seen |= bands
+                continue
+            seen |= bands
+        out.append(i)
+    return np.array(out, np.int64)
+
+
 def graded(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
     """Labels as grades; a two-valued label is split by its telling words (see above)."""
     if labels.max(initial=0) != 1:
         return labels
     toxic = labels == 1
-    yes, no = Counter(), Counter()
-    for (at, _), t in zip(rows, toxic, strict=True):
-        (yes if t else no).update(at.tolist())
+    at, count = _rows_with(rows, toxic)
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    telling = np.array(sorted(b for b, n in yes.items() if n >= 5 and n / n_yes > 10 * (no[b] + 0.5) / n_no), np.int64)
-    hits = np.array([float(np.expm1(v[np.isin(at, telling)]).sum()) for at, v in rows])
-    middle = np.median(hits[toxic])
-    return np.where(toxic, np.where(hits > middle, 2, 1), 0)
+    common = at[(count[1] >= 5) & (count[1] / n_yes > 10 * (count[0] + 0.5) / n_no)]
+    hits = np.array([float(np.exp(v[np.isin(a, common)] - 1).sum()) for a, v in rows])
+    return np.where(toxic, np.where(hits > np.median(hits[toxic]), 2, 1), 0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
@@ -129,15 +176,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     rows = documents(docs, id_col, text_col).filter(draw < share).join(chosen, "doc_id")
 
     def make():
+        packed = _Packed()
+
         def step(r: dict) -> dict:
-            found = [features(t) for t in r["text"]]
-            return {"doc_id": r["doc_id"], "label": r["label"], "at": [a.astype(np.int32).tobytes() for a, _ in found], "value": [v.tobytes() for _, v in found]}
+            found = [packed.count(t) for t in r["text"]]
+            return {"doc_id": r["doc_id"], "label": r["label"], "at": [a.astype(np.uint32).tobytes() for a, _ in found], "value": [v.tobytes() for _, v in found]}
 
         return step
 
     got = sorted(map(tuple, map_rows(rows, make, "doc_id long, label int, at binary, value binary").collect()))
-    found = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for _, _, a, v in got]
-    return Ordinal.fit(found, graded(found, np.array([g[1] for g in got], np.int64)))
+    found = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, a, v in got]
+    named = np.array([g[1] for g in got], np.int64)
+    once = first_of_copies(found, named)
+    found, named = [found[i] for i in once], named[once]
+    return Ordinal.fit(found, graded(found, named))
 
 
 def predict(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,14 +197,12 @@ def predict(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast((model.at, model.weights, model.cuts))
 
     def make():
-        at, weights, cuts = shared.value
-        dense = np.zeros(1 << BITS)
-        dense[at] = weights
-        one = Ordinal(at, weights, cuts)
+        one = Ordinal(*shared.value)
+        packed = _Packed(one.at)
 
         def step(rows: dict) -> dict:
-            found = [features(t) for t in rows["text"]]
-            p = one.at_least(np.array([float(dense[a] @ v) for a, v in found]))
+            found = [packed.count(t) for t in rows["text"]]
+            p = one.at_least(np.array([float(one.weights[a] @ v) for a, v in found]))
             first = p[:, 0] if p.shape[1] else np.zeros(len(p))
             return {"doc_id": rows["doc_id"], "grade": (p >= 0.5).sum(1), "expected_severity": p.sum(1), "p_toxic": first, "toxic": first >= 0.5}
 
