@@ -24,7 +24,7 @@ def _there(spark: SparkSession, pattern: str) -> bool:
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(path, name) of files, without reading them."""
+    """(path, name) of files that have a byte at least, without reading them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
