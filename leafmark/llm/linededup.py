@@ -1,7 +1,7 @@
 """Line dedup with content-defined chunks of lines.
 
 A text's lines (also cut after a sentence's end, and, where a line stays long,
-after words that a hash chooses) are hashed, and a rolling hash over the last two
+after words that end in certain letters) are hashed, and a rolling hash over the last two
 line hashes chooses chunk boundaries, so equal passages are cut alike wherever
 they stand. Chunks of two lines or more that occur again anywhere are removed but
 for their first occurrence (smallest doc_id, then place), after their bytes have
@@ -17,6 +17,7 @@ count as one document; very long texts are read whole; extra columns are ignored
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import xxhash
@@ -27,31 +28,41 @@ from leafmark.llm.common import documents, hold, map_rows
 
 #: Lines in a chunk, one chunk in ``DIVISOR`` lines on average; words of a removal.
 MIN_LINES, MAX_LINES, DIVISOR, MIN_WORDS = 2, 8, 3, 8
-#: Lines beside a chunk that a removal may grow by; words of a line left whole.
-GROW, LONG_LINE = 8, 24
-_SENTENCE = re.compile(rb"[^\n]*?[.!?][\"')\]]*[ \t]+|[^\n]*\n|[^\n]+")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def lines_of(data: bytes) -> list[tuple[int, int]]:
-    """(start, end) of each line; together they cover the text."""
-    out = []
-    for found in _SENTENCE.finditer(data):
-        start, end = found.span()
-        if end - start > LONG_LINE * 4:
-            words = list(_WORD.finditer(data, start, end))
-            if len(words) > LONG_LINE:
-                for word in words[:-1]:
-                    if xxhash.xxh32_intdigest(word[0]) % 8 == 0 and word.end() - start >= 24:
-                        out.append((start, word.end()))
-                        start = word.end()
-        if end > start:
-            out.append((start, end))
+#: Lines beside a chunk that a removal may grow by; bytes / 4 of a line left whole, and
+#: least bytes of what a longer one is cut into.
+GROW, LONG_LINE, LEAST_LINE = 8, 24, 40
+_END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
+#: Where a long line is cut: after words whose last letter is one of these.
+_CUT = re.compile(rb"[bdgkmptuw][ \t]+")
+
+
+def lines_of(data: bytes) -> list[bytes]:
+    """The lines, which together are the text."""
+    out, at = [], 0
+    ends = [found.end() for found in _END.finditer(data)]
+    if not ends or ends[-1] < len(data):
+        ends.append(len(data))
+    for end in ends:
+        line, at = data[at:end], end
+        if len(line) > LONG_LINE * 4:
+            start = 0
+            for found in _CUT.finditer(line, LEAST_LINE):
+                if found.end() - start >= LEAST_LINE:
+                    out.append(line[start : found.end()])
+                    start = found.end()
+            line = line[start:]
+        if line:
+            out.append(line)
     return out
 
 
-def hashes_of(data: bytes, lines: list[tuple[int, int]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(data[a:b].strip()) for a, b in lines]
+def starts_of(lines: list[bytes]) -> list[int]:
+    return list(accumulate(map(len, lines), initial=0))
+
+
+def hashes_of(lines: list[bytes]) -> list[int]:
+    digest = xxhash.xxh64_intdigest
+    return [digest(line.strip()) for line in lines]
 
 
 def chunks_of(hashes: list[int]) -> list[tuple[int, int]]:
@@ -74,15 +85,15 @@ def chunks(docs: DataFrame) -> DataFrame:
         def step(rows: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("doc_id", "at", "h1", "h2")}
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                data = (text or "").encode()
-                lines = lines_of(data)
-                for a, b in chunks_of(hashes_of(data, lines)):
+                lines = lines_of((text or "").encode())
+                starts = starts_of(lines)
+                for a, b in chunks_of(hashes_of(lines)):
                     if b - a >= MIN_LINES:
-                        part = data[lines[a][0] : lines[b - 1][1]].strip()
-                        if len(_WORD.findall(part)) >= MIN_WORDS:
+                        part = b"".join(lines[a:b]).strip()
+                        if len(part.split()) >= MIN_WORDS:
                             h = xxhash.xxh128_intdigest(part)
                             out["doc_id"].append(doc_id)
-                            out["at"].append(lines[a][0])
+                            out["at"].append(starts[a])
                             out["h1"].append((h >> 65))
                             out["h2"].append((h & ((1 << 63) - 1)))
             return out
@@ -93,7 +104,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the text without repeated chunks, n_lines, n_removed (lines), removed_chars.
+    """doc_id, the text without repeated chunks, n_removed (lines), removed_chars.
 
     Rows are one for each row of ``docs``.
     """
@@ -118,16 +129,16 @@ def _contexts(rows: DataFrame) -> DataFrame:
         def step(r: dict) -> dict:
             out: dict[str, list] = {k: [] for k in ("kept_id", "kept_at", "lines", "before")}
             for doc_id, text, ats in zip(r["doc_id"], r["text"], r["ats"], strict=True):
-                data = (text or "").encode()
-                lines = lines_of(data)
-                spans = {lines[a][0]: (a, b) for a, b in chunks_of(hashes_of(data, lines))}
+                lines = lines_of((text or "").encode())
+                starts = starts_of(lines)
+                spans = {starts[a]: (a, b) for a, b in chunks_of(hashes_of(lines))}
                 for at in ats:
                     if at in spans:
                         a, b = spans[at]
                         low = max(0, a - GROW)
                         out["kept_id"].append(doc_id)
                         out["kept_at"].append(at)
-                        out["lines"].append([data[s:e].strip() for s, e in lines[low : b + GROW]])
+                        out["lines"].append([line.strip() for line in lines[low : b + GROW]])
                         out["before"].append(a - low)
             return out
 
@@ -136,14 +147,13 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, "kept_id long, kept_at long, lines array<binary>, before int")
 
 
-def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int, int]:
-    """The text without the hits that its bytes confirm; its lines, and those removed."""
-    data = (text or "").encode()
-    lines = lines_of(data)
+def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int]:
+    """The text without the hits that its bytes confirm, and the lines removed."""
     if not hits:
-        return text, len(lines), 0
-    own = [data[a:b].strip() for a, b in lines]
-    spans = {lines[a][0]: (a, b) for a, b in chunks_of(hashes_of(data, lines))}
+        return text, 0
+    lines = lines_of((text or "").encode())
+    starts, own = starts_of(lines), [line.strip() for line in lines]
+    spans = {starts[a]: (a, b) for a, b in chunks_of(hashes_of(lines))}
     gone = np.zeros(len(lines), bool)
     for hit in hits:
         if hit["at"] not in spans:
@@ -158,8 +168,8 @@ def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int, int
         while high < len(own) and shift + high - a < len(other) and own[high] == other[shift + high - a]:
             high += 1
         gone[a - low : high] = True
-    left = b"".join(data[a:b] for (a, b), g in zip(lines, gone, strict=True) if not g)
-    return left.decode(), len(lines), int(gone.sum())
+    left = b"".join(line for line, g in zip(lines, gone, strict=True) if not g)
+    return left.decode(), int(gone.sum())
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -169,14 +179,13 @@ def _cut(rows: DataFrame) -> DataFrame:
             return {
                 "doc_id": r["doc_id"],
                 "text": [f[0] for f in found],
-                "n_lines": [f[1] for f in found],
-                "n_removed": [f[2] for f in found],
+                "n_removed": [f[1] for f in found],
                 "removed_chars": [len(t or "") - len(f[0] or "") for t, f in zip(r["text"], found, strict=True)],
             }
 
         return step
 
-    return map_rows(rows, make, "doc_id long, text string, n_lines long, n_removed long, removed_chars long")
+    return map_rows(rows, make, "doc_id long, text string, n_removed long, removed_chars long")
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
