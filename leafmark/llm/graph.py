@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import hold
+from leafmark.llm.common import hold, to_arrow, workers_find_us
 
 MAX_ROUNDS = 60
+#: Up to so many edges (some 40 MB) one task joins them; more go through rounds.
+FEW_EDGES = 400_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
     Alternating star contractions: each round hangs every node's larger neighbours,
     then its smaller ones, on its smallest neighbour, until only stars are left. The
     rounds grow with the logarithm of the nodes; minima are combined before the
-    shuffle, so a node with very many edges gathers nothing. Each round is held.
+    shuffle, so a node with very many edges gathers nothing. Each round is held. An
+    edge table that is counted and found small skips the rounds.
     """
     edges = hold(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "edges")
+    if edges.count() <= few:
+        return hold(_joined(edges), "components")
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
@@ -38,3 +46,30 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     """Whether both edge tables hold the same rows, by count and two hash sums."""
     of = [F.count(F.lit(1)), *(F.sum(F.xxhash64("a", "b", F.lit(s)).cast("decimal(38,0)")) for s in (1, 2))]
     return a.agg(*of).first() == b.agg(*of).first()
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Union-find over a small edge table, in one task."""
+    schema = "node long, component long"
+    workers_find_us(edges.sparkSession)
+    target = to_arrow(edges.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        for at in range(0, len(nodes), 10_000):
+            part = nodes[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], schema=target)
+
+    return edges.coalesce(1).mapInArrow(run, schema)

@@ -216,10 +216,11 @@ def test_pigeonhole_guarantee():
         assert min(Counter(w // neardup.LANES for w in wrong).get(c, 0) for c in range(neardup.CHUNKS)) <= 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components(spark, few):
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(900, x) for x in range(901, 960)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
     parent = {x: x for e in edges for x in e}
     changed = True
     while changed:
