@@ -17,14 +17,16 @@ count as one document; very long texts are read whole; extra columns are ignored
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import documents, hold, map_rows
+from leafmark.llm.common import documents, hold, map_rows, workers_find_us
 
 #: Lines in a chunk, one chunk in ``DIVISOR`` lines on average; words of a removal.
 MIN_LINES, MAX_LINES, DIVISOR, MIN_WORDS = 2, 8, 3, 8
@@ -109,6 +111,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows are one for each row of ``docs``.
     """
     rows = documents(docs, id_col, text_col)
+    return _cut(rows.join(_repeats(rows), "doc_id", "left"))
+
+
+def _repeats(rows: DataFrame) -> DataFrame:
+    """(doc_id, hits): places of chunks to remove, with the lines of what is kept."""
     found = hold(chunks(rows.filter("doc_id is not null and text is not null")), "chunks")
     # Combined before the shuffle: a chunk that a third of the documents share is one row a task.
     again = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("kept")).filter("n > 1")
@@ -118,8 +125,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = originals.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
     sources = hold(_contexts(rows.join(wanted, "doc_id")).dropDuplicates(["kept_id", "kept_at"]), "sources")
     told = hits.join(sources, ["kept_id", "kept_at"]).select("doc_id", F.struct("at", "lines", "before").alias("hit"))
-    told = told.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
-    return _cut(rows.join(told, "doc_id", "left"))
+    return told.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
@@ -190,13 +196,26 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The documents with their new texts; those of which nothing is left go. Other
-    columns are kept; ``chars_col`` is set. Rows that repeat an id with unlike texts
-    are told apart by the text."""
+    columns pass through, beside the text, in the one shuffle; ``chars_col`` is set."""
     names = docs.columns
-    done = dedup(docs, id_col, text_col).filter("removed_chars > 0 and doc_id is not null")
-    done = done.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), (F.length("text") + F.col("removed_chars")).alias("__chars"))
-    done = done.dropDuplicates(["__id", "__chars"])
-    on = (docs[id_col].cast("long") == F.col("__id")) & (F.length(docs[text_col]) == F.col("__chars"))
-    fresh = {text_col: F.coalesce("__text", F.col(f"`{text_col}`")), chars_col: F.length(F.coalesce("__text", F.col(f"`{text_col}`"))).cast("long")}
-    joined = docs.join(done, on, "left").filter(F.col("__text").isNull() | (F.trim("__text") != ""))
-    return joined.select(*[(fresh[c] if c in fresh else F.col(f"`{c}`")).alias(c) for c in names])
+    told = _repeats(documents(docs, id_col, text_col)).select(F.col("doc_id").alias("__told"), F.col("hits").alias("__hits"))
+    docs = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    if chars_col in names:
+        docs = docs.withColumn(chars_col, F.col(f"`{chars_col}`").cast("long"))
+    rows = docs.join(told, docs[id_col].cast("long") == F.col("__told"), "left").drop("__told")
+    workers_find_us(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {c: names.index(c) for c in (text_col, chars_col) if c in names}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                done = [cut(t, h) for t, h in zip(part.column(at[text_col]).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                columns = list(part.columns[: len(names)])
+                columns[at[text_col]] = pa.array([t for t, _ in done], pa.string())
+                if chars_col in at:
+                    columns[at[chars_col]] = pa.array([None if t is None else len(t) for t, _ in done], pa.int64())
+                keep = pa.array([not n or bool((t or "").strip()) for t, n in done], pa.bool_())
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+
+    return rows.mapInArrow(run, docs.schema)
