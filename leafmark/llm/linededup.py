@@ -1,12 +1,15 @@
-"""Line dedup with content-defined chunks of lines.
-
-A text's lines (also cut after a sentence's end, and, where a line stays long,
-after words that end in certain letters) are hashed, and a rolling hash over the last two
-line hashes chooses chunk boundaries, so equal passages are cut alike wherever
-they stand. Chunks of two lines or more that occur again anywhere are removed but
-for their first occurrence (smallest doc_id, then place), after their bytes have
-been compared with it; each removal then grows line by line, to both sides, as
-long as the lines beside both occurrences are equal.
+"""Line dedup by word anchors chosen by content.
+
+A text is cut into words (signs of scripts written without spaces are words of their
+own), and of every ``WINDOW`` runs of ``RUN`` words that follow each other the one with
+the least hash is an anchor, so equal passages hold the same anchors wherever they
+stand, in any script: of 48 words or more that two places share, at least one anchor
+stands there together with the eight words on both its sides. Anchors that occur again
+anywhere are compared word by word with the first place (smallest doc_id, then place)
+that shares those 24 words, or else the anchor, up to ``GROW`` words to both sides.
+Of words that are equal in runs of ``RUN`` or more, a stretch of ``PASSAGE`` or more is removed whole; of a shorter one,
+the lines that lie in it whole, if they are two or more and have ``MIN_WORDS`` words.
+What is removed always stands at an earlier place too.
 
 Defined results: a null text stays null, an empty one empty; rows without an id
 stay as they are and are nobody's first occurrence; rows that repeat id and text
@@ -18,35 +21,115 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import documents, hold, map_rows, workers_find_us
 
-#: Lines in a chunk, one chunk in ``DIVISOR`` lines on average; words of a removal.
-MIN_LINES, MAX_LINES, DIVISOR, MIN_WORDS = 2, 8, 3, 8
-#: Lines beside a chunk that a removal may grow by; bytes / 4 of a line left whole, and
-#: least bytes of what a longer one is cut into.
-GROW, LONG_LINE, LEAST_LINE = 8, 24, 40
+#: Words of an anchor, anchors of which one is chosen, words compared to each side, and
+#: words of a stretch of which the first and last equal anchor are compared.
+RUN, WINDOW, GROW, SPAN = 8, 25, 32, 64
+#: Equal words that go whole; lines and words that a shorter stretch must have.
+PASSAGE, MIN_LINES, MIN_WORDS = 40, 2, 8
+#: Bytes of a line left whole, and least bytes of what a longer one is cut into.
+LONG_LINE, LEAST_LINE = 96, 40
 _END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
 #: Where a long line is cut: after words whose last letter is one of these.
 _CUT = re.compile(rb"[bdgkmptuw][ \t]+")
+_BLANKS = re.compile(rb"[ \t]*")
+_RNG = np.random.default_rng(11)
+_POWERS = _RNG.integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _RNG.integers(1, 1 << 63, 256, np.uint64)
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_SPACES] = 0
+_MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_starts(data: bytes) -> np.ndarray:
+    """Byte places at which words begin."""
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64)
+    space = _SPACES[b]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    if b.max() >= 0xE0:  # signs of scripts without spaces: CJK, Hangul, Thai, Lao and above
+        lead = b >= 0xE3
+        lead[:-1] |= (b[:-1] == 0xE0) & (b[1:] >= 0xB8) & (b[1:] <= 0xBB)
+        begins |= lead
+        at = lead.nonzero()[0]
+        after = at + np.where(b[at] >= 0xF0, 4, 3)
+        after = after[after < len(b)]
+        begins[after] |= ~space[after]
+    return begins.nonzero()[0]
+
+
+def word_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words without the space behind them."""
+    b = np.frombuffer(data, np.uint8)[starts[0] :]
+    starts = starts - starts[0]
+    within = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
+    return _mixed(np.add.reduceat(_BYTES[b] * _POWERS[within & 4095], starts))
+
+
+def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash of the anchor, hash with eight words on both sides or 0)."""
+    starts = word_starts(data)
+    n = len(starts) - RUN + 1
+    if n < 1:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    words = word_hashes(data, starts)
+    runs = words[:n].copy()
+    for j in range(1, RUN):
+        runs = runs * _STEP + words[j : n + j]
+    runs = _mixed(runs)
+    if n <= WINDOW:
+        chosen = np.flatnonzero(runs == runs.min())
+    else:
+        least, width = runs, 1
+        while width * 2 <= WINDOW:
+            least, width = np.minimum(least[:-width], least[width:]), width * 2
+        least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width :])
+        # The least of some window that a run is in: the largest of those windows' minima.
+        pad = np.zeros(WINDOW - 1, np.uint64)
+        most, width = np.concatenate([pad, least, pad]), 1
+        while width * 2 <= WINDOW:
+            most, width = np.maximum(most[:-width], most[width:]), width * 2
+        chosen = np.flatnonzero(runs == np.maximum(most[:n], most[WINDOW - width : n + WINDOW - width]))
+    same = runs[chosen]
+    if len(chosen) > 1 and (same[1:] == same[:-1]).any():  # texts that repeat themselves at once
+        keep = [0]
+        for i in range(1, len(chosen)):
+            if same[i] != same[keep[-1]] or chosen[i] - chosen[keep[-1]] >= WINDOW:
+                keep.append(i)
+        chosen = chosen[keep]
+        same = runs[chosen]
+    wide = np.zeros(len(chosen), np.uint64)
+    inner = (chosen >= RUN) & (chosen + RUN < n)
+    at = chosen[inner]
+    wide[inner] = _mixed((runs[at - RUN] * _STEP + runs[at]) * _STEP + runs[at + RUN])
+    return chosen, same.view(np.int64), wide.view(np.int64)
 
 
 def lines_of(data: bytes) -> list[bytes]:
-    """The lines, which together are the text."""
+    """The lines, which together are the text; a long one is also cut after certain words."""
     out, at = [], 0
     ends = [found.end() for found in _END.finditer(data)]
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
     for end in ends:
         line, at = data[at:end], end
-        if len(line) > LONG_LINE * 4:
+        if len(line) > LONG_LINE:
             start = 0
             for found in _CUT.finditer(line, LEAST_LINE):
                 if found.end() - start >= LEAST_LINE:
@@ -58,55 +141,22 @@ def lines_of(data: bytes) -> list[bytes]:
     return out
 
 
-def starts_of(lines: list[bytes]) -> list[int]:
-    return list(accumulate(map(len, lines), initial=0))
-
-
-def hashes_of(lines: list[bytes]) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    return [digest(line.strip()) for line in lines]
-
-
-def chunks_of(hashes: list[int]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of each chunk."""
-    out, start = [], 0
-    for i, h in enumerate(hashes):
-        rolled = (h * 0x9E3779B97F4A7C15 + (hashes[i - 1] if i else 0)) & 0xFFFFFFFFFFFFFFFF
-        if i + 1 - start >= MAX_LINES or (i + 1 - start >= MIN_LINES and (rolled >> 40) % DIVISOR == 0):
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(hashes):
-        out.append((start, len(hashes)))
-    return out
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, at (byte place), first, h1 and h2 (128 bits) of every chunk to compare."""
+def anchors(docs: DataFrame) -> DataFrame:
+    """doc_id, at (first word), h and wide of every anchor."""
 
     def make():
         def step(rows: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "at", "h1", "h2")}
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                lines = lines_of((text or "").encode())
-                starts = starts_of(lines)
-                for a, b in chunks_of(hashes_of(lines)):
-                    if b - a >= MIN_LINES:
-                        part = b"".join(lines[a:b]).strip()
-                        if len(part.split()) >= MIN_WORDS:
-                            h = xxhash.xxh128_intdigest(part)
-                            out["doc_id"].append(doc_id)
-                            out["at"].append(starts[a])
-                            out["h1"].append((h >> 65))
-                            out["h2"].append((h & ((1 << 63) - 1)))
-            return out
+            found = [anchors_of((t or "").encode()) for t in rows["text"]]
+            at, h, wide = (np.concatenate(x) for x in zip(*found, strict=True))
+            return {"doc_id": np.repeat(np.array(rows["doc_id"], np.int64), [len(f[0]) for f in found]), "at": at, "h": h, "wide": wide}
 
         return step
 
-    return map_rows(docs, make, "doc_id long, at long, h1 long, h2 long")
+    return map_rows(docs, make, "doc_id long, at long, h long, wide long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the text without repeated chunks, n_removed (lines), removed_chars.
+    """doc_id, the text without repeated passages, n_removed (lines), removed_chars.
 
     Rows are one for each row of ``docs``.
     """
@@ -115,67 +165,105 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
-    """(doc_id, hits): places of chunks to remove, with the lines of what is kept."""
-    found = hold(chunks(rows.filter("doc_id is not null and text is not null")), "chunks")
-    # Combined before the shuffle: a chunk that a third of the documents share is one row a task.
-    again = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("kept")).filter("n > 1")
-    hits = found.join(again, ["h1", "h2"]).select("doc_id", "at", F.col("kept.doc_id").alias("kept_id"), F.col("kept.at").alias("kept_at"), "h1", "h2")
-    hits = hold(hits.filter("doc_id <> kept_id or at <> kept_at"), "repeats")
-    originals = hits.select(F.col("kept_id").alias("doc_id"), F.col("kept_at").alias("at")).distinct()
-    wanted = originals.groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
+    """(doc_id, hits): places of anchors to compare, with the words of what is kept."""
+    found = anchors(rows.filter("doc_id is not null and text is not null"))
+    # One shuffle and one sort by (h, wide) serve both windows. Of an anchor's places, the
+    # first with the same words around it goes before the first of all.
+    here, all_of = F.struct("doc_id", "at"), Window.partitionBy("h")
+    found = found.withColumns({"kept": F.min(here).over(all_of), "near": F.min(here).over(Window.partitionBy("h", "wide"))})
+    near = (F.col("wide") != 0) & (F.col("near") != here)
+    hits = found.withColumn("from", F.when(near, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+    # Of anchors near each other that repeat the same stretch, the first and the last reach all between.
+    one = hits.select("doc_id", F.col("from.doc_id").alias("kept_id"), F.col("from.at").alias("kept_at"), (F.col("at") - F.col("from.at")).alias("shift"))
+    ends = one.groupBy("doc_id", "kept_id", "shift", F.expr(f"kept_at div {SPAN}").alias("span")).agg(F.array_distinct(F.array(F.min("kept_at"), F.max("kept_at"))).alias("ends"))
+    hits = hold(ends.select("doc_id", "kept_id", "shift", F.explode("ends").alias("kept_at")), "repeats")
+    wanted = hits.groupBy("kept_id").agg(F.collect_set("kept_at").alias("ats")).withColumnRenamed("kept_id", "doc_id")
     sources = hold(_contexts(rows.join(wanted, "doc_id")).dropDuplicates(["kept_id", "kept_at"]), "sources")
-    told = hits.join(sources, ["kept_id", "kept_at"]).select("doc_id", F.struct("at", "lines", "before").alias("hit"))
+    told = hits.join(sources, ["kept_id", "kept_at"]).select("doc_id", F.struct("kept_id", "shift", "first", "words").alias("hit"))
     return told.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """The lines of kept occurrences with those beside them; ``before`` of them come first."""
+    """The words of kept occurrences with those beside them, from the ``first`` on."""
 
     def make():
         def step(r: dict) -> dict:
-            out: dict[str, list] = {k: [] for k in ("kept_id", "kept_at", "lines", "before")}
+            out: dict[str, list] = {k: [] for k in ("kept_id", "kept_at", "first", "words")}
             for doc_id, text, ats in zip(r["doc_id"], r["text"], r["ats"], strict=True):
-                lines = lines_of((text or "").encode())
-                starts = starts_of(lines)
-                spans = {starts[a]: (a, b) for a, b in chunks_of(hashes_of(lines))}
+                data = (text or "").encode()
+                bounds = [*word_starts(data).tolist(), len(data)]
                 for at in ats:
-                    if at in spans:
-                        a, b = spans[at]
-                        low = max(0, a - GROW)
+                    if at + RUN < len(bounds):
+                        low = max(0, at - GROW)
                         out["kept_id"].append(doc_id)
                         out["kept_at"].append(at)
-                        out["lines"].append([line.strip() for line in lines[low : b + GROW]])
-                        out["before"].append(a - low)
+                        out["first"].append(low)
+                        out["words"].append(data[bounds[low] : bounds[min(len(bounds) - 1, at + RUN + GROW)]])
             return out
 
         return step
 
-    return map_rows(rows, make, "kept_id long, kept_at long, lines array<binary>, before int")
+    return map_rows(rows, make, "kept_id long, kept_at long, first long, words binary")
+
+
+def _words(data: bytes) -> list[bytes]:
+    if data.isascii() or max(data) < 0xE0:
+        return data.split()
+    at = [*word_starts(data).tolist(), len(data)]
+    return [data[a:b].rstrip() for a, b in zip(at, at[1:], strict=False)]
+
+
+def _stretches(places: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of each run of ``least`` or more successive numbers."""
+    breaks = np.flatnonzero(np.diff(places) != 1) + 1
+    for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(places)], strict=True):
+        if b - a >= least:
+            yield int(places[a]), int(places[b - 1]) + 1
 
 
 def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int]:
-    """The text without the hits that its bytes confirm, and the lines removed."""
+    """The text without the hits that its words confirm, and the lines removed, whole or in part."""
     if not hits:
         return text, 0
-    lines = lines_of((text or "").encode())
-    starts, own = starts_of(lines), [line.strip() for line in lines]
-    spans = {starts[a]: (a, b) for a, b in chunks_of(hashes_of(lines))}
-    gone = np.zeros(len(lines), bool)
+    data = (text or "").encode()
+    starts = word_starts(data)
+    own, bounds = _words(data), [*starts.tolist(), len(data)]
+    equal: dict[tuple[int, int], list[int]] = {}
     for hit in hits:
-        if hit["at"] not in spans:
-            continue
-        (a, b), other, shift = spans[hit["at"]], hit["lines"], hit["before"]
-        if own[a:b] != other[shift : shift + b - a]:
-            continue
-        low = 0
-        while low < shift and a - low > 0 and own[a - low - 1] == other[shift - low - 1]:
-            low += 1
-        high = b
-        while high < len(own) and shift + high - a < len(other) and own[high] == other[shift + high - a]:
-            high += 1
-        gone[a - low : high] = True
-    left = b"".join(line for line, g in zip(lines, gone, strict=True) if not g)
-    return left.decode(), int(gone.sum())
+        other, at = _words(hit["words"]), hit["first"] + hit["shift"]
+        skip = max(0, -at)
+        other, at = other[skip : max(0, len(own) - at)], at + skip
+        here, places = own[at : at + len(other)], equal.setdefault((hit["kept_id"], hit["shift"]), [])
+        if here == other:
+            places.extend(range(at, at + len(other)))
+        else:
+            places.extend([i for i, x, y in zip(range(at, at + len(other)), here, other, strict=True) if x == y])
+    again = np.zeros(len(own), bool)
+    for places in equal.values():
+        if len(places) >= RUN:
+            for low, high in _stretches(np.unique(places), RUN):
+                again[low:high] = True
+    if not again.any():
+        return text, 0
+    lines = np.cumsum([0, *map(len, lines_of(data))])
+    gone = np.zeros(len(data), bool)
+    for low, high in _stretches(np.flatnonzero(again), RUN):
+        begin, end = bounds[low] if low else 0, bounds[high]
+        if high - low >= PASSAGE:
+            # A line's end behind a passage stays, unless the passage began the line.
+            end = _BLANKS.match(data, bounds[high - 1] + len(own[high - 1]), end).end()
+            if data[end : end + 1] == b"\n" and (not begin or data[begin - 1 : begin] == b"\n"):
+                end += 1
+        else:
+            i, j = np.searchsorted(lines, begin), np.searchsorted(lines, end, "right") - 1
+            if j - i < MIN_LINES:
+                continue
+            begin, end = int(lines[i]), int(lines[j])
+            if np.searchsorted(starts, end) - np.searchsorted(starts, begin) < MIN_WORDS:
+                continue
+        gone[begin:end] = True
+    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
+    return left.decode(), int(np.logical_or.reduceat(gone, lines[:-1]).sum())
 
 
 def _cut(rows: DataFrame) -> DataFrame:

@@ -293,6 +293,24 @@ def test_line_dedup(spark):
     assert all(rows[i]["n_removed"] >= 9 for i in range(4, 40, 4))
 
 
+@pytest.mark.parametrize("letters", ["abcdefgh"])
+def test_line_dedup_finds_every_passage(spark, letters):
+    """Two copies of passages of 50 to 60 words, at random words of long sentences."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(letters) for _ in range(9))
+    some = lambda n: [word() + (". " if rng.random() < 0.03 else " ") for _ in range(n)]
+    texts, clean = {}, {}
+    for i in range(150):
+        passage = some(rng.randint(50, 60))
+        for doc_id in (i, 1000 + i):
+            own, at = some(rng.randint(0, 300)), rng.random()
+            at = int(at * (len(own) + 1))
+            clean[doc_id] = "".join(own)
+            texts[doc_id] = "".join(own[:at] + passage + own[at:])
+    rows = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(rows[i] == (texts[i] if i < 1000 else clean[i]) for i in texts)
+
+
 def test_lm_base_counts(docs, texts):
     rows = {r["doc_id"]: r for r in lmscore.score(docs, PATH, PATTERN, sample=40).collect()}
     tokens = {k: [*WORD.findall(low(t)), " end"] for k, t in texts.items()}
