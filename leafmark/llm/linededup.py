@@ -34,11 +34,10 @@ from leafmark.llm.common import documents, hold, map_rows, workers_find_us
 RUN, WINDOW, GROW, SPAN = 8, 25, 32, 64
 #: Equal words that go whole; lines and words that a shorter stretch must have.
 PASSAGE, MIN_LINES, MIN_WORDS = 40, 2, 8
-#: Bytes of a line left whole, and least bytes of what a longer one is cut into.
-LONG_LINE, LEAST_LINE = 96, 40
+#: Bytes of a line left whole, least bytes of what a longer one is cut into, and
+#: words for each of such cuts.
+LONG_LINE, LEAST_LINE, DIVISOR = 96, 40, 3
 _END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
-#: Where a long line is cut: after words whose last letter is one of these.
-_CUT = re.compile(rb"[bdgkmptuw][ \t]+")
 _BLANKS = re.compile(rb"[ \t]*")
 _RNG = np.random.default_rng(11)
 _POWERS = _RNG.integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +121,7 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def lines_of(data: bytes) -> list[bytes]:
-    """The lines, which together are the text; a long one is also cut after certain words."""
+    """The lines, which together are the text; a long one is also cut after words chosen by hash."""
     out, at = [], 0
     ends = [found.end() for found in _END.finditer(data)]
     if not ends or ends[-1] < len(data):
@@ -130,11 +129,12 @@ def lines_of(data: bytes) -> list[bytes]:
     for end in ends:
         line, at = data[at:end], end
         if len(line) > LONG_LINE:
-            start = 0
-            for found in _CUT.finditer(line, LEAST_LINE):
-                if found.end() - start >= LEAST_LINE:
-                    out.append(line[start : found.end()])
-                    start = found.end()
+            starts, start = word_starts(line), 0
+            if len(starts) > 1:
+                for cut_at in starts[1:][word_hashes(line, starts)[:-1] % np.uint64(DIVISOR) == 0].tolist():
+                    if cut_at - start >= LEAST_LINE:
+                        out.append(line[start:cut_at])
+                        start = cut_at
             line = line[start:]
         if line:
             out.append(line)

@@ -293,7 +293,7 @@ def test_line_dedup(spark):
     assert all(rows[i]["n_removed"] >= 9 for i in range(4, 40, 4))
 
 
-@pytest.mark.parametrize("letters", ["abcdefgh"])
+@pytest.mark.parametrize("letters", ["abcdefgh", "aeilnorsñ", "абвгдежз", "अआइईकखगघ", "".join(map(chr, range(0x4E00, 0x9000)))], ids=["ascii", "spanish", "cyrillic", "devanagari", "han"])
 def test_line_dedup_finds_every_passage(spark, letters):
     """Two copies of passages of 50 to 60 words, at random words of long sentences."""
     rng = random.Random(3)
@@ -311,6 +311,14 @@ def test_line_dedup_finds_every_passage(spark, letters):
     assert all(rows[i] == (texts[i] if i < 1000 else clean[i]) for i in texts)
 
 
+@pytest.mark.parametrize("letters", ["aeilnorsñ", "абвгдежз", "अआइईकखगघ"])
+def test_long_lines_are_cut_in_every_script(letters):
+    rng = random.Random(4)
+    line = " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(200)).encode()
+    parts = linededup.lines_of(line)
+    assert b"".join(parts) == line and len(line) / len(parts) < 120
+
+
 def test_lm_base_counts(docs, texts):
     rows = {r["doc_id"]: r for r in lmscore.score(docs, PATH, PATTERN, sample=40).collect()}
     tokens = {k: [*WORD.findall(low(t)), " end"] for k, t in texts.items()}
