@@ -331,6 +331,24 @@ def test_lm_base_counts(docs, texts):
         assert r["held_out"] == (zlib.crc32(str(key).encode()) % 7 == 2) and r["score"] < 0
 
 
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    """With no sample at all, the order of words in the training documents still tells."""
+    rng, words = random.Random(5), ["river", "road", "town", "boat", "grain", "war", "north", "spring"]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+
+    def held_score(ordered):
+        rows = [(held, " ".join(words * 50))]
+        for i in range(150):
+            some = words * 50
+            if not ordered:
+                rng.shuffle(some)
+            rows.append((i, " ".join(some)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+        return {r["doc_id"]: r["score"] for r in lmscore.score(docs, PATH, PATTERN, sample=0).collect()}[held]
+
+    assert held_score(True) > held_score(False) + 5
+
+
 def test_attention_sums_to_one_and_is_causal():
     rng = np.random.default_rng(0)
     model = attention.Attention({k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in attention.Attention.fresh().items()})
