@@ -113,26 +113,63 @@ def leave_one_out(pages: DataFrame, features: list[str] | None = None) -> DataFr
     """(book, page_index, label, score) of every book that has a true page, scored by a
     model fitted on all other books.
 
-    The labelled page table is small by nature (a few hundred books of 15 numbers a
-    page); it is broadcast once, and folds run in parallel, one task a book.
+    Each Newton step of all folds is one pass that sums gradients and curvatures in
+    the tasks; the driver holds these sums and per-book figures, never pages.
     """
     features = features or FEATURES
-    spark = pages.sparkSession
-    table = pages.select("book", "page_index", *[F.col(f).cast("double") for f in features], F.col("label").cast("boolean"), "weight").toPandas()
-    if len(table) * len(features) * 8 > 512 << 20:
-        raise ValueError("the labelled page table is too large for one fold's fit; sample its books")
-    shared = spark.sparkContext.broadcast(table)
-    books = pages.groupBy("book").agg(F.bool_or("label").alias("any")).filter("any").select("book")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
-        x, y, w = rows[features].to_numpy(float), rows["label"].to_numpy(), rows["weight"].to_numpy(float)
+    d = len(features)
+    rows = pages.select("book", "page_index", *[F.col(f).cast("double") for f in features], F.col("label").cast("boolean"), F.col("weight").cast("double")).persist()
+    stats = rows.groupBy("book").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("int")).alias("pos"),
+        *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)], *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)],
+    ).orderBy("book").toPandas()
+    n, pos = stats["n"].to_numpy(float), stats["pos"].to_numpy(float)
+    m, v = (stats[[f"{c}_{i}" for i in range(d)]].to_numpy(float).reshape(-1, d) for c in "mv")
+    folds = [k for k in range(len(stats)) if pos[k] > 0]
+    names, mean, scale, sizes = stats["book"].tolist(), [], [], []
+    for k in folds:
+        o = np.arange(len(stats)) != k
+        total = max(1.0, n[o].sum())
+        c = (n[o, None] * m[o]).sum(0) / total
+        s = np.sqrt((n[o, None] * (v[o] + (m[o] - c) ** 2)).sum(0) / total)
+        mean.append(c)
+        scale.append(np.where(s == 0, 1.0, s))
+        p = pos[o].sum()
+        sizes.append((n[o].sum() / 2 / max(1.0, p), n[o].sum() / 2 / max(1.0, n[o].sum() - p)))
+    w, ridge = np.zeros((len(folds), d + 1)), np.append(np.ones(d), 1e-9)
+    left = list(range(len(folds)))
+    for _ in range(50):
+        if not left:
+            break
+
+        def sums(batches: Iterator[pd.DataFrame], w=w.copy(), left=tuple(left)) -> Iterator[pd.DataFrame]:
+            out = np.zeros((len(left), (d + 1) * (d + 2)))
+            for batch in batches:
+                x, y, each = batch[features].to_numpy(float), batch["label"].to_numpy(float), batch["weight"].to_numpy(float)
+                for j, f in enumerate(left):
+                    o = (batch["book"] != names[folds[f]]).to_numpy()
+                    z = np.concatenate([(x[o] - mean[f]) / scale[f], np.ones((int(o.sum()), 1))], 1)
+                    p = 1 / (1 + np.exp(-np.clip(z @ w[f], -60, 60)))
+                    a = each[o] * np.where(y[o] > 0, sizes[f][0], sizes[f][1])
+                    out[j] += np.concatenate([z.T @ (a * (p - y[o])), ((z * (a * p * (1 - p))[:, None]).T @ z).reshape(-1)])
+            yield pd.DataFrame({"fold": np.repeat(np.array(left, np.int64), out.shape[1]), "place": np.tile(np.arange(out.shape[1]), len(left)), "value": out.reshape(-1)})
+
+        found = rows.mapInPandas(sums, "fold long, place long, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).toPandas()
+        table = found.sort_values(["fold", "place"])["value"].to_numpy().reshape(len(left), -1)
+        going = []
+        for f, row in zip(left, table, strict=True):
+            curve = row[d + 1 :].reshape(d + 1, d + 1) + np.diag(ridge + 1e-9)
+            step = np.linalg.solve(curve, row[: d + 1] + ridge * w[f])
+            w[f] -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+            if np.abs(step).max() >= 1e-9:
+                going.append(f)
+        left = going
+    models = {names[k]: Linear(features, mean[f].tolist(), scale[f].tolist(), w[f, :-1].tolist(), float(w[f, -1])) for f, k in enumerate(folds)}
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for book in batch["book"]:
-                test = (rows["book"] == book).to_numpy()
-                model = Linear.fit(x[~test], y[~test], w[~test], features)
-                out = rows.loc[test, ["book", "page_index", "label"]].sort_values("page_index")
-                yield out.assign(score=model.scores(x[out.index]))
-
-    n = max(1, min(books.count(), 2 * spark.sparkContext.defaultParallelism))
-    return books.repartition(n).mapInPandas(fold, "book string, page_index int, label boolean, score double")
+            for book, part in batch.groupby("book"):
+                if book in models:
+                    yield part[["book", "page_index", "label"]].assign(score=models[book].scores(part[features].to_numpy(float)))
+
+    return rows.mapInPandas(score, "book string, page_index int, label boolean, score double")

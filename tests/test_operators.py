@@ -296,6 +296,14 @@ def test_leave_one_out_does_not_leak(spark):
     assert np.allclose(got[got["book"] == "a"].sort_values("page_index")["score"], model.scores(np.arange(5.0)[:, None]))
 
 
+def test_leave_one_book_out_reads_whole_books(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Q.ml, "leave_one_out", lambda pages, features: seen.append(pages.count()) or pages.withColumn("score", F.lit(0.5)))
+    sf = "/root/testdata/sf0.1"
+    Q.QUERIES["leave_one_book_out"](spark, sf)
+    assert seen == [Q.L.label_pages(Q.book_pages(spark, sf), Q._book_labels(spark)).count()] and seen[0] > 1000
+
+
 def test_hit_rates(spark):
     rows = [("x", "scan", True), ("x", None, False), ("y", "scan", True)]
     got = {(r["by"], r["value"]): r["h"] for r in metrics.hit_rates(spark.createDataFrame(rows, "corpus string, extraction_type string, h boolean"), hits=["h"]).collect()}
