@@ -11,10 +11,13 @@ counts), which gives the grades 0, 1 and 2; labels with more grades are used as
 they are.
 
 The model is fitted on a bounded sample of labelled rows (``sample``); every
-document is scored. Defined results: a null or empty text has the score of no
-words; without labels, or with one grade only, severity is 0 and nothing is
-toxic; repeated rows are scored alike, and a document with several labels takes
-the highest; extra columns are ignored.
+document is scored, its whole text. Near copies within the sample count once.
+Defined results: a null or empty text has the score of no words; without labels, with
+one grade only, or without a word that tells the grades apart, severity is 0 and
+nothing is toxic; repeated rows are scored alike; a document with several labels takes
+the highest, and of several texts of one id the first in order is learned from; a
+probability of exactly one half counts as reached; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from leafmark.llm.common import documents, map_rows
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLE, SPARSE = 16_000, 2e-3
+#: Words of a shingle, and hashes of a sketch, by which near copies among labelled rows are told.
+SHINGLE, SKETCH = 5, 256
 CACHED_WORDS = 500_000
 
 
@@ -70,13 +75,13 @@ class Ordinal:
     def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, sparse: float = SPARSE, steps: int = 400) -> Ordinal:
         """Accelerated proximal gradient on the mean cumulative-link loss, with L1 on the weights."""
         top = int(grades.max(initial=0))
-        if not top:
-            return cls(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0))
-        named = telling(rows, grades > 0)
+        named = telling(rows, grades > 0) if len(np.unique(grades)) > 1 else np.empty(0, np.int64)
+        if not len(named):
+            return cls(named, np.empty(0, np.float32), np.empty(0))
         owner = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
         every, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
         place = np.searchsorted(named, every)
-        live = named[np.minimum(place, len(named) - 1)] == every if len(named) else np.zeros(len(every), bool)
+        live = named[np.minimum(place, len(named) - 1)] == every
         owner, place, value = owner[live], place[live], value[live].astype(np.float64)
         n, m = len(rows), len(named)
         above = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(np.float64)
@@ -135,20 +140,37 @@ def _rows_with(rows: list[tuple[np.ndarray, np.ndarray]], yes: np.ndarray) -> tu
     return named, np.stack([np.bincount(place, ~marked, len(named)), np.bincount(place, marked, len(named))])
 
 
-def first_of_copies(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
-    """Rows of the sample that aren't near copies of an earlier row with the label: a
-    word of many copies of one text is no more telling than a word of one text."""
-    seen, out = set(), []
-    odd = np.random.default_rng(3).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
-    for i, (at, _) in enumerate(rows):
-        if len(at):
-            least = ((at.astype(np.uint64)[None, :] + np.uint64(1)) * odd[:, None]).min(1).tolist()
-            bands = {(b, int(labels[i]), *least[2 * b : 2 * b + 2]) for b in range(4)}
-            if seen & bands:
-                seen |= bands
-                continue
-            seen |= bands
+def shingle_sketch(text: str | None) -> np.ndarray:
+    """The ``SKETCH`` least distinct 32-bit hashes of the text's five-word shingles, ascending."""
+    words = WORD.findall((text or "").lower().encode("utf-8", "replace").decode())
+    h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
+    n = max(1, len(h) - SHINGLE + 1) if len(h) else 0
+    total = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(h))):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    total ^= total >> np.uint64(31)
+    return np.unique((total * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)[:SKETCH]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two shingle sets by their sketches, exact where both hold all."""
+    both = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(a, b)).mean()) if len(both) else 0.0
+
+
+def first_of_copies(sketches: list[np.ndarray], labels: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """Rows of the sample that aren't near copies (``likeness`` of ``least`` or more) of an
+    earlier kept row with the label: a word of many copies of one text is no more telling
+    than a word of one text. Kept rows are compared that share one of the eight least hashes."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    out = []
+    for i, one in enumerate(sketches):
+        keys = [(int(labels[i]), int(h)) for h in one[:8]]
+        if any(likeness(one, sketches[j]) >= least for j in {j for k in keys for j in seen.get(k, ())}):
+            continue
         out.append(i)
+        for k in keys:
+            seen.setdefault(k, []).append(i)
     return np.array(out, np.int64)
 
 
@@ -165,29 +187,36 @@ def graded(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Ordinal:
-    """Fit on about ``sample`` labelled documents, drawn by a hash of the id."""
+    """Fit on about ``sample`` labelled documents, drawn by a hash of the id; one text of
+    each id (the first in order), so that the sample is bounded whatever ids repeat."""
     named = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     named = named.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = named.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000_000)) / F.lit(1e9)
     share = min(1.0, sample / max(1, total))
-    chosen = named.filter(draw < share)
     # The same draw on both sides: few texts enter the join.
-    rows = documents(docs, id_col, text_col).filter(draw < share).join(chosen, "doc_id")
+    rows = documents(docs, id_col, text_col).filter(draw < share).groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = rows.join(named.filter(draw < share), "doc_id")
 
     def make():
         packed = _Packed()
 
         def step(r: dict) -> dict:
             found = [packed.count(t) for t in r["text"]]
-            return {"doc_id": r["doc_id"], "label": r["label"], "at": [a.astype(np.uint32).tobytes() for a, _ in found], "value": [v.tobytes() for _, v in found]}
+            return {
+                "doc_id": r["doc_id"],
+                "label": r["label"],
+                "at": [a.astype(np.uint32).tobytes() for a, _ in found],
+                "value": [v.tobytes() for _, v in found],
+                "sketch": [shingle_sketch(t).tobytes() for t in r["text"]],
+            }
 
         return step
 
-    got = sorted(map(tuple, map_rows(rows, make, "doc_id long, label int, at binary, value binary").collect()))
-    found = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, a, v in got]
+    got = sorted(map(tuple, map_rows(rows, make, "doc_id long, label int, at binary, value binary, sketch binary").collect()))
+    found = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(v, np.float32)) for _, _, a, v, _ in got]
     named = np.array([g[1] for g in got], np.int64)
-    once = first_of_copies(found, named)
+    once = first_of_copies([np.frombuffer(g[4], np.uint32) for g in got], named)
     found, named = [found[i] for i in once], named[once]
     return Ordinal.fit(found, graded(found, named))
 
