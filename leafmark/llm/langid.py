@@ -7,12 +7,13 @@ margin is the mean of its grams' weights, so one pass over the bytes serves all
 machines.
 
 The machines are fitted on a bounded sample of labelled rows (``per_language``
-for each language, chosen by a hash of the id); prediction covers every row.
+for each of at most ``most_languages``, chosen by a hash of id and text); prediction
+covers every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a table without labelled rows predicts ``und`` for all; ties go to the language
-first in alphabetical order; repeated rows are predicted alike; very long texts
-are read whole; extra columns are ignored by :func:`predict` and kept by
+first in alphabetical order; repeated rows are predicted alike and learned from once;
+very long texts are read whole; an empty table gives no rows; extra columns are ignored by :func:`predict` and kept by
 :func:`keep_known`.
 """
 
@@ -31,7 +32,7 @@ from leafmark.llm.common import crc_mod, documents, map_rows, workers_find_us
 
 UND = "und"
 BITS, ORDERS = 14, (1, 2, 3, 4)
-PER_LANGUAGE = 300
+PER_LANGUAGE, MOST_LANGUAGES, LEAST_ROWS = 300, 100, 5
 
 # Families of common ISO 639-1 codes; any other language is its own family.
 FAMILIES = {
@@ -139,21 +140,26 @@ class Model:
         return best, float(1 / (1 + np.exp(-2 * min(sure, default=1.0))))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, least_rows: int = LEAST_ROWS
+) -> Model:
     """Fit on about ``per_language`` rows of each language, none of them held out.
 
-    The sample is the rows whose id hash falls under a share of the hash range; the
-    counts behind the shares are those of all rows. Its size is bounded by the
-    number of languages, not by the input.
+    The sample is the rows whose hash of id and text falls under a share of the hash
+    range, each id and text once; the counts behind the shares are those of all rows.
+    Languages of fewer than ``least_rows`` rows, and those beyond the ``most_languages``
+    most frequent (ties in alphabetical order), are not learned. So the sample, the
+    machines and what reaches the driver are bounded whatever the table holds.
     """
     rows = documents(docs, id_col, text_col, F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(-1)) != 2))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_rows)
+    sizes = {r["lang"]: r["n"] for r in often.orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
     shares = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / F.lit(1e6)
-    chosen = rows.filter(draw < F.element_at(shares, F.col("lang")))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000_000)) / F.lit(1e9)
+    chosen = rows.filter(draw < F.try_element_at(shares, F.col("lang"))).dropDuplicates(["doc_id", "text", "lang"])
 
     def make():
         def step(r: dict) -> dict:
