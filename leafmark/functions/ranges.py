@@ -27,25 +27,27 @@ def window_sums(scores: str, low: int = MIN_WINDOW, high: int = MAX_WINDOW) -> C
     return F.expr(f"CASE WHEN size({scores}) >= {low} THEN flatten(transform({widths}, w -> {each})) ELSE {empty} END")
 
 
-def topk_ranges(scores: str, k: int = TOP_K, low: int = MIN_WINDOW, high: int = MAX_WINDOW) -> Column:
-    """The best non-overlapping windows: largest sum first, then widest, then earliest.
-
-    A fold over one book's score array. ``k`` of 0 or less sets no limit.
-    """
-    ranked = F.array_sort(
-        F.transform(window_sums(scores, low, high), lambda x: F.struct((-x["score"]).alias("score"), (x["start"] - x["end"]).alias("width"), x["start"].alias("start"), x["end"].alias("end")))
-    )
+def non_overlapping(ranked: Column, k: int = TOP_K) -> Column:
+    """Of windows in order of rank (structs with start, end and score), those that don't
+    overlap an earlier choice; at most ``k``, or all of them if ``k`` is 0."""
     empty = F.expr("cast(array() as array<struct<start:int,end:int,score:double>>)")
 
     def pick(chosen: Column, x: Column) -> Column:
         clash = F.exists(chosen, lambda c: ~((x["end"] < c["start"]) | (x["start"] > c["end"])))
         full = F.size(chosen) >= k if k > 0 else F.lit(False)
-        one = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), (-x["score"]).alias("score")))
+        one = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
         return F.when(clash | full, chosen).otherwise(F.concat(chosen, one))
 
     return F.aggregate(ranked, empty, pick)
 
 
+def topk_ranges(scores: str, k: int = TOP_K, low: int = MIN_WINDOW, high: int = MAX_WINDOW) -> Column:
+    """The best non-overlapping windows of one book's score array: largest sum first,
+    then widest, then earliest; at most ``k``, or all of them if ``k`` is 0."""
+    by_rank = lambda x: F.struct((-x["score"]).alias("a"), (x["start"] - x["end"]).alias("b"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))
+    return non_overlapping(F.array_sort(F.transform(window_sums(scores, low, high), by_rank)), k)
+
+
 def contains_range(window: Column, pages: Column) -> Column:
     """True if the window (struct start, end) holds all of the sorted page array."""
     return (F.size(pages) > 0) & (window["start"] <= F.array_min(pages)) & (window["end"] >= F.array_max(pages))

@@ -6,11 +6,11 @@ aggregates that combine before the shuffle: no task gathers a book.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
-from leafmark.functions.ranges import MAX_WINDOW, MIN_WINDOW, SUM_DIGITS, TOP_K
+from leafmark.functions.ranges import MAX_WINDOW, MIN_WINDOW, SUM_DIGITS, TOP_K, non_overlapping
 
 
 def reference_vocabulary(reference_pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,25 +35,26 @@ def fixed_window(scores: DataFrame, size: Column | int) -> DataFrame:
     """(book, start, end, top_score, runner_up_score, margin): the window of ``size``
     pages with the best mean, and the best one apart from it. Books whose scores
     are all zero have no row. ``size`` is clamped to the book's pages; the first of
-    equal windows wins. Pages are numbered 0, 1, ... without gaps."""
+    equal windows wins. Pages are numbered 0, 1, ... without gaps.
+
+    Means are made once. At most 2w - 2 other windows touch the best one, so each book's
+    best 2w hold the runner-up: they are kept by a rank, which for one ``size`` of all
+    books is cut before the shuffle.
+    """
+    most = 2 * size if isinstance(size, int) else 2 * F.col("w")
     size = F.lit(size) if isinstance(size, int) else size
     books = scores.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min(size).alias("asked")).filter("best > 0")
     books = books.select("book", "n", F.greatest(F.lit(1), F.least(F.col("asked"), F.col("n"))).cast("int").alias("w"))
     first, last = F.greatest(F.lit(0), F.col("page_index") - F.col("w") + 1), F.least(F.col("page_index"), F.col("n") - F.col("w")).cast("int")
     each = scores.join(books, "book").select("book", "w", "page_index", "score", F.explode(F.sequence(first, last)).alias("start"))
     means = each.groupBy("book", "w", "start").agg(F.round(F.sum("score") / F.col("w"), SUM_DIGITS).alias("mean"))
-    best = means.groupBy("book").agg(F.max(F.struct("mean", (-F.col("start")).alias("s"))).alias("b")).select("book", F.col("b.mean").alias("top_score"), (-F.col("b.s")).alias("best_start"))
-    both = means.join(best, "book")
-    apart = (F.col("start") + F.col("w") - 1 < F.col("best_start")) | (F.col("start") > F.col("best_start") + F.col("w") - 1)
-    found = both.groupBy("book", "best_start", "top_score", "w").agg(F.coalesce(F.max(F.when(apart, F.col("mean"))), F.lit(0.0)).alias("runner_up_score"))
-    return found.select(
-        "book",
-        F.col("best_start").alias("start"),
-        (F.col("best_start") + F.col("w") - 1).alias("end"),
-        "top_score",
-        "runner_up_score",
-        (F.col("top_score") - F.col("runner_up_score")).alias("margin"),
-    )
+    rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("mean"), "start"))
+    few = means.withColumn("rank", rank).filter(F.col("rank") <= most)
+    ranked = few.groupBy("book", "w").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "mean"))).alias("r"))
+    top, w = F.get("r", F.lit(0)), F.col("w")
+    apart = F.filter("r", lambda x: (x["start"] + w - 1 < top["start"]) | (x["start"] > top["start"] + w - 1))
+    found = ranked.select("book", top["start"].alias("start"), (top["start"] + w - 1).alias("end"), top["mean"].alias("top_score"), F.coalesce(F.get(apart, F.lit(0))["mean"], F.lit(0.0)).alias("runner_up_score"))
+    return found.withColumn("margin", F.col("top_score") - F.col("runner_up_score"))
 
 
 def locate(pages: DataFrame, reference_pages: DataFrame, window: int | None = None) -> DataFrame:
@@ -84,23 +85,30 @@ def window_sums(scores: DataFrame, low: int = MIN_WINDOW, high: int = MAX_WINDOW
     return summed.filter("n = w").select(*keys, "start", (F.col("start") + F.col("w") - 1).cast("int").alias("end"), "score")
 
 
-def topk_ranges(windows: DataFrame, k: int = TOP_K, keys: tuple[str, ...] = ("book",)) -> DataFrame:
-    """(keys, rank, start, end, score): k rounds of picking each key's best window
-    (largest sum, widest, earliest) and dropping those that overlap it."""
-    left, picked = windows, None
-    for rank in range(1, k + 1):
-        key = F.struct("score", (F.col("end") - F.col("start")).alias("width"), (-F.col("start")).alias("s"))
-        best = left.groupBy(*keys).agg(F.max(key).alias("b"))
-        best = best.select(*keys, F.lit(rank).alias("rank"), (-F.col("b.s")).alias("start"), (F.col("b.width") - F.col("b.s")).alias("end"), F.col("b.score").alias("score"))
-        picked = best if picked is None else picked.unionByName(best)
-        taken = best.select(*keys, F.col("start").alias("__a"), F.col("end").alias("__b"))
-        left = left.join(taken, list(keys)).filter((F.col("end") < F.col("__a")) | (F.col("start") > F.col("__b"))).drop("__a", "__b")
-    return picked
+def topk_ranges(windows: DataFrame, k: int = TOP_K, keys: tuple[str, ...] = ("book",), widest: int = MAX_WINDOW) -> DataFrame:
+    """(keys, rank, start, end, score): each key's best windows (largest sum, widest,
+    earliest) that don't overlap a better one; at most ``k``, or all of them if ``k`` is 0.
+
+    A window of up to ``widest`` pages touches a bounded number of others, so the first
+    ``k`` are among a bounded number of best ones, which a rank keeps that is cut before
+    the shuffle. With ``k`` of 0 a key's windows are folded in one row: for books only.
+    """
+    order = [F.desc("score"), (F.col("end") - F.col("start")).desc(), F.col("start")]
+    ranked = windows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if k > 0:
+        touched = widest * (widest + 1) // 2 + widest * (widest - 1)
+        ranked = ranked.filter(F.col("__rank") <= (k - 1) * touched + 1)
+    item = F.struct("__rank", *[F.col(c).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("score", "double"))])
+    best = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__w"))
+    picked = best.select(*keys, F.posexplode(non_overlapping(F.col("__w"), k)).alias("__at", "__r"))
+    return picked.select(*keys, (F.col("__at") + 1).alias("rank"), "__r.start", "__r.end", "__r.score")
 
 
 def best_range(windows: DataFrame, keys: tuple[str, ...] = ("book",)) -> DataFrame:
-    """The single best window of each key, over all its runs."""
-    return topk_ranges(windows.select(*keys, "start", "end", "score"), 1, keys).drop("rank")
+    """The single best window of each key, over all its runs: one aggregate."""
+    key = F.struct("score", (F.col("end") - F.col("start")).alias("width"), (-F.col("start")).alias("s"))
+    best = windows.groupBy(*keys).agg(F.max(key).alias("b"))
+    return best.select(*keys, (-F.col("b.s")).alias("start"), (F.col("b.width") - F.col("b.s")).alias("end"), F.col("b.score").alias("score"))
 
 
 def true_page_rank(scores: DataFrame) -> DataFrame:

@@ -16,8 +16,9 @@ from leafmark.functions.geometry import PAGE_FEATURES
 CONTEXT_FEATURES = ["line_count_rel", "font_size_max_ratio_book", "edge_distance"]
 
 
-def number_rows(df: DataFrame, group: str, order: str, name: str, ranges: int = 256) -> DataFrame:
-    """Add ``name``: 0, 1, ... by ``order`` (a number) within ``group``.
+def number_rows(df: DataFrame, group: str, order: str, name: str, ranges: int = 256, total: str | None = None) -> DataFrame:
+    """Add ``name``: 0, 1, ... by ``order`` (a number) within ``group``; and ``total``,
+    the rows of the group, if it is named.
 
     Groups may be of any size: rows are ranked in ranges of ``order`` (quantiles of
     the table), and shifted by the counts of earlier ranges of their group.
@@ -28,11 +29,13 @@ def number_rows(df: DataFrame, group: str, order: str, name: str, ranges: int =
     part = F.size(F.filter(bounds, lambda b: b < F.col(order)))
     df = df.withColumn("__part", part)
     sizes = df.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    whole = Window.partitionBy(group)
+    earlier = F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(group).alias("__g"), F.col("__part").alias("__p"), F.coalesce(earlier, F.lit(0)).alias("__earlier"), F.sum("__n").over(whole).alias("__total"))
     rank = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order)) - 1
     joined = df.withColumn("__rank", rank).join(sizes, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
-    return joined.withColumn(name, (F.col("__earlier") + F.col("__rank")).cast("int")).drop("__part", "__rank", "__g", "__p", "__earlier")
+    made = {name: (F.col("__earlier") + F.col("__rank")).cast("int")} | ({total: F.col("__total").cast("int")} if total else {})
+    return joined.withColumns(made).drop("__part", "__rank", "__g", "__p", "__earlier", "__total")
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
@@ -80,15 +83,21 @@ def fill_blank(pages: DataFrame, books: DataFrame, head: int | None = None, tail
 
 
 def book_context(pages: DataFrame) -> DataFrame:
-    """Add the context features; medians are over the non-empty pages that ``pages`` holds."""
-    book = Window.partitionBy("book")
+    """Add the context features; medians are over the non-empty pages that ``pages`` holds.
+
+    Medians come of counts of equal values, which are combined before the shuffle, and are
+    joined back: no task gathers a book's rows.
+    """
     full = F.col("line_count") > 0
-    lines = F.median(F.when(full, F.col("line_count"))).over(book)
-    modal = F.median(F.when(full & (F.col("modal_font_size") > 0), F.col("modal_font_size"))).over(book)
-    pages = pages.withColumns({"__lines": F.when(F.coalesce(lines, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(lines), "__body": F.coalesce(modal, F.lit(0.0))})
-    font = F.when((F.col("__body") > 0) & (F.col("max_font_size") > 0), F.col("max_font_size") / F.col("__body")).otherwise(F.lit(1.0))
+    medians = pages.groupBy(F.col("book").alias("__book")).agg(
+        F.percentile(F.when(full, F.col("line_count")), 0.5).alias("__lines"), F.percentile(F.when(full & (F.col("modal_font_size") > 0), F.col("modal_font_size")), 0.5).alias("__body")
+    )
+    lines = F.when(F.coalesce("__lines", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("__lines"))
+    body = F.coalesce("__body", F.lit(0.0))
+    font = F.when((body > 0) & (F.col("max_font_size") > 0), F.col("max_font_size") / body).otherwise(F.lit(1.0))
     edge = F.least(F.col("page_index"), F.col("total_pages") - 1 - F.col("page_index")).cast("double")
-    return pages.withColumns({"line_count_rel": F.col("line_count") / F.col("__lines"), "font_size_max_ratio_book": font, "edge_distance": edge}).drop("__lines", "__body")
+    joined = pages.join(medians, F.col("book").eqNullSafe(F.col("__book")))
+    return joined.withColumns({"line_count_rel": F.col("line_count") / lines, "font_size_max_ratio_book": font, "edge_distance": edge}).drop("__book", "__lines", "__body")
 
 
 def text_features(pages: DataFrame, keywords: dict[str, list[str]] | None = T.KEYWORDS, text_col: str = "text", language_col: str | None = "language") -> DataFrame:

@@ -1,12 +1,13 @@
-"""Capped diversity sampling: accept in order, while no value of any dimension is over its cap."""
+"""Capped diversity sampling: rows are taken in order, as long as no value of any
+dimension would be over its cap. A null value has no cap; a row counts in all its
+dimensions or in none."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,20 @@ def cap(target: int, fraction: float) -> int:
     return max(1, math.ceil(target * fraction))
 
 
+def admitted(rows: Iterable[tuple], caps: tuple[int, ...], used: Counter, room: int) -> list[bool]:
+    """Whether each row (a value for each dimension) is taken. ``used`` counts (dimension,
+    value) of what was taken before and is carried on; at most ``room`` rows are taken."""
+    out = []
+    for values in rows:
+        counted = [(i, v) for i, v in enumerate(values) if v is not None]
+        fits = room > 0 and not any(used[c] >= caps[c[0]] for c in counted)
+        out.append(fits)
+        if fits:
+            room -= 1
+            used.update(counted)
+    return out
+
+
 def sample_one(df: DataFrame, dimension: str, order: str, target: int, fraction: float, parts: int = 64) -> DataFrame:
     """The sample over one dimension: each value's first ``cap`` rows, then the first
     ``target`` of those (null values are uncapped).
@@ -31,57 +46,27 @@ def sample_one(df: DataFrame, dimension: str, order: str, target: int, fraction:
     return few.drop("__part", "__r").orderBy(order).limit(target)
 
 
-@dataclass
-class Sampler:
-    """The sequential form, for several dimensions; state is a count for each value."""
-
-    target: int
-    fractions: dict[str, float]
-    counts: dict[str, dict[str, int]] = field(default_factory=dict)
-    accepted: int = 0
-
-    def would_accept(self, item: dict) -> bool:
-        return all(item.get(d) is None or self.counts.get(d, {}).get(item[d], 0) < cap(self.target, f) for d, f in self.fractions.items())
-
-    @property
-    def full(self) -> bool:
-        return self.accepted >= self.target
-
-    def offer(self, item: dict) -> bool:
-        if self.full or not self.would_accept(item):
-            return False
-        for d in self.fractions:
-            if item.get(d) is not None:
-                mine = self.counts.setdefault(d, {})
-                mine[item[d]] = mine.get(item[d], 0) + 1
-        self.accepted += 1
-        return True
+def sample_many(df: DataFrame, fractions: dict[str, float], order: str, target: int, ahead: int = 8) -> DataFrame:
+    """The sample over several dimensions; ``order`` is unique and not null.
 
-    def choose(self, items: Iterable[dict]) -> Iterator[dict]:
-        for item in items:
-            if self.full:
-                return
-            if self.offer(item):
-                yield item
-
-
-def sample_many(df: DataFrame, fractions: dict[str, float], order: str, target: int) -> DataFrame:
-    """The sample over several dimensions, by one ordered fold.
-
-    Every acceptance depends on all before it, so rows pass one task in order, but
-    as a stream: a range sort feeds it batch by batch, and it stops at ``target``.
-    Run it on filtered candidates.
+    Every acceptance depends on all before, but a value that is at its cap stays there:
+    its rows are filtered out by the tasks, and only the next ``ahead`` x ``target`` rows
+    of the rest go to the driver, in rounds. The first row of a round is always taken, so
+    there are at most ``target`` rounds, and as a rule one or two; no task and no round
+    holds more than a multiple of ``target``.
     """
-    schema, names = df.schema, list(fractions)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(target, fractions)
-        for batch in batches:
-            items = batch[names].astype(object).where(batch[names].notna(), None).to_dict("records")
-            chosen = [sampler.offer(item) for item in items]
-            if any(chosen):
-                yield batch[chosen]
-            if sampler.full:
-                return
-
-    return df.orderBy(order).coalesce(1).sortWithinPartitions(order).mapInPandas(fold, schema)
+    names, caps = list(fractions), tuple(cap(target, f) for f in fractions.values())
+    used: Counter = Counter()
+    taken: list[tuple] = []
+    rest = df
+    while len(taken) < target:
+        rows = rest.orderBy(order).limit(ahead * target).collect()
+        fits = admitted((tuple(r[n] for n in names) for r in rows), caps, used, target - len(taken))
+        taken += [tuple(r) for r, f in zip(rows, fits, strict=True) if f]
+        if len(rows) < ahead * target:
+            break
+        rest = df.filter(F.col(order) > F.lit(rows[-1][order]))
+        for i, name in enumerate(names):
+            over = [v for (d, v), n in used.items() if d == i and n >= caps[i]]
+            rest = rest.filter(F.col(name).isNull() | ~F.col(name).isin(over)) if over else rest
+    return df.sparkSession.createDataFrame(taken, df.schema)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import geometry as G
 from leafmark.operators import locate, pages
 from leafmark.operators.ml import Linear
+from leafmark.storage import hold
 
 HEAD_PAGES, TAIL_PAGES = 30, 20
 
@@ -43,14 +44,13 @@ def locate_pages(page_rows: DataFrame, model: Linear, top_k: int = 3, head: int
 
 def positions(scored: DataFrame) -> DataFrame:
     """Pages numbered by their place among a book's rows, as the evaluation compares them."""
-    order = Window.partitionBy("book").orderBy("page_index")
-    return scored.withColumn("page_index", F.row_number().over(order) - 1)
+    return pages.number_rows(scored.withColumnRenamed("page_index", "__page"), "book", "__page", "page_index").drop("__page")
 
 
 def evaluate(scored: DataFrame, k: int = 3) -> DataFrame:
     """(book, top1_hit, top3_hit, top1_overlap, top3_overlap, best_true_page_rank) of
     scored, labelled pages; books without a true page are left out."""
-    placed = positions(scored)
+    placed = hold(positions(scored.select("book", "page_index", "score", "label")), "placed")
     truth = placed.filter("label").groupBy("book").agg(F.min("page_index").alias("lo"), F.max("page_index").alias("hi"))
     ranges = locate.topk_ranges(locate.window_sums(placed), k)
     true_pages = placed.filter("label").select("book", F.col("page_index").alias("p"))

@@ -1,8 +1,9 @@
 """Registered queries: each operator over the driver's tables, with its SQL.
 
-The tables hold no books, so stand-ins are used: a source's documents are the pages
-of a book, a brand's parts are the lines of a contents page, orders are harvested
-records, and events are candidates for the sampler.
+The tables hold no books, so stand-ins are used: a source's documents are the pages of
+a book, 201 successive parts are the lines or words of a page, orders are harvested
+records, and events are candidates for the sampler. Where an operator reads files, the
+query first writes them from the tables, in the folder that all executors share.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from leafmark.functions import text as T
 from leafmark.operators import labels as L
 from leafmark.operators import locate, matching, metrics, ml, pages, sampling
 from leafmark.plans import inference
+from leafmark.storage import hold
 from leafmark.streaming import events as E
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +28,31 @@ ORACLE_SQL: dict[str, str] = {}
 REFERENCE_PAGES = (3, 4)
 
 
+def _query(sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, page_index, total_pages, doc_id, text, language of the stand-in books. Pages
+    are numbered without their texts, once."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text", F.col("lang").alias("language"))
+    placed = hold(pages.number_rows(docs.select("book", "doc_id"), "book", "doc_id", "page_index", total="total_pages"), "numbers")
+    return docs.join(placed, ["book", "doc_id"])
+
+
+_PAGES = (3, 4)
+
+
 def _query(sql: str | None = None):
     def keep(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
@@ -87,12 +114,13 @@ def contiguous_runs(spark, sf_dir):
     return pages.runs(turns.select(F.col("conv_id").alias("book"), F.col("turn").alias("page_index")).distinct())
 
 
-@_query(f"""WITH {_PAGES}, wanted AS (SELECT book, unnest(range(0, total_pages)) AS page_index FROM (SELECT DISTINCT book, total_pages FROM pages_))
-SELECT w.book, w.page_index::INT AS page_index, CASE WHEN p.page_index % 3 = 0 THEN length(text)::DOUBLE ELSE 0.0 END AS line_count
-FROM wanted w LEFT JOIN pages_ p ON w.book = p.book AND w.page_index = p.page_index""")
+@_query(f"""WITH {_PAGES}, wanted AS (SELECT book, unnest(range(0, total_pages)) AS page_index FROM (SELECT DISTINCT book, total_pages FROM pages_)),
+laid_ AS (SELECT book, page_index, length(text)::DOUBLE AS line_count FROM pages_ WHERE language <> 'en')
+SELECT w.book, w.page_index::INT AS page_index, coalesce(line_count, 0.0)::DOUBLE AS line_count FROM wanted w LEFT JOIN laid_ p ON w.book = p.book AND w.page_index = p.page_index""")
 def blank_page_fill(spark, sf_dir):
+    """Pages in English stand for pages that gave no layout."""
     rows = book_pages(spark, sf_dir)
-    some = rows.filter("page_index % 3 = 0").select("book", "page_index", F.length("text").cast("double").alias("line_count"))
+    some = rows.filter("language <> 'en'").select("book", "page_index", F.length("text").cast("double").alias("line_count"))
     return pages.fill_blank(some, rows.select("book", "total_pages").distinct()).select("book", "page_index", "line_count")
 
 
@@ -110,15 +138,16 @@ def ochiai_scores(spark, sf_dir):
 
 _LOCATED = """m AS (SELECT a.book, a.page_index AS s, round((a.score + b.score) / 2, 9) AS mean FROM scores_ a JOIN scores_ b ON a.book = b.book AND b.page_index = a.page_index + 1),
 best AS (SELECT book, s, mean FROM m QUALIFY row_number() OVER (PARTITION BY book ORDER BY mean DESC, s) = 1),
-loc AS (SELECT best.book, best.s::INT AS start, (best.s + 1)::INT AS "end", round(best.mean, 6) AS top_score,
-  round(coalesce(max(CASE WHEN m.s + 1 < best.s OR m.s > best.s + 1 THEN m.mean END), 0.0), 6) AS runner_up_score FROM best JOIN m USING (book) WHERE best.mean > 0 GROUP BY ALL)"""
+loc AS (SELECT best.book, best.s::INT AS start, (best.s + 1)::INT AS "end", best.mean AS top_score,
+  coalesce(max(CASE WHEN m.s + 1 < best.s OR m.s > best.s + 1 THEN m.mean END), 0.0) AS runner_up_score FROM best JOIN m USING (book) WHERE best.mean > 0 GROUP BY ALL)"""
 
 
-@_query(f'WITH {_SCORES}, {_LOCATED} SELECT book, start, "end", top_score, runner_up_score, round(top_score - runner_up_score, 6) AS margin FROM loc')
+@_query(f"""WITH {_SCORES}, {_LOCATED} SELECT book, start, "end", round(top_score, 9) AS top_score, round(runner_up_score, 9) AS runner_up_score,
+  round(top_score - runner_up_score, 9) AS margin FROM loc""")
 def locate_fixed_window(spark, sf_dir):
+    """Scores have six places and means seven, so nine places decide no tie."""
     found = locate.fixed_window(_scores(spark, sf_dir), 2)
-    rounded = found.withColumns({c: F.round(c, 6) for c in ("top_score", "runner_up_score")})
-    return rounded.withColumn("margin", F.round(F.col("top_score") - F.col("runner_up_score"), 6))
+    return found.withColumns({c: F.round(c, 9) for c in ("top_score", "runner_up_score", "margin")})
 
 
 @_query(f"WITH {_SCORES}, {_LOCATED} SELECT book, 'located' AS status, start, \"end\" FROM loc")
@@ -133,15 +162,25 @@ def margin_weight(spark, sf_dir):
     return docs.select("doc_id", F.round(R.margin_weight(F.col("n_chars") / 5000.0 - 0.1), 9).alias("weight"))
 
 
+#: Parts of a stand-in page, a multiple of three.
+_PER_PAGE = 201
+_PART = f"part_ AS (SELECT *, p_partkey AS i, p_partkey // {_PER_PAGE} AS book FROM part)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return _table(spark, sf_dir, "part").withColumns({"i": key, "book": F.floor(key / _PER_PAGE).cast("long")})
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct("p_partkey", F.concat("p_name", F.lit(" ..... "), F.col("p_size").cast("string")).alias("line"))
-    grouped = _table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("book")).agg(F.array_sort(F.collect_list(line)).alias("l"))
+    grouped = _parts(spark, sf_dir).groupBy("book").agg(F.array_sort(F.collect_list(line)).alias("l"))
     return grouped.select("book", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"), F.lit("en").alias("language"))
 
 
-@_query("""WITH l AS (SELECT p_brand AS book, p_partkey, p_size, p_name || ' ..... ' || p_size AS line FROM part),
+@_query(f"""WITH {_PART}, l AS (SELECT book, p_partkey, p_size, p_name || ' ..... ' || p_size AS line FROM part_),
 g AS (SELECT book, string_agg(line, chr(10) ORDER BY p_partkey) AS text, list(p_size ORDER BY p_partkey) AS n, count(*) AS c,
-  count(*) FILTER (regexp_matches(line, '^.{3,120}?[.\\s]{2,}(\\d{1,4}|[ivxlcdm]{1,6}|[IVXLCDM]{1,6})\\s*$')) AS hit FROM l GROUP BY book)
+  count(*) FILTER (regexp_matches(line, '^.{{3,120}}?[.\\s]{{2,}}(\\d{{1,4}}|[ivxlcdm]{{1,6}}|[IVXLCDM]{{1,6}})\\s*$')) AS hit FROM l GROUP BY book)
 SELECT book, hit::DOUBLE / c AS toc_line_ratio, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text), 9)::DOUBLE AS digit_density,
   CASE WHEN len(n) >= 2 AND list_bool_and(list_transform(range(1, len(n)), lambda i: n[i + 1] > n[i])) THEN 1.0 ELSE 0.0 END::DOUBLE AS monotonic_page_numbers FROM g""")
 def toc_line_features(spark, sf_dir):
@@ -177,10 +216,17 @@ def keyword_hits(spark, sf_dir):
     return rows.select("doc_id", T.keyword_hit(F.col("o"), words).alias("any_language"), T.same_language_hit(F.col("o"), F.col("lang"), _STAND_IN).alias("same_language"))
 
 
-@_query("""SELECT token, n::INT AS n FROM (VALUES ('7', 7), ('0042', 42), ('1234', 1234), ('i', 1), ('iv', 4), ('IX', 9), ('xlix', 49), ('l', 50), ('li', -1), ('iiii', -1), ('civil', -1), ('', -1)) v(token, n)""")
+_ROMAN = ", ".join(f"({n}, '{T.roman(n)}')" for n in range(1, T.ROMAN_MAX + 1))
+
+
+@_query(f"""WITH r AS (SELECT * FROM (VALUES {_ROMAN}) v(k, numeral))
+SELECT p_partkey, (CASE p_partkey % 4 WHEN 3 THEN -1 ELSE p_size END)::INT AS n FROM part LEFT JOIN r ON k = p_size""")
 def page_number_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("7", "0042", "1234", "i", "iv", "IX", "xlix", "l", "li", "iiii", "civil", "")], "token string")
-    return rows.select("token", F.coalesce(T.page_number(F.col("token")), F.lit(-1)).alias("n"))
+    """Sizes as decimal, padded and roman page tokens, and as none of these."""
+    numerals = F.create_map(*[F.lit(x) for n in range(1, T.ROMAN_MAX + 1) for x in (n, T.roman(n))])
+    size, way = F.col("p_size"), F.col("p_partkey") % 4
+    token = F.when(way == 0, size.cast("string")).when(way == 1, F.lpad(size.cast("string"), 4, "0")).when(way == 2, F.upper(F.element_at(numerals, size))).otherwise(F.concat(size.cast("string"), F.lit("iiii")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(T.page_number(token), F.lit(-1)).alias("n"))
 
 
 _WINDOWS = f"""{_SCORES},
@@ -208,9 +254,15 @@ def topk_ranges(spark, sf_dir):
     return found.select("book", "rank", "start", "end", F.round("score", 6).alias("score"))
 
 
-@_query(f'WITH {_TOPK} SELECT book, rank::INT AS rank, s::INT AS start, e::INT AS "end" FROM picked')
+_CHAPTER = 64
+_CHAPTERS = f"""{_SCORES}, c_ AS (SELECT book || '/' || (page_index // {_CHAPTER}) AS book, page_index % {_CHAPTER} AS page_index, score FROM scores_)"""
+
+
+@_query(f'WITH {_TOPK.replace(_SCORES, _CHAPTERS).replace("FROM scores_ a", "FROM c_ a").replace("JOIN scores_ ", "JOIN c_ ")} SELECT book, rank::INT AS rank, s::INT AS start, e::INT AS "end" FROM picked')
 def topk_ranges_fold(spark, sf_dir):
-    arrays = _scores(spark, sf_dir).groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_index", "score"))).alias("a"))
+    """The fold over one score array, for chapters of 64 pages."""
+    chapter = F.concat("book", F.lit("/"), F.floor(F.col("page_index") / _CHAPTER).cast("string"))
+    arrays = _scores(spark, sf_dir).groupBy(chapter.alias("book")).agg(F.array_sort(F.collect_list(F.struct("page_index", "score"))).alias("a"))
     arrays = arrays.select("book", F.transform("a", lambda x: x["score"]).alias("scores"))
     picked = arrays.select("book", F.posexplode(R.topk_ranges("scores")).alias("at", "r"))
     return picked.select("book", (F.col("at") + 1).alias("rank"), "r.start", "r.end")
@@ -229,18 +281,26 @@ def best_range(spark, sf_dir):
     return found.select("book", "start", "end", F.round("score", 6).alias("score"))
 
 
+#: Three words follow one another 1.5 points lower each: the first two are one visual line.
+_BOX = f"""{_PART}, w_ AS (SELECT book, i, p_partkey, p_type, p_size::DOUBLE AS size, (i % {_PER_PAGE}) * 30.0::DOUBLE AS x0, (i % {_PER_PAGE}) * 30.0::DOUBLE + p_size * 0.6::DOUBLE AS x1,
+  (i % {_PER_PAGE} // 3) * 20.0::DOUBLE + (i % 3) * 1.5 AS top, (i % {_PER_PAGE} // 3) * 2 + (i % 3) // 2 AS line FROM part_)"""
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x0 = F.col("p_partkey") * 30.0
-    return _table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("book"),
+    place = F.col("i") % _PER_PAGE
+    x0, top = place * 30.0, F.floor(place / 3) * 20.0 + (F.col("i") % 3) * 1.5
+    return _parts(spark, sf_dir).select(
+        "book",
         "p_partkey",
-        F.struct(F.col("p_type").alias("text"), x0.alias("x0"), (x0 + F.col("p_size") * 25).alias("x1"), (F.col("p_partkey") * 20.0).alias("top"), (F.col("p_partkey") * 20.0 + 12).alias("bottom"), F.col("p_size").cast("double").alias("size")).alias("w"),
+        F.struct(F.col("p_type").alias("text"), x0.alias("x0"), (x0 + F.col("p_size") * 0.6).alias("x1"), top.alias("top"), (top + 12).alias("bottom"), F.col("p_size").cast("double").alias("size")).alias("w"),
     )
 
 
-@_query("""WITH w AS (SELECT p_brand AS book, p_partkey, p_type, p_partkey * 30.0::DOUBLE AS x0, p_partkey * 30.0::DOUBLE + p_size * 25 AS x1, p_size::DOUBLE AS size FROM part),
-g AS (SELECT *, (x0 - lag(x1) OVER o) / ((size + lag(size) OVER o) / 2) AS ratio, row_number() OVER o AS i FROM w WINDOW o AS (PARTITION BY book ORDER BY x0))
-SELECT book, string_agg(CASE WHEN i = 1 THEN '' WHEN ratio >= 3.0 THEN '  ' WHEN ratio >= 0.1 THEN ' ' ELSE '' END || p_type, '' ORDER BY x0) AS line FROM g GROUP BY book""")
+_GAPS = "CASE WHEN n = 1 THEN '' WHEN ratio >= 3.0 THEN '  ' WHEN ratio >= 0.1 THEN ' ' ELSE '' END"
+
+
+@_query(f"""WITH {_BOX}, g AS (SELECT *, (x0 - lag(x1) OVER o) / ((size + lag(size) OVER o) / 2) AS ratio, row_number() OVER o AS n FROM w_ WINDOW o AS (PARTITION BY book ORDER BY x0))
+SELECT book, string_agg({_GAPS} || p_type, '' ORDER BY x0) AS line FROM g GROUP BY book""")
 def line_text(spark, sf_dir):
     grouped = _words(spark, sf_dir).groupBy("book").agg(F.collect_list("w").alias("w"))
     return grouped.select("book", G.line_text(F.col("w")).alias("line"))
@@ -251,22 +311,27 @@ def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).groupBy("book").agg(F.collect_list(line).alias("lines"))
 
 
-@_query("""SELECT p_brand AS book, count(*)::INT AS n_lines, count(*)::INT AS n_words FROM part GROUP BY p_brand""")
+_LINES = f"""{_BOX}, g_ AS (SELECT *, (x0 - lag(x1) OVER o) / ((size + lag(size) OVER o) / 2) AS ratio, row_number() OVER o AS n FROM w_ WINDOW o AS (PARTITION BY book, line ORDER BY x0)),
+l_ AS (SELECT book, line, string_agg({_GAPS} || p_type, '' ORDER BY x0) AS text, avg(size) AS size, min(x0) / 600 AS x, min(top) AS top, max(top) + 12 AS bottom, count(*) AS n_words FROM g_ GROUP BY book, line)"""
+
+
+@_query(f"WITH {_LINES} SELECT book, line::INT AS line, text, n_words::INT AS n_words FROM l_")
 def visual_lines(spark, sf_dir):
-    rows = _text_lines(spark, sf_dir).select("book", G.visual_lines(F.col("lines")).alias("v"))
-    return rows.select("book", F.size("v").alias("n_lines"), F.size(F.flatten("v")).alias("n_words"))
+    """Text lines that lie within two points of their group's first become one."""
+    rows = _text_lines(spark, sf_dir).select("book", F.posexplode(G.visual_lines(F.col("lines"))).alias("line", "v"))
+    return rows.select("book", "line", G.line_text(F.col("v")).alias("text"), F.size("v").alias("n_words"))
+
 
+_LAYOUT = f"""m_ AS (SELECT book, round(size, 1) AS modal FROM l_ GROUP BY book, round(size, 1) QUALIFY row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(line)) = 1),
+f_ AS (SELECT book, count(*)::DOUBLE AS line_count, round(max(size) / max(modal), 9) AS font_size_max_ratio, round(count(*) / 800.0::DOUBLE, 9) AS line_density, round(avg(x), 6) AS left_margin_mean,
+  round(coalesce(var_samp(x), 0), 4) AS left_margin_var, round(min(top) / 800, 9) AS first_text_vpos_fraction, round(max(bottom) / 800, 9) AS last_text_vpos_fraction FROM l_ JOIN m_ USING (book) GROUP BY book)"""
+_LAYOUT_PLACES = {"left_margin_mean": 6, "left_margin_var": 4}
 
-@_query("""WITH m AS (SELECT p_brand AS book, p_size FROM part GROUP BY p_brand, p_size QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) = 1)
-SELECT p_brand AS book, count(*)::DOUBLE AS line_count, round(max(part.p_size) / max(m.p_size)::DOUBLE, 9) AS font_size_max_ratio, round(count(*) / 800.0::DOUBLE, 9) AS line_density,
-  round(avg(p_partkey * 30.0::DOUBLE / 600), 6) AS left_margin_mean, round(coalesce(var_samp(p_partkey * 30.0::DOUBLE / 600), 0), 4) AS left_margin_var,
-  round(min(p_partkey * 20.0::DOUBLE) / 800, 9) AS first_text_vpos_fraction, round(max(p_partkey * 20.0::DOUBLE + 12) / 800, 9) AS last_text_vpos_fraction
-FROM part JOIN m ON p_brand = m.book GROUP BY p_brand""")
+
+@_query(f"WITH {_LINES}, {_LAYOUT} SELECT * FROM f_")
 def page_layout_features(spark, sf_dir):
     rows = _text_lines(spark, sf_dir).select("book", G.visual_lines(F.col("lines")).alias("v"), F.lit(800.0).alias("h"), F.lit(600.0).alias("w"))
-    places = {"left_margin_mean": 6, "left_margin_var": 4}
-    found = rows.select("book", G.page_features("v", "h", "w").alias("f")).select("book", *[F.round(f"f.{c}", places.get(c, 9)).alias(c) for c in G.PAGE_FEATURES])
-    return found
+    return rows.select("book", G.page_features("v", "h", "w").alias("f")).select("book", *[F.round(f"f.{c}", _LAYOUT_PLACES.get(c, 9)).alias(c) for c in G.PAGE_FEATURES])
 
 
 @_query(f"""WITH {_PAGES}, f AS (SELECT book, page_index, total_pages, length(text) % 40::DOUBLE AS lc, (length(text) % 7)::DOUBLE AS modal, (length(text) % 7 + length(text) % 3)::DOUBLE AS top FROM pages_),
@@ -332,9 +397,9 @@ def keep_last_index(spark, sf_dir):
 
 
 @_query(f"""WITH {_RECORDS} SELECT isbn, source, rec_no, c_name FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY isbn ORDER BY source, rec_no) = 1)
-JOIN (SELECT '9' || c_custkey AS isbn, c_name FROM customer WHERE c_custkey % 3 = 0) USING (isbn)""")
+JOIN (SELECT '9' || c_custkey AS isbn, c_name FROM customer) USING (isbn)""")
 def keep_first_match(spark, sf_dir):
-    books = _table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("9"), F.col("c_custkey").cast("string")).alias("isbn"), "c_name")
+    books = _table(spark, sf_dir, "customer").select(F.concat(F.lit("9"), F.col("c_custkey").cast("string")).alias("isbn"), "c_name")
     return matching.match_first(_records(spark, sf_dir), books, {"a": 0, "b": 1}).select("isbn", "source", "rec_no", "c_name")
 
 
@@ -351,12 +416,26 @@ def pdf_links(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", matching.pdf_link(bit, own).alias("p")).select("page_id", "p.url", "p.provenance")
 
 
-@_query("""SELECT 'b' || page_id AS isbn FROM pages WHERE page_id % 3 = 0""")
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every customer, and full texts of those with a fulfilled order."""
+    name = lambda c, end: F.concat(F.lit("/pdf/b"), F.col(c).cast("string"), F.lit(end)).alias("path")
+    first = _table(spark, sf_dir, "customer").select(name("c_custkey", ".dnb_toc.pdf"))
+    return first.unionByName(_table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(name("o_custkey", ".fulltext.pdf")).distinct())
+
+
+@_query("SELECT 'b' || c_custkey AS isbn FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def file_pairs(spark, sf_dir):
-    rows = _table(spark, sf_dir, "pages").select(F.concat(F.lit("b"), F.col("page_id").cast("string")).alias("b"), "page_id")
-    first = rows.select(F.concat(F.lit("/pdf/"), "b", F.lit(".dnb_toc.pdf")).alias("path"))
-    second = rows.filter("page_id % 3 = 0").select(F.concat(F.lit("/pdf/"), "b", F.lit(".fulltext.pdf")).alias("path"))
-    return matching.file_pairs(first.unionByName(second)).select("isbn")
+    return matching.file_pairs(_listing(spark, sf_dir)).select("isbn")
+
+
+@_query("""SELECT 'b' || c_custkey AS isbn, c_name FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def to_fetch(spark, sf_dir):
+    """Entries with both links of which not both files are there; a debt stands for no link."""
+    link = F.concat(F.lit("https://x.example.org/"), F.col("c_custkey").cast("string"))
+    entries = _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("b"), F.col("c_custkey").cast("string")).alias("isbn"), "c_name", link.alias("dnb_toc_download_url"), F.when(F.col("c_acctbal") > 0, link).alias("oa_pdf_url")
+    )
+    return matching.to_fetch(entries, _listing(spark, sf_dir)).select("isbn", "c_name")
 
 
 @_query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -369,7 +448,12 @@ def capped_sample_1d(spark, sf_dir):
     return sampling.sample_one(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", "event_id", 200, 0.25)
 
 
-@_query()
+@_query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) AS n, event_id, event_type, user_id FROM events),
+s(n, ids, types, users) AS (SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[], []::BIGINT[] UNION ALL
+  SELECT n, CASE WHEN fits THEN list_append(ids, event_id) ELSE ids END, CASE WHEN fits THEN list_append(types, event_type) ELSE types END, CASE WHEN fits THEN list_append(users, user_id) ELSE users END
+  FROM (SELECT e.n, ids, types, users, e.event_id, e.event_type, e.user_id, len(list_filter(types, lambda x: x = e.event_type)) < 50 AND len(list_filter(users, lambda x: x = e.user_id)) < 4 AS fits
+    FROM s JOIN e ON e.n = s.n + 1 WHERE len(ids) < 200))
+SELECT event_id, event_type, user_id FROM events WHERE event_id IN (SELECT unnest(arg_max(ids, n)) FROM s)""")
 def capped_sample_multi(spark, sf_dir):
     return sampling.sample_many(_table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), {"event_type": 0.25, "user_id": 0.02}, "event_id", 200)
 

@@ -9,52 +9,73 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple, TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-RETRIES, TIMEOUT, PAUSE = 3, 30, 0.5
-_TOKEN = re.compile(r"<resumptionToken[^>]*>([^<]*)</resumptionToken>")
-_RECORD = re.compile(r"<record>.*?</record>", re.DOTALL)
-
-
-def fetch(url: str, retries: int = RETRIES, timeout: int = TIMEOUT, pause: Callable[[float], None] = time.sleep, get=urllib.request.urlopen) -> bytes:
-    """GET with growing pauses between tries; the last failure is raised. Certificates
-    are always verified."""
-    for tried in range(1, retries + 1):
-        try:
-            with get(urllib.request.Request(url, headers={"User-Agent": "leafmark"}), timeout=timeout) as answer:
-                return answer.read()
-        except (urllib.error.URLError, TimeoutError):
-            if tried == retries:
-                raise
-            pause(2.0 * tried)
-    raise ValueError("retries must be at least 1")
-
-
-def first_url(base: str, of: str) -> str:
-    return f"{base}?verb=ListRecords&set={of}&metadataPrefix=oai_dc"
-
-
-def split_page(xml: str) -> tuple[list[str], str]:
-    """Records of an answer, and its resumption token ('' on the last)."""
-    token = _TOKEN.search(xml)
-    return _RECORD.findall(xml), token[1] if token else ""
-
-
-def walk(base: str, of: str, get: Callable[[str], bytes] = fetch, pause: float = PAUSE, token: str = "") -> Iterator[tuple[int, str]]:
-    """(number, record) of a set, page after page, from ``token`` if given."""
-    url, n = (f"{base}?verb=ListRecords&resumptionToken={token}" if token else first_url(base, of)), 0
-    while True:
-        records, token = split_page(get(url).decode("utf-8"))
-        for record in records:
-            yield n, record
-            n += 1
-        if not token:
-            return
-        url = f"{base}?verb=ListRecords&resumptionToken={token}"
+from leafmark.functions import catalogue
+
+T = TypeVar("T")
+PAUSE = 0.5
+
+
+@dataclass(frozen=True)
+class Patience:
+    """How a request is tried: a wait after each failure but the last, and its time limit."""
+
+    waits: tuple[float, ...] = (2.0, 4.0)
+    limit: float = 30
+    sleep: Callable[[float], None] = time.sleep
+
+    def attempt(self, call: Callable[[], T]) -> T:
+        for wait in self.waits:
+            try:
+                return call()
+            except (urllib.error.URLError, TimeoutError):
+                self.sleep(wait)
+        return call()
+
+
+def fetch(url: str, patience: Patience = Patience(), get=urllib.request.urlopen) -> bytes:
+    """GET; certificates are always verified."""
+    request = urllib.request.Request(url, headers={"User-Agent": "leafmark"})
+
+    def once() -> bytes:
+        with get(request, timeout=patience.limit) as answer:
+            return answer.read()
+
+    return patience.attempt(once)
+
+
+class Page(NamedTuple):
+    """An answer of a harvest: its records, and the token of the next (empty on the last)."""
+
+    records: list[str]
+    token: str
+
+    @classmethod
+    def of(cls, xml: str) -> Page:
+        return cls(re.findall(catalogue.RECORD, xml), "".join(re.findall(catalogue.TOKEN, xml)[:1]))
+
+
+def page_url(base: str, of: str, token: str = "") -> str:
+    """The address of a set's first answer, or of the one that a token stands for."""
+    asked = {"verb": "ListRecords"} | ({"resumptionToken": token} if token else {"set": of, "metadataPrefix": "oai_dc"})
+    return f"{base}?{urllib.parse.urlencode(asked)}"
+
+
+def pages(base: str, of: str, token: str = "", get: Callable[[str], bytes] = fetch, pause: float = PAUSE) -> Iterator[Page]:
+    """The answers from the token on, each asked for only when it is wanted."""
+    found = Page.of(get(page_url(base, of, token)).decode("utf-8"))
+    yield found
+    while found.token:
         time.sleep(pause)
+        found = Page.of(get(page_url(base, of, found.token)).decode("utf-8"))
+        yield found
 
 
 class _Batch(DataSourceReader):
@@ -62,16 +83,17 @@ class _Batch(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        """One for each set: pages of a set follow one another by their tokens."""
+        """One for each set: answers of a set follow one another by their tokens."""
         return [InputPartition(s) for s in self.options["sets"].split(",")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for n, record in walk(self.options["base"], partition.value, pause=float(self.options.get("pause", PAUSE))):
+        answers = pages(self.options["base"], partition.value, pause=float(self.options.get("pause", PAUSE)))
+        for n, record in enumerate(chain.from_iterable(p.records for p in answers)):
             yield partition.value, n, record
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """One answer a batch; the offset is the resumption token."""
+    """One answer a batch; the offset is the next token and the records so far."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -82,11 +104,9 @@ class _Stream(SimpleDataSourceStreamReader):
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         if start["done"]:
             return iter([]), start
-        base, of = self.options["base"], self.options["sets"]
-        url = f"{base}?verb=ListRecords&resumptionToken={start['token']}" if start["token"] else first_url(base, of)
-        records, token = split_page(fetch(url).decode("utf-8"))
-        rows = [(of, start["at"] + i, r) for i, r in enumerate(records)]
-        return iter(rows), {"token": token, "at": start["at"] + len(rows), "done": not token}
+        found = next(pages(self.options["base"], self.options["sets"], start["token"]))
+        rows = [(self.options["sets"], n, r) for n, r in enumerate(found.records, start["at"])]
+        return iter(rows), {"token": found.token, "at": start["at"] + len(rows), "done": not found.token}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         return self.read(start)[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from leafmark.operators.sampling import Sampler
+from leafmark.operators.sampling import admitted, cap
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", time_col: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
@@ -22,19 +23,21 @@ def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
 def sample_stream(items: DataFrame, fractions: dict[str, float], order: str, target: int) -> DataFrame:
     """The capped sampler over a stream: accepted rows go out at once, counts are state.
 
-    One key holds the state, as acceptance depends on all rows before; feed it
-    filtered candidates. Inside a batch rows are taken in ``order``.
+    One key holds the state, as acceptance depends on all rows before; it has at most a
+    count for each value of the ``target`` accepted rows. Feed it filtered candidates.
+    Inside a batch rows are taken in ``order``; values are told apart as text.
     """
     names, fields = list(fractions), items.columns
-    state_type = "accepted int, counts map<string,map<string,int>>"
+    caps = tuple(cap(target, f) for f in fractions.values())
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        accepted, counts = state.get if state.exists else (0, {})
-        sampler = Sampler(target, fractions, {d: dict(c) for d, c in dict(counts).items()}, accepted)
+        room, counts = state.get if state.exists else (target, [])
+        used = Counter({(c[0], c[1]): c[2] for c in counts})
         rows = pd.concat(list(batches)).sort_values(order)
-        rows = rows[[sampler.offer(x) for x in rows[names].astype(object).where(rows[names].notna(), None).to_dict("records")]]
-        state.update((sampler.accepted, sampler.counts))
+        texts = rows[names].astype("string").astype(object).where(rows[names].notna(), None)
+        rows = rows[admitted(texts.itertuples(index=False, name=None), caps, used, room)]
+        state.update((room - len(rows), [(d, v, n) for (d, v), n in sorted(used.items())]))
         yield rows[fields]
 
     keyed = items.withColumn("__one", F.lit(0)).groupBy("__one")
-    return keyed.applyInPandasWithState(step, items.schema, state_type, "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, items.schema, "room int, counts array<struct<dimension:int,value:string,n:int>>", "append", GroupStateTimeout.NoTimeout)

@@ -30,12 +30,36 @@ def test_token_set_and_ochiai(spark):
     assert one(spark, T.ochiai(a, F.array().cast("array<string>"))) == 0.0
 
 
-def test_contents_page(spark):
-    row = text_features(spark, "Contents\nIntroduction ........ 1\nMethods .......... 5\nResults ....... 12\n")
-    assert row["toc_line_ratio"] == 1.0 and row["monotonic_page_numbers"] == 1.0 and row["keyword_hit_any_language"] == 1.0
-    assert text_features(spark, "This is plain prose without any entry.")["toc_line_ratio"] == 0.0
-    row = text_features(spark, "Index A .... 88\nIndex B .... 3\nIndex C .... 45")
-    assert row["toc_line_ratio"] == 1.0 and row["monotonic_page_numbers"] == 0.0
+def toc_model(text):
+    """Ratio, rise of page numbers, both by hand: a line's tail after dots or blanks is its page."""
+    hits, seen, numbers = 0, 0, []
+    for line in filter(str.strip, text.split("\n")):
+        line = line.strip()
+        gaps = [i for i in range(len(line) - 1) if line[i] in ". " and line[i + 1] in ". "]
+        seen += bool(gaps)
+        tail = line.replace(".", " ").split()[-1]
+        if gaps and line.endswith(tail) and tail.isdigit() and len(tail) <= 4 and line[: -len(tail)][-2:].strip(". ") == "" and len(line[: -len(tail)].rstrip(". ")) >= 3:
+            hits += 1
+            numbers.append(int(tail))
+    rises = len(numbers) > 1 and all(b > a for a, b in zip(numbers, numbers[1:], strict=False))
+    return hits / seen if seen else 0.0, float(rises)
+
+
+def test_toc_features_against_model(spark):
+    rng = random.Random(3)
+    pages = []
+    for _ in range(60):
+        at, rows = rng.randint(1, 20), []
+        for _ in range(rng.randint(0, 6)):
+            title = " ".join(rng.choice(["Harbours", "off", "Tides", "and Moons", "Ropes"]) for _ in range(rng.randint(1, 4)))
+            at += rng.randint(-1, 9)
+            rows.append(title + rng.choice([" ..... ", "    ", " ", " . . "]) + rng.choice([str(max(at, 1)), "q", "12345"]))
+        pages.append("\n".join(rows))
+    from leafmark.operators.pages import text_features as add
+
+    rows = add(spark.createDataFrame([(str(i), p, None) for i, p in enumerate(pages)], "book string, text string, language string")).collect()
+    for r in rows:
+        assert (r["toc_line_ratio"], r["monotonic_page_numbers"]) == toc_model(pages[int(r["book"])]), pages[int(r["book"])]
 
 
 def test_excluded_lines(spark):
@@ -47,14 +71,23 @@ def test_excluded_lines(spark):
 
 
 def test_digits_and_keywords(spark):
-    assert text_features(spark, "11111")["digit_density"] == 1.0 and text_features(spark, "")["digit_density"] == 0.0
-    words = {"en": ["contents"], "de": ["inhalt"]}
-    rows = {lang: text_features(spark, "INHALT", lang, words) for lang in (None, "en", "de")}
-    assert [rows[k]["keyword_hit_any_language"] for k in rows] == [1.0] * 3
-    assert [rows[k]["keyword_hit_same_language"] for k in rows] == [0.0, 0.0, 1.0]
-    off = text_features(spark, "Contents", "en", None)
-    assert off["keyword_hit_any_language"] == off["keyword_hit_same_language"] == 0.0
-    assert text_features(spark, "the discontents of it")["keyword_hit_any_language"] == 1.0
+    rng = random.Random(4)
+    words = {"en": ["harvest", "by the sea"], "nl": ["oogst"], "it": ["raccolto"]}
+    rows = []
+    for i in range(80):
+        lines = [rng.choice(["", "first 12", "The HARVEST 7", "Oogst", "preraccolto", "By The", "by the sea 2024", "٣ and 3"]) for _ in range(rng.randint(0, 8))]
+        rows.append((str(i), "\n".join(lines), rng.choice([None, "en", "nl", "it", "pl"])))
+    from leafmark.operators.pages import text_features as add
+
+    df = spark.createDataFrame(rows, "book string, text string, language string")
+    for keywords in (words, None):
+        got = {r["book"]: r for r in add(df, keywords).collect()}
+        for book, text, language in rows:
+            head = " ".join([x for x in text.split("\n") if x.strip()][:5]).lower()
+            hit = lambda some, head=head: float(any(w in head for w in some))
+            want = (hit(sum(words.values(), [])), hit(words.get(language, []))) if keywords else (0.0, 0.0)
+            assert (got[book]["keyword_hit_any_language"], got[book]["keyword_hit_same_language"]) == want
+            assert got[book]["digit_density"] == (sum(c.isdecimal() for c in text) / len(text) if text else 0.0)
 
 
 def test_page_numbers(spark):
@@ -99,15 +132,14 @@ def model(scores, k=3, low=1, high=6):
     return out
 
 
-def test_topk_vectors(spark):
-    assert ranges(spark, [0.1, 0.1, 0.1, 0.9, 0.9, 0.1, 0.1], k=1, high=2) == [(3, 4, 1.8)]
-    two = ranges(spark, [0.9, 0.9, 0.1, 0.1, 0.1, 0.8, 0.8], k=2, high=2)
-    assert two[0][:2] == (0, 1) and two[1][0] >= 5
-    assert ranges(spark, [0.9, 0.9, 0.3], k=1) == [(0, 2, 2.1)]
-    assert len(ranges(spark, [0.9, 0.1], k=5)) <= 2
-    assert all(b - a < 4 for a, b, _ in ranges(spark, [0.5] * 10, high=4))
-    assert ranges(spark, [0.5] * 4, k=1, high=4) == [(0, 3, 2.0)]
-    assert ranges(spark, []) == [] and [r[:2] for r in ranges(spark, [0.5] * 10, k=2)] == [(0, 5), (6, 9)]
+def test_topk_without_limit_and_without_scores(spark):
+    rng = random.Random(9)
+    for _ in range(5):
+        values = [rng.choice([0.0, 0.25, 0.5]) for _ in range(rng.randint(1, 12))]
+        for k in (0, 1, 50):
+            got = [r[:2] for r in ranges(spark, values, k=k, high=3)]
+            assert got == [w[:2] for w in model(values, k or 99, high=3)]
+    assert ranges(spark, [], k=0) == ranges(spark, []) == []
 
 
 def test_topk_against_model(spark):
@@ -131,25 +163,47 @@ def word(text, x0, x1, top=0.0, size=10.0):
     return (text, float(x0), float(x1), float(top), float(top) + 8, float(size))
 
 
-def test_gap_text(spark):
-    cases = {
-        "High-Tech": [word("High-", 0, 26), word("Tech", 26.2, 48)],
-        "A B": [word("A", 0, 6), word("B", 7.8, 13.8)],
-        "Foreword  7": [word("7", 75, 81), word("Foreword", 0, 40)],
-        "x": [word("x", 0, 1, size=0)],
-    }
-    for want, words in cases.items():
-        assert one(spark, G.line_text(F.col("v")), words, f"array<{G.WORD_TYPE}>") == want
-
-
-def test_visual_lines(spark):
-    lines = [(130.0, [word("Preface", 0, 40, 130)]), (100.4, [word("7", 90, 95, 100.4)]), (100.0, [word("Foreword", 0, 40, 100)])]
-    got = one(spark, G.visual_lines(F.col("v")), lines, f"array<{G.LINE_TYPE}>")
-    assert [[w["text"] for w in line] for line in got] == [["Foreword", "7"], ["Preface"]]
-    tops = [(t, [word(str(t), 0, 5, t)]) for t in (0.0, 1.5, 3.0)]  # anchored at the first: 3.0 isn't near 0
-    got = one(spark, G.visual_lines(F.col("v")), tops, f"array<{G.LINE_TYPE}>")
-    assert [len(line) for line in got] == [2, 1]
-    assert one(spark, G.visual_lines(F.col("v")), [], f"array<{G.LINE_TYPE}>") == []
+def test_gap_text_against_model(spark):
+    """Words apart by a random part of their size: joined, spaced, or widely spaced."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        words, x, want = [], rng.uniform(0, 9), ""
+        for n in range(rng.randint(1, 7)):
+            size = rng.choice([0.0, 7.5, 12.0])
+            gap = rng.choice([-2.0, 0.04, 0.5, 2.9, 3.1, 9.0])
+            if n:
+                mean = (words[-1][5] + size) / 2 or 1.0
+                x += gap * mean
+                want += "  " if gap >= 3 else " " if gap >= 0.1 else ""
+            name = rng.choice(["oak", "elm-", "7", "Birch"])
+            words.append(word(name, x, x + 5 * len(name), size=size))
+            x, want = x + 5 * len(name), want + name
+        order = sorted(words, key=lambda w: w[1])
+        if order == words:  # a step back past a whole word would change the order
+            rng.shuffle(words)
+            rows.append((i, words, want))
+    got = spark.createDataFrame(rows, f"i int, v array<{G.WORD_TYPE}>, want string").select("want", G.line_text(F.col("v")).alias("x")).collect()
+    assert len(rows) > 20 and all(r["x"] == r["want"] for r in got)
+
+
+def test_visual_lines_against_model(spark):
+    """Lines in random order: each joins the group whose first is at most two points above."""
+    rng = random.Random(13)
+    rows, want = [], {}
+    for i in range(30):
+        tops = sorted(rng.choice([0.0, 0.5, 1.0, 2.0, 2.5, 4.0, 6.5]) + 10 * rng.randint(0, 2) for _ in range(rng.randint(0, 9)))
+        boxes = [(t, [word(f"{n}", 7.0 * n, 7.0 * n + 5, t)]) for n, t in enumerate(tops)]
+        groups = []
+        for box in boxes:
+            if groups and box[0] - groups[-1][0][0] <= 2.0:
+                groups[-1].append(box)
+            else:
+                groups.append([box])
+        want[i] = [[w[0] for _, ws in sorted(g, key=lambda b: b[1][0][1]) for w in ws] for g in groups]
+        rows.append((i, rng.sample(boxes, len(boxes))))
+    got = spark.createDataFrame(rows, f"i int, v array<{G.LINE_TYPE}>").select("i", G.visual_lines(F.col("v")).alias("x")).collect()
+    assert {r["i"]: [[w["text"] for w in line] for line in r["x"]] for r in got} == want
 
 
 def test_page_features(spark):

@@ -1,7 +1,10 @@
 """Table operators, sources and plans against hand-made vectors and plain Python."""
 
+import http.server
 import json
 import random
+import threading
+import urllib.parse
 from datetime import datetime
 
 import duckdb
@@ -121,21 +124,26 @@ def test_locate_pages_end_to_end(spark):
     assert set(ml.FEATURES) <= set(table.columns)
 
 
-def test_samplers(spark):
-    s = sampling.Sampler(10, {"language": 0.4})
-    assert [s.offer({"language": "de"}) for _ in range(5)] == [True] * 4 + [False] and s.offer({"language": "en"}) and s.accepted == 5
-    s = sampling.Sampler(4, {"language": 0.5})
-    assert [s.offer({"language": "de"}) for _ in range(3)] == [True, True, False]
-    s = sampling.Sampler(2, {})
-    assert s.offer({}) and s.offer({}) and s.full and not s.offer({})
-    assert sampling.Sampler(4, {"language": 0.1}).offer({"language": None})
+def taken(rows, caps, target):
+    """Plain model of the sampler: indices of the rows taken, each checked against all before."""
+    out = []
+    for i, row in enumerate(rows):
+        if len(out) < target and all(v is None or sum(rows[j][d] == v for j in out) < caps[d] for d, v in enumerate(row)):
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("ahead", [1, 8])
+def test_samplers_against_model(spark, ahead):
     rng = random.Random(5)
-    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice("xyz")) for i in range(300)]
-    df = spark.createDataFrame(rows, "i long, a string, b string")
-    want = list(sampling.Sampler(60, {"a": 0.3, "b": 0.4}).choose({"i": i, "a": a, "b": b} for i, a, b in rows))
-    assert [r["i"] for r in sampling.sample_many(df, {"a": 0.3, "b": 0.4}, "i", 60).orderBy("i").collect()] == [w["i"] for w in want]
-    want = list(sampling.Sampler(60, {"a": 0.3}).choose({"i": i, "a": a} for i, a, _ in rows))
-    assert [r["i"] for r in sampling.sample_one(df, "a", "i", 60, 0.3).orderBy("i").collect()] == [w["i"] for w in want]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice("xyzw")) for _ in range(400)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, a string, b string")
+    for target, fa, fb in ((60, 0.3, 0.4), (40, 0.01, 0.5), (1, 0.5, 0.5), (390, 0.9, 0.2)):
+        want = taken(rows, [sampling.cap(target, fa), sampling.cap(target, fb)], target)
+        assert sorted(r["i"] for r in sampling.sample_many(df, {"a": fa, "b": fb}, "i", target, ahead).collect()) == want
+        want = taken([r[:1] for r in rows], [sampling.cap(target, fa)], target)
+        assert sorted(r["i"] for r in sampling.sample_one(df, "a", "i", target, fa).collect()) == want
+    assert sampling.sample_many(df.limit(0), {"a": 0.5}, "i", 5).count() == 0 and sampling.sample_many(df, {}, "i", 3).count() == 3
 
 
 def test_keep_first_and_last(spark):
@@ -240,18 +248,58 @@ def test_pdf_rows(spark, tmp_path):
     assert sorted(good) == [(0, "one", 3), (1, "two", 3)] and [r["error"] for r in rows if r["status"] == "error"] == ["no pages"]
 
 
-def test_harvest_walk():
-    answers = {harvest.first_url("u", "s"): b"<record>1</record><record>2</record><resumptionToken>t</resumptionToken>", "u?verb=ListRecords&resumptionToken=t": b"<record>3</record><resumptionToken/>"}
-    assert list(harvest.walk("u", "s", answers.__getitem__, 0)) == [(0, "<record>1</record>"), (1, "<record>2</record>"), (2, "<record>3</record>")]
-    waits, tries = [], []
+class Repository(http.server.BaseHTTPRequestHandler):
+    """Answers of three records each, and a failure before every second one."""
+
+    failed: set = set()
+
+    def do_GET(self):
+        asked = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(self.path).query))
+        at = int(asked.get("resumptionToken", "s@0").split("@")[1])
+        if at % 2 and at not in self.failed:
+            self.failed.add(at)
+            return self.send_error(503)
+        name = asked.get("set") or asked["resumptionToken"].split("@")[0]
+        records = "".join(f"<record>{name}{3 * at + k}\n</record>" for k in range(3))
+        body = f"<x>{records}<resumptionToken a='1'>{f'{name}@{at + 1}' if at < 3 else ''}</resumptionToken></x>".encode()
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def repository():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Repository)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/oai"
+    server.shutdown()
+
+
+def test_harvest_as_a_source(spark, repository, tmp_path):
+    harvest.register(spark)
+    options = {"base": repository, "pause": "0"}
+    rows = spark.read.format("oai").options(**options, sets="s,t").load().collect()
+    want = {(name, n, f"<record>{name}{n}\n</record>") for name in "st" for n in range(12)}
+    assert len(rows) == 24 and {tuple(r) for r in rows} == want
+    stream = spark.readStream.format("oai").options(**options, sets="s").load()
+    run = stream.writeStream.format("memory").queryName("harvest").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.processAllAvailable()
+    run.stop()
+    assert {tuple(r) for r in spark.table("harvest").collect()} == {w for w in want if w[0] == "s"}
+
+
+def test_patience():
+    waits = []
 
-    def get(request, timeout):
-        tries.append(timeout)
-        raise TimeoutError
+    def down(request, timeout):
+        raise TimeoutError(timeout)
 
     with pytest.raises(TimeoutError):
-        harvest.fetch("http://x.example.org", pause=waits.append, get=get)
-    assert waits == [2.0, 4.0] and tries == [30] * 3
+        harvest.fetch("http://x.example.org", harvest.Patience((0.5, 1.0, 7.0), 3, waits.append), down)
+    assert waits == [0.5, 1.0, 7.0]
 
 
 def test_lookups(spark):
@@ -322,8 +370,7 @@ def test_streams(spark, tmp_path):
     run = events.sample_stream(stream, {"event_type": 0.3}, "i", 10).writeStream.format("memory").queryName("sample").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     run.processAllAvailable()
     run.stop()
-    want = [x["i"] for x in sampling.Sampler(10, {"event_type": 0.3}).choose({"i": i, "event_type": e} for i, _, e, _ in rows)]
-    assert sorted(r["i"] for r in spark.table("sample").collect()) == want
+    assert sorted(r["i"] for r in spark.table("sample").collect()) == taken([(e,) for _, _, e, _ in rows], [sampling.cap(10, 0.3)], 10)
 
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
