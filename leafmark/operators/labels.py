@@ -13,10 +13,11 @@ COLUMNS = ["key", "pdf_path", "toc_start_index", "toc_end_index", "weight", "lan
 
 def located_rows(labels: DataFrame, listing: DataFrame | None = None, languages: DataFrame | None = None) -> DataFrame:
     """Label rows of status ``located`` whose full text is in ``listing`` (isbn, path),
-    weighted by their margin, with the manifest's language."""
+    weighted by their margin, with the manifest's language (isbn, language, and the
+    ``ordinal`` whose last wins; without it the last in alphabetical order)."""
     rows = labels.filter("status = 'located'")
     rows = rows.withColumn("path", F.lit(None).cast("string")) if listing is None else rows.join(listing.select("isbn", "path"), "isbn")
-    rows = rows.withColumn("language", F.lit(None).cast("string")) if languages is None else rows.join(languages.groupBy("isbn").agg(F.last("language").alias("language")), "isbn", "left")
+    rows = rows.withColumn("language", F.lit(None).cast("string")) if languages is None else rows.join(languages.groupBy("isbn").agg((F.max_by("language", "ordinal") if "ordinal" in languages.columns else F.max("language")).alias("language")), "isbn", "left")
     return rows.select(
         F.col("isbn").alias("key"),
         F.col("path").alias("pdf_path"),

@@ -67,9 +67,10 @@ def usable_records(records: DataFrame, record_col: str = "record") -> DataFrame:
 
 def manifest_entries(features: DataFrame, index: DataFrame) -> DataFrame:
     """Manifest rows of features whose ISBN is in the open index; ``index`` has source,
-    handle, title, pdf_url and license_code."""
+    handle, title, pdf_url and license_code. Further columns of features stay."""
     open_ = index.select("isbn", F.col("source").alias("oa_source"), F.col("handle").alias("oa_handle"), F.col("title").alias("oa_title"), F.col("pdf_url").alias("oa_pdf_url"), F.col("license_code").alias("oa_license_code"))
-    named = features.select("isbn", F.col("title").alias("dnb_title"), F.col("toc_download_url").alias("dnb_toc_download_url"), "language", "volume_type", "domain_bucket")
+    more = [c for c in features.columns if c not in ("isbn", "title", "toc_download_url", "language", "volume_type", "domain_bucket", "lobid_url")]
+    named = features.select("isbn", F.col("title").alias("dnb_title"), F.col("toc_download_url").alias("dnb_toc_download_url"), "language", "volume_type", "domain_bucket", *more)
     return named.join(open_, "isbn")
 
 

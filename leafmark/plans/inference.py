@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import geometry as G
 from leafmark.operators import locate, pages
 from leafmark.operators.ml import Linear
+from leafmark.sources import alto
 from leafmark.storage import hold
 
 HEAD_PAGES, TAIL_PAGES = 30, 20
@@ -42,6 +43,13 @@ def locate_pages(page_rows: DataFrame, model: Linear, top_k: int = 3, head: int
     return best.select("book", F.sequence("start", "end").alias("pages"), "score")
 
 
+def locate_files(spark: SparkSession, path: str, model: Linear, top_k: int = 3, head: int | None = HEAD_PAGES, tail: int | None = TAIL_PAGES) -> DataFrame:
+    """(book, pages, score): from ALTO files to each one's range; ``book`` is the file."""
+    lines = alto.read_pages(spark, path).withColumnRenamed("file", "book")
+    totals = lines.groupBy("book").agg((F.max("page_index") + 1).alias("total_pages"))
+    return locate_pages(pages_of_lines(lines.join(totals, "book")), model, top_k, head, tail)
+
+
 def positions(scored: DataFrame) -> DataFrame:
     """Pages numbered by their place among a book's rows, as the evaluation compares them."""
     return pages.number_rows(scored.withColumnRenamed("page_index", "__page"), "book", "__page", "page_index").drop("__page")

@@ -17,10 +17,13 @@ def _number(text: Column) -> Column:
 
 
 def font_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, fonts): each file's map of style id to size; styles without an id are dropped."""
+    """(file, fonts): each file's map of style id to size, the last of equal ids; styles
+    without an id are dropped."""
     rows = spark.read.format("xml").option("rowTag", "TextStyle").schema(STYLE).load(path)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_ID").alias("id"), _number(F.col("_FONTSIZE")).alias("size")).filter("id is not null and id <> ''")
-    last = rows.groupBy("file", "id").agg(F.last("size").alias("size"))
+    # Rows of one block of a file are read in order by one task.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_ID").alias("id"), _number(F.col("_FONTSIZE")).alias("size"), place.alias("place")).filter("id is not null and id <> ''")
+    last = rows.groupBy("file", "id").agg(F.max_by("size", "place").alias("size"))
     return last.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("id", "size"))).alias("fonts"))
 
 

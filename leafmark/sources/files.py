@@ -29,9 +29,27 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-def read_labels(spark: SparkSession, root: str) -> DataFrame:
-    """One row for each label JSON, of any status."""
-    return spark.read.schema(LABEL_TYPE).option("multiLine", "true").option("pathGlobFilter", "*.json").json(root)
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, in any store that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_keywords(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Headings by language from a JSON object of arrays; a file that people keep, so small."""
+    text = spark.read.option("wholetext", "true").text(path)
+    rows = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("language", "words")).collect()
+    return {r["language"]: list(r["words"]) for r in rows}
+
+
+def read_labels(spark: SparkSession, root: str, by_line: bool = False) -> DataFrame:
+    """Labels of any status: one of each JSON file, or of each line of what
+    :func:`write_labels` wrote."""
+    return spark.read.schema(LABEL_TYPE).option("multiLine", str(not by_line).lower()).option("pathGlobFilter", "*.json").json(root)
 
 
 def discover_corpora(spark: SparkSession, root: str) -> list[str]:
@@ -87,13 +105,16 @@ def read_record_cache(spark: SparkSession, root: str) -> DataFrame:
     return texts.select(F.regexp_replace(file_name(), r"\.lobid\.json$", "").alias("isbn"), F.from_json("value", RECORD_TYPE).alias("record"))
 
 
-def read_books_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Books of a manifest; the last of equal ISBNs (normalised) wins."""
+def read_books_manifest(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Books of a manifest; the last of equal ISBNs (normalised) wins. ``pdf_path`` is the
+    book's file in ``folder``, or beside the manifest."""
     text = spark.read.option("wholetext", "true").text(path)
     book = "struct<books:array<struct<isbn:string,title:string,language:string,toc_download_url:string,volume_type:string,domain_bucket:string,lobid_url:string,template:string>>>"
     rows = text.select(F.posexplode(F.from_json("value", book)["books"]).alias("at", "b"))
     key = F.upper(F.replace("b.isbn", F.lit("-"), F.lit("")))
-    return rows.groupBy(key.alias("key")).agg(F.max_by("b", "at").alias("b")).select("key", "b.*")
+    beside = (folder or path.rsplit("/", 1)[0]).rstrip("/")
+    last = rows.groupBy(key.alias("key")).agg(F.max_by("b", "at").alias("b"))
+    return last.select("key", "b.*", F.concat(F.lit(f"{beside}/"), "key", F.lit(".pdf")).alias("pdf_path"))
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

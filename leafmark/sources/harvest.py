@@ -164,3 +164,24 @@ def resolve_bitstreams(handles: DataFrame, rest_base: str, get: Callable[[str],
         return None
 
     return _looked_up(handles, "handle", lambda h: f"{rest_base}/rest/handle/{h}?expand=bitstreams", pick, get, parts)
+
+
+def download_pairs(entries: DataFrame, get: Callable[[str], bytes] = fetch, parts: int = 4) -> DataFrame:
+    """(isbn, status, reference, fulltext, error) of entries with both links: the two files'
+    bytes, to be written by the caller. Certificates are verified; an empty or failed answer
+    gives ``error``, and neither file."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for isbn, *links in batch.itertuples(index=False, name=None):
+                both, why = [None, None], None
+                try:
+                    both = [get(link) for link in links]
+                    if not all(both):
+                        raise ValueError("an empty file")
+                except Exception as failed:  # reported as a row, so that one file can't end the run
+                    both, why = [None, None], str(failed)
+                yield pd.DataFrame({"isbn": [isbn], "status": ["error" if why else "ok"], "reference": both[:1], "fulltext": both[1:], "error": [why]})
+
+    wanted = entries.select("isbn", "dnb_toc_download_url", "oa_pdf_url").repartition(parts)
+    return wanted.mapInPandas(rows, "isbn string, status string, reference binary, fulltext binary, error string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,30 @@ def parse_pages(content: bytes) -> list[str]:
     return [page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(content)).pages]
 
 
+def count_pages(content: bytes, parse: Callable[[bytes], list[str]] = parse_pages) -> int:
+    """The page tree's own count, without reading a page; files that keep their objects
+    compressed are parsed."""
+    counts = [int(n) for tree in re.findall(rb"<<(?:(?!>>).)*?/Type\s*/Pages\b.*?>>", content, re.DOTALL) for n in re.findall(rb"/Count\s+(\d+)", tree)]
+    return max(counts) if counts else len(parse(content))
+
+
+def read_page_counts(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]] = parse_pages) -> DataFrame:
+    """(book, total_pages, status, error) of every file."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for at, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((at, count_pages(content, parse), "ok", None))
+                except Exception as why:  # one bad file mustn't end the scan; it is reported
+                    rows.append((at, 0, "error", str(why)))
+            yield pd.DataFrame(rows, columns=["book", "total_pages", "status", "error"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    return found.mapInPandas(counted, "book string, total_pages int, status string, error string")
+
+
 def read_texts(spark: SparkSession, path: str, max_pages: int | None = None, parse: Callable[[bytes], list[str]] = parse_pages) -> DataFrame:
     """(book, page_index, text, total_pages, status, error): a row for each page; a file
     that fails is one row with status ``error``. ``max_pages`` of 0 or None reads all."""

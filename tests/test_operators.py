@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import geometry as G
 from leafmark.operators import labels as L
 from leafmark.operators import locate, matching, metrics, ml, pages, sampling
-from leafmark.plans import inference
+from leafmark.plans import discovery, file_queries, inference
 from leafmark.plans import queries as Q
 from leafmark.sources import alto, files, harvest, pdf
 from leafmark.streaming import events
@@ -316,6 +316,39 @@ def test_lookups(spark):
     assert json.loads(row["answer"]) == {"url": "https://r/f", "size_bytes": 3, "license_code": "CC"}
 
 
+def test_downloads(spark):
+    answers = {"a": b"toc", "b": b"text", "c": b""}
+    entries = spark.createDataFrame([("1", "a", "b"), ("2", "a", "c"), ("3", "gone", "b")], "isbn string, dnb_toc_download_url string, oa_pdf_url string")
+    rows = {r["isbn"]: r for r in harvest.download_pairs(entries, answers.__getitem__, 2).collect()}
+    assert (rows["1"]["status"], bytes(rows["1"]["reference"]), bytes(rows["1"]["fulltext"])) == ("ok", b"toc", b"text")
+    assert [rows[k]["status"] for k in "23"] == ["error"] * 2 and rows["2"]["reference"] is None and "gone" in rows["3"]["error"]
+
+
+def test_discovery_takes_up_where_it_broke_off(spark):
+    def answer(isbn):
+        kind = "Book" if int(isbn) % 5 else "Serial"
+        return {"type": [kind], "isbn": [isbn], "title": f"T{isbn}", "language": [{"id": f"x/{['ger', 'eng'][int(isbn) % 2]}"}], "tableOfContents": [{"id": "http://d.example.org/1"}]}
+
+    asked = []
+
+    def get(url):
+        isbn = url.split("isbn:")[1].split("&")[0]
+        if isbn == "7":
+            raise ValueError("down")
+        return json.dumps({"member": [answer(isbn)]}).encode()
+
+    index = spark.createDataFrame([(str(i), "oapen", f"h{i}", f"t{i}", "u", None) for i in range(1, 40)], "isbn string, source string, handle string, title string, pdf_url string, license_code string")
+    empty = spark.createDataFrame([], f"isbn string, record {discovery.C.RECORD_TYPE}")
+    found, answers = discovery.discover(index, empty, "http://l.example.org", 8, 3, {"language": 0.5}, get=get)
+    first = {r["isbn"]: r for r in found.collect()}
+    assert len(first) == 8 and all(int(k) % 5 for k in first) and answers.count() == 32
+    assert max(sum(r["language"] == x for r in first.values()) for x in ("de", "en")) == 4
+    cache = answers.filter("status = 'ok'").select("isbn", F.from_json("answer", discovery.C.RECORD_TYPE).alias("record"))
+    again, rest = discovery.discover(index, cache, "http://l.example.org", 8, 3, {"language": 0.5}, get=get)
+    asked = {r["isbn"] for r in rest.collect()}
+    assert not asked & {r["isbn"] for r in cache.collect()} and {r["isbn"] for r in again.collect()} == set(first)
+
+
 def test_scorers(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 2))
@@ -373,7 +406,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r["i"] for r in spark.table("sample").collect()) == taken([(e,) for _, _, e, _ in rows], [sampling.cap(10, 0.3)], 10)
 
 
-@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(file_queries.ORACLE_SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations"):
