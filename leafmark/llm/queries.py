@@ -50,8 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return lmscore.score(_docs(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return lmscore.score(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ OPERATORS = {
     "neardup": lambda d: neardup.groups(d, 4, 80),
     "toxicity": lambda d: toxicity.predict(d, toxicity.fit(d, d.selectExpr("doc_id", "1 as toxic"))),
     "packing": packing.pack,
-    "lmscore": lambda d: lmscore.score(d, PATH, PATTERN),
+    "lmscore": lambda d: lmscore.score(d, PATH),
     "linededup": linededup.dedup,
 }
 
