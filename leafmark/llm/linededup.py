@@ -34,18 +34,29 @@ from leafmark.llm.common import documents, hold, map_rows, workers_find_us
 RUN, WINDOW, GROW, SPAN = 8, 25, 32, 64
 #: Equal words that go whole; lines and words that a shorter stretch must have.
 PASSAGE, MIN_LINES, MIN_WORDS = 40, 2, 8
+#: Anchors of at least one in so many places are broadcast.
+HOT_SHARE = 1000
 #: Bytes of a line left whole, least bytes of what a longer one is cut into, and
 #: words for each of such cuts.
 LONG_LINE, LEAST_LINE, DIVISOR = 96, 40, 3
 _END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
 _BLANKS = re.compile(rb"[ \t]*")
-_RNG = np.random.default_rng(11)
-_POWERS = _RNG.integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = _RNG.integers(1, 1 << 63, 256, np.uint64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
-_BYTES[_SPACES] = 0
+_BYTES = np.where(_SPACES, 0, np.random.default_rng(11).integers(1, 1 << 63, 256)).astype(np.uint64)
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
+#: A word's hash is the sum of its bytes' numbers times powers of ``_ODD`` by place; bytes
+#: are gone through in pieces, by powers from a piece's start on and their inverses.
+_ODD, _PIECE = 0x9E3779B97F4A7C15, 1 << 16
+
+
+def _powers(of: int) -> np.ndarray:
+    out = np.full(_PIECE, of, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS, _INVERSE = _powers(_ODD), _powers(pow(_ODD, -1, 1 << 64))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,24 +85,35 @@ def word_starts(data: bytes) -> np.ndarray:
 
 def word_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
     """Hashes of the words without the space behind them."""
-    b = np.frombuffer(data, np.uint8)[starts[0] :]
-    starts = starts - starts[0]
-    within = np.arange(len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
-    return _mixed(np.add.reduceat(_BYTES[b] * _POWERS[within & 4095], starts))
-
-
-def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, hash of the anchor, hash with eight words on both sides or 0)."""
-    starts = word_starts(data)
-    n = len(starts) - RUN + 1
-    if n < 1:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    words = word_hashes(data, starts)
-    runs = words[:n].copy()
-    for j in range(1, RUN):
-        runs = runs * _STEP + words[j : n + j]
-    runs = _mixed(runs)
+    b = np.frombuffer(data, np.uint8)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        begin = int(starts[i])
+        after = int(np.searchsorted(starts, begin + _PIECE, "right"))
+        if after < len(starts) or begin + _PIECE < len(b):
+            after -= 1  # the last of these words may go on behind the piece
+        if after > i:
+            end = int(starts[after]) if after < len(starts) else len(b)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(_BYTES[b[begin:end]] * _POWERS[: end - begin], out=sums[1:])
+            at = starts[i:after] - begin
+            out[i:after] = (sums[np.append(at[1:], end - begin)] - sums[at]) * _INVERSE[at]
+            i = after
+        else:  # a word longer than a piece
+            end = int(starts[i + 1]) if i + 1 < len(starts) else len(b)
+            whole = 0
+            for at in range(begin, end, _PIECE):
+                part = b[at : min(end, at + _PIECE)]
+                whole += int((_BYTES[part] * _POWERS[: len(part)]).sum()) * pow(_ODD, at - begin, 1 << 64)
+            out[i] = whole % (1 << 64)
+            i += 1
+    return _mixed(out)
+
+
+def _chosen(runs: np.ndarray) -> np.ndarray:
+    """Places of the anchors among a text's runs."""
+    n = len(runs)
     if n <= WINDOW:
         chosen = np.flatnonzero(runs == runs.min())
     else:
@@ -100,8 +122,8 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             least, width = np.minimum(least[:-width], least[width:]), width * 2
         least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width :])
         # The least of some window that a run is in: the largest of those windows' minima.
-        pad = np.zeros(WINDOW - 1, np.uint64)
-        most, width = np.concatenate([pad, least, pad]), 1
+        most, width = np.zeros(n + WINDOW - 1, np.uint64), 1
+        most[WINDOW - 1 : n] = least
         while width * 2 <= WINDOW:
             most, width = np.maximum(most[:-width], most[width:]), width * 2
         chosen = np.flatnonzero(runs == np.maximum(most[:n], most[WINDOW - width : n + WINDOW - width]))
@@ -112,33 +134,62 @@ def anchors_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if same[i] != same[keep[-1]] or chosen[i] - chosen[keep[-1]] >= WINDOW:
                 keep.append(i)
         chosen = chosen[keep]
-        same = runs[chosen]
-    wide = np.zeros(len(chosen), np.uint64)
-    inner = (chosen >= RUN) & (chosen + RUN < n)
-    at = chosen[inner]
-    wide[inner] = _mixed((runs[at - RUN] * _STEP + runs[at]) * _STEP + runs[at + RUN])
-    return chosen, same.view(np.int64), wide.view(np.int64)
+    return chosen
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, first word, hash of the anchor, hash with eight words on both sides or 0)."""
+    data = b"\n".join(texts)
+    starts = word_starts(data)
+    words = word_hashes(data, starts)
+    n = len(words) - RUN + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
+    runs = words[:n].copy()
+    for j in range(1, RUN):
+        runs *= _STEP
+        runs += words[j : n + j]
+    runs = _mixed(runs)
+    # The words of each text, and the runs that don't reach into the next.
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    first, last = bounds[:-1], bounds[1:] - RUN + 1
+    found = [a + _chosen(runs[a:b]) if b > a else np.zeros(0, np.int64) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    which, at = np.repeat(np.arange(len(texts)), list(map(len, found))), np.concatenate(found)
+    wide = np.zeros(len(at), np.uint64)
+    inner = (at >= first[which] + RUN) & (at + RUN < last[which])
+    mid = at[inner]
+    wide[inner] = _mixed((runs[mid - RUN] * _STEP + runs[mid]) * _STEP + runs[mid + RUN])
+    return which, at - first[which], runs[at].view(np.int64), wide.view(np.int64)
+
+
+def line_ends(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """Byte places behind the lines, which together are the text: whole up to ``LONG_LINE``
+    bytes; a longer one is also cut after words chosen by hash."""
+    ends = np.array([found.end() for found in _END.finditer(data)], np.int64)
+    if not len(ends) or ends[-1] < len(data):
+        ends = np.append(ends, len(data))
+    begins = np.concatenate([[0], ends[:-1]])
+    is_long = ends - begins > LONG_LINE
+    if not is_long.any():
+        return ends
+    # Words that begin inside a long line, after its first, behind a word that is chosen.
+    line = np.searchsorted(ends, starts, "right")
+    inside = np.flatnonzero(is_long[line[1:]] & (line[1:] == line[:-1])) + 1
+    cuts = inside[word_hashes(data, starts)[inside - 1] % np.uint64(DIVISOR) == 0]
+    out, last, of = ends.tolist(), 0, -1
+    for at, n in zip(starts[cuts].tolist(), line[cuts].tolist(), strict=True):
+        if n != of:
+            last, of = int(begins[n]), n
+        if at - last >= LEAST_LINE:
+            out.append(at)
+            last = at
+    return np.sort(np.array(out, np.int64))
 
 
 def lines_of(data: bytes) -> list[bytes]:
-    """The lines, which together are the text; a long one is also cut after words chosen by hash."""
-    out, at = [], 0
-    ends = [found.end() for found in _END.finditer(data)]
-    if not ends or ends[-1] < len(data):
-        ends.append(len(data))
-    for end in ends:
-        line, at = data[at:end], end
-        if len(line) > LONG_LINE:
-            starts, start = word_starts(line), 0
-            if len(starts) > 1:
-                for cut_at in starts[1:][word_hashes(line, starts)[:-1] % np.uint64(DIVISOR) == 0].tolist():
-                    if cut_at - start >= LEAST_LINE:
-                        out.append(line[start:cut_at])
-                        start = cut_at
-            line = line[start:]
-        if line:
-            out.append(line)
-    return out
+    """The lines themselves."""
+    ends = line_ends(data, word_starts(data)).tolist() if data else []
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -146,9 +197,8 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def make():
         def step(rows: dict) -> dict:
-            found = [anchors_of((t or "").encode()) for t in rows["text"]]
-            at, h, wide = (np.concatenate(x) for x in zip(*found, strict=True))
-            return {"doc_id": np.repeat(np.array(rows["doc_id"], np.int64), [len(f[0]) for f in found]), "at": at, "h": h, "wide": wide}
+            which, at, h, wide = anchors_of([(t or "").encode() for t in rows["text"]])
+            return {"doc_id": np.array(rows["doc_id"], np.int64)[which], "at": at, "h": h, "wide": wide}
 
         return step
 
@@ -166,23 +216,47 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _repeats(rows: DataFrame) -> DataFrame:
     """(doc_id, hits): places of anchors to compare, with the words of what is kept."""
-    found = anchors(rows.filter("doc_id is not null and text is not null"))
-    # One shuffle and one sort by (h, wide) serve both windows. Of an anchor's places, the
-    # first with the same words around it goes before the first of all.
-    here, all_of = F.struct("doc_id", "at"), Window.partitionBy("h")
-    found = found.withColumns({"kept": F.min(here).over(all_of), "near": F.min(here).over(Window.partitionBy("h", "wide"))})
-    near = (F.col("wide") != 0) & (F.col("near") != here)
-    hits = found.withColumn("from", F.when(near, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+    hits = _first_places(hold(anchors(rows.filter("doc_id is not null and text is not null")), "anchors"))
     # Of anchors near each other that repeat the same stretch, the first and the last reach all between.
     one = hits.select("doc_id", F.col("from.doc_id").alias("kept_id"), F.col("from.at").alias("kept_at"), (F.col("at") - F.col("from.at")).alias("shift"))
     ends = one.groupBy("doc_id", "kept_id", "shift", F.expr(f"kept_at div {SPAN}").alias("span")).agg(F.array_distinct(F.array(F.min("kept_at"), F.max("kept_at"))).alias("ends"))
     hits = hold(ends.select("doc_id", "kept_id", "shift", F.explode("ends").alias("kept_at")), "repeats")
     wanted = hits.groupBy("kept_id").agg(F.collect_set("kept_at").alias("ats")).withColumnRenamed("kept_id", "doc_id")
-    sources = hold(_contexts(rows.join(wanted, "doc_id")).dropDuplicates(["kept_id", "kept_at"]), "sources")
+    sources = hold(_contexts(rows.join(wanted, "doc_id")).groupBy("kept_id", "kept_at").agg(F.min(F.struct("first", "words")).alias("s")).select("kept_id", "kept_at", "s.*"), "sources")
     told = hits.join(sources, ["kept_id", "kept_at"]).select("doc_id", F.struct("kept_id", "shift", "first", "words").alias("hit"))
     return told.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
 
 
+def _first_places(found: DataFrame) -> DataFrame:
+    """Anchors that stand elsewhere before, with ``from``: the first place with the same
+    words around it, else the first of all.
+
+    One shuffle and one sort by (h, wide) serve both. Anchors that hold a thousandth of
+    all places (at most a thousand, by counting; told by counts of hashed cells first) don't
+    go through it: their first places are broadcast.
+    """
+    here = F.struct("doc_id", "at")
+    cell = F.pmod("h", F.lit(1 << 16)).alias("cell")
+    total = F.lit(found.count())
+    cells = found.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE >= total).select("cell")
+    some = found.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    hot = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("kept")).filter(F.col("n") * HOT_SHARE >= total).select("h", "kept")
+    hot = F.broadcast(hold(hot, "hot-anchors"))
+    found = found.join(hot, "h", "left")
+    cold, warm = found.filter("kept is null").drop("kept"), found.filter("kept is not null")
+    # Of a hot anchor's surroundings, too, those that are hot are broadcast.
+    around = warm.filter("wide <> 0").groupBy("h", "wide").agg(F.min(here).alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    around = hold(around, "hot-surroundings")
+    is_hot = F.col("n") * HOT_SHARE >= total
+    warm = warm.join(F.broadcast(around.filter(is_hot).select("h", "wide", "near")), ["h", "wide"], "left")
+    rest = warm.filter("near is null").drop("near").join(around.filter(~is_hot).select("h", "wide", "near"), ["h", "wide"], "left")
+    cold = cold.withColumns({"kept": F.min(here).over(Window.partitionBy("h")), "near": F.min(here).over(Window.partitionBy("h", "wide"))})
+    names = ["doc_id", "at", "wide", "kept", "near"]
+    every = cold.select(names).unionByName(warm.filter("near is not null").select(names)).unionByName(rest.select(names))
+    near = (F.col("wide") != 0) & F.col("near").isNotNull() & (F.col("near") != here)
+    return every.withColumn("from", F.when(near, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+
+
 def _contexts(rows: DataFrame) -> DataFrame:
     """The words of kept occurrences with those beside them, from the ``first`` on."""
 
@@ -245,7 +319,7 @@ def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int]:
                 again[low:high] = True
     if not again.any():
         return text, 0
-    lines = np.cumsum([0, *map(len, lines_of(data))])
+    lines = np.concatenate([[0], line_ends(data, starts)])
     gone = np.zeros(len(data), bool)
     for low, high in _stretches(np.flatnonzero(again), RUN):
         begin, end = bounds[low] if low else 0, bounds[high]
