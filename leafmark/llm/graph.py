@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.common import hold, to_arrow, workers_find_us
 
-MAX_ROUNDS = 60
 #: Up to so many edges (some 40 MB) one task joins them; more go through rounds.
 FEW_EDGES = 400_000
 
@@ -27,7 +26,7 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     edges = hold(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "edges")
     if edges.count() <= few:
         return hold(_joined(edges), "components")
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round that changes something hangs a node on a smaller one, so this ends
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
         large = both.filter("b > a").join(least, "a").selectExpr("b as a", "m as b")

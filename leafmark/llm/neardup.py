@@ -13,19 +13,18 @@ linked to the nearest of their buckets' smallest members, so a large group of ne
 copies collapses to few components before anything is compared twice; the
 remaining pairs, those between different components, are then confirmed in the
 join itself, each at the first chunk where it meets: no bucket's pairs are
-written out, and no link is lost.
+written out, no link is lost, and large buckets are dealt to blocks.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing
 and keep themselves; fewer words than a shingle are one shingle; equal texts and
 repeated rows share a class; a row with a null doc_id is in its class's component
 (null, and kept, if no row of the class has an id); rows that share a doc_id count
-as one node. Extra columns are ignored.
+as one node, linked with whatever one of their texts is linked with; very long texts
+enter whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,13 +36,12 @@ from leafmark.llm.graph import components
 CHUNKS, LANES, LANE_BITS = 12, 4, 12
 #: The distance (differing components) under which every pair meets.
 MAX_DISTANCE = 2 * CHUNKS - 1
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
 _LOW = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
 _HIGH = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
 _SEEDS = np.random.default_rng(20260).integers(1, 2**63, (CHUNKS * LANES, 2), dtype=np.uint64) | np.uint64(1)
-#: Word hashes that a worker remembers.
-CACHED_WORDS = 500_000
+#: Word hashes that a worker remembers; rows of a bucket that one block holds; classes of at
+#: least one in so many rows are broadcast.
+CACHED_WORDS, BLOCK_ROWS, HOT_SHARE = 500_000, 4096, 1000
 
 
 class _Words(dict):
@@ -66,7 +64,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles (A-Z lower-cased)."""
-    words = WORD.findall((text or "").encode().lower())
+    words = (text or "").encode().lower().split()  # white space of bytes: 09 to 0D and 20
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - size + 1) if len(h) else 0
     total = np.zeros(n, np.uint64)
@@ -84,6 +82,10 @@ def signature(found: np.ndarray) -> list[int]:
     return (least.reshape(CHUNKS, LANES) << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE_BITS))).sum(1).astype(np.int64).tolist()
 
 
+def _first_name(found: np.ndarray) -> int:
+    return int(_mix(found.copy()).sum().astype(np.int64))
+
+
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (set size), s1 and s2 (128 bits that name the set) and sig of every text."""
 
@@ -94,7 +96,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                 return {
                     "doc_id": rows["doc_id"],
                     "n": [len(s) for s in sets],
-                    "s1": [int(_mix(s.copy()).sum().astype(np.int64)) for s in sets],
+                    "s1": list(map(_first_name, sets)),
                     "s2": [int(_mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64)) for s in sets],
                     "sig": [signature(s) if len(s) else None for s in sets],
                 }
@@ -145,6 +147,21 @@ def _alike(a: str, b: str, least: int) -> Column:
     return both * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * least
 
 
+def _halves(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides of a join of places within their buckets: each row of the first meets all
+    rows of its bucket in the second, once. A bucket of more than ``BLOCK_ROWS`` rows is
+    dealt to blocks: the first side's rows have one each, the second side's go to all."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    return places.withColumn("block", block).alias("x"), places.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("y")
+
+
+def _met() -> Column:
+    same = F.lit(True)
+    for c in ("bucket", "key", "block"):
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    return same
+
+
 def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -154,9 +171,9 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
     rows = hold(signatures(docs, size, id_col, text_col), "signatures")
     filled = rows.filter("n > 0")
     # One row for each distinct set, named by its smallest doc_id.
-    classes = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     members = filled.filter("doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m"))
-    nodes = members.select(F.col("m.doc_id").alias("rep"), F.col("m.n").alias("n"), *[F.get("m.sig", F.lit(i)).alias(f"c{i}") for i in range(CHUNKS)])
+    nodes = members.select(F.col("m.doc_id").alias("rep"), "s1", F.col("m.n").alias("n"), *[F.get("m.sig", F.lit(i)).alias(f"c{i}") for i in range(CHUNKS)])
     nodes = hold(nodes, "nodes")
 
     lane_off = [~(((1 << LANE_BITS) - 1) << (LANE_BITS * j)) & ((1 << (LANE_BITS * LANES)) - 1) for j in range(LANES)]
@@ -165,18 +182,19 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
         for i in range(CHUNKS)
         for j, off in enumerate(lane_off)
     ]
-    places = nodes.select("rep", F.explode(F.array(*keys)).alias("k")).select("rep", "k.bucket", "k.key")
-    shared = places.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "key")
-    places = _plain(hold(places.join(shared, ["bucket", "key"], "left_semi").join(nodes, "rep"), "places"))
+    places = nodes.select("rep", "s1", F.explode(F.array(*keys)).alias("k")).select("rep", "s1", "k.bucket", "k.key")
+    shared = places.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = shared.select("bucket", "key", F.ceil(F.col("size") / BLOCK_ROWS).cast("long").alias("blocks"))
+    places = _plain(hold(places.join(shared, ["bucket", "key"]).join(nodes, ["rep", "s1"]), "places"))
 
     # Places with some partner under the distance; the others need no set.
-    x, y = places.alias("x"), places.alias("y")
-    meets = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep"))
-    places = _plain(hold(x.join(y, meets & _close("x", "y", least), "left_semi"), "meeting"))
+    x, y = _halves(places)
+    apart = _met() & (F.col("x.rep") != F.col("y.rep"))
+    places = _plain(hold(x.join(y, apart & _close("x", "y", least), "left_semi").drop("block"), "meeting"))
 
-    wanted = places.select("rep").distinct()
-    texts = documents(docs, id_col, text_col).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = hold(_sets(texts, size).dropDuplicates(["rep"]), "sets")
+    wanted = places.select("rep", "s1").distinct()
+    texts = documents(docs, id_col, text_col).join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = hold(_sets(texts, size).join(wanted, ["rep", "s1"], "left_semi").dropDuplicates(["rep", "s1"]), "sets")
 
     # The nearest of the smallest members of a node's buckets.
     heads = places.groupBy("bucket", "key").agg(F.min("rep").alias("head"))
@@ -191,19 +209,30 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
 
     # What is left: pairs whose ends are still in different components.
     own = F.coalesce("component", "rep").alias("component")
-    placed = places.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "bucket", "key", "n", *_CHUNK_COLUMNS, own)
+    placed = places.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "s1", "bucket", "key", "blocks", "n", *_CHUNK_COLUMNS, own)
     placed = _plain(hold(placed, "placed"))
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = meets & (F.col("x.component") != F.col("y.component"))
-    open_ = x.join(y, apart & _close("x", "y", least) & _first_meeting("x", "y"), "left_semi")
-    open_ = _plain(hold(open_.join(sets.select("rep", "shingles"), "rep"), "open"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = meets & (F.col("x.component") < F.col("y.component")) & _close("x", "y", least) & _first_meeting("x", "y")
+    x, y = _halves(placed)
+    apart = _met() & (F.col("x.component") != F.col("y.component"))
+    open_ = x.join(y, apart & _close("x", "y", least) & _first_meeting("x", "y"), "left_semi").drop("block")
+    open_ = _plain(hold(open_.join(sets.select("rep", "s1", "shingles"), ["rep", "s1"]), "open"))
+    x, y = _halves(open_)
+    across = _met() & (F.col("x.component") < F.col("y.component")) & _close("x", "y", least) & _first_meeting("x", "y")
     links = x.join(y, across & _alike("x", "y", least)).select(F.col("x.component").alias("a"), F.col("y.component").alias("b"))
     joined = components(stars.unionByName(links.distinct()))
 
-    labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    found = rows.join(labels, ["s1", "s2"], "left")
+    labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rows", F.coalesce("component", "rep").alias("component"))
+    return _labelled(rows.select("doc_id", "n", "s1", "s2"), hold(labels, "labels"))
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each row with its class's component. Classes of a thousandth of all rows or more (a
+    thousand at most, by counting) are broadcast, so that no task gets all their rows."""
+    total = labels.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    is_hot = F.col("rows") * HOT_SHARE >= total
+    hot = labels.filter(is_hot).select("s1", "s2", F.lit(True).alias("hot"), "component")
+    marked = rows.join(F.broadcast(hot), ["s1", "s2"], "left")
+    rest = marked.filter("hot is null").drop("hot", "component").join(labels.filter(~is_hot).select("s1", "s2", "component"), ["s1", "s2"], "left")
+    found = marked.filter("hot").drop("hot").unionByName(rest)
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id",
@@ -219,12 +248,13 @@ _CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
 def _sets(texts: DataFrame, size: int) -> DataFrame:
     def make():
         def step(rows: dict) -> dict:
-            sets = [shingle_set(t, size).astype(np.int64) for t in rows["text"]]
-            return {"rep": rows["doc_id"], "n": [len(s) for s in sets], "shingles": sets}
+            sets = [shingle_set(t, size) for t in rows["text"]]
+            with np.errstate(over="ignore"):
+                return {"rep": rows["doc_id"], "s1": list(map(_first_name, sets)), "n": [len(s) for s in sets], "shingles": [s.astype(np.int64) for s in sets]}
 
         return step
 
-    return map_rows(texts, make, "rep long, n long, shingles array<long>")
+    return map_rows(texts, make, "rep long, s1 long, n long, shingles array<long>")
 
 
 def keep_one(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
