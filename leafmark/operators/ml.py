@@ -102,43 +102,41 @@ def score_trees(model: PipelineModel, pages: DataFrame, name: str = "score") ->
     return model.transform(pages).withColumn(name, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
 
 
-def fit_linear(pages: DataFrame, features: list[str] | None = None) -> Linear:
-    """Fit on the whole page table (labelled books: a bounded table by its nature)."""
-    features = features or FEATURES
-    rows = pages.select(*[F.col(f).cast("double") for f in features], F.col("label").cast("int").alias("label"), "weight").toPandas()
-    return Linear.fit(rows[features].to_numpy(float), rows["label"].to_numpy(), rows["weight"].to_numpy(float), features)
+def _plain(pages: DataFrame, features: list[str]) -> DataFrame:
+    return pages.select("book", "page_index", *[F.col(f).cast("double") for f in features], F.col("label").cast("boolean"), F.col("weight").cast("double"))
 
 
-def leave_one_out(pages: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """(book, page_index, label, score) of every book that has a true page, scored by a
-    model fitted on all other books.
+def _book_figures(rows: DataFrame, features: list[str]) -> pd.DataFrame:
+    """Rows, positives, means and variances of each book: a row a book on the driver."""
+    return (
+        rows.groupBy("book")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("int")).alias("pos"), *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)], *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)])
+        .orderBy("book")
+        .toPandas()
+    )
+
 
-    Each Newton step of all folds is one pass that sums gradients and curvatures in
+def _newton(rows: DataFrame, features: list[str], figures: pd.DataFrame, held: list[str | None], steps: int = 50) -> list[Linear]:
+    """A model for each of ``held``: the book that it doesn't see, or None.
+
+    Each Newton step of all models is one pass that sums gradients and curvatures in
     the tasks; the driver holds these sums and per-book figures, never pages.
     """
-    features = features or FEATURES
     d = len(features)
-    rows = pages.select("book", "page_index", *[F.col(f).cast("double") for f in features], F.col("label").cast("boolean"), F.col("weight").cast("double")).persist()
-    stats = rows.groupBy("book").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("int")).alias("pos"),
-        *[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)], *[F.var_pop(f).alias(f"v_{i}") for i, f in enumerate(features)],
-    ).orderBy("book").toPandas()
-    n, pos = stats["n"].to_numpy(float), stats["pos"].to_numpy(float)
-    m, v = (stats[[f"{c}_{i}" for i in range(d)]].to_numpy(float).reshape(-1, d) for c in "mv")
-    folds = [k for k in range(len(stats)) if pos[k] > 0]
-    names, mean, scale, sizes = stats["book"].tolist(), [], [], []
-    for k in folds:
-        o = np.arange(len(stats)) != k
-        total = max(1.0, n[o].sum())
+    n, pos = figures["n"].to_numpy(float), figures["pos"].to_numpy(float)
+    m, v = (figures[[f"{c}_{i}" for i in range(d)]].to_numpy(float).reshape(-1, d) for c in "mv")
+    mean, scale, sizes = [], [], []
+    for book in held:
+        o = (figures["book"] != book).to_numpy() if book is not None else np.ones(len(figures), bool)
+        total, p = max(1.0, n[o].sum()), pos[o].sum()
         c = (n[o, None] * m[o]).sum(0) / total
         s = np.sqrt((n[o, None] * (v[o] + (m[o] - c) ** 2)).sum(0) / total)
         mean.append(c)
         scale.append(np.where(s == 0, 1.0, s))
-        p = pos[o].sum()
         sizes.append((n[o].sum() / 2 / max(1.0, p), n[o].sum() / 2 / max(1.0, n[o].sum() - p)))
-    w, ridge = np.zeros((len(folds), d + 1)), np.append(np.ones(d), 1e-9)
-    left = list(range(len(folds)))
-    for _ in range(50):
+    w, ridge = np.zeros((len(held), d + 1)), np.append(np.ones(d), 1e-9)
+    left = list(range(len(held)))
+    for _ in range(steps):
         if not left:
             break
 
@@ -147,7 +145,7 @@ def leave_one_out(pages: DataFrame, features: list[str] | None = None) -> DataFr
             for batch in batches:
                 x, y, each = batch[features].to_numpy(float), batch["label"].to_numpy(float), batch["weight"].to_numpy(float)
                 for j, f in enumerate(left):
-                    o = (batch["book"] != names[folds[f]]).to_numpy()
+                    o = (batch["book"] != held[f]).to_numpy() if held[f] is not None else np.ones(len(batch), bool)
                     z = np.concatenate([(x[o] - mean[f]) / scale[f], np.ones((int(o.sum()), 1))], 1)
                     p = 1 / (1 + np.exp(-np.clip(z @ w[f], -60, 60)))
                     a = each[o] * np.where(y[o] > 0, sizes[f][0], sizes[f][1])
@@ -164,7 +162,37 @@ def leave_one_out(pages: DataFrame, features: list[str] | None = None) -> DataFr
             if np.abs(step).max() >= 1e-9:
                 going.append(f)
         left = going
-    models = {names[k]: Linear(features, mean[f].tolist(), scale[f].tolist(), w[f, :-1].tolist(), float(w[f, -1])) for f, k in enumerate(folds)}
+    return [Linear(features, mean[f].tolist(), scale[f].tolist(), w[f, :-1].tolist(), float(w[f, -1])) for f in range(len(held))]
+
+
+def fit_linear(pages: DataFrame, features: list[str] | None = None) -> Linear:
+    """Fit on the whole page table, by sums over the tasks."""
+    features = features or FEATURES
+    rows = _plain(pages, features).persist()
+    return _newton(rows, features, _book_figures(rows, features), [None])[0]
+
+
+def leave_one_out(pages: DataFrame, features: list[str] | None = None, model: str = MODELS[0]) -> DataFrame:
+    """(book, page_index, label, score) of every book that has a true page, scored by a
+    model (of ``MODELS``) fitted on all other books.
+
+    The linear models of all books are fitted together; trees are fitted once a book.
+    """
+    features = features or FEATURES
+    if model not in MODELS:
+        raise ValueError(f"model must be one of {MODELS}")
+    rows = _plain(pages, features).persist()
+    if model == MODELS[1]:
+        books = sorted(r["book"] for r in rows.filter("label").select("book").distinct().collect())
+        scored = None
+        for book in books:
+            trees = fit_trees(rows.filter(F.col("book") != book), features)
+            part = score_trees(trees, rows.filter(F.col("book") == book)).select("book", "page_index", "label", "score")
+            scored = part if scored is None else scored.unionByName(part)
+        return rows.select("book", "page_index", "label", F.lit(0.0).alias("score")).limit(0) if scored is None else scored
+    figures = _book_figures(rows, features)
+    books = figures.loc[figures["pos"] > 0, "book"].tolist()
+    models = dict(zip(books, _newton(rows, features, figures, books), strict=True))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

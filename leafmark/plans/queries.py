@@ -536,14 +536,28 @@ def score_linear(spark, sf_dir):
     return model.transform(_table(spark, sf_dir, "part")).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@_query()
-def leave_one_book_out(spark, sf_dir):
-    """Every page of every book."""
+def _scored_left_out(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     rows = book_pages(spark, sf_dir)
     n = F.length("text")
     rows = rows.withColumns({"density": T.digit_density(F.col("text")), "size": n.cast("double"), "edge": F.least("page_index", F.col("total_pages") - 1 - F.col("page_index")).cast("double")})
-    scored = ml.leave_one_out(L.label_pages(rows, _book_labels(spark)), ["density", "size", "edge"])
-    return inference.evaluate(scored)
+    return ml.leave_one_out(L.label_pages(rows, _book_labels(spark)), ["density", "size", "edge"], model)
+
+
+@_query()
+def leave_one_book_out(spark, sf_dir):
+    """Every page of every book, scored by models of all other books."""
+    return inference.evaluate(_scored_left_out(spark, sf_dir, "logistic_regression"))
+
+
+@_query()
+def fit_and_score(spark, sf_dir):
+    """A full-data fit on the parts, and the parts' scores; at the optimum the weighted
+    residuals of the classes cancel, which tests check."""
+    rows = _table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("book"), F.col("p_partkey").cast("int").alias("page_index"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice", (F.col("p_size") * 20 + F.col("p_retailprice") > 1900).alias("label"), F.lit(1.0).alias("weight")
+    )
+    model = ml.fit_linear(rows, ["p_size", "p_retailprice"])
+    return model.transform(rows).select(F.col("page_index").alias("p_partkey"), "label", F.round("score", 6).alias("score"))
 
 
 @_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -48,11 +48,12 @@ def held_now() -> int:
     return len(_HELD)
 
 
-def release(since: int = 0) -> None:
-    """Delete the tables held after the mark (all at exit), but for those a plan still
-    reads: call it when what was made of them is written."""
-    while len(_HELD) > since:
-        spark, path = _HELD.pop()
+def release(since: int = 0, but: int = 0) -> None:
+    """Delete the tables held after the mark (all at exit) except the newest ``but``: call
+    it when what was made of them is written, and no plan reads them any more."""
+    gone = _HELD[since : len(_HELD) - but]
+    del _HELD[since : len(_HELD) - but]
+    for spark, path in reversed(gone):
         try:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -13,6 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from leafmark import __main__ as cli
 from leafmark.functions import geometry as G
 from leafmark.operators import labels as L
 from leafmark.operators import locate, matching, metrics, ml, pages, sampling
@@ -291,6 +292,38 @@ def test_harvest_as_a_source(spark, repository, tmp_path):
     assert {tuple(r) for r in spark.table("harvest").collect()} == {w for w in want if w[0] == "s"}
 
 
+def test_command_line_tasks(spark, repository, tmp_path, monkeypatch):
+    """Harvest, locate and mine over small folders, pages parted by form feeds."""
+    books = tmp_path / "books"
+    books.mkdir()
+    pages = ["cover of it", "Inhalt\nrope knots 3\nsails and masts 9", "rope and more rope", "masts"]
+    (books / "b1.fulltext.pdf").write_text("\f".join(pages))
+    (books / "b1.dnb_toc.pdf").write_text("rope knots 3 sails and masts 9")
+    (books / "b2.fulltext.pdf").write_text("\f".join(pages))
+    (books / "b2.dnb_toc.pdf").write_text("bad")
+    (books / "b3.fulltext.pdf").write_text("alone")
+    (books / "books.json").write_text(json.dumps({"books": [{"isbn": "b-1", "language": "de"}, {"isbn": "B1", "language": "de"}]}))
+
+    def parse(content):
+        if content == b"bad":
+            raise ValueError("no pages")
+        return content.decode().split("\f")
+
+    rows = {r["isbn"]: r for r in cli.located(spark, str(books), parse).collect()}
+    assert (rows["b1"]["status"], rows["b1"]["toc_start_index"], rows["b1"]["toc_end_index"]) == ("located", 1, 1)
+    assert (rows["b2"]["status"], rows["b2"]["error"]) == ("error", "no pages") and set(rows) == {"b1", "b2"}
+    labels = cli.located(spark, str(books), parse).withColumn("isbn", F.upper("isbn"))
+    files.write_labels(labels, str(tmp_path / "labels"))
+    for name in ("b1.fulltext.pdf", "b2.fulltext.pdf"):
+        (books / name).rename(books / name.replace("b", "B", 1))
+    found = cli.mined(spark, str(books), str(tmp_path / "labels"), str(books / "books.json"), 1, parse).collect()
+    assert [tuple(r) for r in found] == [("de", "inhalt", 1)]
+    assert cli.harvested(spark, repository, "s", "library.example.org").count() == 0
+    monkeypatch.setattr(cli.SparkSession.builder, "getOrCreate", lambda: spark)
+    cli.main(["harvest", "--base", repository, "--sets", "s", "--host", "x", "--out", str(tmp_path / "out")])
+    assert (tmp_path / "out" / "_SUCCESS").exists()
+
+
 def test_patience():
     waits = []
 
@@ -377,9 +410,31 @@ def test_leave_one_out_does_not_leak(spark):
     assert np.allclose(got[got["book"] == "a"].sort_values("page_index")["score"], model.scores(np.arange(5.0)[:, None]))
 
 
+def test_leave_one_out_with_trees(spark):
+    rng = random.Random(4)
+    rows = [(b, i, float(i == 3) + rng.uniform(0, 0.2), i == 3, 1.0) for b in "abcd" for i in range(12)] + [("e", 0, 0.5, False, 1.0)]
+    df = spark.createDataFrame(rows, "book string, page_index int, f double, label boolean, weight double")
+    got = ml.leave_one_out(df, ["f"], "gradient_boosting").toPandas()
+    assert set(got["book"]) == set("abcd") and len(got) == 48
+    assert all(part.loc[part["score"].idxmax(), "page_index"] == 3 for _, part in got.groupby("book"))
+    with pytest.raises(ValueError):
+        ml.leave_one_out(df, ["f"], "forest")
+
+
+def test_fit_linear_is_the_optimum(spark):
+    """The distributed fit equals the one on a whole matrix."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(3, 2, (200, 2))
+    y = x @ [1.0, -0.5] + rng.normal(0, 1, 200) > 1.5
+    w = rng.uniform(0.3, 1, 200)
+    df = spark.createDataFrame([(f"b{i % 9}", i, *map(float, x[i]), bool(y[i]), float(w[i])) for i in range(200)], "book string, page_index int, a double, b double, label boolean, weight double")
+    found, want = ml.fit_linear(df, ["a", "b"]), ml.Linear.fit(x, y, w, ["a", "b"])
+    assert np.allclose([*found.weights, found.bias, *found.mean, *found.scale], [*want.weights, want.bias, *want.mean, *want.scale], atol=1e-6)
+
+
 def test_leave_one_book_out_reads_whole_books(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(Q.ml, "leave_one_out", lambda pages, features: seen.append(pages.count()) or pages.withColumn("score", F.lit(0.5)))
+    monkeypatch.setattr(Q.ml, "leave_one_out", lambda pages, features, model: seen.append(pages.count()) or pages.withColumn("score", F.lit(0.5)))
     sf = "/root/testdata/sf0.1"
     Q.QUERIES["leave_one_book_out"](spark, sf)
     assert seen == [Q.L.label_pages(Q.book_pages(spark, sf), Q._book_labels(spark)).count()] and seen[0] > 1000
