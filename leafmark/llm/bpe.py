@@ -6,8 +6,9 @@ bytes only extends it, an edit recomputes it from the edit until it agrees with
 the old table again, and the encoding is read off backwards.
 
 Defined results: a null or empty text has no tokens and the digest of no bytes;
-repeated rows are encoded alike; very long pieces take time in proportion to
-their length; extra columns are ignored.
+repeated rows are encoded alike; very long texts are encoded whole, and very long
+pieces take time in proportion to their length; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,11 +1,8 @@
-"""Shared helpers: held tables, Arrow row maps and expression binding."""
+"""Shared helpers: Arrow row maps and expression binding; held tables are the library's."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -13,50 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words in every contract of this package.
-SPACE = r"[\x20\x09-\x0D]+"
-
-_HELD: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a folder of
-    our own (only where the setting is absent, as in local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    set_by_code = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_by_code.isDefined():
-        return set_by_code.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def hold(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+from leafmark.storage import held_now, hold, release, shared_dir
 
-    This cuts lineage like a reliable checkpoint, but computes the rows once,
-    column-wise and compressed; a lost executor costs nothing already written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/leafmark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _HELD.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete every held table of this process (also done at exit)."""
-    while _HELD:
-        spark, path = _HELD.pop()
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone already
-            return
+__all__ = ["held_now", "hold", "release", "shared_dir"]
 
-
-atexit.register(release)
+#: Bytes that separate words in every contract of this package.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def workers_find_us(spark: SparkSession) -> None:

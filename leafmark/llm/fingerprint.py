@@ -9,7 +9,8 @@ distinct shingles; below k shingles every estimate is exact.
 Defined results: a null, empty or blank text has the empty sketch, alike (1.0)
 to another empty one and unlike (0.0) any other; equal texts have equal
 sketches; repeated rows count one by one; a null doc_id sorts as the smallest;
-rows that share a doc_id follow one another by text, null first. Extra columns
+rows that share a doc_id follow one another by text, null first, and are in one
+task; very long texts are sketched whole; an empty table gives no rows. Extra columns
 are ignored.
 """
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import documents, lower_az, words_of
 
 K, SHINGLE = 128, 5
-#: Ranges of ids that neighbours are looked up in; bounds the driver's array.
-RANGES = 2048
+#: Rows that a range of ids is to have, in which neighbours are looked up; the least and
+#: most ranges, which bound the driver's array.
+RANGE_ROWS, RANGES, MOST_RANGES = 20_000, 2048, 65_536
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, k: int = K, words: int = SHINGLE) -> DataFrame:
@@ -96,7 +98,7 @@ def _next_rows(df: DataFrame, keep: list[str], ranges: int) -> DataFrame:
     and only ``ranges`` ids reach the driver.
     """
     df = df.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    ends = df.agg(F.percentile_approx("__key", [i / ranges for i in range(1, ranges + 1)], ranges * 20).alias("q"), F.max("__key").alias("top")).first()
+    ends = df.agg(F.percentile_approx("__key", [i / ranges for i in range(1, ranges + 1)], ranges * 10).alias("q"), F.max("__key").alias("top")).first()
     ends = sorted({*(ends["q"] or []), *([] if ends["top"] is None else [ends["top"]])})
     bounds = F.lit(ends).cast("array<bigint>") if ends else F.array().cast("array<bigint>")
     n = len(ends)
@@ -112,9 +114,10 @@ def _next_rows(df: DataFrame, keep: list[str], ranges: int) -> DataFrame:
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in keep}).filter(F.col("__to.guest") == 0)
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Each text's fingerprint, that of its edited text, and likeness to it and to
     the next document. One shuffle, of the texts with their sketches."""
+    ranges = ranges or min(MOST_RANGES, max(RANGES, docs.count() // RANGE_ROWS))
     df = with_sketch(documents(docs, id_col, text_col), F.col("text"), "sketch")
     df = _next_rows(df, ["text", "sketch"], ranges)
     text, n = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit("")))

@@ -4,8 +4,10 @@ Each line is judged by a punctuation, a navigation and a boilerplate rule; faili
 lines are removed, and a document that loses too much of its text is rejected.
 
 Defined results: a null text has no words and fails the base rule; an empty or
-blank text likewise; repeated rows are judged alike, each on its own; extra
-columns are ignored by :func:`judge` and kept by :func:`clean`.
+blank text likewise; very long texts are read whole; a share of just the least one, or
+of repeated words of just one half, passes; repeated rows are judged alike, each on its
+own; an empty table gives no rows; extra columns are ignored by :func:`judge` and kept
+by :func:`clean`.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def _repeats(df: DataFrame) -> DataFrame:
     """Add ``repeat``: words of ``words`` in 3-word windows found twice or more.
 
     Windows of one document are sorted by hash, with their place in the low bits
-    of the same long (a primitive sort), and neighbours of equal hash compared
+    of the same long (a primitive sort), and those of equal hash compared
     word for word. Nothing leaves the row. Each step is a projection of its own:
     inside a lambda Spark would interpret the sort.
     """
@@ -70,16 +72,22 @@ def _repeats(df: DataFrame) -> DataFrame:
     df = df.withColumns({"packed": packed, "pairs": pairs})
     p, s = F.col("packed"), F.col("pairs")
 
-    def alike(x: Column, k: Column) -> Column:
-        y = F.get(p, k)
-        return (F.shiftright(x, _PLACE_BITS) == F.shiftright(y, _PLACE_BITS)) & _same_window(w, x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int"))
-
-    def near(x: Column, k: Column) -> Column:
-        y = F.get(s, k)
-        return (x["h"] == y["h"]) & _same_window(w, x["i"], y["i"])
-
-    short = F.transform(F.filter(p, lambda x, k: alike(x, k + 1) | alike(x, k - 1)), lambda x: x.bitwiseAND(low).cast("int"))
-    long_ = F.transform(F.filter(s, lambda x, k: near(x, k + 1) | near(x, k - 1)), lambda x: x["i"])
+    # Another window of a run of equal hashes is next to it, as a rule; where a neighbour
+    # has the hash but not the words, the whole run is looked through.
+    def found_in(items: Column, x: Column, k: Column, same_hash, same_words) -> Column:
+        beside = [F.get(items, k + 1), F.get(items, k - 1)]
+        alike = F.lit(False)
+        clash = F.lit(False)
+        for y in beside:
+            alike = alike | F.coalesce(same_hash(x, y) & same_words(x, y), F.lit(False))
+            clash = clash | F.coalesce(same_hash(x, y) & ~same_words(x, y), F.lit(False))
+        return alike | (clash & F.exists(items, lambda y: same_hash(x, y) & ~(x == y) & same_words(x, y)))
+
+    at = lambda x: x.bitwiseAND(low).cast("int")
+    short = F.transform(
+        F.filter(p, lambda x, k: found_in(p, x, k, lambda a, b: F.shiftright(a, _PLACE_BITS) == F.shiftright(b, _PLACE_BITS), lambda a, b: _same_window(w, at(a), at(b)))), at
+    )
+    long_ = F.transform(F.filter(s, lambda x, k: found_in(s, x, k, lambda a, b: a["h"] == b["h"], lambda a, b: _same_window(w, a["i"], b["i"]))), lambda x: x["i"])
     df = df.withColumn("places", F.sort_array(F.when(s.isNull(), short).otherwise(long_))).drop("packed", "pairs")
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     step = lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last"))

@@ -67,6 +67,22 @@ def test_quality_repeats_of_long_texts(spark):
     assert row["n_repeat_words"] == hit.sum()
 
 
+def test_quality_repeats_whatever_hashes_collide(spark, monkeypatch):
+    """With one hash for very many windows, words alone decide."""
+    from leafmark.llm import quality
+
+    monkeypatch.setattr(quality, "_window_hash", lambda w, i: F.length(F.get(w, i)).cast("long"))
+    rng = random.Random(8)
+    words = [f"{rng.randint(0, 9)}" for _ in range(400)]
+    counts = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = np.zeros(len(words), bool)
+    for i in range(len(words) - 2):
+        if counts[tuple(words[i : i + 3])] > 1:
+            hit[i : i + 3] = True
+    row = quality.judge(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert row["n_repeat_words"] == hit.sum()
+
+
 def test_bpe_equals_the_library(docs, texts, reference):
     rows = {r["doc_id"]: r for r in bpe.encode(docs, PATH, PATTERN, ("ids", "ids_sha256", "decoded_sha256")).collect()}
     for key, text in texts.items():
