@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import documents, hold, map_rows, workers_find_us
@@ -34,7 +34,7 @@ from leafmark.llm.common import documents, hold, map_rows, workers_find_us
 RUN, WINDOW, GROW, SPAN = 8, 25, 32, 64
 #: Equal words that go whole; lines and words that a shorter stretch must have.
 PASSAGE, MIN_LINES, MIN_WORDS = 40, 2, 8
-#: Anchors of at least one in so many places are broadcast.
+#: Anchors of at least one in so many places are hot.
 HOT_SHARE = 1000
 #: Bytes of a line left whole, least bytes of what a longer one is cut into, and
 #: words for each of such cuts.
@@ -233,28 +233,34 @@ def _first_places(found: DataFrame) -> DataFrame:
 
     One shuffle and one sort by (h, wide) serve both. Anchors that hold a thousandth of
     all places (at most a thousand, by counting; told by counts of hashed cells first) don't
-    go through it: their first places are broadcast.
+    go through it: the driver gets their first places, and of their surroundings, too,
+    those that hold a thousandth.
     """
-    here = F.struct("doc_id", "at")
-    cell = F.pmod("h", F.lit(1 << 16)).alias("cell")
-    total = F.lit(found.count())
-    cells = found.groupBy(cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT_SHARE >= total).select("cell")
-    some = found.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
-    hot = some.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("kept")).filter(F.col("n") * HOT_SHARE >= total).select("h", "kept")
-    hot = F.broadcast(hold(hot, "hot-anchors"))
-    found = found.join(hot, "h", "left")
-    cold, warm = found.filter("kept is null").drop("kept"), found.filter("kept is not null")
-    # Of a hot anchor's surroundings, too, those that are hot are broadcast.
-    around = warm.filter("wide <> 0").groupBy("h", "wide").agg(F.min(here).alias("near"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    around = hold(around, "hot-surroundings")
-    is_hot = F.col("n") * HOT_SHARE >= total
-    warm = warm.join(F.broadcast(around.filter(is_hot).select("h", "wide", "near")), ["h", "wide"], "left")
-    rest = warm.filter("near is null").drop("near").join(around.filter(~is_hot).select("h", "wide", "near"), ["h", "wide"], "left")
-    cold = cold.withColumns({"kept": F.min(here).over(Window.partitionBy("h")), "near": F.min(here).over(Window.partitionBy("h", "wide"))})
-    names = ["doc_id", "at", "wide", "kept", "near"]
-    every = cold.select(names).unionByName(warm.filter("near is not null").select(names)).unionByName(rest.select(names))
-    near = (F.col("wide") != 0) & F.col("near").isNotNull() & (F.col("near") != here)
-    return every.withColumn("from", F.when(near, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+    here, total = F.struct("doc_id", "at"), found.count()
+    often = F.col("n") * HOT_SHARE >= total
+    cell = F.pmod("h", F.lit(1 << 16))
+    cells = [r["cell"] for r in found.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(often).collect()]
+    some = found.filter(cell.isin(cells)).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
+    firsts = {r["h"]: r["first"] for r in some.filter(often).collect()}
+    is_hot = F.col("h").isin(list(firsts))
+    around = found.filter(is_hot & (F.col("wide") != 0)).groupBy("wide").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
+    nears = {r["wide"]: r["first"] for r in around.filter(often).collect()}
+    near = F.min(here).over(Window.partitionBy("h", "wide"))
+    cold = found.filter(~is_hot).withColumns({"kept": F.min(here).over(Window.partitionBy("h")), "near": near})
+    every = cold
+    if firsts:
+        warm, known = found.filter(is_hot).withColumn("kept", _place_of(firsts, "h")), F.col("wide").isin(list(nears))
+        every = every.unionByName(warm.filter(~known).withColumn("near", near))
+        if nears:
+            every = every.unionByName(warm.filter(known).withColumn("near", _place_of(nears, "wide")))
+    other = (F.col("wide") != 0) & (F.col("near") != here)
+    return every.withColumn("from", F.when(other, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+
+
+def _place_of(places: dict[int, Row], key: str) -> Column:
+    """The place of a known key, out of a thousand at most."""
+    pairs = [x for k, p in sorted(places.items()) for x in (F.lit(k), F.struct(F.lit(p["doc_id"]).cast("long").alias("doc_id"), F.lit(p["at"]).cast("long").alias("at")))]
+    return F.element_at(F.create_map(*pairs), F.col(key))
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
