@@ -10,46 +10,43 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.common import hold, to_arrow, workers_find_us
 
-#: Up to so many edges (some 40 MB) one task joins them; more go through rounds.
-FEW_EDGES = 400_000
+#: Nodes that a task joins at a time.
+NODES = 2_000_000
 
 
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, nodes: int = NODES) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``edges`` (a, b).
 
-    Alternating star contractions: each round hangs every node's larger neighbours,
-    then its smaller ones, on its smallest neighbour, until only stars are left. The
-    rounds grow with the logarithm of the nodes; minima are combined before the
-    shuffle, so a node with very many edges gathers nothing. Each round is held. An
-    edge table that is counted and found small skips the rounds.
+    Each round has two steps. Every task joins the edges it has, ``nodes`` of them at a
+    time, into stars around the smallest node of each part. Then an alternating star
+    contraction hangs every node's larger neighbours, then its smaller ones, on its
+    smallest neighbour, with minima combined before the shuffle, so a node with very many
+    edges gathers nothing. Rounds end when each node hangs on one that hangs on none;
+    they grow with the logarithm of the nodes that no task has together. Each is held.
     """
     edges = hold(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "edges")
-    if edges.count() <= few:
-        return hold(_joined(edges), "components")
-    while True:  # each round that changes something hangs a node on a smaller one, so this ends
+    while True:
+        edges = hold(_joined(edges, nodes).distinct(), "stars")
+        if _settled(edges):
+            return edges.selectExpr("a as node", "b as component").unionByName(edges.selectExpr("b as node", "b as component").distinct())
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
         large = both.filter("b > a").join(least, "a").selectExpr("b as a", "m as b")
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("b as a", "m as b").unionByName(least.selectExpr("a", "m as b"))
-        fresh = hold(small.filter("a <> b").distinct(), "edges")
-        if _same(edges, fresh):
-            break
-        edges = fresh
-    stars = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+        edges = hold(small.filter("a <> b").distinct(), "edges")
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Whether both edge tables hold the same rows, by count and two hash sums."""
-    of = [F.count(F.lit(1)), *(F.sum(F.xxhash64("a", "b", F.lit(s)).cast("decimal(38,0)")) for s in (1, 2))]
-    return a.agg(*of).first() == b.agg(*of).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one node, and on one that hangs on none."""
+    roots = edges.select(F.col("b").alias("a")).distinct()
+    return edges.count() == edges.select("a").distinct().count() and edges.join(roots, "a", "left_semi").isEmpty()
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """Union-find over a small edge table, in one task."""
-    schema = "node long, component long"
+def _joined(edges: DataFrame, most: int) -> DataFrame:
+    """Union-find over each task's edges: (node, smallest node of its part)."""
+    schema = "a long, b long"
     workers_find_us(edges.sparkSession)
     target = to_arrow(edges.sparkSession, schema)
 
@@ -62,13 +59,19 @@ def _joined(edges: DataFrame) -> DataFrame:
                 x = up[x]
             return x
 
+        def stars() -> Iterator[pa.RecordBatch]:
+            nodes = [x for x in up if up[x] != x]
+            for at in range(0, len(nodes), 10_000):
+                part = nodes[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], schema=target)
+            up.clear()
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = top(a), top(b)
                 up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        for at in range(0, len(nodes), 10_000):
-            part = nodes[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], schema=target)
+            if len(up) >= most:
+                yield from stars()
+        yield from stars()
 
-    return edges.coalesce(1).mapInArrow(run, schema)
+    return edges.mapInArrow(run, schema)

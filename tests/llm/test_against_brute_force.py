@@ -15,8 +15,8 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from leafmark.llm import attention, bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, queries, toxicity
-from leafmark.llm.graph import components
+from leafmark.llm import attention, bpe, fingerprint, graph, langid, licenses, linededup, lmscore, neardup, packing, queries, toxicity
+from leafmark.llm.common import hold
 from tests.conftest import SF
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -302,11 +302,13 @@ def test_pigeonhole_guarantee():
         assert min(Counter(w // neardup.LANES for w in wrong).get(c, 0) for c in range(neardup.CHUNKS)) <= 1
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_components(spark, few):
+@pytest.mark.parametrize(("parts", "nodes"), [(1, 10**6), (16, 10**6), (7, 3)])
+def test_components(spark, monkeypatch, parts, nodes):
+    """In one task, over many, and with tasks that join few nodes at a time."""
+    monkeypatch.setattr(graph, "hold", lambda df, name: hold(df.repartition(parts, "a") if name == "edges" else df, name).repartition(parts))
     rng = random.Random(4)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 480)] + [(900, x) for x in range(901, 960)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), nodes).collect()}
     parent = {x: x for e in edges for x in e}
     changed = True
     while changed:
