@@ -672,25 +672,62 @@ def test_attention_gradients():
         assert abs((loss(up) - loss(down)) / 2e-4 - g[at]) < 1e-3 * abs(g[at]) + 1e-6, name
 
 
+def plain_quality(text):
+    """The text that the quality rules leave, or None if they reject it."""
+    from leafmark.llm import quality as q
+
+    def passes(line):
+        n, has = len(line), lambda p: re.search(p, line) is not None
+        marks = lambda p: sum(1 for _ in re.finditer(p, line)) * q.MARK_CHARS
+        prose = has(q.SENTENCE_END) and marks(q.SHOUT) <= n
+        menu = marks(q.SEPARATOR) > n or (n <= q.MENU_CHARS and has(q.MENU))
+        notice = n <= q.BOILERPLATE_CHARS and has(q.BOILERPLATE)
+        return (prose and not menu and not notice) or not has(q.WORD)
+
+    words, lines = WORD.findall(text or ""), (text or "").split("\n")
+    counts = Counter(zip(words, words[1:], words[2:], strict=False))
+    hit = np.zeros(len(words), bool)
+    for i in range(len(words) - 2):
+        if counts[tuple(words[i : i + 3])] > 1:
+            hit[i : i + 3] = True
+    if len(words) < q.MIN_WORDS or 100 * hit.sum() > 50 * len(words):
+        return None
+    left = [x for x in lines if passes(x)]
+    chars = lambda some: sum(len(x) for x in some if re.search(q.WORD, x))
+    return "\n".join(left) if chars(left) >= chars(lines) * q.MIN_KEPT_SHARE else None
+
+
 def test_pipeline_against_brute_force(spark):
-    """Each stage's decisions, remade in plain Python from the stage before."""
+    """Each stage's rows and texts, remade in plain Python from the stage before."""
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {}
     for name, stage in pipeline.STAGES[:4]:
         before = {r["doc_id"]: r for r in docs.collect()}
         out = stage(spark, docs, SF).cache()
         after = {r["doc_id"]: r for r in out.collect()}
-        assert out.columns == docs.columns and set(after) <= set(before)
-        assert all(r["n_chars"] == len(r["text"]) for r in after.values())
-        if name.startswith("minhash"):
-            parts, _ = _components({k: r["text"] for k, r in before.items()}, 5, 80)
-            assert set(after) == {k for k, v in parts.items() if k == v}
-        if name.startswith("line"):
-            assert all(len(r["text"]) <= len(before[k]["text"]) for k, r in after.items())
-        kept[name], docs = len(after), out
+        assert out.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in after.values())
+        texts = {k: r["text"] for k, r in before.items()}
+        if name.startswith("quality"):
+            want = {k: v for k, v in ((k, plain_quality(t)) for k, t in texts.items()) if v is not None}
+            assert len(want) > 100
+        elif name.startswith("language"):
+            told = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs)).collect()}
+            want = {k: t for k, t in texts.items() if told[k]["lang_pred"] != "und" and told[k]["score"] >= 0.5}
+            assert all(r["lang"] == told[k]["lang_pred"] for k, r in after.items())
+        elif name.startswith("line"):
+            want = {k: v for k, v in plain_line_dedup(texts).items() if v == texts[k] or v.strip()}
+        else:
+            parts, _ = _components(texts, 5, 80)
+            want = {k: t for k, t in texts.items() if parts[k] == k}
+        assert {k: r["text"] for k, r in after.items()} == want, name
+        rest = [c for c in docs.columns if c not in ("text", "n_chars", "lang")]
+        assert all(r[c] == before[k][c] for k, r in after.items() for c in rest)
+        docs = out
     packed = pipeline.STAGES[4][1](spark, docs, SF).collect()
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()} and kept["quality rules"] > 100
+    lengths = {r["doc_id"]: len(WORD.findall(r["text"])) for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in packed} == lengths
+    held, n = np.unique(list(lengths.values()), return_counts=True)
+    assert sorted({r["padded_length"] for r in packed}) == packing.choose_boundaries(held, n, packing.BUCKETS)
 
 
 def _tox(spark, rows, labels):
