@@ -8,7 +8,6 @@ tables that grow are written by Spark; single small files (of the 25 nations) by
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +18,13 @@ from leafmark.operators import matching, ml
 from leafmark.plans import inference
 from leafmark.plans.queries import _BOX, _GAPS, _PER_PAGE, ORACLE_SQL, QUERIES, _parts, _query, _table
 from leafmark.sources import alto, files, pdf
-from leafmark.storage import shared_dir
+from leafmark.storage import scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/leafmark-files-{uuid.uuid4().hex}/{name}"
+    return f"{scratch(spark, 'files')}/{name}"
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> list:

@@ -34,13 +34,21 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage like a reliable checkpoint, but computes the rows once,
-    column-wise and compressed; a lost executor costs nothing already written.
+    column-wise and compressed; a lost executor costs nothing already written. The
+    shuffles behind the rows are of no use then: their files go as soon as the driver's
+    JVM sees that no plan refers to them, so it is asked to look.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/leafmark-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted like a held table."""
+    path = f"{shared_dir(spark).rstrip('/')}/leafmark-{name}-{uuid.uuid4().hex}"
     _HELD.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def held_now() -> int:
