@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import documents, hold, map_rows, workers_find_us
+from leafmark.llm.common import documents, held_now, hold, map_rows, release, workers_find_us
 
 #: Words of an anchor, anchors of which one is chosen, words compared to each side, and
 #: words of a stretch of which the first and last equal anchor are compared.
@@ -216,11 +216,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def _repeats(rows: DataFrame) -> DataFrame:
     """(doc_id, hits): places of anchors to compare, with the words of what is kept."""
+    mark = held_now()
     hits = _first_places(hold(anchors(rows.filter("doc_id is not null and text is not null")), "anchors"))
     # Of anchors near each other that repeat the same stretch, the first and the last reach all between.
     one = hits.select("doc_id", F.col("from.doc_id").alias("kept_id"), F.col("from.at").alias("kept_at"), (F.col("at") - F.col("from.at")).alias("shift"))
     ends = one.groupBy("doc_id", "kept_id", "shift", F.expr(f"kept_at div {SPAN}").alias("span")).agg(F.array_distinct(F.array(F.min("kept_at"), F.max("kept_at"))).alias("ends"))
     hits = hold(ends.select("doc_id", "kept_id", "shift", F.explode("ends").alias("kept_at")), "repeats")
+    release(mark, but=1)  # the anchors
     wanted = hits.groupBy("kept_id").agg(F.collect_set("kept_at").alias("ats")).withColumnRenamed("kept_id", "doc_id")
     sources = hold(_contexts(rows.join(wanted, "doc_id")).groupBy("kept_id", "kept_at").agg(F.min(F.struct("first", "words")).alias("s")).select("kept_id", "kept_at", "s.*"), "sources")
     told = hits.join(sources, ["kept_id", "kept_at"]).select("doc_id", F.struct("kept_id", "shift", "first", "words").alias("hit"))
