@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, quality, toxicity
+from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, piecebpe, quality, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_docs(spark, sf_dir))
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``agrees``: whether the library gives the same ids and text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return piecebpe.encode(_docs(spark, sf_dir), path, ("ids_sha256", "decoded_sha256", "agrees"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op12_piece_bpe": op12_piece_bpe,
 }
 
 _LINE_OK = f"""(regexp_matches(l, '{quality.SENTENCE_END.replace("'", "''")}')
