@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, piecebpe, quality, toxicity
+from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
+from leafmark.llm.common import crc_mod, lower_az
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(_docs(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return manifest.audit(docs, changed={"text": lower_az(docs["text"])}, where=crc_mod(docs["doc_id"], 5) == 0)
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``agrees``: whether the library gives the same ids and text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_piece_bpe": op12_piece_bpe,
 }
 
@@ -83,6 +90,54 @@ _LINE_OK = f"""(regexp_matches(l, '{quality.SENTENCE_END.replace("'", "''")}')
       AND NOT (length(l) <= {quality.MENU_CHARS} AND regexp_matches(l, '{quality.MENU}'))
       AND NOT (length(l) <= {quality.BOILERPLATE_CHARS} AND regexp_matches(l, '{quality.BOILERPLATE}')))"""
 
+
+
+def _merkle_sql(levels: int = 7, fanout: int = manifest.FANOUT) -> str:
+    """Both trees level by level, ``levels`` high: up to 16^7 rows a source and sources.
+
+    ``u{i}`` has the nodes of level i over the rows, ``v{i}`` those over the subroots;
+    ``a`` and ``z`` are the siblings before and after a node in its run.
+    """
+
+    def tree(t: str) -> str:
+        out = []
+        for i in range(levels):
+            run = f"(PARTITION BY g, p // {fanout} ORDER BY p ROWS BETWEEN"
+            out.append(f"""{t}s{i} AS MATERIALIZED (SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS a,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS z FROM {t}{i})""")
+            out.append(f"""{t}{i + 1} AS MATERIALIZED (SELECT g, p // {fanout} AS p, (max(n) + {fanout - 1}) // {fanout} AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE max(h) END AS h
+  FROM {t}{i} GROUP BY g, p // {fanout})""")
+        return ",\n".join(out)
+
+    def climb(t: str, before: str, place: str, names: str) -> str:
+        out = []
+        for i in range(levels):
+            out.append(f"""{t}c{i} AS MATERIALIZED (SELECT {names}, c.proof || coalesce(s.a || s.z, '') AS proof, CASE WHEN s.n > 1 THEN sha256(s.a || c.f || s.z) ELSE c.f END AS f
+  FROM {before} c JOIN {t}s{i} s ON s.g = {"c.g" if t == "u" else "0"} AND s.p = {place} // {fanout**i})""")
+            before = f"{t}c{i}"
+        return ",\n".join(out)
+
+    def leaf(text: str) -> str:
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR))::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+    bits = "list_reduce(list_prepend(xor(x, y), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    crc = f"list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda x, y: {bits})"
+    names = "c.k, c.g, c.p, c.doc_id, c.leaf"
+    return f"""
+WITH l AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bent FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER () AS k, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n FROM l),
+u0 AS (SELECT g, p, n, leaf AS h FROM r),
+{tree("u")},
+v0 AS (SELECT 0 AS g, g AS p, count(*) OVER () AS n, h FROM u{levels}),
+{tree("v")},
+start_ AS (SELECT k, g, p, doc_id, leaf, '' AS proof, coalesce(bent, leaf) AS f FROM r),
+{climb("u", "start_", "c.p", names)},
+{climb("v", f"uc{levels - 1}", "c.g", names)}
+SELECT doc_id, leaf, u{levels}.h AS subroot, v{levels}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = v{levels}.h AS verified
+FROM vc{levels - 1} c JOIN u{levels} USING (g) CROSS JOIN v{levels}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -105,4 +160,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   coalesce(ok_chars::DOUBLE / nullif(all_chars, 0), 0.0) AS kept_share,
   NOT base_failed AND ok_chars >= all_chars * {quality.MIN_KEPT_SHARE}::DOUBLE AS kept
 FROM b""",
+    "op11_merkle_manifest": _merkle_sql(),
 }

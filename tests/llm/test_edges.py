@@ -5,7 +5,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, neardup, packing, piecebpe, quality, toxicity
+from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -20,6 +20,7 @@ OPERATORS = {
     "packing": packing.pack,
     "lmscore": lambda d: lmscore.score(d, PATH),
     "linededup": linededup.dedup,
+    "manifest": lambda d: manifest.audit(d, outputs=("leaf", "subroot", "root", "verified")),
     "piecebpe": lambda d: piecebpe.encode(d, PIECES, ("ids_sha256", "decoded_sha256", "agrees")),
 }
 
