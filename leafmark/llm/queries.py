@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
+from leafmark.llm import bpe, divergence, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
 from leafmark.llm.common import crc_mod, lower_az
 
 
@@ -69,6 +69,10 @@ def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode(_docs(spark, sf_dir), path, ("ids_sha256", "decoded_sha256", "agrees"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_piece_bpe": op12_piece_bpe,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 _LINE_OK = f"""(regexp_matches(l, '{quality.SENTENCE_END.replace("'", "''")}')
@@ -161,4 +166,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND ok_chars >= all_chars * {quality.MIN_KEPT_SHARE}::DOUBLE AS kept
 FROM b""",
     "op11_merkle_manifest": _merkle_sql(),
+    "op13_source_divergence": f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT k) >= {divergence.LEAST_DOCS}),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT d.lang, d.source, coalesce(any_value(s.n), 0)::HUGEINT AS n FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) GROUP BY d.lang, d.source),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + {divergence.SCALE}::HUGEINT * (coalesce(c.n, 0) + {divergence.PRIOR}) // (g.n + {divergence.PRIOR} * v.v) AS p,
+  1 + {divergence.SCALE}::HUGEINT * (kept.total + {divergence.PRIOR}) // (v.n + {divergence.PRIOR} * v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= {divergence.TOP}""",
 }

@@ -5,7 +5,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from leafmark.llm import bpe, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
+from leafmark.llm import bpe, divergence, fingerprint, langid, licenses, linededup, lmscore, manifest, neardup, packing, piecebpe, quality, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -49,6 +49,12 @@ def test_stages(spark, odd_docs, no_docs, stage):
     assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in odd_docs.collect()}
 
 
+def test_divergence_of_odd_rows(odd_docs, no_docs):
+    """One language and source: no pairs, and no term is in thirty documents."""
+    assert divergence.audit(no_docs).collect() == divergence.audit(odd_docs).collect() == []
+    assert divergence.audit(odd_docs, least=1).collect() == []  # the group is the language
+
+
 def test_defined_results(odd_docs):
     q = {r["doc_id"]: r for r in quality.judge(odd_docs).collect()}
     assert q[3]["n_words"] == 0 and q[3]["base_failed"] and not q[3]["kept"]
