@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 from leafmark.functions.ranges import MAX_WINDOW, MIN_WINDOW, SUM_DIGITS, TOP_K, non_overlapping
+from leafmark.storage import hold
 
 
 def reference_vocabulary(reference_pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -21,16 +22,11 @@ def reference_vocabulary(reference_pages: DataFrame, text_col: str = "text") ->
 
 def score_pages(pages: DataFrame, vocabulary: DataFrame, text_col: str = "text") -> DataFrame:
     """(book, page_index, score): Ochiai overlap with the book's vocabulary. Books
-    without a usable reference are absent (see :func:`reference_status`)."""
+    without a usable reference are absent."""
     tokens = pages.select("book", "page_index", T.token_set(F.col(text_col)).alias("tokens"))
     return tokens.join(vocabulary, "book").select("book", "page_index", T.ochiai(F.col("tokens"), F.col("vocabulary")).alias("score"))
 
 
-def reference_status(books: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Books with status ``reference_has_no_text`` where no token was found, else null."""
-    return books.join(vocabulary.select("book", F.lit(True).alias("__has")), "book", "left").withColumn("status", F.when(F.col("__has").isNull(), "reference_has_no_text")).drop("__has")
-
-
 def fixed_window(scores: DataFrame, size: Column | int) -> DataFrame:
     """(book, start, end, top_score, runner_up_score, margin): the window of ``size``
     pages with the best mean, and the best one apart from it. Books whose scores
@@ -46,7 +42,7 @@ def fixed_window(scores: DataFrame, size: Column | int) -> DataFrame:
     books = scores.groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.min(size).alias("asked")).filter("best > 0")
     books = books.select("book", "n", F.greatest(F.lit(1), F.least(F.col("asked"), F.col("n"))).cast("int").alias("w"))
     first, last = F.greatest(F.lit(0), F.col("page_index") - F.col("w") + 1), F.least(F.col("page_index"), F.col("n") - F.col("w")).cast("int")
-    each = scores.join(books, "book").select("book", "w", "page_index", "score", F.explode(F.sequence(first, last)).alias("start"))
+    each = scores.select("book", "page_index", "score").join(books, "book").select("book", "w", "page_index", "score", F.explode(F.sequence(first, last)).alias("start"))
     means = each.groupBy("book", "w", "start").agg(F.round(F.sum("score") / F.col("w"), SUM_DIGITS).alias("mean"))
     rank = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("mean"), "start"))
     few = means.withColumn("rank", rank).filter(F.col("rank") <= most)
@@ -61,14 +57,15 @@ def locate(pages: DataFrame, reference_pages: DataFrame, window: int | None = No
     """Locate each book's reference inside its pages: status, range, score and margin.
 
     The window is the number of reference pages unless given. Status is
-    ``located``, ``reference_has_no_text`` or ``no_candidate``.
+    ``located``, ``reference_has_no_text`` or ``no_candidate``. Scores are held, so texts are
+    read once.
     """
-    vocabulary = reference_vocabulary(reference_pages)
     sizes = reference_pages.groupBy("book").agg(F.count(F.lit(1)).alias("n_reference"))
-    scores = score_pages(pages, vocabulary).join(sizes, "book")
+    books = hold(sizes.join(reference_vocabulary(reference_pages), "book", "left"), "references")
+    known = books.filter("vocabulary is not null")
+    scores = hold(score_pages(pages, known).join(known.select("book", "n_reference"), "book"), "scores")
     found = fixed_window(scores, window or F.col("n_reference"))
-    books = reference_status(sizes.select("book"), vocabulary)
-    out = books.join(found, "book", "left")
+    out = books.select("book", F.when(F.col("vocabulary").isNull(), "reference_has_no_text").alias("status")).join(found, "book", "left")
     return out.withColumn("status", F.coalesce("status", F.when(F.col("start").isNull(), "no_candidate").otherwise("located")))
 
 

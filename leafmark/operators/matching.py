@@ -41,10 +41,10 @@ def open_index(records: DataFrame, source_ranks: dict[str, int]) -> DataFrame:
 
 def match_first(records: DataFrame, books: DataFrame, source_ranks: dict[str, int]) -> DataFrame:
     """Inner match of harvested ISBNs with ``books``: the source of the lowest rank,
-    inside it the earlier record; one row for each ISBN."""
+    inside it the earlier record; one row for each ISBN. Of equal books the least row is taken."""
     ranks = F.create_map(*[F.lit(x) for pair in source_ranks.items() for x in pair])
     first = keep_first(exploded(records).withColumn("source_rank", F.element_at(ranks, F.col("source"))), "isbn", ["source_rank", "rec_no"])
-    return first.join(books.dropDuplicates(["isbn"]), "isbn")
+    return first.join(keep_first(books, "isbn", [c for c in books.columns if c != "isbn"]), "isbn")
 
 
 def unseen(index: DataFrame, seen: DataFrame, seed: int, key: str = "isbn") -> DataFrame:

@@ -1,8 +1,8 @@
 """Scaling, page scorers and leave-one-book-out evaluation.
 
 The linear scorer is fitted by Newton steps in numpy on the class-balanced,
-weighted logistic loss, and applied as one dot product in SQL. The tree scorer is
-Spark ML's boosted trees.
+weighted logistic loss, and applied as one dot product in SQL. Boosted trees are those
+of :mod:`leafmark.operators.boosting`.
 """
 
 from __future__ import annotations
@@ -13,16 +13,15 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.geometry import PAGE_FEATURES
 from leafmark.functions.text import TEXT_FEATURES
+from leafmark.operators import boosting
 from leafmark.operators.pages import CONTEXT_FEATURES
+from leafmark.storage import hold
+from leafmark.workers import find_us
 
 FEATURES = [*PAGE_FEATURES, *CONTEXT_FEATURES, *TEXT_FEATURES]
 MODELS = ("logistic_regression", "gradient_boosting")
@@ -84,26 +83,19 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(found)).withColumns(scaled).select(df.columns)  # one row on the right
 
 
-def balanced(pages: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
-    """Add class_weight: the row's weight times n / (2 * class size)."""
-    n = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("int")).alias("pos")).first()
-    pos, neg = max(1, n["pos"] or 0), max(1, n["n"] - (n["pos"] or 0))
-    return pages.withColumn("class_weight", F.col(weight) * F.when(F.col(label), n["n"] / 2 / pos).otherwise(n["n"] / 2 / neg))
+def fit_boosted(pages: DataFrame, features: list[str] | None = None, how: boosting.Growth = boosting.Growth()) -> boosting.Boosted:
+    """Boosted trees on all rows of ``pages`` (book, features, label, weight)."""
+    return boosting.fit(pages, features or FEATURES, None, how)[0]
 
 
-def fit_trees(pages: DataFrame, features: list[str] | None = None, rounds: int = 20) -> PipelineModel:
-    """Boosted trees on all rows of ``pages`` (features, label, weight)."""
-    rows = balanced(pages).withColumn("y", F.col("label").cast("double"))
-    stages = [VectorAssembler(inputCols=features or FEATURES, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", weightCol="class_weight", maxIter=rounds, seed=0)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def score_trees(model: PipelineModel, pages: DataFrame, name: str = "score") -> DataFrame:
-    return model.transform(pages).withColumn(name, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+def load_model(spark: SparkSession, path: str) -> Linear | boosting.Boosted:
+    """A scorer of either kind that ``save`` wrote."""
+    told = json.loads(spark.read.text(path).first()[0])
+    return boosting.Boosted.of(told) if told.get("kind") == "boosted" else Linear(**told)
 
 
 def _plain(pages: DataFrame, features: list[str]) -> DataFrame:
-    return pages.select("book", "page_index", *[F.col(f).cast("double") for f in features], F.col("label").cast("boolean"), F.col("weight").cast("double"))
+    return pages.select("book", "page_index", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col("label").cast("boolean"), F.col("weight").cast("double"))
 
 
 def _book_figures(rows: DataFrame, features: list[str]) -> pd.DataFrame:
@@ -168,31 +160,28 @@ def _newton(rows: DataFrame, features: list[str], figures: pd.DataFrame, held: l
 def fit_linear(pages: DataFrame, features: list[str] | None = None) -> Linear:
     """Fit on the whole page table, by sums over the tasks."""
     features = features or FEATURES
-    rows = _plain(pages, features).persist()
+    rows = hold(_plain(pages, features), "rows")
     return _newton(rows, features, _book_figures(rows, features), [None])[0]
 
 
-def leave_one_out(pages: DataFrame, features: list[str] | None = None, model: str = MODELS[0]) -> DataFrame:
+def leave_one_out(pages: DataFrame, features: list[str] | None = None, model: str = MODELS[0], how: boosting.Growth = boosting.Growth()) -> DataFrame:
     """(book, page_index, label, score) of every book that has a true page, scored by a
-    model (of ``MODELS``) fitted on all other books.
-
-    The linear models of all books are fitted together; trees are fitted once a book.
+    model (of ``MODELS``) fitted on all other books. The models of all books are fitted
+    together: a pass over the rows serves them all.
     """
     features = features or FEATURES
     if model not in MODELS:
         raise ValueError(f"model must be one of {MODELS}")
-    rows = _plain(pages, features).persist()
+    rows = hold(_plain(pages, features), "rows")
     if model == MODELS[1]:
-        books = sorted(r["book"] for r in rows.filter("label").select("book").distinct().collect())
-        scored = None
-        for book in books:
-            trees = fit_trees(rows.filter(F.col("book") != book), features)
-            part = score_trees(trees, rows.filter(F.col("book") == book)).select("book", "page_index", "label", "score")
-            scored = part if scored is None else scored.unionByName(part)
-        return rows.select("book", "page_index", "label", F.lit(0.0).alias("score")).limit(0) if scored is None else scored
-    figures = _book_figures(rows, features)
-    books = figures.loc[figures["pos"] > 0, "book"].tolist()
-    models = dict(zip(books, _newton(rows, features, figures, books), strict=True))
+        books = [r["book"] for r in rows.filter("label").select("book").distinct().orderBy("book").collect()]
+        fitted = boosting.fit(rows, features, books, how) if books else []
+    else:
+        figures = _book_figures(rows, features)
+        books = figures.loc[figures["pos"] > 0, "book"].tolist()
+        fitted = _newton(rows, features, figures, books)
+    models = dict(zip(books, fitted, strict=True))
+    find_us(rows.sparkSession)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import geometry as G
 from leafmark.operators import locate, pages
+from leafmark.operators.boosting import Boosted
 from leafmark.operators.ml import Linear
 from leafmark.sources import alto
 from leafmark.storage import hold
@@ -31,7 +32,7 @@ def feature_table(page_rows: DataFrame, head: int | None = None, tail: int | Non
     return pages.text_features(pages.book_context(scanned), language_col="language" if "language" in page_rows.columns else None)
 
 
-def locate_pages(page_rows: DataFrame, model: Linear, top_k: int = 3, head: int | None = HEAD_PAGES, tail: int | None = TAIL_PAGES) -> DataFrame:
+def locate_pages(page_rows: DataFrame, model: Linear | Boosted, top_k: int = 3, head: int | None = HEAD_PAGES, tail: int | None = TAIL_PAGES) -> DataFrame:
     """(book, pages): the predicted page indices of each book.
 
     Windows never cross the gap between head and tail. ``top_k`` of 1 or more can't
@@ -43,7 +44,7 @@ def locate_pages(page_rows: DataFrame, model: Linear, top_k: int = 3, head: int
     return best.select("book", F.sequence("start", "end").alias("pages"), "score")
 
 
-def locate_files(spark: SparkSession, path: str, model: Linear, top_k: int = 3, head: int | None = HEAD_PAGES, tail: int | None = TAIL_PAGES) -> DataFrame:
+def locate_files(spark: SparkSession, path: str, model: Linear | Boosted, top_k: int = 3, head: int | None = HEAD_PAGES, tail: int | None = TAIL_PAGES) -> DataFrame:
     """(book, pages, score): from ALTO files to each one's range; ``book`` is the file."""
     lines = alto.read_pages(spark, path).withColumnRenamed("file", "book")
     totals = lines.groupBy("book").agg((F.max("page_index") + 1).alias("total_pages"))

@@ -18,7 +18,7 @@ from leafmark.functions import geometry as G
 from leafmark.functions import ranges as R
 from leafmark.functions import text as T
 from leafmark.operators import labels as L
-from leafmark.operators import locate, matching, metrics, ml, pages, sampling
+from leafmark.operators import boosting, locate, matching, metrics, ml, pages, sampling
 from leafmark.plans import inference
 from leafmark.storage import hold
 from leafmark.streaming import events as E
@@ -42,46 +42,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """book, page_index, total_pages, doc_id, text, language of the stand-in books. Pages
-    are numbered without their texts, once."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text", F.col("lang").alias("language"))
-    placed = hold(pages.number_rows(docs.select("book", "doc_id"), "book", "doc_id", "page_index", total="total_pages"), "numbers")
-    return docs.join(placed, ["book", "doc_id"])
-
-
-_PAGES = (3, 4)
-
-
-def _query(sql: str | None = None):
-    def keep(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return keep
+def _book_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text", F.col("lang").alias("language"))
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """book, doc_id, page_index, total_pages: pages are numbered without their texts, once."""
+    return hold(pages.number_rows(_book_docs(spark, sf_dir).select("book", "doc_id"), "book", "doc_id", "page_index", total="total_pages"), "numbers")
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """book, page_index, total_pages, doc_id, text, language of the stand-in books."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text", F.col("lang").alias("language"))
-    placed = pages.number_rows(docs, "book", "doc_id", "page_index")
-    return placed.join(docs.groupBy("book").agg(F.count(F.lit(1)).cast("int").alias("total_pages")), "book")
+    return _book_docs(spark, sf_dir).join(_places(spark, sf_dir), ["book", "doc_id"])
 
 
 _PAGES = """pages_ AS (SELECT source AS book, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS page_index,
   count(*) OVER (PARTITION BY source)::INT AS total_pages, doc_id, text, lang AS language FROM documents)"""
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = book_pages(spark, sf_dir)
-    words = locate.reference_vocabulary(rows.filter(F.col("page_index").isin(*REFERENCE_PAGES)))
-    return locate.score_pages(rows, words).withColumn("score", F.round("score", 6))
+def _scores(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """book, page_index, score (and what else is asked for of the page's place), held once.
+    Texts are scored where they are read; places join the scores, not the texts."""
+    docs, placed = _book_docs(spark, sf_dir), _places(spark, sf_dir)
+    reference = placed.filter(F.col("page_index").isin(*REFERENCE_PAGES)).select("book", "doc_id")
+    words = locate.reference_vocabulary(docs.join(reference, ["book", "doc_id"]))
+    scored = locate.score_pages(docs.withColumnRenamed("doc_id", "page_index"), words).withColumnRenamed("page_index", "doc_id")
+    return hold(scored.join(placed, ["book", "doc_id"]).select("book", "page_index", F.round("score", 6).alias("score"), *more), "scores")
 
 
 _SCORES = f"""{_PAGES},
@@ -93,7 +79,7 @@ scores_ AS (SELECT book, page_index, round(CASE WHEN len(t) * len(v) > 0
 
 @_query(f"WITH {_PAGES} SELECT book, page_index, doc_id FROM pages_ WHERE page_index < 3 OR page_index >= total_pages - 2")
 def page_scan_head_tail(spark, sf_dir):
-    return pages.scan_head_tail(book_pages(spark, sf_dir), 3, 2).select("book", "page_index", "doc_id")
+    return pages.scan_head_tail(_places(spark, sf_dir), 3, 2).select("book", "page_index", "doc_id")
 
 
 @_query("SELECT source AS book, max(CASE WHEN regexp_matches(text, '\\S') THEN 1 ELSE 0 END) = 1 AS has_text FROM documents GROUP BY source")
@@ -103,7 +89,7 @@ def books_with_text(spark, sf_dir):
 
 @_query(f"WITH {_PAGES} SELECT book, (max(page_index) + 1)::INT AS total_pages FROM pages_ GROUP BY book")
 def page_counts(spark, sf_dir):
-    return pages.page_counts(book_pages(spark, sf_dir))
+    return pages.page_counts(_places(spark, sf_dir))
 
 
 @_query("""WITH u AS (SELECT conv_id AS book, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island
@@ -275,8 +261,7 @@ w AS (SELECT a.book, a.page_index AS s, b.page_index AS e, round(sum(c.score), 9
   JOIN k c ON a.book = c.book AND a.run = c.run AND c.page_index BETWEEN a.page_index AND b.page_index GROUP BY ALL)
 SELECT book, s::INT AS start, e::INT AS "end", round(score, 6) AS score FROM w {_PICK}""")
 def best_range(spark, sf_dir):
-    totals = book_pages(spark, sf_dir).select("book", "total_pages").distinct()
-    kept = pages.with_runs(pages.scan_head_tail(_scores(spark, sf_dir).join(totals, "book"), 4, 3))
+    kept = pages.with_runs(pages.scan_head_tail(_scores(spark, sf_dir, "total_pages"), 4, 3))
     found = locate.best_range(locate.window_sums(kept, keys=("book", "run_start")))
     return found.select("book", "start", "end", F.round("score", 6).alias("score"))
 
@@ -479,7 +464,7 @@ _LABELS = "lab AS (SELECT 'src' || i AS book, CASE WHEN i % 5 <> 0 THEN i % 4 EN
 
 @_query(f"WITH {_PAGES}, {_LABELS} SELECT book, page_index, coalesce(page_index BETWEEN a AND b, false) AS label, 0.5::DOUBLE AS weight FROM pages_ JOIN lab USING (book)")
 def label_pages(spark, sf_dir):
-    return L.label_pages(book_pages(spark, sf_dir), _book_labels(spark)).select("book", "page_index", "label", "weight")
+    return L.label_pages(_places(spark, sf_dir), _book_labels(spark)).select("book", "page_index", "label", "weight")
 
 
 @_query("""WITH p AS (SELECT lang AS language, lower(trim(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))[1])) AS phrase FROM documents)
@@ -549,10 +534,32 @@ def leave_one_book_out(spark, sf_dir):
     return inference.evaluate(_scored_left_out(spark, sf_dir, "logistic_regression"))
 
 
-@_query()
+def _newton_sql(steps: int = 25) -> str:
+    """The fit of :func:`fit_and_score` by the same Newton steps, one after another, each
+    solving three equations by determinants; then the scores."""
+    sums = ", ".join(f"sum(a * (p - y) * z{i}) + {r} * any_value(w{i}) AS g{i}" for i, r in ((0, "1.0"), (1, "1.0"), (2, "1e-9")))
+    sums += ", " + ", ".join(f"sum(a * p * (1 - p) * z{i} * z{j}) + {'1.000000001' if i == j < 2 else '2e-9' if i == j else '0.0'} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+
+    def det(c: list[list[str]]) -> str:
+        return " + ".join(f"{c[0][i]} * ({c[1][j]} * {c[2][k]} - {c[1][k]} * {c[2][j]})" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    solved = ", ".join(f"({det([[f'g{i}' if j == at else h[i][j] for j in range(3)] for i in range(3)])}) / ({det(h)}) AS s{at}" for at in range(3))
+    out = [
+        "x_ AS MATERIALIZED (SELECT p_partkey, p_size * 20 + p_retailprice > 1900 AS label, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS z0, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS z1, 1.0::DOUBLE AS z2 FROM part)",
+        "d_ AS MATERIALIZED (SELECT *, label::INT AS y, count(*) OVER () / 2.0::DOUBLE / greatest(1, count(*) OVER (PARTITION BY label)) AS a FROM x_)",
+        "w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)",
+    ]
+    for k in range(steps):
+        out.append(f"g{k} AS MATERIALIZED (SELECT {sums}, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2 FROM (SELECT *, 1 / (1 + exp(-least(60, greatest(-60, z0 * w0 + z1 * w1 + z2 * w2)))) AS p FROM d_, w{k}))")
+        out.append(f"s{k} AS (SELECT *, least(1.0::DOUBLE, 5 / (greatest(abs(s0), abs(s1), abs(s2)) + 1e-12)) AS t FROM (SELECT w0, w1, w2, {solved} FROM g{k}))")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT w0 - t * s0 AS w0, w1 - t * s1 AS w1, w2 - t * s2 AS w2 FROM s{k})")
+    return f"WITH {', '.join(out)} SELECT p_partkey::INT AS p_partkey, label, round(1 / (1 + exp(-(z0 * w0 + z1 * w1 + w2))), 6)::DOUBLE AS score FROM d_, w{steps}"
+
+
+@_query(_newton_sql())
 def fit_and_score(spark, sf_dir):
-    """A full-data fit on the parts, and the parts' scores; at the optimum the weighted
-    residuals of the classes cancel, which tests check."""
+    """A full-data fit on the parts, and the parts' scores."""
     rows = _table(spark, sf_dir, "part").select(
         F.col("p_brand").alias("book"), F.col("p_partkey").cast("int").alias("page_index"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice", (F.col("p_size") * 20 + F.col("p_retailprice") > 1900).alias("label"), F.lit(1.0).alias("weight")
     )
@@ -560,6 +567,44 @@ def fit_and_score(spark, sf_dir):
     return model.transform(rows).select(F.col("page_index").alias("p_partkey"), "label", F.round("score", 6).alias("score"))
 
 
+_GROWTH = boosting.Growth(rounds=2, leaves=4, least_rows=10, rate=0.3)
+
+
+def _boosted_sql(how: boosting.Growth = _GROWTH) -> str:
+    """All left-out books grown together, a split at a time. ``f`` is the book left out."""
+    one = f"{boosting.ONE}::DOUBLE"
+    out = [
+        _PAGES,
+        _LABELS,
+        "x_ AS MATERIALIZED (SELECT p.book, page_index, coalesce(page_index BETWEEN a AND b, false)::INT AS y, 0.5::DOUBLE AS w, least(length(text) // 200, 200)::DOUBLE AS x0, least(page_index, total_pages - 1 - page_index)::DOUBLE AS x1 FROM pages_ p JOIN lab USING (book))",
+        "t_ AS MATERIALIZED (SELECT f, x_.* FROM (SELECT DISTINCT book AS f FROM x_ WHERE y = 1) JOIN x_ ON true)",
+        "r0 AS MATERIALIZED (SELECT t_.*, s.raw FROM t_ JOIN (SELECT f, ln(sum(w * y) / sum(w) / (1 - sum(w * y) / sum(w))) AS raw FROM t_ WHERE book <> f GROUP BY f) s USING (f))",
+    ]
+    for i in range(how.rounds):
+        out.append(f"n{i}_0 AS MATERIALIZED (SELECT *, round((p - y) * w * {one})::HUGEINT AS g, round(p * (1 - p) * w * {one})::HUGEINT AS h, 0 AS node FROM (SELECT *, 1 / (1 + exp(-raw)) AS p FROM r{i}))")
+        for k in range(how.leaves - 1):
+            n, o = f"n{i}_{k}", "(PARTITION BY f, node, j ORDER BY v)"
+            cells = " UNION ALL ".join(f"SELECT f, node, {j} AS j, x{j} AS v, sum(g) AS g, sum(h) AS h, count(*) AS n FROM {n} WHERE book <> f GROUP BY f, node, x{j}" for j in (0, 1))
+            out.append(f"c{i}_{k} AS MATERIALIZED (SELECT f, node, j, v, sum(g) OVER {o} AS gl, sum(h) OVER {o} AS hl, sum(n) OVER {o} AS nl, sum(g) OVER q AS g, sum(h) OVER q AS h, sum(n) OVER q AS n FROM ({cells}) WINDOW q AS (PARTITION BY f, node, j))")
+            gain = "gl::DOUBLE * gl::DOUBLE / hl + (g - gl)::DOUBLE * (g - gl)::DOUBLE / (h - hl) - g::DOUBLE * g::DOUBLE / h"
+            least = f"nl >= {how.least_rows} AND n - nl >= {how.least_rows} AND least(hl, h - hl) >= {how.least_curvature} * {one}"
+            out.append(f"b{i}_{k} AS MATERIALIZED (SELECT f, node AS at, j, v FROM (SELECT *, {gain} AS gain FROM c{i}_{k} WHERE {least}) WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY f ORDER BY gain DESC, node, j, v) = 1)")
+            out.append(f"n{i}_{k + 1} AS MATERIALIZED (SELECT {n}.* REPLACE (CASE WHEN node = b.at THEN {2 * k + 1} + (CASE b.j WHEN 0 THEN x0 ELSE x1 END > b.v)::INT ELSE node END AS node) FROM {n} LEFT JOIN b{i}_{k} b USING (f))")
+        last = f"n{i}_{how.leaves - 1}"
+        out.append(f"r{i + 1} AS MATERIALIZED (SELECT n.f, n.book, n.page_index, n.y, n.w, n.x0, n.x1, n.raw + l.value AS raw FROM {last} n JOIN (SELECT f, node, -{how.rate} * (sum(g) / {one}) / (sum(h) / {one}) AS value FROM {last} WHERE book <> f GROUP BY f, node) l USING (f, node))")
+    return f"WITH {', '.join(out)} SELECT book, page_index, round(1 / (1 + exp(-raw)), 6)::DOUBLE AS score FROM r{how.rounds} WHERE book = f"
+
+
+@_query(_boosted_sql())
+def boosted_left_out(spark, sf_dir):
+    """Every page of every book with a true page, scored by trees of all other books."""
+    rows = book_pages(spark, sf_dir)
+    edge = F.least("page_index", F.col("total_pages") - 1 - F.col("page_index"))
+    rows = rows.select("book", "page_index", F.least(F.floor(F.length("text") / 200), F.lit(200)).cast("double").alias("size"), edge.cast("double").alias("edge"))
+    scored = ml.leave_one_out(L.label_pages(rows, _book_labels(spark)), ["size", "edge"], "gradient_boosting", _GROWTH)
+    return scored.select("book", "page_index", F.round("score", 6).alias("score"))
+
+
 @_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def tumbling_event_counts(spark, sf_dir):
     found = E.tumbling_counts(_table(spark, sf_dir, "events"))
