@@ -1,6 +1,7 @@
 """Command line: ``python -m leafmark harvest | locate | mine | fetch``.
 
-Each reads and writes folders in any store that Spark reads, and runs where its results aren't there yet.
+``fetch`` and ``locate`` leave a file for each book, so a run that broke off is taken up where
+it ended, and ``locate`` and ``mine`` read what the step before left.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import catalogue as C
+from leafmark.functions import rounding
 from leafmark.operators import labels as L
 from leafmark.operators import locate, matching
-from leafmark.sources import files, harvest, pdf
+from leafmark.sources import files, harvest, pdf, sink
 
 
 def harvested(spark: SparkSession, base: str, sets: str, host: str) -> DataFrame:
@@ -23,9 +25,30 @@ def harvested(spark: SparkSession, base: str, sets: str, host: str) -> DataFrame
     return rows.select(C.parse_oai_record(F.col("record"), host).alias("r")).filter("r is not null").select("r.*")
 
 
-def located(spark: SparkSession, folder: str, parse=pdf.parse_pages) -> DataFrame:
-    """A label for each pair of files, of whatever status."""
+def fetched(spark: SparkSession, manifest: str, folder: str) -> DataFrame:
+    """Both files of each book, where they aren't there yet; what became of each book of
+    this and earlier runs."""
+    entries = spark.read.schema(files.MANIFEST_TYPE).json(manifest)
+    there = files.list_files(spark, folder, "*.pdf") if files.there(spark, folder) else spark.createDataFrame([], "path string, name string")
+    told = f"{folder.rstrip('/')}.statuses"
+    sink.save_files(sink.wanted_files(entries, there), folder, publish="each", errors="report", statuses=told)
+    return sink.read_statuses(spark, told) if files.there(spark, told) else spark.createDataFrame([], sink.STATUS_TYPE)
+
+
+def labelled(spark: SparkSession, folder: str, out: str, again: bool = False, parse=pdf.parse_pages) -> None:
+    """A label file for each pair of files that has none yet, or for all of them."""
+    done = files.list_files(spark, out, "*.json").select(F.regexp_replace("name", r"\.json$", "").alias("isbn")) if not again and files.there(spark, out) else None
+    rows = located(spark, folder, parse, done)
+    places = {c: rounding.round_half_even(F.col(c), 4) for c in ("top_score", "margin")}
+    found = F.col("status") == "located"
+    rows = rows.withColumns(places | {"method": F.when(found, "text_token_ochiai_fixed_window"), "verified": F.when(found, False)})
+    sink.save_json(rows.select("isbn", "status", "toc_start_index", "toc_end_index", "top_score", "margin", "method", "verified", "error"), "isbn", out)
+
+
+def located(spark: SparkSession, folder: str, parse=pdf.parse_pages, but: DataFrame | None = None) -> DataFrame:
+    """A label for each pair of files, of whatever status; not for the books (isbn) of ``but``."""
     pairs = matching.file_pairs(files.list_files(spark, folder, "*.pdf"))
+    pairs = pairs.join(but, "isbn", "left_anti") if but is not None else pairs
     pages = pdf.read_texts(spark, folder, parse=parse)
 
     def side(name: str) -> DataFrame:
@@ -44,7 +67,7 @@ def mined(spark: SparkSession, folder: str, labels: str, languages: str, min_cou
     """Headings of located contents pages, counted by language."""
     listing = files.list_files(spark, folder, "*.fulltext.pdf").select(F.regexp_replace("name", r"\.fulltext\.pdf$", "").alias("isbn"), "path")
     books = files.read_books_manifest(spark, languages).select(F.col("key").alias("isbn"), "language")
-    named = L.located_rows(files.read_labels(spark, labels, by_line=True), listing, books)
+    named = L.located_rows(files.read_labels(spark, labels), listing, books)
     pages = pdf.read_texts(spark, folder, parse=parse).filter("status = 'ok'").join(named.select(F.col("pdf_path").alias("book"), "key"), "book")
     return L.mine_candidates(pages.drop("book").withColumnRenamed("key", "book"), named, min_count)
 
@@ -54,9 +77,9 @@ def main(args: list[str] | None = None) -> None:
     tasks = parser.add_subparsers(dest="task", required=True)
     for name, options in {
         "harvest": {"base": None, "sets": None, "host": None, "out": None},
-        "locate": {"folder": None, "out": None},
+        "locate": {"folder": None, "out": None, "again": 0},
         "mine": {"folder": None, "labels": None, "manifest": None, "out": None, "min-count": 2},
-        "fetch": {"manifest": None, "folder": None, "out": None},
+        "fetch": {"manifest": None, "folder": None},
     }.items():
         task = tasks.add_parser(name)
         for option, default in options.items():
@@ -66,14 +89,11 @@ def main(args: list[str] | None = None) -> None:
     if told.task == "harvest":
         files.write_lines(harvested(spark, told.base, told.sets, told.host), told.out)
     elif told.task == "locate":
-        files.write_labels(located(spark, told.folder), told.out)
+        labelled(spark, told.folder, told.out, bool(told.again))
     elif told.task == "mine":
         files.write_headings(mined(spark, told.folder, told.labels, told.manifest, told.min_count), told.out)
     else:
-        entries = spark.read.schema(files.MANIFEST_TYPE).json(told.manifest)
-        got = harvest.download_pairs(matching.to_fetch(entries, files.list_files(spark, told.folder, "*.pdf")))
-        got.write.mode("overwrite").parquet(told.out)
-        matching.tally(spark.read.parquet(told.out)).show()
+        matching.tally(fetched(spark, told.manifest, told.folder)).show()
 
 
 if __name__ == "__main__":

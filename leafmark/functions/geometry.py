@@ -5,9 +5,14 @@ A word is struct<text,x0,x1,top,bottom,size>; a text line struct<top,words>.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmark.functions.rounding import round_half_even
+
 WORD_TYPE = "struct<text:string,x0:double,x1:double,top:double,bottom:double,size:double>"
 LINE_TYPE = f"struct<top:double,words:array<{WORD_TYPE}>>"
 
@@ -29,22 +34,43 @@ def _field(x: Column, path: str) -> Column:
     return x
 
 
+def first_lines(tops: list[float | None]) -> list[int]:
+    """Places of the lines that begin a group, in ascending ``tops`` (null or NaN ones last):
+    from each the next is the first that lies more than the tolerance below it, found by search."""
+    valid = next((i for i in range(len(tops) - 1, -1, -1) if tops[i] is not None and tops[i] == tops[i]), -1) + 1
+    out, at = [], 0
+    while at < valid:
+        out.append(at)
+        top = tops[at]
+        at = bisect_right(tops, LINE_TOLERANCE, at + 1, valid, key=lambda t: t - top)  # noqa: B023
+    return out + list(range(valid, len(tops)))
+
+
+def _group_starts(tops: Column) -> Column:
+    @F.pandas_udf("array<int>")
+    def starts(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else first_lines(list(t)) for t in batch], dtype=object)
+
+    return starts(tops)
+
+
 def visual_lines(text_lines: Column) -> Column:
     """array<array<word>>: lines within the tolerance of their group's first, words by x0.
 
-    Groups are anchored at their first line, so this is a fold, not a gap session.
+    Groups are anchored at their first line, so the next group's place depends on this one's:
+    the tops alone go to Arrow batches, and the groups are slices of the sorted lines, so a
+    page of any number of lines takes time in proportion (but for sorting).
     """
-    group = F.expr(f"cast(array() as array<{LINE_TYPE}>)")
+    ordered = _by(text_lines, "top", "words.0.x0")
+    starts = _group_starts(F.transform(ordered, lambda line: line["top"]))
+    places = F.transform(starts, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
+    bound = F.struct(ordered.alias("l"), places.alias("p"), starts.alias("s"))
 
-    def add(groups: Column, line: Column) -> Column:
-        last = F.element_at(groups, -1)
-        near = (F.size(groups) > 0) & (F.abs(line["top"] - F.get(F.get(groups, F.size(groups) - 1), F.lit(0))["top"]) <= LINE_TOLERANCE)
-        grown = F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(F.concat(last, F.array(line))))
-        return F.when(near, grown).otherwise(F.concat(groups, F.array(F.array(line))))
+    def sliced(x: Column) -> Column:
+        after = lambda p: F.coalesce(F.get(x["s"], p["i"] + 1), F.size(x["l"]))
+        return F.transform(x["p"], lambda p: _by(F.flatten(F.transform(F.slice(x["l"], p["s"] + 1, after(p) - p["s"]), lambda line: line["words"])), "x0"))
 
-    start = F.slice(F.array(group), 1, 0)
-    groups = F.aggregate(_by(text_lines, "top", "words.0.x0"), start, add)
-    return F.transform(groups, lambda g: _by(F.flatten(F.transform(g, lambda x: x["words"])), "x0"))
+    return F.get(F.transform(F.array(bound), sliced), F.lit(0))
 
 
 def line_text(words: Column) -> Column:
@@ -77,7 +103,7 @@ def page_features(lines: str, height: str, width: str) -> Column:
     """struct of the seven page features and max_font_size, modal_font_size.
 
     ``lines``: visual lines. A page without lines, height or width is all zeros.
-    Sizes are rounded to one place half up before the mode is taken.
+    Sizes are rounded to one place, ties to even, before the mode is taken.
     """
     ln, h, w = F.col(lines), F.col(height), F.col(width)
     sizes = F.transform(ln, lambda x: _mean(F.transform(x, lambda y: y["size"])))
@@ -85,7 +111,7 @@ def page_features(lines: str, height: str, width: str) -> Column:
     mean = _mean(lefts)
     n = F.size(ln)
     variance = F.when(n > 1, F.aggregate(lefts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)).otherwise(F.lit(0.0))
-    modal, top = _modal(F.transform(sizes, lambda s: F.round(s, 1))), F.array_max(sizes)
+    modal, top = _modal(F.transform(sizes, lambda s: round_half_even(s, 1))), F.array_max(sizes)
     made = {
         "line_count": n.cast("double"),
         "font_size_max_ratio": F.when(modal != 0, top / modal).otherwise(F.lit(1.0)),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 from leafmark.functions.geometry import PAGE_FEATURES
+from leafmark.functions.keywords import keyword_hits
 
 CONTEXT_FEATURES = ["line_count_rel", "font_size_max_ratio_book", "edge_distance"]
 
@@ -100,18 +101,28 @@ def book_context(pages: DataFrame) -> DataFrame:
     return joined.withColumns({"line_count_rel": F.col("line_count") / lines, "font_size_max_ratio_book": font, "edge_distance": edge}).drop("__book", "__lines", "__body")
 
 
+#: Keywords from which on an automaton looks for all at once.
+MANY_KEYWORDS = 64
+
+
 def text_features(pages: DataFrame, keywords: dict[str, list[str]] | None = T.KEYWORDS, text_col: str = "text", language_col: str | None = "language") -> DataFrame:
-    """Add the five text features; ``keywords=None`` turns both keyword hits to 0.0."""
+    """Add the five text features; ``keywords=None`` turns both keyword hits to 0.0. A few
+    keywords are a chain of expressions; many (mined ones) an automaton, so the plan doesn't grow."""
     pages = pages.withColumn("__lines", T.lines(F.col(text_col)))
     ln, words = F.col("__lines"), [w for group in (keywords or {}).values() for w in group]
     head = T.opening(ln)
-    same = T.same_language_hit(head, F.col(language_col), keywords) if keywords and language_col else F.lit(0.0)
+    language = F.col(language_col) if language_col else F.lit(None).cast("string")
+    if len(words) > MANY_KEYWORDS:
+        pages = pages.withColumn("__hits", keyword_hits(pages.sparkSession, head, language, keywords))
+        hit, same = F.col("__hits.any_language"), F.col("__hits.same_language")
+    else:
+        hit, same = T.keyword_hit(head, words), T.same_language_hit(head, language, keywords or {})
     return pages.withColumns(
         {
             "toc_line_ratio": T.toc_line_ratio(ln),
             "digit_density": T.digit_density(F.col(text_col)),
             "monotonic_page_numbers": T.increasing(T.page_numbers(ln)),
-            "keyword_hit_any_language": T.keyword_hit(head, words),
+            "keyword_hit_any_language": hit,
             "keyword_hit_same_language": same,
         }
-    ).drop("__lines")
+    ).drop("__lines", "__hits")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import catalogue as C
 from leafmark.operators import matching, sampling
 from leafmark.sources import harvest
+from leafmark.storage import hold
 
 FRACTIONS = {"language": 0.4, "domain_bucket": 0.25}
 
@@ -25,11 +26,11 @@ def discover(
     ended. Of the rest of the index ``tries`` x ``target`` ISBNs are looked up, in seeded order.
     """
     wanted = matching.unseen(index, cache, seed).orderBy("draw", "isbn").limit(tries * target).select("isbn")
-    answers = harvest.search_records(wanted, base, get).persist()
+    answers = hold(harvest.search_records(wanted, base, get), "answers")
     fresh = answers.filter("status = 'ok'").select("isbn", F.from_json("answer", C.RECORD_TYPE).alias("record"))
     known = cache.select("isbn", "record").withColumn("__turn", F.lit(0)).unionByName(fresh.withColumn("__turn", F.lit(1)))
     usable = known.filter(C.record_matches(F.col("record"))).select("__turn", F.xxhash64("isbn", F.lit(seed)).alias("draw"), C.record_features(F.col("record")).alias("f"))
     entries = matching.manifest_entries(usable.select("__turn", "draw", "f.*"), index)
-    once = matching.keep_first(entries, "isbn", ["__turn", "draw"])
     order = F.concat_ws("-", "__turn", F.lpad(F.hex("draw"), 16, "0"), "isbn")
-    return sampling.sample_many(once.withColumn("order", order), fractions or FRACTIONS, "order", target).drop("order", "__turn", "draw"), answers
+    once = hold(matching.keep_first(entries, "isbn", ["__turn", "draw"]).withColumn("order", order), "candidates")
+    return sampling.sample_many(once, fractions or FRACTIONS, "order", target).drop("order", "__turn", "draw"), answers

@@ -8,16 +8,18 @@ tables that grow are written by Spark; single small files (of the 25 nations) by
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import geometry as G
+from leafmark.functions import rounding
 from leafmark.operators import labels as L
 from leafmark.operators import matching, ml
 from leafmark.plans import inference
 from leafmark.plans.queries import _BOX, _GAPS, _PER_PAGE, ORACLE_SQL, QUERIES, _parts, _query, _table
-from leafmark.sources import alto, files, pdf
+from leafmark.sources import alto, files, pdf, sink
 from leafmark.storage import scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -251,8 +253,7 @@ def headings_file(spark, sf_dir):
     rows = _table(spark, sf_dir, "part").select(F.col("p_type").alias("text"), F.lower("p_brand").alias("language"))
     path = _folder(spark, "headings")
     files.write_headings(L.phrase_counts(rows, 3), path)
-    found = spark.read.schema("language string, phrases map<string,long>").json(path)
-    return found.select("language", F.explode("phrases").alias("phrase", "n"))
+    return spark.read.schema("phrase string, n long, language string").json(path).select("language", "phrase", "n")
 
 
 @_query("SELECT r_name AS language, lower(n_name) AS word FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -267,20 +268,75 @@ def keyword_file(spark, sf_dir):
     return spark.createDataFrame([(k, w) for k, some in files.read_keywords(spark, path).items() for w in some], "language string, word string")
 
 
-# PDF: files whose pages are parted by form feeds stand for ones that need a parser.
+@_query("SELECT c_custkey::VARCHAR AS isbn, CASE WHEN c_acctbal > 0 THEN 'located' ELSE 'no_candidate' END AS status, CASE WHEN c_acctbal > 0 THEN c_nationkey END::INT AS toc_start_index, CASE WHEN c_acctbal > 0 THEN format('{:.4f}', c_acctbal / 16384)::DOUBLE END AS top_score FROM customer")
+def label_file_each(spark, sf_dir):
+    """A label file for each book, of fields that aren't null, published together and read again."""
+    some = F.col("c_acctbal") > 0
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("isbn"), F.when(some, "located").otherwise("no_candidate").alias("status"), F.when(some, F.col("c_nationkey").cast("int")).alias("toc_start_index"),
+        F.when(some, rounding.round_half_even(F.col("c_acctbal") / 16384, 4)).alias("top_score"),
+    )
+    path = _folder(spark, "labels")
+    sink.save_json(rows, "isbn", path)
+    return files.read_labels(spark, path).select("isbn", "status", "toc_start_index", "top_score")
+
+
+# PDF: files without pages but with the tables of real ones, and texts behind their end, parted
+# by form feeds, that stand for pages. A table of objects, compressed ones, a revision that
+# takes pages back, or no table; a nested dictionary before the type.
+def _pdf(n_pages: int, kind: int) -> bytes:
+    out, places = bytearray(b"%PDF-1.7\n"), {}
+
+    def put(number: int, body: bytes) -> None:
+        places[number] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (number, body))
+
+    def tree(n: int) -> bytes:
+        return b"<< /Resources << /Font << >> /Count 77 >> /Type /Pages /Kids [] /Count %d >>" % n
+
+    def table(size: int, more: bytes = b"") -> int:
+        at = len(out)
+        out.extend(b"xref\n" + b"".join(b"%d 1\n%010d 00000 n \n" % (k, places[k]) for k in sorted(places)) + b"trailer\n<< /Size %d /Root 1 0 R %s >>\nstartxref\n%d\n%%%%EOF\n" % (size, more, at))
+        return at
+
+    if kind == 1:
+        inside = [b"<< /Type /Catalog /Pages 2 0 R >>", tree(n_pages)]
+        body = b"1 0 2 %d " % (len(inside[0]) + 1)
+        packed = zlib.compress(body + b" ".join(inside))
+        put(3, b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(body), len(packed), packed))
+        at, fields = len(out), [(0, 0, 255), (2, 3, 0), (2, 3, 1), (1, places[3], 0), (1, len(out), 0)]
+        rows, above = b"", bytes(5)
+        for a, b, c in fields:
+            row = bytes([a]) + b.to_bytes(3, "big") + bytes([c])
+            rows, above = rows + b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True)), row
+        packed = zlib.compress(rows)
+        put(4, b"<< /Type /XRef /Size 5 /W [1 3 1] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 5 >> /Length %d >>\nstream\n%s\nendstream" % (len(packed), packed))
+        return bytes(out) + b"startxref\n%d\n%%%%EOF\n" % at
+    put(1, b"<< /Type /Catalog /Pages 2 0 R >>")
+    put(2, tree(n_pages + (9 if kind == 2 else 0)))
+    if kind == 3:
+        return bytes(out)
+    before = table(3)
+    if kind == 2:  # a revision with fewer pages
+        places.clear()
+        put(2, tree(n_pages))
+        table(3, b"/Prev %d" % before)
+    return bytes(out)
+
+
 def _write_pdfs(spark: SparkSession, sf_dir: str) -> str:
     root = _folder(spark, "pdfs")
     for r in _nations(spark, sf_dir):
         n = r["n_nationkey"]
-        tree = f"1 0 obj << /Type /Pages /Kids [] /Count {n % 5 + 1} >> endobj\n" if n % 2 else ""
-        files.put_file(spark, f"{root}/{n}.pdf", b"%broken" if n % 9 == 8 else (tree + "\f".join(f"{r['n_name']} {k}" for k in range(n % 5 + 1))).encode())
+        texts = "\f".join(f"{r['n_name']} {k}" for k in range(n % 5 + 1))
+        files.put_file(spark, f"{root}/{n}.pdf", b"%broken" if n % 9 == 8 else _pdf(n % 5 + 1, n % 4) + b"%%TEXT\n" + texts.encode())
     return root
 
 
 def _parse(content: bytes) -> list[str]:
     if content == b"%broken":
         raise ValueError("no pages")
-    return content.decode().split("endobj\n")[-1].split("\f")
+    return content.split(b"%%TEXT\n")[-1].decode().split("\f")
 
 
 @_query("""SELECT n_nationkey::BIGINT AS book, k::INT AS page_index, n_name || ' ' || k AS text, (n_nationkey % 5 + 1)::INT AS total_pages, 'ok' AS status FROM nation, range(2) t(k) WHERE n_nationkey % 9 <> 8 AND k < n_nationkey % 5 + 1
@@ -291,8 +347,12 @@ def pdf_texts(spark, sf_dir):
     return rows.select(F.regexp_extract("book", r"(\d+)\.pdf$", 1).cast("long").alias("book"), "page_index", "text", "total_pages", "status")
 
 
+def _unread(content: bytes) -> list[str]:
+    raise ValueError("pages needn't be read for their number")
+
+
 @_query("SELECT n_nationkey::BIGINT AS book, CASE WHEN n_nationkey % 9 = 8 THEN 0 ELSE n_nationkey % 5 + 1 END::INT AS total_pages, CASE WHEN n_nationkey % 9 = 8 THEN 'error' ELSE 'ok' END AS status FROM nation")
 def pdf_page_counts(spark, sf_dir):
-    """The page tree's count where a file shows it, else its parsed pages."""
-    rows = pdf.read_page_counts(spark, _write_pdfs(spark, sf_dir), _parse)
+    """Counts by the files' tables, or by their objects; a file that has neither can't be read."""
+    rows = pdf.read_page_counts(spark, _write_pdfs(spark, sf_dir), _unread)
     return rows.select(F.regexp_extract("book", r"(\d+)\.pdf$", 1).cast("long").alias("book"), "total_pages", "status")

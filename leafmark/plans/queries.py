@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from leafmark.functions import catalogue as C
 from leafmark.functions import geometry as G
 from leafmark.functions import ranges as R
+from leafmark.functions import rounding
 from leafmark.functions import text as T
+from leafmark.functions.keywords import keyword_hits as keyword_hits_of
 from leafmark.operators import labels as L
 from leafmark.operators import boosting, locate, matching, metrics, ml, pages, sampling
 from leafmark.plans import inference
@@ -202,6 +204,30 @@ def keyword_hits(spark, sf_dir):
     return rows.select("doc_id", T.keyword_hit(F.col("o"), words).alias("any_language"), T.same_language_hit(F.col("o"), F.col("lang"), _STAND_IN).alias("same_language"))
 
 
+#: Mined keywords stood in by a rule: every 97th of all words of three letters and an e, by first letter in four languages.
+_MANY = [(f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}e", ("en", "de", "fr", "es")[i // 676 % 4]) for i in range(0, 26**3, 97)]
+
+
+@_query("""WITH k AS (SELECT chr((97 + i // 676)::INT) || chr((97 + i // 26 % 26)::INT) || chr((97 + i % 26)::INT) || 'e' AS word, ['en', 'de', 'fr', 'es'][i // 676 % 4 + 1] AS of FROM range(0, 17576, 97) t(i)),
+l AS (SELECT doc_id, lang, lower(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))[1:5], ' ')) AS o FROM documents)
+SELECT doc_id, max(contains(o, word)::INT)::DOUBLE AS any_language, max((contains(o, word) AND of = lang)::INT)::DOUBLE AS same_language FROM l, k GROUP BY doc_id""")
+def many_keyword_hits(spark, sf_dir):
+    """All keywords are looked for at once."""
+    words: dict[str, list[str]] = {}
+    for word, language in _MANY:
+        words.setdefault(language, []).append(word)
+    rows = _table(spark, sf_dir, "documents")
+    hits = keyword_hits_of(spark, T.opening(T.lines(F.col("text"))), F.col("lang"), words)
+    return rows.select("doc_id", hits.alias("h")).select("doc_id", "h.any_language", "h.same_language")
+
+
+@_query("""SELECT p_partkey, format('{:.1f}', p_size / 8.0::DOUBLE)::DOUBLE AS eighths, format('{:.2f}', p_retailprice / 7)::DOUBLE AS sevenths, format('{:.4f}', p_retailprice / 32)::DOUBLE AS parts FROM part""")
+def rounded_places(spark, sf_dir):
+    """Rounding by what a double is, ties to even."""
+    size, price = F.col("p_size") / 8.0, F.col("p_retailprice")
+    return _table(spark, sf_dir, "part").select("p_partkey", rounding.round_half_even(size, 1).alias("eighths"), rounding.round_half_even(price / 7, 2).alias("sevenths"), rounding.round_half_even(price / 32, 4).alias("parts"))
+
+
 _ROMAN = ", ".join(f"({n}, '{T.roman(n)}')" for n in range(1, T.ROMAN_MAX + 1))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.catalogue import RECORD_TYPE
+from leafmark.functions.rounding import round_half_even
 
 LABEL_TYPE = "isbn string, status string, toc_start_index int, toc_end_index int, top_score double, margin double, method string, verified boolean, correction_note string, error string"
 RECORD_LINE = "isbns array<string>, handle string, title string, pdf_urls array<string>"
@@ -17,7 +18,7 @@ def file_name() -> Column:
     return F.col("_metadata.file_name")
 
 
-def _there(spark: SparkSession, pattern: str) -> bool:
+def there(spark: SparkSession, pattern: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
     return found is not None and len(found) > 0
@@ -54,9 +55,9 @@ def read_labels(spark: SparkSession, root: str, by_line: bool = False) -> DataFr
 
 def discover_corpora(spark: SparkSession, root: str) -> list[str]:
     """The folder itself if it holds expected files, else its sub-folders that do, sorted."""
-    if _there(spark, f"{root}/*.expected.json"):
+    if there(spark, f"{root}/*.expected.json"):
         return [root]
-    if not _there(spark, f"{root}/*/*.expected.json"):
+    if not there(spark, f"{root}/*/*.expected.json"):
         return []
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*.expected.json")
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
@@ -73,7 +74,7 @@ def read_expected(spark: SparkSession, corpus: str) -> DataFrame:
     rows = texts.select(F.regexp_replace(file_name(), r"\.expected\.json$", "").alias("key"), F.array_contains(F.json_object_keys("value"), "toc").alias("has"), toc.alias("toc"))
     pdfs = list_files(spark, corpus, "*.pdf").select(F.regexp_replace("name", r"\.pdf$", "").alias("key"), F.col("path").alias("pdf_path"))
     rows = rows.filter("has").join(pdfs, "key")
-    if _there(spark, f"{corpus}/manifest.json"):
+    if there(spark, f"{corpus}/manifest.json"):
         text = spark.read.option("wholetext", "true").text(f"{corpus}/manifest.json")
         books = text.select(F.explode(F.from_json("value", _BOOKS)["books"]).alias("b"))
         books = books.select(F.regexp_replace("b.filename", r"\.[^.]*$", "").alias("key"), "b.language", "b.extraction_type")
@@ -94,7 +95,7 @@ def read_expected(spark: SparkSession, corpus: str) -> DataFrame:
 
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
     """Harvested records, one JSON object a line; a missing file is empty."""
-    if not _there(spark, path):
+    if not there(spark, path):
         return spark.createDataFrame([], RECORD_LINE)
     return spark.read.schema(RECORD_LINE).json(path)
 
@@ -118,8 +119,8 @@ def read_books_manifest(spark: SparkSession, path: str, folder: str | None = Non
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    """One folder for each status; scores have four places."""
-    rounded = {c: F.round(c, 4) for c in ("top_score", "margin") if c in labels.columns}
+    """One folder for each status, a line a book; scores have four places."""
+    rounded = {c: round_half_even(F.col(c), 4) for c in ("top_score", "margin") if c in labels.columns}
     labels.withColumns(rounded).write.mode("overwrite").partitionBy("status").json(path)
 
 
@@ -129,9 +130,9 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_headings(counts: DataFrame, path: str) -> None:
-    """One line for each language, its phrases sorted, for review."""
-    pairs = F.array_sort(F.collect_list(F.struct("phrase", "n")))
-    counts.groupBy("language").agg(F.map_from_entries(pairs).alias("phrases")).orderBy("language").coalesce(1).write.mode("overwrite").json(path)
+    """For review: a folder for each language, a line for each phrase, sorted within a file;
+    files are parts of one order by language and phrase."""
+    counts.repartitionByRange("language", "phrase").sortWithinPartitions("language", "phrase").write.mode("overwrite").partitionBy("language").json(path)
 
 
 def key_set(df: DataFrame, key: str) -> tuple[int, str]:
@@ -144,7 +145,7 @@ def cached_table(build, keys: DataFrame, key: str, path: str, rebuild: bool = Fa
     """The table at ``path`` if it was built for just these keys, else ``build()``, kept there."""
     spark = keys.sparkSession
     want = key_set(keys, key)
-    if not rebuild and _there(spark, f"{path}/keys/_SUCCESS"):
+    if not rebuild and there(spark, f"{path}/keys/_SUCCESS"):
         got = spark.read.schema("n long, h string").json(f"{path}/keys").first()
         if (got["n"], got["h"]) == want:
             return spark.read.parquet(f"{path}/table")

@@ -8,16 +8,19 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from typing import NamedTuple, TypeVar
 
 import pandas as pd
+from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from leafmark.functions import catalogue
+from leafmark.workers import find_us
 
 T = TypeVar("T")
 PAUSE = 0.5
@@ -51,6 +54,13 @@ def fetch(url: str, patience: Patience = Patience(), get=urllib.request.urlopen)
     return patience.attempt(once)
 
 
+def opened(path: str) -> tuple[stores.FileSystem, str]:
+    """The store and the path in it, of an address, or of a path that all machines share."""
+    at = path if "://" in path or path.startswith("/") else path.replace("file:", "file://", 1)
+    store, root = stores.FileSystem.from_uri(at)
+    return store, root.rstrip("/")
+
+
 class Page(NamedTuple):
     """An answer of a harvest: its records, and the token of the next (empty on the last)."""
 
@@ -92,28 +102,105 @@ class _Batch(DataSourceReader):
             yield partition.value, n, record
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """One answer a batch; the offset is the next token and the records so far."""
+class Notes:
+    """What is known of a set's answers, in a folder that driver and executors share: for each
+    answer that may be asked for, its token (null behind the last) and the records before it.
+    A note gets its name once it is whole, and is written alike whoever writes it."""
 
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, folder: str):
+        self.store, self.root = opened(folder)
 
-    def initialOffset(self) -> dict:
-        return {"token": "", "at": 0, "done": False}
+    def _folder(self, of: str) -> str:
+        return f"{self.root}/{urllib.parse.quote(of, safe='')}"
+
+    def put(self, of: str, n: int, token: str | None, at: int) -> None:
+        folder = self._folder(of)
+        self.store.create_dir(folder, recursive=True)
+        draft = f"{folder}/_{uuid.uuid4().hex}"
+        with self.store.open_output_stream(draft) as out:
+            out.write(json.dumps({"token": token, "at": at}).encode())
+        self.store.move(draft, f"{folder}/{n}.json")
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        if start["done"]:
-            return iter([]), start
-        found = next(pages(self.options["base"], self.options["sets"], start["token"]))
-        rows = [(self.options["sets"], n, r) for n, r in enumerate(found.records, start["at"])]
-        return iter(rows), {"token": found.token, "at": start["at"] + len(rows), "done": not found.token}
+    def get(self, of: str, n: int) -> dict | None:
+        """Token and records before answer ``n``; the first needs no note."""
+        if not n:
+            return {"token": "", "at": 0}
+        try:
+            with self.store.open_input_stream(f"{self._folder(of)}/{n}.json") as note:
+                return json.loads(note.read())
+        except FileNotFoundError:
+            return None
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self.read(start)[0]
+    def reached(self, of: str, read: int = 0) -> int:
+        """The answers that can be asked for without asking for another first. Of a set of which
+        ``read`` were read and the next one's note is lost, one more: it is traced again."""
+        found = self.store.get_file_info(stores.FileSelector(self._folder(of), allow_not_found=True))
+        last = max((int(f.base_name.removesuffix(".json")) for f in found if f.base_name.endswith(".json")), default=0)
+        note = self.get(of, max(last, read))
+        return max(last, read) + (note is None or note["token"] is not None)
+
+
+@dataclass
+class _Stretch(InputPartition):
+    """Answers ``first`` to ``last`` (not included) of a set."""
+
+    of: str
+    first: int
+    last: int
+
+
+class _Stream(DataSourceStreamReader):
+    """A partition a set; the offset is each set's number of answers read. An executor that
+    asks for an answer notes the token of the next, so each batch takes every set an answer
+    further; a batch that is run again reads the same answers by their notes."""
+
+    def __init__(self, options: dict):
+        if "notes" not in options:
+            raise ValueError("a harvest stream needs the option notes: a folder that the driver and all executors share")
+        self.options, self.sets, self.read_so_far = options, options["sets"].split(","), {}
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.sets, 0)
+
+    def latestOffset(self) -> dict:
+        notes = Notes(self.options["notes"])
+        return {s: notes.reached(s, self.read_so_far.get(s, 0)) for s in self.sets}
+
+    def commit(self, end: dict) -> None:
+        self.read_so_far = end
+
+    def partitions(self, start: dict, end: dict) -> list[_Stretch]:
+        self.read_so_far = {s: max(n, self.read_so_far.get(s, 0)) for s, n in start.items()}
+        return [_Stretch(s, start.get(s, 0), n) for s, n in end.items() if n > start.get(s, 0)]
+
+    def read(self, partition: _Stretch) -> Iterator[tuple]:
+        notes, base = Notes(self.options["notes"]), self.options["base"]
+        for n in range(partition.first, partition.last):
+            note = notes.get(partition.of, n) or _retraced(notes, base, partition.of, n)
+            if note["token"] is None:
+                return
+            if n:
+                time.sleep(float(self.options.get("pause", PAUSE)))
+            found = Page.of(fetch(page_url(base, partition.of, note["token"])).decode("utf-8"))
+            notes.put(partition.of, n + 1, found.token or None, note["at"] + len(found.records))
+            for i, record in enumerate(found.records, note["at"]):
+                yield partition.of, i, record
+
+
+def _retraced(notes: Notes, base: str, of: str, n: int) -> dict:
+    """The note of answer ``n`` where it was lost: the answers before it are asked for again."""
+    at = 0
+    for i, found in enumerate(pages(base, of), 1):
+        at += len(found.records)
+        notes.put(of, i, found.token or None, at)
+        if i == n:
+            break
+    return notes.get(of, n) or {"token": None, "at": at}
 
 
 class OaiSource(DataSource):
-    """``spark.read.format("oai").option("base", ..).option("sets", "a,b")``."""
+    """``spark.read.format("oai").option("base", ..).option("sets", "a,b")``; as a stream also
+    with ``notes``, a shared folder that belongs to the stream like its checkpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -125,11 +212,12 @@ class OaiSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Batch(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(self.options)
 
 
 def register(spark: SparkSession) -> None:
+    find_us(spark)
     spark.dataSource.register(OaiSource)
 
 
@@ -164,24 +252,3 @@ def resolve_bitstreams(handles: DataFrame, rest_base: str, get: Callable[[str],
         return None
 
     return _looked_up(handles, "handle", lambda h: f"{rest_base}/rest/handle/{h}?expand=bitstreams", pick, get, parts)
-
-
-def download_pairs(entries: DataFrame, get: Callable[[str], bytes] = fetch, parts: int = 4) -> DataFrame:
-    """(isbn, status, reference, fulltext, error) of entries with both links: the two files'
-    bytes, to be written by the caller. Certificates are verified; an empty or failed answer
-    gives ``error``, and neither file."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for isbn, *links in batch.itertuples(index=False, name=None):
-                both, why = [None, None], None
-                try:
-                    both = [get(link) for link in links]
-                    if not all(both):
-                        raise ValueError("an empty file")
-                except Exception as failed:  # reported as a row, so that one file can't end the run
-                    both, why = [None, None], str(failed)
-                yield pd.DataFrame({"isbn": [isbn], "status": ["error" if why else "ok"], "reference": both[:1], "fulltext": both[1:], "error": [why]})
-
-    wanted = entries.select("isbn", "dnb_toc_download_url", "oa_pdf_url").repartition(parts)
-    return wanted.mapInPandas(rows, "isbn string, status string, reference binary, fulltext binary, error string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmark.sources import pdfcount
+from leafmark.workers import find_us
+
 
 def parse_pages(content: bytes) -> list[str]:
     import io
@@ -18,10 +20,11 @@ def parse_pages(content: bytes) -> list[str]:
 
 
 def count_pages(content: bytes, parse: Callable[[bytes], list[str]] = parse_pages) -> int:
-    """The page tree's own count, without reading a page; files that keep their objects
-    compressed are parsed."""
-    counts = [int(n) for tree in re.findall(rb"<<(?:(?!>>).)*?/Type\s*/Pages\b.*?>>", content, re.DOTALL) for n in re.findall(rb"/Count\s+(\d+)", tree)]
-    return max(counts) if counts else len(parse(content))
+    """By the file's tables, without reading a page; a file that they don't tell of is parsed."""
+    try:
+        return pdfcount.count(content)
+    except pdfcount.Broken:
+        return len(parse(content))
 
 
 def read_page_counts(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]] = parse_pages) -> DataFrame:
@@ -37,6 +40,7 @@ def read_page_counts(spark: SparkSession, path: str, parse: Callable[[bytes], li
                     rows.append((at, 0, "error", str(why)))
             yield pd.DataFrame(rows, columns=["book", "total_pages", "status", "error"])
 
+    find_us(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
     return found.mapInPandas(counted, "book string, total_pages int, status string, error string")
 
@@ -55,5 +59,6 @@ def read_texts(spark: SparkSession, path: str, max_pages: int | None = None, par
                 except Exception as why:  # one bad file mustn't end the scan; it is reported
                     yield pd.DataFrame({"book": [at], "page_index": [None], "text": [None], "total_pages": [0], "status": ["error"], "error": [str(why)]})
 
+    find_us(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
     return found.mapInPandas(pages, "book string, page_index int, text string, total_pages int, status string, error string")

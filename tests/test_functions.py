@@ -1,6 +1,7 @@
 """Column functions against hand-made vectors and plain-Python models."""
 
 import random
+import time
 import statistics
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import catalogue as C
 from leafmark.functions import geometry as G
+from leafmark.functions import keywords as K
 from leafmark.functions import ranges as R
 from leafmark.functions import text as T
 
@@ -206,6 +208,49 @@ def test_visual_lines_against_model(spark):
     assert {r["i"]: [[w["text"] for w in line] for line in r["x"]] for r in got} == want
 
 
+def test_dense_pages_take_linear_time(spark):
+    """Twenty thousand lines of a page, most of them in long chains of near ones."""
+    rng = random.Random(14)
+    tops = [round(0.9 * i + rng.random(), 3) for i in range(20_000)]
+    boxes = [(t, [word(str(n), 1.0 * n, 1.0 * n + 1, t)]) for n, t in enumerate(tops)]
+    df = spark.createDataFrame([(rng.sample(boxes, len(boxes)),)], f"v array<{G.LINE_TYPE}>")
+    began = time.perf_counter()
+    sizes = [len(x) for x in df.select(F.transform(G.visual_lines(F.col("v")), F.size).alias("n")).select(F.transform("n", lambda n: F.sequence(F.lit(1), n))).first()[0]]
+    assert sum(sizes) == 20_000 and time.perf_counter() - began < 60
+    ordered, want = sorted(tops), []
+    for t in ordered:
+        if want and t - want[-1][0] <= 2.0:
+            want[-1].append(t)
+        else:
+            want.append([t])
+    assert sizes == list(map(len, want))
+    assert G.first_lines([]) == [] and G.first_lines([1.0, 2.0, float("nan"), None]) == [0, 2, 3]
+
+
+def test_many_keywords_against_contains(spark):
+    """Ten thousand keywords: the same as asking for each; the plan has one step for them all."""
+    rng = random.Random(16)
+    letters = "abcdeäß é"
+    made = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    keywords = {lang: [made(rng.randint(3, 6)).upper() for _ in range(3000)] for lang in ("de", "en", "fr")} | {"es": [made(4) for _ in range(1000)]}
+    rows = [(i, None if i % 50 == 0 else made(rng.randint(0, 9)), rng.choice(["de", "en", "xx", None])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, o string, lang string")
+    low = {lang: [w.lower() for w in words] for lang, words in keywords.items()}
+    any_ = lambda o, words: float(o is not None and any(w in o for w in words))
+    want = {i: (any_(o, [w for words in low.values() for w in words]), any_(o, low.get(lang, []))) for i, o, lang in rows}
+    assert 0.2 < sum(a for a, _ in want.values()) / 2000 < 0.9
+    for most in (K.BLOCK_CHARS, 20_000):
+        found = df.select("i", K.keyword_hits(spark, F.col("o"), F.col("lang"), keywords, most).alias("h")).select("i", "h.*")
+        assert {r["i"]: tuple(r)[1:] for r in found.collect()} == want
+    few = df.select("i", K.keyword_hits(spark, F.col("o"), F.col("lang"), {"de": ["abc"]}).alias("h"))
+    many = df.select("i", K.keyword_hits(spark, F.col("o"), F.col("lang"), keywords).alias("h"))
+    size = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(few) == size(many)
+    empty = df.select(K.keyword_hits(spark, F.col("o"), F.col("lang"), {"de": [""]}).alias("h"), "o", "lang").collect()
+    assert all(tuple(r["h"]) == (float(r["o"] is not None), float(r["o"] is not None and r["lang"] == "de")) for r in empty)
+    assert {tuple(r[0]) for r in df.select(K.keyword_hits(spark, F.col("o"), F.col("lang"), {})).collect()} == {(0.0, 0.0)}
+
+
 def test_page_features(spark):
     lines = [[word("a", 10, 20, 50, 10)], [word("b", 20, 30, 70, 10), word("c", 40, 50, 70, 14)], [word("d", 10, 20, 90, 12)]]
     row = spark.createDataFrame([(lines, 200.0, 100.0)], f"l array<array<{G.WORD_TYPE}>>, h double, w double").select(G.page_features("l", "h", "w").alias("f")).first()["f"]

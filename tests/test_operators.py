@@ -21,7 +21,7 @@ from leafmark.operators import labels as L
 from leafmark.operators import boosting, locate, matching, metrics, ml, pages, sampling
 from leafmark.plans import discovery, file_queries, inference
 from leafmark.plans import queries as Q
-from leafmark.sources import alto, files, harvest, pdf
+from leafmark.sources import alto, files, harvest, pdf, sink
 from leafmark.streaming import events
 from tests.conftest import SF
 
@@ -178,6 +178,21 @@ def test_samplers_against_model(spark, ahead):
     assert sampling.sample_many(df.limit(0), {"a": 0.5}, "i", 5).count() == 0 and sampling.sample_many(df, {}, "i", 3).count() == 3
 
 
+def test_sampler_takes_thousands(spark):
+    """More than a driver's loop would go through at once, with text for an order."""
+    rng = random.Random(15)
+    rows = [(f"{i:06d}", rng.choice("aab"), rng.choice("uvwxyz") if i % 7 else None, rng.randint(0, 400)) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "i string, a string, b string, c int").repartition(4)
+    caps, used, want = [sampling.cap(4000, f) for f in (0.5, 0.2, 0.003)], {}, []
+    for i, *values in rows:
+        counted = [(d, v) for d, v in enumerate(values) if v is not None]
+        if len(want) < 4000 and all(used.get(c, 0) < caps[c[0]] for c in counted):
+            want.append(i)
+            used |= {c: used.get(c, 0) + 1 for c in counted}
+    got = sampling.sample_many(df, {"a": 0.5, "b": 0.2, "c": 0.003}, "i", 4000, ahead=2)
+    assert sorted(r["i"] for r in got.collect()) == want
+
+
 def test_keep_first_and_last(spark):
     rows = [("x", 1, ["9-1"], "h1"), ("x", 2, ["9-1", "92"], "h2"), ("y", 1, ["91"], "h3"), ("y", 2, ["93"], "h4")]
     df = spark.createDataFrame(rows, "source string, rec_no long, isbns array<string>, handle string")
@@ -242,7 +257,8 @@ def test_sinks(spark, tmp_path):
     assert len(built) == 2
     counts = spark.createDataFrame([("de", "inhalt", 2), ("de", "abc", 1)], "language string, phrase string, n long")
     files.write_headings(counts, str(tmp_path / "h"))
-    assert json.loads(next((tmp_path / "h").glob("part*")).read_text()) == {"language": "de", "phrases": {"abc": 1, "inhalt": 2}}
+    lines = next((tmp_path / "h" / "language=de").glob("part*")).read_text().splitlines()
+    assert list(map(json.loads, lines)) == [{"phrase": "abc", "n": 1}, {"phrase": "inhalt", "n": 2}]
 
 
 ALTO = """<alto xmlns="http://www.loc.gov/standards/alto/ns-v3#"><Styles><TextStyle ID="f0" FONTSIZE="9.5"/><TextStyle FONTSIZE="7"/></Styles><Layout>
@@ -316,11 +332,38 @@ def test_harvest_as_a_source(spark, repository, tmp_path):
     rows = spark.read.format("oai").options(**options, sets="s,t").load().collect()
     want = {(name, n, f"<record>{name}{n}\n</record>") for name in "st" for n in range(12)}
     assert len(rows) == 24 and {tuple(r) for r in rows} == want
-    stream = spark.readStream.format("oai").options(**options, sets="s").load()
-    run = stream.writeStream.format("memory").queryName("harvest").option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
-    assert {tuple(r) for r in spark.table("harvest").collect()} == {w for w in want if w[0] == "s"}
+
+
+def test_harvest_stream_of_many_sets(spark, repository, tmp_path):
+    """Three sets side by side; stopped after a batch and started again, and with a lost note:
+    every record once, numbered within its set."""
+    harvest.register(spark)
+    options = {"base": repository, "pause": "0", "sets": "s,t,u", "notes": str(tmp_path / "notes")}
+
+    def run(until: int | None) -> None:
+        stream = spark.readStream.format("oai").options(**options).load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        while until and query.lastProgress is None or until and query.lastProgress["batchId"] < until:
+            query.awaitTermination(0.05)
+        if until is None:
+            query.processAllAvailable()
+        query.stop()
+
+    run(1)
+    some = spark.read.parquet(str(tmp_path / "out")).count()
+    assert 0 < some <= 36
+    newest = sorted((tmp_path / "notes" / "s").glob("[0-9]*.json"), key=lambda p: int(p.stem))
+    if some < 36:
+        newest[-1].unlink()
+    run(None)
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {(name, n, f"<record>{name}{n}\n</record>") for name in "stu" for n in range(12)}
+    assert len(rows) == 36 and {tuple(r) for r in rows} == want
+    reader = harvest.OaiSource(options).streamReader(None)
+    assert reader.latestOffset() == {"s": 4, "t": 4, "u": 4} and reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+    assert {p.of for p in reader.partitions(reader.initialOffset(), {"s": 2, "t": 1, "u": 0})} == {"s", "t"}
+    with pytest.raises(ValueError, match="notes"):
+        harvest.OaiSource({"base": "b", "sets": "s"}).streamReader(None)
 
 
 def test_command_line_tasks(spark, repository, tmp_path, monkeypatch):
@@ -344,7 +387,7 @@ def test_command_line_tasks(spark, repository, tmp_path, monkeypatch):
     assert (rows["b1"]["status"], rows["b1"]["toc_start_index"], rows["b1"]["toc_end_index"]) == ("located", 1, 1)
     assert (rows["b2"]["status"], rows["b2"]["error"]) == ("error", "no pages") and set(rows) == {"b1", "b2"}
     labels = cli.located(spark, str(books), parse).withColumn("isbn", F.upper("isbn"))
-    files.write_labels(labels, str(tmp_path / "labels"))
+    sink.save_json(labels, "isbn", str(tmp_path / "labels"))
     for name in ("b1.fulltext.pdf", "b2.fulltext.pdf"):
         (books / name).rename(books / name.replace("b", "B", 1))
     found = cli.mined(spark, str(books), str(tmp_path / "labels"), str(books / "books.json"), 1, parse).collect()
@@ -380,14 +423,6 @@ def test_lookups(spark):
     assert json.loads(row["answer"]) == {"url": "https://r/f", "size_bytes": 3, "license_code": "CC"}
 
 
-def test_downloads(spark):
-    answers = {"a": b"toc", "b": b"text", "c": b""}
-    entries = spark.createDataFrame([("1", "a", "b"), ("2", "a", "c"), ("3", "gone", "b")], "isbn string, dnb_toc_download_url string, oa_pdf_url string")
-    rows = {r["isbn"]: r for r in harvest.download_pairs(entries, answers.__getitem__, 2).collect()}
-    assert (rows["1"]["status"], bytes(rows["1"]["reference"]), bytes(rows["1"]["fulltext"])) == ("ok", b"toc", b"text")
-    assert [rows[k]["status"] for k in "23"] == ["error"] * 2 and rows["2"]["reference"] is None and "gone" in rows["3"]["error"]
-
-
 def test_discovery_takes_up_where_it_broke_off(spark):
     def answer(isbn):
         kind = "Book" if int(isbn) % 5 else "Serial"
@@ -565,10 +600,34 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {tuple(r) for r in spark.table("counts").collect()} == {tuple(r) for r in events.tumbling_counts(df).collect()}
-    run = events.sample_stream(stream, {"event_type": 0.3}, "i", 10).writeStream.format("memory").queryName("sample").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    run.processAllAvailable()
-    run.stop()
-    assert sorted(r["i"] for r in spark.table("sample").collect()) == taken([(e,) for _, _, e, _ in rows], [sampling.cap(10, 0.3)], 10)
+
+
+def test_sample_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Stopped and started from its checkpoint after each file, and without it from the rows
+    accepted so far: what one run gives."""
+    rng = random.Random(17)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.randint(0, 5)) for i in range(120)]
+    kind, fractions = "i long, a string, b int", {"a": 0.4, "b": 0.25}
+    want = taken([r[1:] for r in rows], [sampling.cap(30, 0.4), sampling.cap(30, 0.25)], 30)
+    source = tmp_path / "in"
+
+    def run(checkpoint: str, accepted=None) -> None:
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(source))
+        query = events.sample_stream(stream, fractions, "i", 30, accepted).writeStream.format("parquet").option("path", str(tmp_path / checkpoint / "out")).option("checkpointLocation", str(tmp_path / checkpoint / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+
+    parts = [spark.createDataFrame(rows[at : at + 40], kind).coalesce(1) for at in (0, 40, 80)]
+    for part in parts:
+        part.write.mode("append").parquet(str(source))
+        run("one")
+    assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "one" / "out")).collect()) == want
+    accepted = spark.createDataFrame([r for r in rows if r[0] in want and r[0] < 40], kind)
+    source = tmp_path / "rest"
+    for part in parts[1:]:
+        part.write.mode("append").parquet(str(source))
+    run("two", accepted)
+    assert sorted(r["i"] for r in spark.read.parquet(str(tmp_path / "two" / "out")).collect()) == [i for i in want if i >= 40]
 
 
 @pytest.mark.parametrize("name", sorted(file_queries.ORACLE_SQL))
