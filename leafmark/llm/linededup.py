@@ -1,15 +1,19 @@
-"""Line dedup by word anchors chosen by content.
+"""Line dedup by rolling hashes over line hashes.
 
 A text is cut into words (signs of scripts written without spaces are words of their
-own), and of every ``WINDOW`` runs of ``RUN`` words that follow each other the one with
-the least hash is an anchor, so equal passages hold the same anchors wherever they
-stand, in any script: of 48 words or more that two places share, at least one anchor
-stands there together with the eight words on both its sides. Anchors that occur again
-anywhere are compared word by word with the first place (smallest doc_id, then place)
-that shares those 24 words, or else the anchor, up to ``GROW`` words to both sides.
-Of words that are equal in runs of ``RUN`` or more, a stretch of ``PASSAGE`` or more is removed whole; of a shorter one,
-the lines that lie in it whole, if they are two or more and have ``MIN_WORDS`` words.
-What is removed always stands at an earlier place too.
+own) and into lines: at line ends, behind sentences, and inside longer ones behind words
+whose hash is the least of some words around, so that a passage is cut alike wherever it
+stands, in any script. A hash rolls over the hashes of each two lines that follow each
+other. Where such a hash stands elsewhere before, two whole lines are repeated; those
+near each other that repeat the same place (smallest doc_id, then line) are one chunk,
+whose bounds follow from the repeated content alone, and the chunk's words are compared
+with the kept ones, up to ``GROW`` words on to both sides, as a passage may begin or end
+inside a line. Of words that are equal in runs of ``RUN`` or more, a stretch of
+``PASSAGE`` or more is removed whole; of a shorter one, the lines that lie in it whole, if
+they are two or more and have ``MIN_WORDS`` words. What is removed always stands at an
+earlier place too. Every rolling hash is looked up, and not only those that would be
+bounds of chunks when each document is cut by itself: of passages of some 50 words, half
+would hold no whole chunk.
 
 Defined results: a null text stays null, an empty one empty; rows without an id
 stay as they are and are nobody's first occurrence; rows that repeat id and text
@@ -29,17 +33,17 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.common import documents, held_now, hold, map_rows, release, workers_find_us
 
-#: Words of an anchor, anchors of which one is chosen, words compared to each side, and
-#: words of a stretch of which the first and last equal anchor are compared.
-RUN, WINDOW, GROW, SPAN = 8, 25, 32, 64
+#: Equal words in a row that count, words compared to each side, and words of a chunk's
+#: piece, of which the first and the last two equal lines are compared.
+RUN, GROW, SPAN = 8, 36, 64
 #: Equal words that go whole; lines and words that a shorter stretch must have.
 PASSAGE, MIN_LINES, MIN_WORDS = 40, 2, 8
-#: Anchors of at least one in so many places are hot.
+#: Rolling hashes at one or more in so many places are hot.
 HOT_SHARE = 1000
-#: Bytes of a line left whole, least bytes of what a longer one is cut into, and
-#: words for each of such cuts.
-LONG_LINE, LEAST_LINE, DIVISOR = 96, 40, 3
-_END = re.compile(rb"[.!?][\"')\]]*[ \t]+|\n")
+#: Bytes of a line left whole; a longer one is cut behind words of the least hash among as
+#: many words on both sides.
+LONG_LINE, AROUND = 96, 4
+_STOPS, _CLOSERS = np.isin(np.arange(256), list(b".!?")), np.isin(np.arange(256), list(b"\"')]"))
 _BLANKS = re.compile(rb"[ \t]*")
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -111,79 +115,61 @@ def word_hashes(data: bytes, starts: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
-def _chosen(runs: np.ndarray) -> np.ndarray:
-    """Places of the anchors among a text's runs."""
-    n = len(runs)
-    if n <= WINDOW:
-        chosen = np.flatnonzero(runs == runs.min())
-    else:
-        least, width = runs, 1
-        while width * 2 <= WINDOW:
-            least, width = np.minimum(least[:-width], least[width:]), width * 2
-        least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - width :])
-        # The least of some window that a run is in: the largest of those windows' minima.
-        most, width = np.zeros(n + WINDOW - 1, np.uint64), 1
-        most[WINDOW - 1 : n] = least
-        while width * 2 <= WINDOW:
-            most, width = np.maximum(most[:-width], most[width:]), width * 2
-        chosen = np.flatnonzero(runs == np.maximum(most[:n], most[WINDOW - width : n + WINDOW - width]))
-    same = runs[chosen]
-    if len(chosen) > 1 and (same[1:] == same[:-1]).any():  # texts that repeat themselves at once
-        keep = [0]
-        for i in range(1, len(chosen)):
-            if same[i] != same[keep[-1]] or chosen[i] - chosen[keep[-1]] >= WINDOW:
-                keep.append(i)
-        chosen = chosen[keep]
-    return chosen
-
-
-def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which text, first word, hash of the anchor, hash with eight words on both sides or 0)."""
+def line_begins(data: bytes, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a line, the first among them."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    b = np.frombuffer(data, np.uint8)
+    breaks, stops = np.flatnonzero(b == 10), np.flatnonzero(_STOPS[b])
+    after = stops + 1
+    while len(after):  # quotes and brackets that a sentence's end is in
+        inside = after < len(b)
+        stops, after = stops[inside], after[inside]
+        closer = _CLOSERS[b[after]]
+        if not closer.any():
+            break
+        after = after + closer
+    stops = stops[(b[after] == 32) | (b[after] == 9)]
+    at = np.unique(np.concatenate([[0], np.searchsorted(starts, np.concatenate([breaks, stops]), "right")]))
+    at = at[at < len(starts)]
+    sizes = np.diff(np.append(starts[at], len(data)))
+    if not (sizes > LONG_LINE).any():
+        return at
+    # Words in a long line of the least hash among those around, the first of equals.
+    n = len(words)
+    cut = np.repeat(sizes > LONG_LINE, np.diff(np.append(at, n)))
+    for d in range(1, AROUND + 1):
+        if d < n:
+            cut[d:] &= words[d:] < words[:-d]
+            cut[:-d] &= words[:-d] <= words[d:]
+    cuts = np.flatnonzero(cut) + 1
+    return np.union1d(at, cuts[cuts < n])
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, first word of the second, hash) of each two lines that follow each other."""
     data = b"\n".join(texts)
     starts = word_starts(data)
+    if not len(starts):
+        return (np.zeros(0, np.int64),) * 3
     words = word_hashes(data, starts)
-    n = len(words) - RUN + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    runs = words[:n].copy()
-    for j in range(1, RUN):
-        runs *= _STEP
-        runs += words[j : n + j]
-    runs = _mixed(runs)
-    # The words of each text, and the runs that don't reach into the next.
+    lines = line_begins(data, starts, words)
+    place = np.arange(len(words)) - np.repeat(lines, np.diff(np.append(lines, len(words))))
+    hashes = np.add.reduceat(_mixed(words + place.astype(np.uint64) * _STEP), lines)
+    # The words of each text, and pairs of lines that don't reach into the next.
     bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    first, last = bounds[:-1], bounds[1:] - RUN + 1
-    found = [a + _chosen(runs[a:b]) if b > a else np.zeros(0, np.int64) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    which, at = np.repeat(np.arange(len(texts)), list(map(len, found))), np.concatenate(found)
-    wide = np.zeros(len(at), np.uint64)
-    inner = (at >= first[which] + RUN) & (at + RUN < last[which])
-    mid = at[inner]
-    wide[inner] = _mixed((runs[mid - RUN] * _STEP + runs[mid]) * _STEP + runs[mid + RUN])
-    return which, at - first[which], runs[at].view(np.int64), wide.view(np.int64)
+    which = np.searchsorted(bounds, lines, "right") - 1
+    same = which[1:] == which[:-1]
+    rolled = _mixed(hashes[:-1] * _STEP + hashes[1:])[same]
+    which, lines = which[1:][same], lines[1:][same]
+    return which, lines - bounds[which], rolled.view(np.int64)
 
 
 def line_ends(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """Byte places behind the lines, which together are the text: whole up to ``LONG_LINE``
-    bytes; a longer one is also cut after words chosen by hash."""
-    ends = np.array([found.end() for found in _END.finditer(data)], np.int64)
-    if not len(ends) or ends[-1] < len(data):
-        ends = np.append(ends, len(data))
-    begins = np.concatenate([[0], ends[:-1]])
-    is_long = ends - begins > LONG_LINE
-    if not is_long.any():
-        return ends
-    # Words that begin inside a long line, after its first, behind a word that is chosen.
-    line = np.searchsorted(ends, starts, "right")
-    inside = np.flatnonzero(is_long[line[1:]] & (line[1:] == line[:-1])) + 1
-    cuts = inside[word_hashes(data, starts)[inside - 1] % np.uint64(DIVISOR) == 0]
-    out, last, of = ends.tolist(), 0, -1
-    for at, n in zip(starts[cuts].tolist(), line[cuts].tolist(), strict=True):
-        if n != of:
-            last, of = int(begins[n]), n
-        if at - last >= LEAST_LINE:
-            out.append(at)
-            last = at
-    return np.sort(np.array(out, np.int64))
+    """Byte places behind the lines, which together are the text."""
+    if not len(starts):
+        return np.array([len(data)], np.int64)
+    return np.append(starts[line_begins(data, starts, word_hashes(data, starts))[1:]], len(data))
 
 
 def lines_of(data: bytes) -> list[bytes]:
@@ -193,16 +179,16 @@ def lines_of(data: bytes) -> list[bytes]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, at (first word), h and wide of every anchor."""
+    """doc_id, at (first word of the second) and h of each two lines that follow each other."""
 
     def make():
         def step(rows: dict) -> dict:
-            which, at, h, wide = anchors_of([(t or "").encode() for t in rows["text"]])
-            return {"doc_id": np.array(rows["doc_id"], np.int64)[which], "at": at, "h": h, "wide": wide}
+            which, at, h = anchors_of([(t or "").encode() for t in rows["text"]])
+            return {"doc_id": np.array(rows["doc_id"], np.int64)[which], "at": at, "h": h}
 
         return step
 
-    return map_rows(docs, make, "doc_id long, at long, h long, wide long")
+    return map_rows(docs, make, "doc_id long, at long, h long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +204,7 @@ def _repeats(rows: DataFrame) -> DataFrame:
     """(doc_id, hits): places of anchors to compare, with the words of what is kept."""
     mark = held_now()
     hits = _first_places(hold(anchors(rows.filter("doc_id is not null and text is not null")), "anchors"))
-    # Of anchors near each other that repeat the same stretch, the first and the last reach all between.
+    # Of those near each other that repeat the same place, the first and the last reach all between.
     one = hits.select("doc_id", F.col("from.doc_id").alias("kept_id"), F.col("from.at").alias("kept_at"), (F.col("at") - F.col("from.at")).alias("shift"))
     ends = one.groupBy("doc_id", "kept_id", "shift", F.expr(f"kept_at div {SPAN}").alias("span")).agg(F.array_distinct(F.array(F.min("kept_at"), F.max("kept_at"))).alias("ends"))
     hits = hold(ends.select("doc_id", "kept_id", "shift", F.explode("ends").alias("kept_at")), "repeats")
@@ -230,13 +216,10 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
 
 def _first_places(found: DataFrame) -> DataFrame:
-    """Anchors that stand elsewhere before, with ``from``: the first place with the same
-    words around it, else the first of all.
+    """Those that stand elsewhere before, with ``from``: the first place of the same hash.
 
-    One shuffle and one sort by (h, wide) serve both. Anchors that hold a thousandth of
-    all places (at most a thousand, by counting; told by counts of hashed cells first) don't
-    go through it: the driver gets their first places, and of their surroundings, too,
-    those that hold a thousandth.
+    Hashes that hold a thousandth of all places (at most a thousand, by counting; told by
+    counts of hashed cells first) aren't shuffled: the driver gets their first places.
     """
     here, total = F.struct("doc_id", "at"), found.count()
     often = F.col("n") * HOT_SHARE >= total
@@ -245,22 +228,14 @@ def _first_places(found: DataFrame) -> DataFrame:
     some = found.filter(cell.isin(cells)).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
     firsts = {r["h"]: r["first"] for r in some.filter(often).collect()}
     is_hot = F.col("h").isin(list(firsts))
-    around = found.filter(is_hot & (F.col("wide") != 0)).groupBy("wide").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first"))
-    nears = {r["wide"]: r["first"] for r in around.filter(often).collect()}
-    near = F.min(here).over(Window.partitionBy("h", "wide"))
-    cold = found.filter(~is_hot).withColumns({"kept": F.min(here).over(Window.partitionBy("h")), "near": near})
-    every = cold
+    every = found.filter(~is_hot).withColumn("from", F.min(here).over(Window.partitionBy("h")))
     if firsts:
-        warm, known = found.filter(is_hot).withColumn("kept", _place_of(firsts, "h")), F.col("wide").isin(list(nears))
-        every = every.unionByName(warm.filter(~known).withColumn("near", near))
-        if nears:
-            every = every.unionByName(warm.filter(known).withColumn("near", _place_of(nears, "wide")))
-    other = (F.col("wide") != 0) & (F.col("near") != here)
-    return every.withColumn("from", F.when(other, F.col("near")).otherwise(F.col("kept"))).filter(F.col("from") != here)
+        every = every.unionByName(found.filter(is_hot).withColumn("from", _place_of(firsts, "h")))
+    return every.filter(F.col("from") != here)
 
 
 def _place_of(places: dict[int, Row], key: str) -> Column:
-    """The place of a known key, out of a thousand at most."""
+    """The place of a known hash, out of a thousand at most."""
     pairs = [x for k, p in sorted(places.items()) for x in (F.lit(k), F.struct(F.lit(p["doc_id"]).cast("long").alias("doc_id"), F.lit(p["at"]).cast("long").alias("at")))]
     return F.element_at(F.create_map(*pairs), F.col(key))
 
@@ -275,7 +250,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
                 data = (text or "").encode()
                 bounds = [*word_starts(data).tolist(), len(data)]
                 for at in ats:
-                    if at + RUN < len(bounds):
+                    if at + 1 < len(bounds):
                         low = max(0, at - GROW)
                         out["kept_id"].append(doc_id)
                         out["kept_at"].append(at)

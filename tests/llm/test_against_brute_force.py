@@ -459,74 +459,42 @@ def test_line_dedup_finds_every_passage(spark, letters):
     assert all(rows[i] == (texts[i] if i < 1000 else clean[i]) for i in texts)
 
 
-def plain_line_dedup(texts):
-    """Every anchor by comparing all runs of its windows, every repeat compared word by word."""
-    run, window, grow = linededup.RUN, linededup.WINDOW, linededup.GROW
-    words, found = {}, []
+def _pairs(texts):
+    """Places of each two lines that follow each other and have the words to count, in order."""
+    places = {}
     for key in sorted(texts):
-        data = texts[key].encode()
-        starts = linededup.word_starts(data)
-        words[key] = [data[a:b].rstrip() for a, b in zip(starts, [*starts[1:], len(data)], strict=False)]
-        if not len(starts):
-            continue
-        h = [int(x) for x in linededup.word_hashes(data, starts)]
-        runs = []
-        for i in range(len(h) - run + 1):
-            total = h[i]
-            for x in h[i + 1 : i + run]:
-                total = (total * int(linededup._STEP) + x) % 2**64
-            runs.append(int(linededup._mixed(np.array([total], np.uint64))[0]))
-        least = {i for at in range(max(1, len(runs) - window + 1)) for part in [runs[at : at + window]] for i in range(at, at + len(part)) if runs[i] == min(part)}
-        chosen = []
-        for i in sorted(least):
-            if not chosen or runs[i] != runs[chosen[-1]] or i - chosen[-1] >= window:
-                chosen.append(i)
-        for i in chosen:
-            wide = (runs[i - run], runs[i], runs[i + run]) if i >= run and i + run < len(runs) else None
-            found.append((key, i, runs[i], wide))
-    first, around = {}, {}
-    for key, i, h, wide in found:
-        first.setdefault(h, (key, i))
-        if wide:
-            around.setdefault(wide, (key, i))
-    out = {}
+        lines = linededup.lines_of(texts[key].encode())
+        for i, two in enumerate(zip(lines, lines[1:], strict=False)):
+            if sum(len(linededup.word_starts(x)) for x in two) >= linededup.MIN_WORDS:
+                places.setdefault(b"".join(two).decode().strip(), []).append((key, i))
+    return places
+
+
+def check_line_dedup(texts, rows):
+    """By no rule of the operator's own: two lines that stand before don't stand again, and
+    a word that stands once stays."""
+    repeats = 0
+    for two, places in _pairs(texts).items():
+        for key in {k for k, _ in places}:
+            first_here = places[0][0] == key
+            repeats += len(places) > first_here
+            assert rows[key].count(two) <= first_here, (two, key, places)
+    counts = Counter(w for t in texts.values() for w in t.split())
     for key, text in texts.items():
-        equal = {}
-        for own, at, h, wide in found:
-            if own == key:
-                kept = around[wide] if wide and around[wide] != (key, at) else first[h]
-                if kept != (key, at):
-                    other = words[kept[0]]
-                    for d in range(-grow, run + grow):
-                        if 0 <= at + d < len(words[key]) and 0 <= kept[1] + d < len(other) and words[key][at + d] == other[kept[1] + d]:
-                            equal.setdefault((kept[0], at - kept[1]), set()).add(at + d)
-        again = set()
-        for places in equal.values():
-            for a, b in linededup._stretches(np.array(sorted(places)), run):
-                again |= set(range(a, b))
-        data, gone = text.encode(), set()
-        starts = linededup.word_starts(data).tolist()
-        lines = np.cumsum([0, *map(len, linededup.lines_of(data))]).tolist()
-        for a, b in linededup._stretches(np.array(sorted(again)), run) if again else ():
-            begin, end = starts[a] if a else 0, starts[b] if b < len(starts) else len(data)
-            if b - a >= linededup.PASSAGE:
-                stop = starts[b - 1] + len(words[key][b - 1])
-                while stop < end and data[stop : stop + 1] in (b" ", b"\t"):
-                    stop += 1
-                if data[stop : stop + 1] == b"\n" and (not begin or data[begin - 1 : begin] == b"\n"):
-                    stop += 1
-                gone |= set(range(begin, stop))
-            else:
-                whole = [(x, y) for x, y in zip(lines, lines[1:], strict=False) if begin <= x and y <= end]
-                if len(whole) >= linededup.MIN_LINES and sum(whole[0][0] <= x < whole[-1][1] for x in starts) >= linededup.MIN_WORDS:
-                    gone |= set(range(whole[0][0], whole[-1][1]))
-        out[key] = bytes(c for i, c in enumerate(data) if i not in gone).decode()
-    return out
+        left = Counter(rows[key].split())
+        assert all(left[w] for w in text.split() if counts[w] == 1), key
+        assert not left - Counter(text.split())
+    return repeats
+
+
+def _dedup(spark, texts):
+    return {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
 
 
 @pytest.mark.parametrize("share", [2, 1000])
-def test_line_dedup_against_brute_force(spark, monkeypatch, share):
-    """With and without anchors that count as hot."""
+def test_line_dedup_against_all_pairs_of_lines(spark, monkeypatch, share):
+    """With and without hashes that count as hot; passages of any length at any place, whole
+    copies, and a text that repeats itself."""
     monkeypatch.setattr(linededup, "HOT_SHARE", share)
     rng = random.Random(21)
     word = lambda: rng.choice(["der", "la", "of"]) if rng.random() < 0.2 else "".join(rng.choice("aeilnor") for _ in range(rng.randint(2, 7)))
@@ -537,10 +505,43 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, share):
         parts = [some(rng.randint(0, 60)) for _ in range(4)]
         texts[i] = "".join(w for p in parts for w in [*p, *rng.choice([[], common, rng.choice(passages)])])
     texts |= {100 + i: texts[7] for i in range(12)} | {200: "", 201: "one", 202: "a " * 300, 203: texts[3] + texts[3]}
-    rows = {r["doc_id"]: r["text"] for r in linededup.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    want = plain_line_dedup(texts)
-    assert sum(want[k] != texts[k] for k in texts) > 30
-    assert {k: rows[k] for k in texts} == want
+    rows = _dedup(spark, texts)
+    assert check_line_dedup(texts, rows) > 300
+    assert all(not rows[100 + i].strip() for i in range(12)) and rows[200] == "" and rows[201] == "one"
+
+
+def test_short_blocks_of_short_lines_go(spark):
+    """Blocks of four lines of five words, and of two lines of four, in documents that share nothing else."""
+    rng = random.Random(22)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(7)) for _ in range(n)) + "\n"
+    texts, clean = {}, {}
+    for i in range(200):
+        block = "".join(line(*([5], [4])[i % 2]) for _ in range((4, 2)[i % 2]))
+        for doc_id in (i, 1000 + i):
+            a, b = ("".join(line(rng.randint(3, 9)) for _ in range(rng.randint(0, 6))) for _ in range(2))
+            texts[doc_id], clean[doc_id] = a + block + b, a + b
+    rows = _dedup(spark, texts)
+    assert rows == {k: texts[k] if k < 1000 else clean[k] for k in texts}
+
+
+def test_passages_that_a_third_text_holds_in_part(spark):
+    """The first 34 of 48 words stand in an earlier document, the whole in two later ones."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("aeilnorst") for _ in range(8))
+    some = lambda n: [word() + (". " if rng.random() < 0.08 else " ") for _ in range(n)]
+    texts, wanted = {}, {}
+    for i in range(100):
+        passage = some(48)
+        own = [("".join(some(60)), "".join(some(60))) for _ in range(3)]
+        texts[i] = own[0][0] + "".join(passage[:34]) + own[0][1]
+        for k in (1, 2):
+            texts[1000 * k + i] = own[k][0] + "".join(passage) + own[k][1]
+        wanted[2000 + i] = own[2][0] + own[2][1]
+    rows = _dedup(spark, texts)
+    check_line_dedup(texts, rows)
+    assert all(rows[i] == texts[i] for i in range(100))
+    assert sum(rows[k] == wanted[k] for k in wanted) >= 97  # in the rest less than two whole lines stay
+    assert all(len(rows[k].split()) <= len(wanted[k].split()) + 24 for k in wanted)
 
 
 @pytest.mark.parametrize("letters", ["aeilnorsñ", "абвгдежз", "अआइईकखगघ"])
@@ -548,7 +549,7 @@ def test_long_lines_are_cut_in_every_script(letters):
     rng = random.Random(4)
     line = " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(200)).encode()
     parts = linededup.lines_of(line)
-    assert b"".join(parts) == line and len(line) / len(parts) < 120
+    assert b"".join(parts) == line and len(parts) > 200 / 14
 
 
 def _lm_tokens(texts):
