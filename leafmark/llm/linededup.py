@@ -24,6 +24,7 @@ count as one document; very long texts are read whole; extra columns are ignored
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ HOT_SHARE = 1000
 #: many words on both sides.
 LONG_LINE, AROUND = 96, 4
 _STOPS, _CLOSERS = np.isin(np.arange(256), list(b".!?")), np.isin(np.arange(256), list(b"\"')]"))
-_BLANKS = re.compile(rb"[ \t]*")
+_WIDE, _BLANKS = re.compile(rb"[\xe0-\xff]"), re.compile(rb"[ \t]*")
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = np.where(_SPACES, 0, np.random.default_rng(11).integers(1, 1 << 63, 256)).astype(np.uint64)
@@ -132,32 +133,51 @@ def line_begins(data: bytes, starts: np.ndarray, words: np.ndarray) -> np.ndarra
     stops = stops[(b[after] == 32) | (b[after] == 9)]
     at = np.unique(np.concatenate([[0], np.searchsorted(starts, np.concatenate([breaks, stops]), "right")]))
     at = at[at < len(starts)]
-    sizes = np.diff(np.append(starts[at], len(data)))
-    if not (sizes > LONG_LINE).any():
+    # Words of long lines, which are those whose last word begins far behind the first.
+    each = np.diff(np.append(at, len(starts)))
+    is_long = starts[at + each - 1] - starts[at] > LONG_LINE
+    if not is_long.any():
         return at
-    # Words in a long line of the least hash among those around, the first of equals.
-    n = len(words)
-    cut = np.repeat(sizes > LONG_LINE, np.diff(np.append(at, n)))
+    line = np.repeat(np.arange(len(at)), each)
+    some = np.flatnonzero(is_long[line])
+    line, words = line[some], words[some]
+    # Of the least hash among those around, all in the line, the first of equals; the next begins a line.
+    least = np.ones(len(some), bool)
     for d in range(1, AROUND + 1):
-        if d < n:
-            cut[d:] &= words[d:] < words[:-d]
-            cut[:-d] &= words[:-d] <= words[d:]
-    cuts = np.flatnonzero(cut) + 1
-    return np.union1d(at, cuts[cuts < n])
+        here, ahead, same = words[:-d], words[d:], line[d:] == line[:-d]
+        least[:d] = least[len(some) - d :] = False
+        least[d:] &= same & (ahead < here)
+        least[:-d] &= same & (here <= ahead)
+    return np.sort(np.concatenate([at, some[least] + 1]))
 
 
-def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which text, first word of the second, hash) of each two lines that follow each other."""
+def layouts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together: places and hashes of words, the words that begin lines, the first
+    word of each text (and the number of words), and each text's place."""
     data = b"\n".join(texts)
+    places = np.cumsum([0, *(len(t) + 1 for t in texts)])
     starts = word_starts(data)
-    if not len(starts):
-        return (np.zeros(0, np.int64),) * 3
     words = word_hashes(data, starts)
-    lines = line_begins(data, starts, words)
+    return starts, words, line_begins(data, starts, words), np.searchsorted(starts, places), places
+
+
+def layouts_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text: byte places of words, and those behind its lines, which together are the text."""
+    starts, _, lines, bounds, places = layouts(texts)
+    begins = starts[lines]
+    first = np.searchsorted(lines, bounds)
+    for i, text in enumerate(texts):
+        yield starts[bounds[i] : bounds[i + 1]] - places[i], np.append(begins[first[i] + 1 : first[i + 1]] - places[i], len(text))
+
+
+def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, first word of the second, hash) of each two lines that follow each other."""
+    _, words, lines, bounds, _ = layouts(texts)
+    if not len(words):
+        return (np.zeros(0, np.int64),) * 3
     place = np.arange(len(words)) - np.repeat(lines, np.diff(np.append(lines, len(words))))
     hashes = np.add.reduceat(_mixed(words + place.astype(np.uint64) * _STEP), lines)
-    # The words of each text, and pairs of lines that don't reach into the next.
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    # Pairs of lines that don't reach into the next text.
     which = np.searchsorted(bounds, lines, "right") - 1
     same = which[1:] == which[:-1]
     rolled = _mixed(hashes[:-1] * _STEP + hashes[1:])[same]
@@ -165,17 +185,10 @@ def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return which, lines - bounds[which], rolled.view(np.int64)
 
 
-def line_ends(data: bytes, starts: np.ndarray) -> np.ndarray:
-    """Byte places behind the lines, which together are the text."""
-    if not len(starts):
-        return np.array([len(data)], np.int64)
-    return np.append(starts[line_begins(data, starts, word_hashes(data, starts))[1:]], len(data))
-
-
 def lines_of(data: bytes) -> list[bytes]:
-    """The lines themselves."""
-    ends = line_ends(data, word_starts(data)).tolist() if data else []
-    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    """A text's lines."""
+    ((_, ends),) = layouts_of([data])
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)] if data else []
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -264,47 +277,64 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
 
 def _words(data: bytes) -> list[bytes]:
-    if data.isascii() or max(data) < 0xE0:
+    if data.isascii() or not _WIDE.search(data):
         return data.split()
     at = [*word_starts(data).tolist(), len(data)]
     return [data[a:b].rstrip() for a, b in zip(at, at[1:], strict=False)]
 
 
-def _stretches(places: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """(first, after the last) of each run of ``least`` or more successive numbers."""
-    breaks = np.flatnonzero(np.diff(places) != 1) + 1
-    for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(places)], strict=True):
-        if b - a >= least:
-            yield int(places[a]), int(places[b - 1]) + 1
+def _runs(at: int, here: list[bytes], other: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(first, after the last) of the stretches of equal words, from place ``at`` on."""
+    if here == other:
+        yield at, at + len(here)
+        return
+    begin = None
+    for i, (x, y) in enumerate(zip(here, other, strict=True), at):
+        if x == y:
+            begin = i if begin is None else begin
+        elif begin is not None:
+            yield begin, i
+            begin = None
+    if begin is not None:
+        yield begin, at + len(here)
+
+
+def _union(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches that overlap or touch are one; in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(stretches):
+        if out and low <= out[-1][1]:
+            if high > out[-1][1]:
+                out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
 
 
-def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int]:
-    """The text without the hits that its words confirm, and the lines removed, whole or in part."""
-    if not hits:
-        return text, 0
-    data = (text or "").encode()
-    starts = word_starts(data)
-    own, bounds = _words(data), [*starts.tolist(), len(data)]
-    equal: dict[tuple[int, int], list[int]] = {}
+def cut_all(texts: list[str | None], hits: list[list[dict] | None]) -> list[tuple[str | None, int]]:
+    """Each text without the hits that its words confirm, and the lines removed, whole or in part."""
+    some = [i for i, h in enumerate(hits) if h]
+    found: list[tuple[str | None, int]] = [(t, 0) for t in texts]
+    data = [(texts[i] or "").encode() for i in some]
+    for i, own, (starts, ends) in zip(some, data, layouts_of(data), strict=True):
+        left = _left(own, starts, ends, hits[i])
+        if left is not None:
+            found[i] = left
+    return found
+
+
+def _left(data: bytes, starts: np.ndarray, ends: np.ndarray, hits: list[dict]) -> tuple[str, int] | None:
+    own, equal = _words(data), {}
     for hit in hits:
         other, at = _words(hit["words"]), hit["first"] + hit["shift"]
         skip = max(0, -at)
         other, at = other[skip : max(0, len(own) - at)], at + skip
-        here, places = own[at : at + len(other)], equal.setdefault((hit["kept_id"], hit["shift"]), [])
-        if here == other:
-            places.extend(range(at, at + len(other)))
-        else:
-            places.extend([i for i, x, y in zip(range(at, at + len(other)), here, other, strict=True) if x == y])
-    again = np.zeros(len(own), bool)
-    for places in equal.values():
-        if len(places) >= RUN:
-            for low, high in _stretches(np.unique(places), RUN):
-                again[low:high] = True
-    if not again.any():
-        return text, 0
-    lines = np.concatenate([[0], line_ends(data, starts)])
-    gone = np.zeros(len(data), bool)
-    for low, high in _stretches(np.flatnonzero(again), RUN):
+        equal.setdefault((hit["kept_id"], hit["shift"]), []).extend(_runs(at, own[at : at + len(other)], other))
+    again = _union([x for runs in equal.values() for x in _union(runs) if x[1] - x[0] >= RUN])
+    if not again:
+        return None
+    bounds, lines, gone = [*starts.tolist(), len(data)], [0, *ends.tolist()], []
+    for low, high in again:
         begin, end = bounds[low] if low else 0, bounds[high]
         if high - low >= PASSAGE:
             # A line's end behind a passage stays, unless the passage began the line.
@@ -312,21 +342,25 @@ def cut(text: str | None, hits: list[dict] | None) -> tuple[str | None, int]:
             if data[end : end + 1] == b"\n" and (not begin or data[begin - 1 : begin] == b"\n"):
                 end += 1
         else:
-            i, j = np.searchsorted(lines, begin), np.searchsorted(lines, end, "right") - 1
+            i, j = bisect_left(lines, begin), bisect_right(lines, end) - 1
             if j - i < MIN_LINES:
                 continue
-            begin, end = int(lines[i]), int(lines[j])
-            if np.searchsorted(starts, end) - np.searchsorted(starts, begin) < MIN_WORDS:
+            begin, end = lines[i], lines[j]
+            if bisect_left(bounds, end, 0, len(own)) - bisect_left(bounds, begin, 0, len(own)) < MIN_WORDS:
                 continue
-        gone[begin:end] = True
-    left = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    return left.decode(), int(np.logical_or.reduceat(gone, lines[:-1]).sum())
+        gone.append((begin, end))
+    kept, at, n, last = [], 0, 0, 0
+    for begin, end in gone:
+        kept.append(data[at:begin])
+        first, after = bisect_right(lines, begin) - 1, bisect_left(lines, end)
+        n, last, at = n + after - max(first, last), after, end
+    return b"".join([*kept, data[at:]]).decode(), n
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     def make():
         def step(r: dict) -> dict:
-            found = [cut(t, h) for t, h in zip(r["text"], r["hits"], strict=True)]
+            found = cut_all(r["text"], r["hits"])
             return {
                 "doc_id": r["doc_id"],
                 "text": [f[0] for f in found],
@@ -355,7 +389,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                done = [cut(t, h) for t, h in zip(part.column(at[text_col]).to_pylist(), part.column(len(names)).to_pylist(), strict=True)]
+                done = cut_all(part.column(at[text_col]).to_pylist(), part.column(len(names)).to_pylist())
                 columns = list(part.columns[: len(names)])
                 columns[at[text_col]] = pa.array([t for t, _ in done], pa.string())
                 if chars_col in at:
