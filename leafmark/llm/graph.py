@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import hold, to_arrow, workers_find_us
+from leafmark.llm.common import copied, dealt, hold, hot_keys, to_arrow, workers_find_us
 
 #: Nodes that a task joins at a time.
 NODES = 2_000_000
@@ -20,8 +20,8 @@ def components(edges: DataFrame, nodes: int = NODES) -> DataFrame:
     Each round has two steps. Every task joins the edges it has, ``nodes`` of them at a
     time, into stars around the smallest node of each part. Then an alternating star
     contraction hangs every node's larger neighbours, then its smaller ones, on its
-    smallest neighbour, with minima combined before the shuffle, so a node with very many
-    edges gathers nothing. Rounds end when each node hangs on one that hangs on none;
+    smallest neighbour, with minima combined before the shuffle and a hub's edges dealt to
+    parts, so a node with very many edges gathers nothing. Rounds end when each node hangs on one that hangs on none;
     they grow with the logarithm of the nodes that no task has together. Each is held.
     """
     edges = hold(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").filter("a <> b").distinct(), "edges")
@@ -31,13 +31,19 @@ def components(edges: DataFrame, nodes: int = NODES) -> DataFrame:
             return edges.selectExpr("a as node", "b as component").unionByName(edges.selectExpr("b as node", "b as component").distinct())
         both = edges.unionByName(edges.selectExpr("b as a", "a as b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) as m")
-        large = both.filter("b > a").join(least, "a").selectExpr("b as a", "m as b")
-        large = large.filter("a <> b").distinct()
+        large = _hung(both.filter("b > a"), least)
+        large = hold(large.filter("a <> b").distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").selectExpr("b as a", "m as b").unionByName(least.selectExpr("a", "m as b"))
+        small = _hung(large, least).unionByName(least.selectExpr("a", "m as b"))
         edges = hold(small.filter("a <> b").distinct(), "edges")
 
 
+def _hung(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each node's neighbours, hung on its least one; a hub's edges are dealt to parts."""
+    hot = hot_keys(edges, "a")
+    return dealt(edges, hot, "a", "b").join(copied(least, hot, "a"), ["a", "salt"]).selectExpr("b as a", "m as b")
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether each node hangs on one node, and on one that hangs on none."""
     roots = edges.select(F.col("b").alias("a")).distinct()

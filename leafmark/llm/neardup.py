@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import documents, hold, map_rows
+from leafmark.llm.common import copied, dealt, documents, hold, hot_keys, map_rows
 from leafmark.llm.graph import components
 
 CHUNKS, LANES, LANE_BITS = 12, 4, 12
@@ -198,13 +198,18 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
 
     # The nearest of the smallest members of a node's buckets.
     heads = places.groupBy("bucket", "key").agg(F.min("rep").alias("head"))
-    h = places.join(heads, ["bucket", "key"]).filter("rep <> head").select("rep", "n", *_CHUNK_COLUMNS, "head").distinct()
-    pairs = h.alias("x").join(nodes.alias("y"), F.col("x.head") == F.col("y.rep")).filter(_close("x", "y", least))
+    h = hold(places.join(heads, ["bucket", "key"]).filter("rep <> head").select("rep", "n", *_CHUNK_COLUMNS, "head").distinct(), "heads")
+    # A large group's rows have one head, and then one neighbour: they are dealt to parts.
+    hot = hot_keys(h, "head")
+    y = copied(nodes.withColumn("head", F.col("rep")), hot, "head").alias("y")
+    pairs = dealt(h, hot, "head", "rep").alias("x").join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.salt") == F.col("y.salt"))).filter(_close("x", "y", least))
     errors = _chunk_errors("x", "y")
     best = pairs.groupBy(F.col("x.rep").alias("a")).agg(F.min(F.struct(sum(errors[1:], errors[0]).alias("d"), F.col("y.rep").alias("b"))).alias("o"))
-    near = best.select("a", F.col("o.b").alias("b"))
-    left = near.join(sets.alias("x"), F.col("a") == F.col("x.rep"))
-    stars = hold(left.join(sets.alias("y"), F.col("b") == F.col("y.rep")).filter(_alike("x", "y", least)).select("a", "b"), "stars")
+    near = hold(best.select("a", F.col("o.b").alias("b")), "near")
+    hot = hot_keys(near, "b")
+    left = dealt(near, hot, "b", "a").join(sets.alias("x"), F.col("a") == F.col("x.rep"))
+    right = copied(sets.withColumn("b", F.col("rep")), hot, "b").select(F.col("b").alias("of"), F.col("salt").alias("part"), "rep", "s1", "n", "shingles").alias("y")
+    stars = hold(left.join(right, (F.col("b") == F.col("of")) & (F.col("salt") == F.col("part"))).filter(_alike("x", "y", least)).select("a", "b"), "stars")
     merged = components(stars)
 
     # What is left: pairs whose ends are still in different components.
