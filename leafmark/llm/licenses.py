@@ -101,23 +101,57 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("apache", "apache license", "Licensed under the Apache License, Version 2.0."),
     ("mit", "mit license", "Released under the MIT License."),
     ("mit", "mit license", "This project is licensed under the terms of the MIT license."),
-    ("cc-by", "commons attribution 4", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-sa", "attribution sharealike 4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("cc-by-nc", "attribution noncommercial 4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("cc-by-nd", "attribution noderivatives 4", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
-    ("cc-by-nc-sa", "attribution noncommercial sharealike 4", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
-    ("cc-by-nc-nd", "attribution noncommercial noderivatives 4", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
-    ("cc-by", "cc by 4", "Licensed under CC BY 4.0."),
-    ("cc-by-nc", "cc by nc 4", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "cc by sa 4", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nd", "cc by nd 4", "Licensed under CC BY-ND 4.0."),
-    ("cc-by-nc-sa", "cc by nc sa 4", "Licensed under CC BY-NC-SA 4.0."),
     ("cc0", "cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. CC0 1.0 Universal."),
     ("mpl", "mozilla public license", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("epl", "eclipse public license", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
-    ("all-rights-reserved", "all rights reserved", "All rights reserved."),
+    ("bsd", "bsd 2 clause license", "Licensed under the BSD 2-Clause License."),
+    ("bsd", "bsd 3 clause license", "Licensed under the BSD 3-Clause License."),
+    ("gpl", "gpl v2", "Licensed under the GNU GPL v2."),
+    ("gpl", "gpl v3", "Licensed under the GNU GPL v3."),
+    ("apache", "apache 2 0", "Apache-2.0"),
+    ("cc0", "cc0 1 0", "CC0 1.0"),
+    ("isc", "isc license", "Licensed under the ISC License."),
+    ("mpl", "mozilla public license", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
 
+# Names of the Creative Commons licences, their versions, and labels of SPDX names.
+COMMONS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+SPDX = {
+    "mit": ("MIT",),
+    "apache": ("Apache-2.0",),
+    "gpl": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "lgpl": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause"),
+    "isc": ("ISC",),
+    "zlib": ("Zlib",),
+    "boost": ("BSL-1.0",),
+    "unlicense": ("Unlicense",),
+    "mpl": ("MPL-2.0",),
+    "epl": ("EPL-2.0",),
+    "cc0": ("CC0-1.0",),
+}
+
+
+def _by_rule() -> list[tuple[str, str, str]]:
+    """Notices of the Creative Commons licences in all versions, and SPDX tags."""
+    phrase = lambda name: re.sub(r"[^a-z0-9]+", " ", name.lower())
+    out = []
+    for kind, name in COMMONS.items():
+        for version in COMMONS_VERSIONS:
+            where = "International" if version == "4.0" else "Unported"
+            full = f"Creative Commons {name} {version}"
+            out.append((f"cc-{kind}", phrase(full), f"This work is licensed under a {full} {where} License."))
+            out.append((f"cc-{kind}", phrase(f"CC {kind} {version}"), f"Licensed under CC {kind.upper()} {version}."))
+            out.append((f"cc-{kind}", phrase(f"identifier CC {kind} {version}"), f"SPDX-License-Identifier: CC-{kind.upper()}-{version}"))
+    for label, names in SPDX.items():
+        out += [(label, phrase(f"identifier {name}"), f"SPDX-License-Identifier: {name}") for name in names]
+    return out
+
+
+TEMPLATES += _by_rule()
+
 #: Words that a stretch must have, or else (two at least) its share of the template; words of the file that
 #: may stand between chained stretches, what each of them takes off, and the least covered share.
 MIN_STRETCH, MIN_PART, MAX_GAP, GAP_COST, MIN_COVER = 4, 0.25, 24, 0.5, 0.6
@@ -266,6 +300,8 @@ class Scanner:
         of a template; of those on the same words the heaviest stays. And the rest's best."""
         found: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in self.automaton.stretches(list(map(self.ids.get, words))):
+            if size < 2:
+                continue
             for t, places in self.automaton.ends[state].items():
                 for place in places:
                     if size >= MIN_STRETCH or size > 1 and self.sums[t][place + 1] - self.sums[t][place - size + 1] >= MIN_PART * self.sums[t][-1]:

@@ -156,7 +156,20 @@ def test_license_templates_are_found():
         ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
         ("This work is licensed under a Creative Commons Attribution-Unheard 4.0 International License.", ""),
         ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.", "lgpl"),
-        ("Text. Released under the MIT License. Then more. All rights reserved. Licensed under the Apache License, Version 2.0.", "all-rights-reserved,apache,mit"),
+        ("Text. Released under the MIT License. Then more. All rights reserved. Licensed under the Apache License, Version 2.0.", "apache,mit"),
+        ("Copyright 2001 Somebody. All rights reserved.", ""),
+        ("This document is released under CC BY-SA 3.0.", "cc-by,cc-by-sa"),
+        ("Text available under CC BY-NC-ND 2.5, photographs apart.", "cc-by,cc-by-nc-nd"),
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+        ("/* SPDX-License-Identifier: BSD-3-Clause */", "bsd"),
+        ("/* SPDX-License-Identifier: Unheard-Of */", ""),
+        ("CC0 1.0", "cc0"),
+        ("The code is Apache-2.0 throughout.", "apache"),
+        ("Licensed under the BSD 3-Clause License.", "bsd"),
+        ("Licensed under the GNU GPL v3 or any later version.", "gpl"),
+        ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by"),
+        ("They arrived by cc by train, 3 of 0 were licensed under nobody.", "cc-by"),
         ("Released under the MIT License. " * 3, "mit"),
     ],
 )
@@ -627,6 +640,19 @@ def test_lm_scores_above_the_base(spark):
     assert sum(r["score"] for r in rows) / n > sum(r["base_score"] for r in rows) / n + 0.1
 
 
+def test_lm_long_words_are_broadcast_too(spark, monkeypatch):
+    """A long word of every document counts as one of the hot words, and as it did when joined."""
+    link = "https://example.org/" + "a-very-long-path-" * 6
+    docs = spark.createDataFrame([(i, f"see {link}{i % 2} and {link} or {'é' * 40} number {i}") for i in range(60)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lmscore.score(docs, PATH).collect()}
+    monkeypatch.setattr(lmscore, "HOT_SHARE", 0)  # no word is hot
+    want = {r["doc_id"]: r for r in lmscore.score(docs, PATH).collect()}
+    for key, r in want.items():
+        assert got[key]["n_known"] == r["n_known"] and abs(got[key]["base_score"] - r["base_score"]) < 1e-9 and abs(got[key]["score"] - r["score"]) < 1e-6
+    ids = lmscore.WordIds(lambda w: [len(w)], [b"a", lmscore.long_key(link.encode())])
+    assert ids[b"a"] >> lmscore.ID_BITS == 1 and ids[link.encode()] >> lmscore.ID_BITS == 2 and ids[link.encode() + b"x"] >> lmscore.ID_BITS == 0
+
+
 def _attend(p, counted, before, label):
     """Log-probability of class ``label`` after the inputs ``before`` (of this block and the one before)."""
     e, width = p["embed"].astype(float), attention.WIDTH
