@@ -1,7 +1,9 @@
-"""Command line: ``python -m leafmark harvest | locate | mine | fetch``.
+"""Command line: ``python -m leafmark harvest | fetch | locate | mine | evaluate | train | find``.
 
 ``fetch`` and ``locate`` leave a file for each book, so a run that broke off is taken up where
-it ended, and ``locate`` and ``mine`` read what the step before left.
+it ended, and ``locate`` and ``mine`` read what the step before left. ``evaluate`` reports on
+left-out books of labelled corpora, ``train`` saves a scorer, and ``find`` gives each layout
+file's contents pages by it.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from leafmark.functions import catalogue as C
 from leafmark.functions import rounding
 from leafmark.operators import labels as L
-from leafmark.operators import locate, matching
+from leafmark.operators import boosting, locate, matching, ml
+from leafmark.plans import inference, training
 from leafmark.sources import files, harvest, pdf, sink
 
 
@@ -80,6 +83,9 @@ def main(args: list[str] | None = None) -> None:
         "locate": {"folder": None, "out": None, "again": 0},
         "mine": {"folder": None, "labels": None, "manifest": None, "out": None, "min-count": 2},
         "fetch": {"manifest": None, "folder": None},
+        "evaluate": {"corpora": None, "located": "", "layouts": "", "cache": "", "rebuild": 0, "model": ml.MODELS[0], "rounds": 100, "out": ""},
+        "train": {"corpora": None, "located": "", "layouts": "", "cache": "", "rebuild": 0, "model": ml.MODELS[0], "rounds": 100, "out": None},
+        "find": {"layouts": None, "model": None, "out": None},
     }.items():
         task = tasks.add_parser(name)
         for option, default in options.items():
@@ -92,6 +98,19 @@ def main(args: list[str] | None = None) -> None:
         labelled(spark, told.folder, told.out, bool(told.again))
     elif told.task == "mine":
         files.write_headings(mined(spark, told.folder, told.labels, told.manifest, told.min_count), told.out)
+    elif told.task in ("evaluate", "train"):
+        rows = training.corpus_features(spark, told.corpora, told.located, told.layouts, told.cache, bool(told.rebuild))
+        how = boosting.Growth(rounds=told.rounds)
+        if told.task == "train":
+            training.fit(rows, told.model, how).save(spark, told.out)
+        else:
+            per_book, rates, ranks = training.report(rows, told.model, how)
+            rates.orderBy("by", "value").show(1000, truncate=False)
+            ranks.show()
+            if told.out:
+                files.write_lines(per_book, told.out)
+    elif told.task == "find":
+        files.write_lines(inference.locate_files(spark, told.layouts, ml.load_model(spark, told.model)), told.out)
     else:
         matching.tally(fetched(spark, told.manifest, told.folder)).show()
 

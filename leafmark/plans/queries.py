@@ -554,6 +554,43 @@ def _scored_left_out(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     return ml.leave_one_out(L.label_pages(rows, _book_labels(spark)), ["density", "size", "edge"], model)
 
 
+def _left_out_sql(steps: int = 12) -> str:
+    """All left-out books' models by Newton steps, each solved by its triangular factors; then
+    each page's score by its own book's model. ``f`` is the book left out."""
+    n = 4
+    out = [
+        _PAGES,
+        _LABELS,
+        """x_ AS MATERIALIZED (SELECT p.book, page_index, coalesce(page_index BETWEEN a AND b, false)::INT AS y, 0.5::DOUBLE AS w,
+  CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) ELSE 0 END::DOUBLE AS x0, length(text)::DOUBLE AS x1, least(page_index, total_pages - 1 - page_index)::DOUBLE AS x2 FROM pages_ p JOIN lab USING (book))""",
+        "m_ AS MATERIALIZED (SELECT f, count(*) AS n, sum(y) AS pos, " + ", ".join(f"avg(x{i}) AS m{i}, coalesce(nullif(stddev_pop(x{i}), 0), 1) AS s{i}" for i in range(3)) + " FROM (SELECT DISTINCT book AS f FROM x_ WHERE y = 1) JOIN x_ ON book <> f GROUP BY f)",
+        "d_ AS MATERIALIZED (SELECT f, book, page_index, y, w * CASE y WHEN 1 THEN n / 2.0::DOUBLE / greatest(1, pos) ELSE n / 2.0::DOUBLE / greatest(1, n - pos) END AS a, " + ", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(3)) + ", 1.0::DOUBLE AS z3 FROM m_ JOIN x_ ON true)",
+        "w0 AS (SELECT f, " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(n)) + " FROM m_)",
+    ]
+    ridge = [1.0, 1.0, 1.0, 1e-9]
+    at = " + ".join(f"z{i} * w{i}" for i in range(n))
+    weights = ", ".join(f"w{i}" for i in range(n))
+    sums = ", ".join(f"sum(a * (p - y) * z{i}) + {ridge[i]} * any_value(w{i}) AS g{i}" for i in range(n))
+    sums += ", " + ", ".join(f"sum(a * p * (1 - p) * z{i} * z{j}) + {ridge[i] + 1e-9 if i == j else 0.0} AS h{i}{j}" for i in range(n) for j in range(i, n))
+    solve = []
+    for j in range(n):
+        solve.append(f"h{j}{j}" + "".join(f" - l{j}{k} * l{j}{k} * e{k}" for k in range(j)) + f" AS e{j}")
+        solve += [f"(h{j}{i}" + "".join(f" - l{i}{k} * l{j}{k} * e{k}" for k in range(j)) + f") / e{j} AS l{i}{j}" for i in range(j + 1, n)]
+    solve += [f"g{i}" + "".join(f" - l{i}{k} * q{k}" for k in range(i)) + f" AS q{i}" for i in range(n)]
+    solve += [f"q{i} / e{i}" + "".join(f" - l{k}{i} * s{k}" for k in range(i + 1, n)) + f" AS s{i}" for i in reversed(range(n))]
+    for k in range(steps):
+        out.append(f"g{k} AS MATERIALIZED (SELECT f, {sums}, {', '.join(f'any_value(w{i}) AS w{i}' for i in range(n))} FROM (SELECT *, 1 / (1 + exp(-least(60, greatest(-60, {at})))) AS p FROM d_ JOIN w{k} USING (f) WHERE book <> f) GROUP BY f)")
+        out.append(f"s{k} AS (SELECT f, {weights}, {', '.join(solve)}, least(1.0::DOUBLE, 5 / (greatest({', '.join(f'abs(s{i})' for i in range(n))}) + 1e-12)) AS t FROM g{k})")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT f, {', '.join(f'w{i} - t * s{i} AS w{i}' for i in range(n))} FROM s{k})")
+    return f"WITH {', '.join(out)} SELECT book, page_index, round(1 / (1 + exp(-({at}))), 6)::DOUBLE AS score FROM d_ JOIN w{steps} USING (f) WHERE book = f"
+
+
+@_query(_left_out_sql())
+def linear_left_out(spark, sf_dir):
+    """Every page of every book with a true page, scored by the linear model of all other books."""
+    return _scored_left_out(spark, sf_dir, "logistic_regression").select("book", "page_index", F.round("score", 6).alias("score"))
+
+
 @_query()
 def leave_one_book_out(spark, sf_dir):
     """Every page of every book, scored by models of all other books."""

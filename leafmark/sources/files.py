@@ -64,15 +64,17 @@ def discover_corpora(spark: SparkSession, root: str) -> list[str]:
     return sorted({x.getPath().getParent().toString() for x in found})
 
 
-def read_expected(spark: SparkSession, corpus: str) -> DataFrame:
-    """Label rows of a folder of ``<key>.expected.json`` files beside ``<key>.pdf``.
+def read_expected(spark: SparkSession, corpus: str, layouts: bool = False) -> DataFrame:
+    """Label rows of a folder of ``<key>.expected.json`` files beside ``<key>.pdf`` (or, with
+    ``layouts``, beside ``<key>.xml``: pdf_path is then that file).
 
     A null ``toc`` is kept (a book known to have none); an absent one isn't.
     """
     texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.expected.json").text(corpus)
     toc = F.from_json("value", "toc struct<toc_start_index:int,toc_end_index:int>")["toc"]
     rows = texts.select(F.regexp_replace(file_name(), r"\.expected\.json$", "").alias("key"), F.array_contains(F.json_object_keys("value"), "toc").alias("has"), toc.alias("toc"))
-    pdfs = list_files(spark, corpus, "*.pdf").select(F.regexp_replace("name", r"\.pdf$", "").alias("key"), F.col("path").alias("pdf_path"))
+    kind = "xml" if layouts else "pdf"
+    pdfs = list_files(spark, corpus, f"*.{kind}").select(F.regexp_replace("name", rf"\.{kind}$", "").alias("key"), F.col("path").alias("pdf_path"))
     rows = rows.filter("has").join(pdfs, "key")
     if there(spark, f"{corpus}/manifest.json"):
         text = spark.read.option("wholetext", "true").text(f"{corpus}/manifest.json")
