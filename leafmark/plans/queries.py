@@ -527,10 +527,13 @@ def true_page_rank(spark, sf_dir):
     return locate.true_page_rank(_labelled_scores(spark, sf_dir))
 
 
-@_query(f"""WITH {_TOPK}, {_LABELS}, k AS (SELECT book, page_index, row_number() OVER (PARTITION BY book ORDER BY score DESC, page_index) AS r FROM scores_),
+_EVALUATED = f"""WITH {_TOPK}, {_LABELS}, k AS (SELECT book, page_index, row_number() OVER (PARTITION BY book ORDER BY score DESC, page_index) AS r FROM scores_),
 rk AS (SELECT book, min(r)::BIGINT AS best_true_page_rank FROM k JOIN lab USING (book) WHERE page_index BETWEEN a AND b GROUP BY book)
 SELECT book, bool_or(rank = 1 AND s <= a AND e >= b) AS top1_hit, bool_or(s <= a AND e >= b) AS top3_hit, bool_or(rank = 1 AND e >= a AND s <= b) AS top1_overlap, bool_or(e >= a AND s <= b) AS top3_overlap, best_true_page_rank
-FROM picked JOIN lab USING (book) JOIN rk USING (book) WHERE a IS NOT NULL GROUP BY book, best_true_page_rank""")
+FROM picked JOIN lab USING (book) JOIN rk USING (book) WHERE a IS NOT NULL GROUP BY book, best_true_page_rank"""
+
+
+@_query(_EVALUATED)
 def evaluate_hits(spark, sf_dir):
     return inference.evaluate(_labelled_scores(spark, sf_dir))
 
@@ -565,7 +568,7 @@ def _left_out_sql(steps: int = 12) -> str:
   CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) ELSE 0 END::DOUBLE AS x0, length(text)::DOUBLE AS x1, least(page_index, total_pages - 1 - page_index)::DOUBLE AS x2 FROM pages_ p JOIN lab USING (book))""",
         "m_ AS MATERIALIZED (SELECT f, count(*) AS n, sum(y) AS pos, " + ", ".join(f"avg(x{i}) AS m{i}, coalesce(nullif(stddev_pop(x{i}), 0), 1) AS s{i}" for i in range(3)) + " FROM (SELECT DISTINCT book AS f FROM x_ WHERE y = 1) JOIN x_ ON book <> f GROUP BY f)",
         "d_ AS MATERIALIZED (SELECT f, book, page_index, y, w * CASE y WHEN 1 THEN n / 2.0::DOUBLE / greatest(1, pos) ELSE n / 2.0::DOUBLE / greatest(1, n - pos) END AS a, " + ", ".join(f"(x{i} - m{i}) / s{i} AS z{i}" for i in range(3)) + ", 1.0::DOUBLE AS z3 FROM m_ JOIN x_ ON true)",
-        "w0 AS (SELECT f, " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(n)) + " FROM m_)",
+        "u0 AS (SELECT f, " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(n)) + " FROM m_)",
     ]
     ridge = [1.0, 1.0, 1.0, 1e-9]
     at = " + ".join(f"z{i} * w{i}" for i in range(n))
@@ -579,21 +582,21 @@ def _left_out_sql(steps: int = 12) -> str:
     solve += [f"g{i}" + "".join(f" - l{i}{k} * q{k}" for k in range(i)) + f" AS q{i}" for i in range(n)]
     solve += [f"q{i} / e{i}" + "".join(f" - l{k}{i} * s{k}" for k in range(i + 1, n)) + f" AS s{i}" for i in reversed(range(n))]
     for k in range(steps):
-        out.append(f"g{k} AS MATERIALIZED (SELECT f, {sums}, {', '.join(f'any_value(w{i}) AS w{i}' for i in range(n))} FROM (SELECT *, 1 / (1 + exp(-least(60, greatest(-60, {at})))) AS p FROM d_ JOIN w{k} USING (f) WHERE book <> f) GROUP BY f)")
+        out.append(f"g{k} AS MATERIALIZED (SELECT f, {sums}, {', '.join(f'any_value(w{i}) AS w{i}' for i in range(n))} FROM (SELECT *, 1 / (1 + exp(-least(60, greatest(-60, {at})))) AS p FROM d_ JOIN u{k} USING (f) WHERE book <> f) GROUP BY f)")
         out.append(f"s{k} AS (SELECT f, {weights}, {', '.join(solve)}, least(1.0::DOUBLE, 5 / (greatest({', '.join(f'abs(s{i})' for i in range(n))}) + 1e-12)) AS t FROM g{k})")
-        out.append(f"w{k + 1} AS MATERIALIZED (SELECT f, {', '.join(f'w{i} - t * s{i} AS w{i}' for i in range(n))} FROM s{k})")
-    return f"WITH {', '.join(out)} SELECT book, page_index, round(1 / (1 + exp(-({at}))), 6)::DOUBLE AS score FROM d_ JOIN w{steps} USING (f) WHERE book = f"
+        out.append(f"u{k + 1} AS MATERIALIZED (SELECT f, {', '.join(f'w{i} - t * s{i} AS w{i}' for i in range(n))} FROM s{k})")
+    return ", ".join([*out, f"scores_ AS MATERIALIZED (SELECT book, page_index, 1 / (1 + exp(-({at}))) AS score FROM d_ JOIN u{steps} USING (f) WHERE book = f)"])
 
 
-@_query(_left_out_sql())
+@_query(f"WITH {_left_out_sql()} SELECT book, page_index, round(score, 6)::DOUBLE AS score FROM scores_")
 def linear_left_out(spark, sf_dir):
     """Every page of every book with a true page, scored by the linear model of all other books."""
     return _scored_left_out(spark, sf_dir, "logistic_regression").select("book", "page_index", F.round("score", 6).alias("score"))
 
 
-@_query()
+@_query(_EVALUATED.replace(f"WITH {_TOPK}, {_LABELS}", f"WITH {_TOPK}").replace(_SCORES, _left_out_sql()))
 def leave_one_book_out(spark, sf_dir):
-    """Every page of every book, scored by models of all other books."""
+    """Hits and ranks of every book, each page scored by a model of all other books."""
     return inference.evaluate(_scored_left_out(spark, sf_dir, "logistic_regression"))
 
 
