@@ -65,28 +65,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Rows of one key that a join gives to a task.
-KEY_ROWS = 200_000
-
-
-def hot_keys(rows: DataFrame, key: str, per: int | None = None) -> DataFrame:
-    """(key, parts) of the keys with more than ``per`` rows: there can't be more than a
-    ``per``-th of the rows, by counting, so they may be broadcast."""
-    per = per or KEY_ROWS
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > per).withColumn("parts", F.ceil(F.col("parts") / per))
-
-
-def dealt(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
-    """Add ``salt``: the part of its hot key that a row is in, else 0."""
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)))).drop("parts")
-
-
-def copied(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """Rows once for each part of their key, as ``salt``, to be met by the dealt ones."""
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", each).drop("parts")
-
-
 FENCE = "__fence"
 
 

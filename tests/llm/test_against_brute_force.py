@@ -717,31 +717,6 @@ def test_lm_learns_from_all_documents(spark):
     assert held_score(True) > held_score(False) + 5
 
 
-def test_hubs_are_dealt_to_parts(spark, monkeypatch):
-    """Keys that count as hot at ten rows: groups and components stay as they are."""
-    from leafmark.llm import common
-
-    rng = random.Random(31)
-    base = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
-    rows = []
-    for i in range(90):  # near copies of one text, some of another, and others
-        words = list(base if i % 3 else [f"x{j}" for j in range(60)] if i % 2 else [f"{i}-{j}" for j in range(60)])
-        words[rng.randrange(60)] = f"own{i}"
-        rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs, 4, 80).collect()}
-    edges = [(0, i) for i in range(1, 60)] + [(i, i + 60) for i in range(20)] + [(200, 201)]
-    table = spark.createDataFrame(edges, "a long, b long").repartition(6)
-    monkeypatch.setattr(common, "KEY_ROWS", 10)
-    assert {r["doc_id"]: r["component_id"] for r in neardup.groups(docs, 4, 80).collect()} == want and len(set(want.values())) < 60
-    found = {r["node"]: r["component"] for r in graph.components(table, 2).collect()}
-    assert found == {**dict.fromkeys(range(80), 0), 200: 200, 201: 200}
-    hot = common.hot_keys(table, "a")
-    assert [tuple(r) for r in hot.collect()] == [(0, 6)]
-    assert common.dealt(table, hot, "a", "b").filter("a = 0").select("salt").distinct().count() == 6
-    assert common.copied(table.filter("b = 1"), hot, "a").count() == 6
-
-
 def test_attention_sums_to_one_and_is_causal():
     rng, model = np.random.default_rng(0), _some_model()
     ids, _, first = attention.blocks([rng.integers(0, 900, 50).astype(np.int32), rng.integers(0, 900, 7).astype(np.int32)])
