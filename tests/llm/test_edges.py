@@ -68,5 +68,9 @@ def test_defined_results(odd_docs):
     assert lic[12]["labels"] == "mit" and lic[3]["n_words"] == 0 and lic[3]["first_word"] is None
     prints = {r["doc_id"]: r for r in fingerprint.compare_with_next(odd_docs).collect()}
     assert prints[3]["fingerprint"] == "" and prints[1]["fingerprint"] == prints[2]["fingerprint"]
+    pieces = {r["doc_id"]: r for r in piecebpe.encode(odd_docs, PIECES, ("ids", "decoded", "agrees")).collect()}
+    assert all(r["agrees"] for r in pieces.values()) and pieces[3]["ids"] == pieces[4]["ids"] == [1, 2] and pieces[3]["decoded"] == ""
+    leaves = {r["doc_id"]: r for r in manifest.audit(odd_docs).collect()}
+    assert all(r["verified"] for r in leaves.values()) and leaves[3]["leaf"] != leaves[4]["leaf"]
     lines = {r["doc_id"]: r for r in linededup.dedup(odd_docs).collect()}
     assert lines[2]["text"].strip() == "" and lines[3]["text"] is None and lines[7]["text"] == "two words"
