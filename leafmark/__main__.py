@@ -20,6 +20,9 @@ from leafmark.operators import boosting, locate, matching, ml
 from leafmark.plans import inference, training
 from leafmark.sources import files, harvest, pdf, sink
 
+# Fixed value: what label files call the way a range was located.
+METHOD = "text_token_ochiai_fixed_window"
+
 
 def harvested(spark: SparkSession, base: str, sets: str, host: str) -> DataFrame:
     """Records of the sets that have an ISBN and a handle."""
@@ -44,7 +47,7 @@ def labelled(spark: SparkSession, folder: str, out: str, again: bool = False, pa
     rows = located(spark, folder, parse, done)
     places = {c: rounding.round_half_even(F.col(c), 4) for c in ("top_score", "margin")}
     found = F.col("status") == "located"
-    rows = rows.withColumns(places | {"method": F.when(found, "text_token_ochiai_fixed_window"), "verified": F.when(found, False)})
+    rows = rows.withColumns(places | {"method": F.when(found, METHOD), "verified": F.when(found, False)})
     sink.save_json(rows.select("isbn", "status", "toc_start_index", "toc_end_index", "top_score", "margin", "method", "verified", "error"), "isbn", out)
 
 

@@ -109,7 +109,7 @@ def test_fetch_locate_mine(spark, store, tmp_path):
     cli.labelled(spark, str(folder), str(labels), parse=parse)
     told = {n: json.loads(c) for n, c in there(labels).items()}
     assert set(told) == {"b1.json", "b2.json"} and told["b2.json"] == {"isbn": "b2", "status": "no_candidate"}
-    assert told["b1.json"] | {"top_score": 0, "margin": 0} == {"isbn": "b1", "status": "located", "toc_start_index": 1, "toc_end_index": 1, "top_score": 0, "margin": 0, "method": "text_token_ochiai_fixed_window", "verified": False}
+    assert told["b1.json"] | {"top_score": 0, "margin": 0} == {"isbn": "b1", "status": "located", "toc_start_index": 1, "toc_end_index": 1, "top_score": 0, "margin": 0, "method": cli.METHOD, "verified": False}
     (labels / "b1.json").write_text(json.dumps(told["b1.json"] | {"verified": True}))
     cli.labelled(spark, str(folder), str(labels), parse=parse)  # what people checked stays
     assert json.loads((labels / "b1.json").read_text())["verified"]
