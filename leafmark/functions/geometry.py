@@ -6,6 +6,7 @@ A word is struct<text,x0,x1,top,bottom,size>; a text line struct<top,words>.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -70,12 +71,17 @@ def visual_lines(text_lines: Column) -> Column:
         after = lambda p: F.coalesce(F.get(x["s"], p["i"] + 1), F.size(x["l"]))
         return F.transform(x["p"], lambda p: _by(F.flatten(F.transform(F.slice(x["l"], p["s"] + 1, after(p) - p["s"]), lambda line: line["words"])), "x0"))
 
-    return F.get(F.transform(F.array(bound), sliced), F.lit(0))
+    return _bound(bound, sliced)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def line_text(words: Column) -> Column:
     """Words joined by what their gaps call for: nothing, a space, or two for a wide gap."""
-    return F.get(F.transform(F.array(_by(words, "x0")), _join), F.lit(0))
+    return _bound(_by(words, "x0"), _join)
 
 
 def _join(ordered: Column) -> Column:
@@ -108,20 +114,30 @@ def page_features(lines: str, height: str, width: str) -> Column:
     ln, h, w = F.col(lines), F.col(height), F.col(width)
     sizes = F.transform(ln, lambda x: _mean(F.transform(x, lambda y: y["size"])))
     lefts = F.transform(ln, lambda x: F.array_min(F.transform(x, lambda y: y["x0"])) / w)
-    mean = _mean(lefts)
     n = F.size(ln)
-    variance = F.when(n > 1, F.aggregate(lefts, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)).otherwise(F.lit(0.0))
-    modal, top = _modal(F.transform(sizes, lambda s: round_half_even(s, 1))), F.array_max(sizes)
-    made = {
-        "line_count": n.cast("double"),
-        "font_size_max_ratio": F.when(modal != 0, top / modal).otherwise(F.lit(1.0)),
-        "line_density": n / h,
-        "left_margin_mean": mean,
-        "left_margin_var": variance,
-        "first_text_vpos_fraction": F.array_min(F.transform(ln, lambda x: F.array_min(F.transform(x, lambda y: y["top"])))) / h,
-        "last_text_vpos_fraction": F.array_max(F.transform(ln, lambda x: F.array_max(F.transform(x, lambda y: y["bottom"])))) / h,
-        "max_font_size": top,
-        "modal_font_size": modal,
-    }
+    # Each step names what the one before has made: inside a lambda an expression would be
+    # made again for each line.
+    mean = lambda x: F.struct(_mean(x).alias("mean"), x.alias("x"))
+    squares = lambda m: F.aggregate(m["x"], F.lit(0.0), lambda a, x: a + (x - m["mean"]) * (x - m["mean"]))
+    margins = _bound(_bound(lefts, mean), lambda m: F.struct(m["mean"].alias("mean"), squares(m).alias("squares")))
+    modal = lambda x: _bound(F.transform(x, lambda s: round_half_even(s, 1)), _modal)
+    fonts = _bound(sizes, lambda x: F.struct(F.array_max(x).alias("top"), modal(x).alias("modal")))
+
+    def made(b: Column) -> dict[str, Column]:
+        top, modal, mean = b["fonts"]["top"], b["fonts"]["modal"], b["margins"]["mean"]
+        return {
+            "line_count": n.cast("double"),
+            "font_size_max_ratio": F.when(modal != 0, top / modal).otherwise(F.lit(1.0)),
+            "line_density": n / h,
+            "left_margin_mean": mean,
+            "left_margin_var": F.when(n > 1, b["margins"]["squares"] / (n - 1)).otherwise(F.lit(0.0)),
+            "first_text_vpos_fraction": F.array_min(F.transform(ln, lambda x: F.array_min(F.transform(x, lambda y: y["top"])))) / h,
+            "last_text_vpos_fraction": F.array_max(F.transform(ln, lambda x: F.array_max(F.transform(x, lambda y: y["bottom"])))) / h,
+            "max_font_size": top,
+            "modal_font_size": modal,
+        }
+
     empty = (n <= 0) | (F.coalesce(h, F.lit(0.0)) == 0) | (F.coalesce(w, F.lit(0.0)) == 0)
-    return F.when(empty, F.struct(*[F.lit(0.0).alias(k) for k in made])).otherwise(F.struct(*[v.alias(k) for k, v in made.items()]))
+    zeros = F.struct(*[F.lit(0.0).alias(k) for k in [*PAGE_FEATURES, "max_font_size", "modal_font_size"]])
+    full = _bound(F.struct(fonts.alias("fonts"), margins.alias("margins")), lambda b: F.struct(*[v.alias(k) for k, v in made(b).items()]))
+    return F.when(empty, zeros).otherwise(full)
