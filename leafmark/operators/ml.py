@@ -108,11 +108,13 @@ def _book_figures(rows: DataFrame, features: list[str]) -> pd.DataFrame:
     )
 
 
-def _newton(rows: DataFrame, features: list[str], figures: pd.DataFrame, held: list[str | None], steps: int = 50) -> list[Linear]:
+def _newton(rows: DataFrame, features: list[str], figures: pd.DataFrame, held: list[str | None], steps: int = 500) -> list[Linear]:
     """A model for each of ``held``: the book that it doesn't see, or None.
 
-    Each Newton step of all models is one pass that sums gradients and curvatures in
-    the tasks; the driver holds these sums and per-book figures, never pages.
+    Each Newton step of all models is one pass that sums losses, gradients and curvatures
+    in the tasks; the driver holds these sums and per-book figures, never pages. Steps go
+    on to the optimum: the fewer true pages among many, the larger the weights, so a step may
+    be as long as the weights are (5 at least), and is halved where the loss rose.
     """
     d = len(features)
     n, pos = figures["n"].to_numpy(float), figures["pos"].to_numpy(float)
@@ -127,33 +129,46 @@ def _newton(rows: DataFrame, features: list[str], figures: pd.DataFrame, held: l
         scale.append(np.where(s == 0, 1.0, s))
         sizes.append((n[o].sum() / 2 / max(1.0, p), n[o].sum() / 2 / max(1.0, n[o].sum() - p)))
     w, ridge = np.zeros((len(held), d + 1)), np.append(np.ones(d), 1e-9)
-    left = list(range(len(held)))
+    moved, least = np.zeros_like(w), np.full(len(held), np.inf)
+    left, size = list(range(len(held))), (d + 1) * (d + 2)
     for _ in range(steps):
         if not left:
             break
 
         def sums(batches: Iterator[pd.DataFrame], w=w.copy(), left=tuple(left)) -> Iterator[pd.DataFrame]:
-            out = np.zeros((len(left), (d + 1) * (d + 2)))
+            out = np.zeros((len(left), size + 1))
             for batch in batches:
                 x, y, each = batch[features].to_numpy(float), batch["label"].to_numpy(float), batch["weight"].to_numpy(float)
                 for j, f in enumerate(left):
                     o = (batch["book"] != held[f]).to_numpy() if held[f] is not None else np.ones(len(batch), bool)
                     z = np.concatenate([(x[o] - mean[f]) / scale[f], np.ones((int(o.sum()), 1))], 1)
-                    p = 1 / (1 + np.exp(-np.clip(z @ w[f], -60, 60)))
+                    raw = z @ w[f]
+                    p = 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
                     a = each[o] * np.where(y[o] > 0, sizes[f][0], sizes[f][1])
-                    out[j] += np.concatenate([z.T @ (a * (p - y[o])), ((z * (a * p * (1 - p))[:, None]).T @ z).reshape(-1)])
+                    loss = a @ np.logaddexp(0, np.where(y[o] > 0, -raw, raw))
+                    out[j] += np.concatenate([z.T @ (a * (p - y[o])), ((z * (a * p * (1 - p))[:, None]).T @ z).reshape(-1), [loss]])
             yield pd.DataFrame({"fold": np.repeat(np.array(left, np.int64), out.shape[1]), "place": np.tile(np.arange(out.shape[1]), len(left)), "value": out.reshape(-1)})
 
         found = rows.mapInPandas(sums, "fold long, place long, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).toPandas()
         table = found.sort_values(["fold", "place"])["value"].to_numpy().reshape(len(left), -1)
         going = []
         for f, row in zip(left, table, strict=True):
-            curve = row[d + 1 :].reshape(d + 1, d + 1) + np.diag(ridge + 1e-9)
+            loss = row[size] + ridge @ w[f] ** 2 / 2
+            if loss > least[f] * (1 + 1e-9):
+                moved[f] /= 2
+                w[f] += moved[f]
+                going.append(f)
+                continue
+            least[f] = loss
+            curve = row[d + 1 : size].reshape(d + 1, d + 1) + np.diag(ridge + 1e-9)
             step = np.linalg.solve(curve, row[: d + 1] + ridge * w[f])
-            w[f] -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+            moved[f] = step * min(1.0, max(5.0, np.abs(w[f]).max()) / (np.abs(step).max() + 1e-12))
+            w[f] -= moved[f]
             if np.abs(step).max() >= 1e-9:
                 going.append(f)
         left = going
+    if left:
+        raise RuntimeError(f"{len(left)} of {len(held)} fits didn't settle in {steps} steps")
     return [Linear(features, mean[f].tolist(), scale[f].tolist(), w[f, :-1].tolist(), float(w[f, -1])) for f in range(len(held))]
 
 

@@ -564,6 +564,19 @@ def test_fit_linear_is_the_optimum(spark):
     assert np.allclose([*found.weights, found.bias, *found.mean, *found.scale], [*want.weights, want.bias, *want.mean, *want.scale], atol=1e-6)
 
 
+def test_fit_linear_goes_on_to_large_weights(spark):
+    """Few true pages that a narrow gap parts from many: the weights are hundreds, and the
+    gradient there is zero."""
+    x, y = np.arange(100.0), np.arange(100) < 3
+    df = spark.createDataFrame([(f"b{i % 3}", i, float(x[i]), bool(y[i]), 1e6) for i in range(100)], "book string, page_index int, f double, label boolean, weight double")
+    found = ml.fit_linear(df, ["f"])
+    z = np.stack([(x - x.mean()) / x.std(), np.ones(100)], 1)
+    w = np.array([*found.weights, found.bias])
+    each = 1e6 * np.where(y, 100 / 2 / 3, 100 / 2 / 97)
+    grad = z.T @ (each * (1 / (1 + np.exp(-np.clip(z @ w, -60, 60))) - y)) + np.array([1.0, 1e-9]) * w
+    assert np.abs(w).max() > 300 and np.abs(grad).max() < 1e-3
+
+
 def test_leave_one_book_out_reads_whole_books(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(Q.ml, "leave_one_out", lambda pages, features, model: seen.append(pages.count()) or pages.withColumn("score", F.lit(0.5)))
