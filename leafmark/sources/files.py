@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import urllib.parse
+import zlib
+from collections.abc import Iterator
+
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,8 @@ from leafmark.functions.rounding import round_half_even
 LABEL_TYPE = "isbn string, status string, toc_start_index int, toc_end_index int, top_score double, margin double, method string, verified boolean, correction_note string, error string"
 RECORD_LINE = "isbns array<string>, handle string, title string, pdf_urls array<string>"
 MANIFEST_TYPE = "isbn string, dnb_title string, dnb_toc_download_url string, language string, volume_type string, domain_bucket string, oa_source string, oa_handle string, oa_title string, oa_pdf_url string, oa_license_code string"
+#: Tasks for each core that read small files.
+TASKS = 4
 _BOOKS = "struct<books:array<struct<filename:string,isbn:string,language:string,extraction_type:string>>>"
 
 
@@ -47,9 +55,37 @@ def read_keywords(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return {r["language"]: list(r["words"]) for r in rows}
 
 
+def _folder_of_all(root: str) -> str | None:
+    """The folder that a plain path or a ``file:`` address names, if there is one."""
+    at = urllib.parse.unquote(urllib.parse.urlsplit(root).path) if root.startswith("file:") else root
+    return at if os.path.isabs(at) and os.path.isdir(at) else None
+
+
+def _texts(spark: SparkSession, folder: str, end: str) -> RDD:
+    """The text of each file in ``folder`` itself whose name has this end (hidden ones left
+    out). Each task goes through the names and reads those of its share: no listing is
+    held anywhere, and a file takes no set-up of its own."""
+    parts = TASKS * spark.sparkContext.defaultParallelism
+
+    def read(shares: Iterator[int]) -> Iterator[str]:
+        for share in shares:
+            with os.scandir(folder) as names:
+                for f in names:
+                    if f.name.endswith(end) and f.name[0] not in "._" and zlib.crc32(os.fsencode(f.name)) % parts == share and f.is_file():
+                        with open(f.path, "rb") as opened:
+                            text = opened.read().decode("utf-8-sig", "replace")
+                        if text.strip():
+                            yield text
+
+    return spark.sparkContext.parallelize(range(parts), parts).mapPartitions(read)
+
+
 def read_labels(spark: SparkSession, root: str, by_line: bool = False) -> DataFrame:
     """Labels of any status: one of each JSON file, or of each line of what
-    :func:`write_labels` wrote."""
+    :func:`write_labels` wrote. Small files of a shared folder are read by tasks that share the
+    names out, other places by Spark's reader."""
+    if not by_line and (at := _folder_of_all(root)):
+        return spark.read.schema(LABEL_TYPE).json(_texts(spark, at, ".json"))
     return spark.read.schema(LABEL_TYPE).option("multiLine", str(not by_line).lower()).option("pathGlobFilter", "*.json").json(root)
 
 

@@ -63,6 +63,23 @@ def test_files_of_rows(spark, tmp_path):
         assert there(out) == want | {"7.a": b"new"} and sorted(p.name for p in out.iterdir()) == sorted(want)
 
 
+def test_many_label_files_take_few_tasks(spark, tmp_path):
+    """Tasks don't grow with the files; odd files give what Spark's reader gives."""
+    at = tmp_path / "some labels"
+    at.mkdir()
+    for i in range(800):
+        (at / f"{i}.json").write_text(json.dumps({"isbn": str(i), "status": "located", "toc_start_index": i}, indent=1))
+    odd = {"list.json": b'[{"isbn": "l1"}, {"isbn": "l2"}]', "bom.json": b'\xef\xbb\xbf{"isbn": "b"}', "broken.json": b'{"isbn": ', "empty.json": b"", "_hidden.json": b'{"isbn": "h"}', ".dot.json": b'{"isbn": "d"}', "no.txt": b'{"isbn": "t"}'}
+    for name, content in odd.items():
+        (at / name).write_bytes(content)
+    (at / "folder.json").mkdir()
+    for root in (str(at), at.as_uri()):
+        found = files.read_labels(spark, root)
+        assert found.rdd.getNumPartitions() <= files.TASKS * spark.sparkContext.defaultParallelism
+        want = spark.read.schema(files.LABEL_TYPE).option("multiLine", "true").json([str(p) for p in at.glob("*.json") if p.is_file() and p.name[0] not in "._"])
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and len(found.collect()) == 804
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     contents = {str(i): [(f"{i}.a", b"x"), ("bad/name" if i == 20 else f"{i}.b", b"y")] for i in range(30)}
     with pytest.raises(Exception, match="not a file's name"):
