@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import copied, dealt, documents, hold, hot_keys, map_rows
+from leafmark.llm.common import FENCE, copied, dealt, documents, fenced, hold, hot_keys, map_rows
 from leafmark.llm.graph import components
 
 CHUNKS, LANES, LANE_BITS = 12, 4, 12
@@ -39,6 +39,9 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 _LOW = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
 _HIGH = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
 _SEEDS = np.random.default_rng(20260).integers(1, 2**63, (CHUNKS * LANES, 2), dtype=np.uint64) | np.uint64(1)
+_XOR, _ODD = _SEEDS[:, :1].copy(), _SEEDS[:, 1:].copy()
+#: Shingles that are hashed at once.
+AT_ONCE = 1024
 #: Word hashes that a worker remembers; rows of a bucket that one block holds; classes of at
 #: least one in so many rows are broadcast.
 CACHED_WORDS, BLOCK_ROWS, HOT_SHARE = 500_000, 4096, 1000
@@ -65,19 +68,26 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles (A-Z lower-cased)."""
     words = (text or "").encode().lower().split()  # white space of bytes: 09 to 0D and 20
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = _mix(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
     n = max(1, len(h) - size + 1) if len(h) else 0
     total = np.zeros(n, np.uint64)
     for i in range(min(size, len(h))):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + _mix(h[i : i + n].copy())
-    return np.unique(_mix(total))
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        total += h[i : i + n]
+    found = _mix(total)
+    found.sort()
+    new = np.ones(n, bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    return found[new]
 
 
 def signature(found: np.ndarray) -> list[int]:
     """One packed long for each chunk; the least of each of 48 hashes of the set."""
-    least = np.empty(CHUNKS * LANES, np.uint64)
-    for i, (xor, odd) in enumerate(_SEEDS):
-        least[i] = ((found ^ xor) * odd).min()
+    least = np.full(CHUNKS * LANES, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), AT_ONCE):  # all hashes of a part of the set at once
+        h = found[at : at + AT_ONCE] ^ _XOR
+        h *= _ODD
+        np.minimum(least, h.min(1), out=least)
     least = _mix(least) >> np.uint64(64 - LANE_BITS)
     return (least.reshape(CHUNKS, LANES) << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE_BITS))).sum(1).astype(np.int64).tolist()
 
@@ -142,9 +152,20 @@ def _first_meeting(a: str, b: str) -> Column:
     return here
 
 
+def _both(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(F.col(f"{a}.shingles"), F.col(f"{b}.shingles"))).cast("long")
+
+
 def _alike(a: str, b: str, least: int) -> Column:
-    both = F.size(F.array_intersect(F.col(f"{a}.shingles"), F.col(f"{b}.shingles"))).cast("long")
-    return both * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - both) * least
+    return _both(a, b) * (100 + least) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * least  # the intersection is made once
+
+
+def _confirmed(met: DataFrame, least: int) -> DataFrame:
+    """(a, b), the components of the pairs ``met`` whose sets are alike. The sets are compared
+    in a projection of their own: within the join's condition that loop would be part of a
+    method too long for the JVM's compiler, and several times slower."""
+    named = met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b"), _both("x", "y").alias("both"), _alike("x", "y", least).alias("alike"))
+    return fenced(named).filter((F.col(FENCE) >= 0) & F.col("alike") & (F.col("both") > 0)).select("a", "b")
 
 
 def _halves(places: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +243,7 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
     open_ = _plain(hold(open_.join(sets.select("rep", "s1", "shingles"), ["rep", "s1"]), "open"))
     x, y = _halves(open_)
     across = _met() & (F.col("x.component") < F.col("y.component")) & _close("x", "y", least) & _first_meeting("x", "y")
-    links = x.join(y, across & _alike("x", "y", least)).select(F.col("x.component").alias("a"), F.col("y.component").alias("b"))
+    links = _confirmed(x.join(y, across), least)
     joined = components(stars.unionByName(links.distinct()))
 
     labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rows", F.coalesce("component", "rep").alias("component"))

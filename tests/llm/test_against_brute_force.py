@@ -717,6 +717,26 @@ def test_lm_learns_from_all_documents(spark):
     assert held_score(True) > held_score(False) + 5
 
 
+def test_sets_are_compared_outside_the_join(spark, monkeypatch):
+    """A condition that holds the comparison is too long a method to be compiled."""
+    seen = []
+    monkeypatch.setattr(neardup, "components", lambda edges: seen.append(edges) or graph.components(edges))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(6)], "doc_id long, text string")
+    neardup.groups(docs, 4, 80)
+    plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("array_intersect" in x for x in plan) and not any("array_intersect" in x for x in plan if "Join" in x)
+
+
+def test_signatures_are_the_least_hashes():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, neardup.AT_ONCE, neardup.AT_ONCE + 1, 3 * neardup.AT_ONCE + 7):
+        found = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        least = [min((int(x) ^ int(a)) * int(b) % 2**64 for x in found) for a, b in neardup._SEEDS]
+        least = (neardup._mix(np.array(least, np.uint64)) >> np.uint64(64 - neardup.LANE_BITS)).tolist()
+        lanes = [least[i : i + neardup.LANES] for i in range(0, len(least), neardup.LANES)]
+        assert neardup.signature(found) == [sum(v << (neardup.LANE_BITS * i) for i, v in enumerate(x)) for x in lanes]
+
+
 def test_hubs_are_dealt_to_parts(spark, monkeypatch):
     """Keys that count as hot at ten rows: groups and components stay as they are."""
     from leafmark.llm import common
