@@ -11,9 +11,11 @@ confirmed on their full sets.
 Texts with equal sets are one class and enter once. Classes that meet are first
 linked to the nearest of their buckets' smallest members, so a large group of near
 copies collapses to few components before anything is compared twice; the
-remaining pairs, those between different components, are then confirmed in the
-join itself, each at the first chunk where it meets: no bucket's pairs are
-written out, no link is lost, and large buckets are dealt to blocks.
+remaining pairs, those between different components, are then confirmed, each at
+the first chunk where it meets: no bucket's pairs are written out, no link is lost,
+and large buckets are dealt to blocks. A bucket's rows of the component that has most
+of them don't meet each other, and no two sets meet of which one shares too few shingles
+with all others together.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing
 and keep themselves; fewer words than a shingle are one shingle; equal texts and
@@ -25,6 +27,8 @@ enter whole; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,8 +40,8 @@ from leafmark.llm.graph import components
 CHUNKS, LANES, LANE_BITS = 12, 4, 12
 #: The distance (differing components) under which every pair meets.
 MAX_DISTANCE = 2 * CHUNKS - 1
-_LOW = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
-_HIGH = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
+#: The first bit of each chunk, in numbers that have a bit for each component.
+_FIRSTS = sum(1 << (LANES * i) for i in range(CHUNKS))
 _SEEDS = np.random.default_rng(20260).integers(1, 2**63, (CHUNKS * LANES, 2), dtype=np.uint64) | np.uint64(1)
 _XOR, _ODD = _SEEDS[:, :1].copy(), _SEEDS[:, 1:].copy()
 #: Shingles that are hashed at once.
@@ -92,28 +96,37 @@ def signature(found: np.ndarray) -> list[int]:
     return (least.reshape(CHUNKS, LANES) << (np.arange(LANES, dtype=np.uint64) * np.uint64(LANE_BITS))).sum(1).astype(np.int64).tolist()
 
 
+def planes(sig: list[int]) -> list[int]:
+    """The same signature as longs with a bit for each component, one for each place of a bit."""
+    lanes = (np.array(sig, np.int64)[:, None] >> (np.arange(LANES) * LANE_BITS)).reshape(-1)
+    bits = lanes >> np.arange(LANE_BITS)[:, None] & 1
+    return (bits << np.arange(CHUNKS * LANES)).sum(1).tolist()
+
+
 def _first_name(found: np.ndarray) -> int:
     return int(_mix(found.copy()).sum().astype(np.int64))
 
 
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (128 bits that name the set) and sig of every text."""
+    """doc_id, n (set size), s1 and s2 (128 bits that name the set), sig and planes of every text."""
 
     def make():
         def step(rows: dict) -> dict:
             sets = [shingle_set(t, size) for t in rows["text"]]
             with np.errstate(over="ignore"):
+                sigs = [signature(s) if len(s) else None for s in sets]
                 return {
                     "doc_id": rows["doc_id"],
                     "n": [len(s) for s in sets],
                     "s1": list(map(_first_name, sets)),
                     "s2": [int(_mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum().astype(np.int64)) for s in sets],
-                    "sig": [signature(s) if len(s) else None for s in sets],
+                    "sig": sigs,
+                    "planes": [planes(s) if s else None for s in sigs],
                 }
 
         return step
 
-    return map_rows(documents(docs, id_col, text_col), make, "doc_id long, n long, s1 long, s2 long, sig array<long>")
+    return map_rows(documents(docs, id_col, text_col), make, "doc_id long, n long, s1 long, s2 long, sig array<long>, planes array<long>")
 
 
 def _plain(places: DataFrame) -> DataFrame:
@@ -125,31 +138,27 @@ def _plain(places: DataFrame) -> DataFrame:
     return places.withColumns(plain | ({"shingles": F.coalesce("shingles", empty)} if "shingles" in places.columns else {}))
 
 
-def _errors(a: Column, b: Column) -> Column:
-    """Differing components of two packed chunks, in bit operations."""
-    x = a.bitwiseXOR(b)
-    return F.bit_count((x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(F.lit(_HIGH)))
-
-
-def _chunk_errors(a: str, b: str) -> list[Column]:
-    return [_errors(F.col(f"{a}.c{i}"), F.col(f"{b}.c{i}")) for i in range(CHUNKS)]
+def _differ(a: str, b: str) -> Column:
+    """A bit for each component in which two signatures differ."""
+    each = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in _PLANES]
+    return reduce(Column.bitwiseOR, each)
 
 
 def _close(a: str, b: str, least: int) -> Column:
     """Sizes that a pair of the wanted likeness can have, and signatures under the distance."""
-    errors = _chunk_errors(a, b)
     sizes = (F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * least)
-    return sizes & (sum(errors[1:], errors[0]) <= MAX_DISTANCE)
+    return sizes & (F.bit_count(_differ(a, b)) <= MAX_DISTANCE)
 
 
 def _first_meeting(a: str, b: str) -> Column:
-    """True where the bucket is the first, of all that a pair shares."""
-    errors, bucket = _chunk_errors(a, b), F.col(f"{a}.bucket")
-    chunk, lane = F.floor(bucket / LANES), bucket % LANES
-    here = F.lit(True)
-    for i, e in enumerate(errors):
-        here = here & ((chunk < i) | F.when(chunk == i, (e == 1) | (lane == 0)).otherwise(e > 1))
-    return here
+    """True where the bucket is the first, of all that a pair shares: each chunk before has two
+    differing components or more, and the one left out differs, or none does and it is the first."""
+    d, bucket = _differ(a, b), F.col(f"{a}.bucket")
+    d1, d2, d3 = (F.shiftright(d, i) for i in (1, 2, 3))
+    two = d.bitwiseOR(d1).bitwiseAND(d2.bitwiseOR(d3)).bitwiseOR(d.bitwiseAND(d1)).bitwiseOR(d2.bitwiseAND(d3))
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), (bucket - bucket % LANES).cast("int"))
+    before = F.bitwise_not(two).bitwiseAND(_FIRSTS).bitwiseAND(start - 1) == 0
+    return before & ((bucket % LANES == 0) | (d.bitwiseAND(start * ((1 << LANES) - 1)) != 0))
 
 
 def _both(a: str, b: str) -> Column:
@@ -183,6 +192,31 @@ def _met() -> Column:
     return same
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component; ``guest`` is 0 for the rows of
+    the component that has most of a bucket's rows, which never meet each other, else 1."""
+    each = placed.groupBy("bucket", "key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = each.groupBy("bucket", "key").agg(F.max_by("component", "rows").alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    found = placed.drop("guest").join(main.select("bucket", "key", "main"), ["bucket", "key"])
+    return found.withColumn("guest", (F.col("component") != F.col("main")).cast("long")).drop("main")
+
+
+def _fit(sets: DataFrame, least: int) -> DataFrame:
+    """(rep, s1, m) of the sets that some other of ``sets`` can be like; m is how many of a
+    set's shingles others have too. No intersection has more, so a set is like no other
+    if that is too few: near copies that differ too much from all others need no pairs."""
+    each = sets.select("rep", "s1", F.explode("shingles").alias("shingle"))
+    once = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("rep").alias("rep"), F.min("s1").alias("s1")).filter("sets = 1")
+    alone = once.groupBy("rep", "s1").agg(F.count(F.lit(1)).alias("alone"))
+    m = F.col("n") - F.coalesce("alone", F.lit(0))
+    return sets.join(alone, ["rep", "s1"], "left").filter(m * 100 >= F.col("n") * least).select("rep", "s1", m.alias("m"))
+
+
+def _enough(a: str, b: str, least: int) -> Column:
+    """Whether the smaller ``m`` of two sets is an intersection that makes them alike."""
+    return F.least(f"{a}.m", f"{b}.m") * (100 + least) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * least
+
+
 def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -193,20 +227,20 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
     filled = rows.filter("n > 0")
     # One row for each distinct set, named by its smallest doc_id.
     classes = filled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    members = filled.filter("doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "sig")).alias("m"))
-    nodes = members.select(F.col("m.doc_id").alias("rep"), "s1", F.col("m.n").alias("n"), *[F.get("m.sig", F.lit(i)).alias(f"c{i}") for i in range(CHUNKS)])
+    members = filled.filter("doc_id is not null").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "sig", "planes")).alias("m"))
+    nodes = members.select(F.col("m.doc_id").alias("rep"), "s1", F.col("m.n").alias("n"), F.col("m.sig").alias("sig"), *[F.get("m.planes", F.lit(i)).alias(c) for i, c in enumerate(_PLANES)])
     nodes = hold(nodes, "nodes")
 
     lane_off = [~(((1 << LANE_BITS) - 1) << (LANE_BITS * j)) & ((1 << (LANE_BITS * LANES)) - 1) for j in range(LANES)]
     keys = [
-        F.struct(F.lit(i * LANES + j).alias("bucket"), F.col(f"c{i}").bitwiseAND(F.lit(off)).alias("key"))
+        F.struct(F.lit(i * LANES + j).alias("bucket"), F.get("sig", F.lit(i)).bitwiseAND(F.lit(off)).alias("key"))
         for i in range(CHUNKS)
         for j, off in enumerate(lane_off)
     ]
     places = nodes.select("rep", "s1", F.explode(F.array(*keys)).alias("k")).select("rep", "s1", "k.bucket", "k.key")
     shared = places.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = shared.select("bucket", "key", F.ceil(F.col("size") / BLOCK_ROWS).cast("long").alias("blocks"))
-    places = _plain(hold(places.join(shared, ["bucket", "key"]).join(nodes, ["rep", "s1"]), "places"))
+    places = _plain(hold(places.join(shared, ["bucket", "key"]).join(nodes.drop("sig"), ["rep", "s1"]), "places"))
 
     # Places with some partner under the distance; the others need no set.
     x, y = _halves(places)
@@ -219,13 +253,12 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
 
     # The nearest of the smallest members of a node's buckets.
     heads = places.groupBy("bucket", "key").agg(F.min("rep").alias("head"))
-    h = hold(places.join(heads, ["bucket", "key"]).filter("rep <> head").select("rep", "n", *_CHUNK_COLUMNS, "head").distinct(), "heads")
+    h = hold(places.join(heads, ["bucket", "key"]).filter("rep <> head").select("rep", "n", *_PLANES, "head").distinct(), "heads")
     # A large group's rows have one head, and then one neighbour: they are dealt to parts.
     hot = hot_keys(h, "head")
     y = copied(nodes.withColumn("head", F.col("rep")), hot, "head").alias("y")
     pairs = dealt(h, hot, "head", "rep").alias("x").join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.salt") == F.col("y.salt"))).filter(_close("x", "y", least))
-    errors = _chunk_errors("x", "y")
-    best = pairs.groupBy(F.col("x.rep").alias("a")).agg(F.min(F.struct(sum(errors[1:], errors[0]).alias("d"), F.col("y.rep").alias("b"))).alias("o"))
+    best = pairs.groupBy(F.col("x.rep").alias("a")).agg(F.min(F.struct(F.bit_count(_differ("x", "y")).alias("d"), F.col("y.rep").alias("b"))).alias("o"))
     near = hold(best.select("a", F.col("o.b").alias("b")), "near")
     hot = hot_keys(near, "b")
     left = dealt(near, hot, "b", "a").join(sets.alias("x"), F.col("a") == F.col("x.rep"))
@@ -235,15 +268,18 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
 
     # What is left: pairs whose ends are still in different components.
     own = F.coalesce("component", "rep").alias("component")
-    placed = places.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "s1", "bucket", "key", "blocks", "n", *_CHUNK_COLUMNS, own)
-    placed = _plain(hold(placed, "placed"))
-    x, y = _halves(placed)
-    apart = _met() & (F.col("x.component") != F.col("y.component"))
-    open_ = x.join(y, apart & _close("x", "y", least) & _first_meeting("x", "y"), "left_semi").drop("block")
+    placed = places.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "s1", "bucket", "key", "blocks", "n", *_PLANES, own)
+    placed = _mixed(hold(placed, "placed"))
+    fit = hold(_fit(sets.join(placed.select("rep", "s1").distinct(), ["rep", "s1"], "left_semi"), least), "fit")
+    placed = _plain(hold(_mixed(placed.join(fit, ["rep", "s1"])), "mixed"))
+    # A guest meets all rows of its bucket, the others meet the guests.
+    x, y = _halves(placed.withColumn("side", F.col("guest")))[0], _halves(placed.withColumn("side", F.explode(F.sequence(1 - F.col("guest"), F.lit(1).cast("long")))))[1]
+    apart = _met() & (F.col("x.side") == F.col("y.side")) & (F.col("x.component") != F.col("y.component"))
+    open_ = x.join(y, apart & _enough("x", "y", least) & _close("x", "y", least) & _first_meeting("x", "y"), "left_semi").drop("block", "side")
     open_ = _plain(hold(open_.join(sets.select("rep", "s1", "shingles"), ["rep", "s1"]), "open"))
-    x, y = _halves(open_)
-    across = _met() & (F.col("x.component") < F.col("y.component")) & _close("x", "y", least) & _first_meeting("x", "y")
-    links = _confirmed(x.join(y, across), least)
+    x, y = _halves(open_.filter("guest = 1"))[0], _halves(open_)[1]
+    across = _met() & ((F.col("y.guest") == 0) | (F.col("x.component") < F.col("y.component")))
+    links = _confirmed(x.join(y, across & _enough("x", "y", least) & _close("x", "y", least) & _first_meeting("x", "y")), least)
     joined = components(stars.unionByName(links.distinct()))
 
     labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rows", F.coalesce("component", "rep").alias("component"))
@@ -268,7 +304,7 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-_CHUNK_COLUMNS = [f"c{i}" for i in range(CHUNKS)]
+_PLANES = [f"p{i}" for i in range(LANE_BITS)]
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:

@@ -727,6 +727,43 @@ def test_sets_are_compared_outside_the_join(spark, monkeypatch):
     assert any("array_intersect" in x for x in plan) and not any("array_intersect" in x for x in plan if "Join" in x)
 
 
+def test_near_copies_unlike_all_others_make_no_pairs(spark, monkeypatch):
+    """Copies of one text, some with too many edits to be like any other: no pair of those is compared."""
+    met, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, least: met.append(pairs.count()) or confirmed(pairs, least))
+    rng, texts = random.Random(41), {}
+    base = [f"w{i}" for i in range(150)]
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), 6 if i % 3 else 1):
+            words[at] = f"own{i}-{at}"
+        texts[i] = " ".join(words)
+    rows = neardup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == _components(texts, 4, 80)[0]
+    assert met == [0]
+
+
+def test_first_meetings_of_signatures(spark):
+    """Two signatures under the distance meet first in just one of the buckets that they share."""
+    rng, rows, want = random.Random(9), [], []
+    for k in range(300):
+        x = [rng.randrange(1 << neardup.LANE_BITS) for _ in range(neardup.CHUNKS * neardup.LANES)]
+        y = [v ^ rng.choice([0, 0, 1, 1 << rng.randrange(neardup.LANE_BITS)]) for v in x]
+        pack = lambda v: [sum(c << (neardup.LANE_BITS * j) for j, c in enumerate(v[i : i + neardup.LANES])) for i in range(0, len(v), neardup.LANES)]
+        errors = [sum(a != b for a, b in zip(x[i : i + 4], y[i : i + 4], strict=True)) for i in range(0, 48, 4)]
+        first = next((i for i, e in enumerate(errors) if e <= 1), None)
+        shared = [(i * 4 + j) for i, e in enumerate(errors) for j in range(4) if e == 0 or (e == 1 and x[i * 4 + j] != y[i * 4 + j])]
+        want += [(k, b, b == next(b for b in shared if b // 4 == first)) for b in shared]
+        rows += [(k, b, *neardup.planes(pack(x)), *neardup.planes(pack(y))) for b in shared]
+    names = neardup._PLANES
+    table = spark.createDataFrame(rows, ["k", "bucket", *(f"x{c}" for c in names), *(f"y{c}" for c in names)])
+    left = table.select("k", "bucket", *(F.col(f"x{c}").alias(c) for c in names)).alias("x")
+    right = table.select("k", "bucket", *(F.col(f"y{c}").alias(c) for c in names)).alias("y")
+    pairs = left.join(right, (F.col("x.k") == F.col("y.k")) & (F.col("x.bucket") == F.col("y.bucket")))
+    got = pairs.select("x.k", "x.bucket", neardup._first_meeting("x", "y").alias("first")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_signatures_are_the_least_hashes():
     rng = np.random.default_rng(8)
     for n in (1, 5, neardup.AT_ONCE, neardup.AT_ONCE + 1, 3 * neardup.AT_ONCE + 7):
