@@ -47,8 +47,8 @@ _XOR, _ODD = _SEEDS[:, :1].copy(), _SEEDS[:, 1:].copy()
 #: Shingles that are hashed at once.
 AT_ONCE = 1024
 #: Word hashes that a worker remembers; rows of a bucket that one block holds; classes of at
-#: least one in so many rows are broadcast.
-CACHED_WORDS, BLOCK_ROWS, HOT_SHARE = 500_000, 4096, 1000
+#: least one in so many rows are broadcast; sets in a component's buckets whose pairs are all compared.
+CACHED_WORDS, BLOCK_ROWS, HOT_SHARE, LARGE_ROWS = 500_000, 4096, 1000, 256
 
 
 class _Words(dict):
@@ -197,8 +197,8 @@ def _mixed(placed: DataFrame) -> DataFrame:
     the component that has most of a bucket's rows, which never meet each other, else 1."""
     each = placed.groupBy("bucket", "key", "component").agg(F.count(F.lit(1)).alias("rows"))
     main = each.groupBy("bucket", "key").agg(F.max_by("component", "rows").alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    found = placed.drop("guest").join(main.select("bucket", "key", "main"), ["bucket", "key"])
-    return found.withColumn("guest", (F.col("component") != F.col("main")).cast("long")).drop("main")
+    found = placed.drop("guest", "main").join(main.select("bucket", "key", "main"), ["bucket", "key"])
+    return found.withColumn("guest", (F.col("component") != F.col("main")).cast("long"))
 
 
 def _fit(sets: DataFrame, least: int) -> DataFrame:
@@ -217,6 +217,80 @@ def _enough(a: str, b: str, least: int) -> Column:
     return F.least(f"{a}.m", f"{b}.m") * (100 + least) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * least
 
 
+def _size_class(n: Column) -> Column:
+    """Set sizes in steps of about a hundredth."""
+    return F.floor(F.log2(n) * 64).cast("int")
+
+
+def _profiles(placed: DataFrame, sets: DataFrame, large: DataFrame, least: int) -> DataFrame:
+    """For each set and each of its ``large`` main components: ``common``, how many of its
+    shingles are common, that is, stand in more than a sixteenth of the largest component's sets
+    (256 at the least), and ``others``, those of its other shingles, the rarest first, that a second
+    set has too. Sets of a pair that share none of the latter have no more in common than the
+    smaller ``common``; the last few are left out, as far as a pair must share more of them."""
+    of = placed.join(F.broadcast(large), "main").select("main", "rep", "s1", "n", "m", "component", *_PLANES).distinct()
+    of = hold(of, "large")
+    many = max(LARGE_ROWS, large.agg(F.max("total")).first()[0] // 16)
+    big = hold(sets.join(of.select("rep", "s1").distinct(), ["rep", "s1"], "left_semi"), "big")
+    each = big.select("rep", "s1", F.explode("shingles").alias("shingle"))
+    counted = hold(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("rep").alias("rep"), F.min("s1").alias("s1")).filter(F.col("sets") <= many), "counted")
+    alone = counted.filter("sets = 1").groupBy("rep", "s1").agg(F.count(F.lit(1)).alias("alone"))
+    rare = each.join(counted.filter("sets > 1").select("shingle", "sets"), "shingle")
+    rare = rare.groupBy("rep", "s1").agg(F.transform(F.sort_array(F.collect_list(F.struct("sets", "shingle"))), lambda x: x["shingle"]).alias("others"))
+    found = of.join(alone, ["rep", "s1"], "left").join(rare, ["rep", "s1"], "left")
+    found = found.withColumn("few", F.when(F.col("others").isNull(), 0).otherwise(F.size("others")).cast("long"))
+    found = found.withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)) - F.col("few")).drop("alone")
+    # A like set has least/100 of the shingles at the least, and the intersection as many of both.
+    smallest = F.ceil(F.col("n") * least / 100)
+    must = F.greatest(F.lit(1), F.ceil((F.col("n") + smallest) * least / (100 + least)) - F.col("common"))
+    first = F.slice("others", F.lit(1), F.greatest(F.lit(0), F.col("few") - must + 1).cast("int"))
+    return found.withColumn("others", first)
+
+
+def _hubs(profiles: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each set of another component beside the set of the main one that has most of the
+    common shingles, with their sets: what is like that needs no other pairs with its component."""
+    central = F.struct("common", -F.col("few"), -F.col("rep"), "s1")
+    hubs = profiles.filter("component = main").groupBy("main").agg(F.max_by(F.struct("rep", "s1"), central).alias("h")).select("main", "h.rep", "h.s1")
+    full = lambda rows: rows.join(sets.select("rep", "s1", "n", "shingles"), ["rep", "s1"])
+    guests = profiles.filter("component <> main").select("main", "rep", "s1", "component")
+    hot = hot_keys(guests, "main")
+    y = copied(full(hubs), hot, "main").withColumn("component", F.col("main")).alias("y")
+    return dealt(full(guests), hot, "main", "rep").alias("x").join(y, (F.col("x.main") == F.col("y.main")) & (F.col("x.salt") == F.col("y.salt")))
+
+
+def _across(profiles: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """The pairs of ``profiles``, of different components, that can be alike, with their sets:
+    those that share one of the ``others``, and those alike enough without. The second kind
+    are few: a set that isn't like the main component's can be so only to a smaller one,
+    so its partners are looked for by their sizes."""
+    x, y = profiles.alias("x"), profiles.alias("y")
+    need = (F.col("x.n") + F.col("y.n")) * least
+    common = F.least("x.common", "y.common")
+    fits = (F.col("x.main") == F.col("y.main")) & _enough("x", "y", least) & _close("x", "y", least)
+    named = [F.col("x.component").alias("a"), F.col("y.component").alias("b"), *(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in ("rep", "s1"))]
+
+    shared = [profiles.withColumn("shingle", F.explode("others")).drop("others").alias(t) for t in "xy"]
+    some = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & ((common + F.least("x.few", "y.few")) * (100 + least) >= need)
+    sharing = shared[0].join(shared[1], fits & some).select(*named)
+
+    n = F.col("n")
+    top = F.floor(F.col("common") * (100 + least) / least) - n
+    bottom = F.ceil(n * least / 100)
+    guests = profiles.filter((F.col("component") != F.col("main")) & (top >= bottom)).drop("others")
+    x = guests.withColumn("class", F.explode(F.sequence(_size_class(bottom), _size_class(top)))).alias("x")
+    y = profiles.drop("others").withColumn("class", _size_class(n)).alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
+    alone = (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & once & (common * (100 + least) >= need)
+    pairs = hold(sharing.unionByName(x.join(y, fits & alone).select(*named)).distinct(), "pairs")
+
+    ends = [sets.select("rep", "s1", "n", "shingles").alias(t) for t in "xy"]
+    same = lambda t: (F.col(f"p.{t}_rep") == F.col(f"{t}.rep")) & (F.col(f"p.{t}_s1") == F.col(f"{t}.s1"))
+    met = pairs.alias("p").join(ends[0], same("x")).join(ends[1], same("y"))
+    side = lambda t, c: F.struct(F.col(f"p.{c}").alias("component"), *(F.col(f"{t}.{k}").alias(k) for k in ("n", "shingles"))).alias(t)
+    return met.select(side("x", "a"), side("y", "b"))
+
+
 def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
@@ -272,6 +346,16 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
     placed = _mixed(hold(placed, "placed"))
     fit = hold(_fit(sets.join(placed.select("rep", "s1").distinct(), ["rep", "s1"], "left_semi"), least), "fit")
     placed = _plain(hold(_mixed(placed.join(fit, ["rep", "s1"])), "mixed"))
+    # The sets that meet a large component are told apart by what they don't have in common with it.
+    large = placed.select("main", "rep", "s1").distinct().groupBy("main").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") > LARGE_ROWS)
+    large, found = hold(large, "mains"), stars
+    if not large.isEmpty():
+        profiles = hold(_profiles(placed, sets, large, least), "profiles")
+        near = hold(_confirmed(_hubs(profiles, sets), least).distinct(), "hubs")
+        main = profiles.join(near.select(F.col("a").alias("component"), F.col("b").alias("main"), F.lit(True).alias("in")), ["component", "main"], "left")
+        profiles = main.withColumn("component", F.when(F.col("in"), F.col("main")).otherwise(F.col("component"))).drop("in")
+        found = found.unionByName(near).unionByName(_confirmed(_across(hold(profiles, "guests"), sets, least), least))
+        placed = placed.join(F.broadcast(large.select("main")), "main", "left_anti")
     # A guest meets all rows of its bucket, the others meet the guests.
     x, y = _halves(placed.withColumn("side", F.col("guest")))[0], _halves(placed.withColumn("side", F.explode(F.sequence(1 - F.col("guest"), F.lit(1).cast("long")))))[1]
     apart = _met() & (F.col("x.side") == F.col("y.side")) & (F.col("x.component") != F.col("y.component"))
@@ -280,7 +364,7 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
     x, y = _halves(open_.filter("guest = 1"))[0], _halves(open_)[1]
     across = _met() & ((F.col("y.guest") == 0) | (F.col("x.component") < F.col("y.component")))
     links = _confirmed(x.join(y, across & _enough("x", "y", least) & _close("x", "y", least) & _first_meeting("x", "y")), least)
-    joined = components(stars.unionByName(links.distinct()))
+    joined = components(found.unionByName(links.distinct()))
 
     labels = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "rows", F.coalesce("component", "rep").alias("component"))
     return _labelled(rows.select("doc_id", "n", "s1", "s2"), hold(labels, "labels"))

@@ -743,6 +743,41 @@ def test_near_copies_unlike_all_others_make_no_pairs(spark, monkeypatch):
     assert met == [0]
 
 
+def test_near_copies_that_share_edits_make_few_pairs(spark, monkeypatch):
+    """Copies of one text whose edits stand in some others too: the pairs compared grow with the copies, not their square."""
+    met, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "LARGE_ROWS", 20, raising=False)
+    monkeypatch.setattr(neardup, "_confirmed", lambda pairs, least: met.append(pairs.count()) or confirmed(pairs, least))
+    rng, texts = random.Random(43), {}
+    base = [f"w{i}" for i in range(150)]
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), 5 if i % 3 else 1):
+            words[at] = f"new{rng.randrange(8)}-{at}"
+        texts[i] = " ".join(words)
+    rows = neardup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 80).collect()
+    want = _components(texts, 4, 80)[0]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want
+    assert len(set(want.values())) > 20 and 0 < sum(met) < 6 * len(texts)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_groups_against_brute_force(spark, monkeypatch, seed):
+    """Long and short near copies, some of another copy, with edits of their own and of others."""
+    monkeypatch.setattr(neardup, "LARGE_ROWS", 8)
+    rng, texts = random.Random(seed), {}
+    for k in range(3):
+        copies = [[f"w{k}-{i}" for i in range(90)]]
+        for i in range(70):
+            words = list(rng.choice(copies[:1] if rng.random() < 0.7 else copies))
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(len(words))] = rng.choice([f"new{k}-{rng.randrange(9)}", f"own{k}-{i}"])
+            copies.append(words[: len(words) - rng.choice([0, 0, 0, 4, 9, 20])])
+            texts[1000 * k + rng.randrange(1000)] = " ".join(copies[-1])
+    rows = neardup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 4, 80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == _components(texts, 4, 80)[0]
+
+
 def test_first_meetings_of_signatures(spark):
     """Two signatures under the distance meet first in just one of the buckets that they share."""
     rng, rows, want = random.Random(9), [], []
