@@ -228,7 +228,7 @@ def _profiles(placed: DataFrame, sets: DataFrame, large: DataFrame, least: int)
     (256 at the least), and ``others``, those of its other shingles, the rarest first, that a second
     set has too. Sets of a pair that share none of the latter have no more in common than the
     smaller ``common``; the last few are left out, as far as a pair must share more of them."""
-    of = placed.join(F.broadcast(large), "main").select("main", "rep", "s1", "n", "m", "component", *_PLANES).distinct()
+    of = placed.join(large, "main").select("main", "rep", "s1", "n", "m", "component", *_PLANES).distinct()
     of = hold(of, "large")
     many = max(LARGE_ROWS, large.agg(F.max("total")).first()[0] // 16)
     big = hold(sets.join(of.select("rep", "s1").distinct(), ["rep", "s1"], "left_semi"), "big")
@@ -355,7 +355,7 @@ def groups(docs: DataFrame, size: int = 5, least: int = 80, id_col: str = "doc_i
         main = profiles.join(near.select(F.col("a").alias("component"), F.col("b").alias("main"), F.lit(True).alias("in")), ["component", "main"], "left")
         profiles = main.withColumn("component", F.when(F.col("in"), F.col("main")).otherwise(F.col("component"))).drop("in")
         found = found.unionByName(near).unionByName(_confirmed(_across(hold(profiles, "guests"), sets, least), least))
-        placed = placed.join(F.broadcast(large.select("main")), "main", "left_anti")
+        placed = placed.join(large.select("main"), "main", "left_anti")
     # A guest meets all rows of its bucket, the others meet the guests.
     x, y = _halves(placed.withColumn("side", F.col("guest")))[0], _halves(placed.withColumn("side", F.explode(F.sequence(1 - F.col("guest"), F.lit(1).cast("long")))))[1]
     apart = _met() & (F.col("x.side") == F.col("y.side")) & (F.col("x.component") != F.col("y.component"))
