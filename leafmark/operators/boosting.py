@@ -35,7 +35,8 @@ CELLS, KEEP = 8_000_000, 10
 
 @dataclass(frozen=True)
 class Growth:
-    """How trees are grown: defaults are those of the usual histogram boosting."""
+    """How trees are grown: defaults are those of the usual histogram boosting. With ``bins`` of
+    0 each value is a bin of its own, so splits are exact."""
 
     rounds: int = 100
     leaves: int = 31
@@ -91,7 +92,11 @@ def _number(name: str) -> Column:
 
 def binned(x: np.ndarray, ends: list[list[float]]) -> np.ndarray:
     """Bin of each value: how many ends lie below it."""
-    return np.stack([np.searchsorted(np.array(e), x[:, j], "left") for j, e in enumerate(ends)], 1).astype(np.uint8) if ends else np.zeros((len(x), 0), np.uint8)
+    return np.stack([np.searchsorted(np.array(e), x[:, j], "left") for j, e in enumerate(ends)], 1).astype(bin_type(ends)) if ends else np.zeros((len(x), 0), np.uint8)
+
+
+def bin_type(ends: list[list[float]]) -> type:
+    return np.uint8 if all(len(e) < 256 for e in ends) else np.uint32
 
 
 def nodes_of(tree: list[tuple], bins: np.ndarray) -> np.ndarray:
@@ -111,14 +116,12 @@ def values_of(tree: list[tuple], bins: np.ndarray) -> np.ndarray:
 
 def bin_ends(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     """Upper ends of each feature's bins but the last: middles between its values where these
-    are at most ``bins``, else quantiles. The driver gets as many numbers."""
+    are at most ``bins``, or ``bins`` is 0, else quantiles. The driver gets as many numbers."""
     pairs = rows.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f).alias("v")) for j, f in enumerate(features)])).alias("p")).select("p.*")
     values = hold(pairs.groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")), "values")
-    many = [r["j"] for r in values.groupBy("j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bins).collect()]
-    few: dict[int, list[float]] = {}
-    for r in values.filter(~F.col("j").isin(many)).collect():
-        few.setdefault(r["j"], []).append(r["v"])
-    ends = [[(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for v in (sorted(few.get(j, [])) for j in range(len(features)))]
+    many = [r["j"] for r in values.groupBy("j").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bins).collect()] if bins else []
+    few = values.filter(~F.col("j").isin(many)).select("j", "v").toPandas()
+    ends = [((v[:-1] + v[1:]) / 2).tolist() for v in (np.sort(few.loc[few["j"] == j, "v"].to_numpy(float)) for j in range(len(features)))]
     if many:
         shares = [i / bins for i in range(1, bins)]
         cut = rows.agg(*[F.percentile_approx(features[j], shares, 100 * bins).alias(str(j)) for j in many]).first()
@@ -217,13 +220,13 @@ def fit(rows: DataFrame, features: list[str], held: list[str | None] | None = No
     kept = 0  # trees whose sums the rows hold
     for _ in range(how.rounds):
         if len(models[0].trees) - kept >= KEEP:
-            rows, kept = hold(rows.mapInPandas(_adder([m.trees[kept:] for m in models], len(features)), rows.schema), "sums"), len(models[0].trees)
+            rows, kept = hold(rows.mapInPandas(_adder([m.trees[kept:] for m in models], ends), rows.schema), "sums"), len(models[0].trees)
         growing = [Tree(how) for _ in held]
         waiting = [(f, 0) for f in range(len(held))]
-        at_once = max(1, CELLS // max(1, len(features) * (how.bins + 1)))
+        at_once = max(1, CELLS // max(1, _places(ends)[-1]))
         while waiting:
             for i in range(0, len(waiting), at_once):
-                for r in _sums(rows, models, kept, growing, waiting[i : i + at_once], held, len(features), how):
+                for r in _sums(rows, models, kept, growing, waiting[i : i + at_once], held, ends, how):
                     growing[r["fold"]].told(r["node"], tuple(r)[2:])
             waiting = [(f, node) for f in sorted({f for f, _ in waiting}) for node in growing[f].replay()]
         if all(not t.chosen for t in growing):
@@ -242,16 +245,22 @@ def _packer(features: list[str], ends: list[list[float]], bases: list[float]):
     return run
 
 
-def _unpacked(batch: pd.DataFrame, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["x"]), np.uint8).reshape(len(batch), d)
+def _unpacked(batch: pd.DataFrame, d: int, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["x"]), kind).reshape(len(batch), d)
+
+
+def _places(ends: list[list[float]]) -> np.ndarray:
+    """Where each feature's cells begin among a node's, and how many a node has."""
+    return np.cumsum([0, *(len(e) + 1 for e in ends)])
 
 
-def _adder(trees: list[list[list[tuple]]], d: int):
+def _adder(trees: list[list[list[tuple]]], ends: list[list[float]]):
     """Adds trees to the sums that rows hold."""
+    d, kind = len(ends), bin_type(ends)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bins, raw = _unpacked(batch, d), np.stack(batch["raw"]) if len(batch) else np.zeros((0, len(trees)))
+            bins, raw = _unpacked(batch, d, kind), np.stack(batch["raw"]) if len(batch) else np.zeros((0, len(trees)))
             raw = raw.copy()
             for f, more in enumerate(trees):
                 for tree in more:
@@ -261,17 +270,18 @@ def _adder(trees: list[list[list[tuple]]], d: int):
     return run
 
 
-def _sums(rows: DataFrame, models: list[Boosted], kept: int, growing: list[Tree], wanted: list[tuple[int, int]], held: list[str | None], d: int, how: Growth) -> list:
+def _sums(rows: DataFrame, models: list[Boosted], kept: int, growing: list[Tree], wanted: list[tuple[int, int]], held: list[str | None], ends: list[list[float]], how: Growth) -> list:
     """(fold, node, g, h, n, gain, feature, bin) of the wanted nodes."""
-    width, by_fold = how.bins + 1, {}
+    places, d, kind, by_fold = _places(ends), len(ends), bin_type(ends), {}
+    width = int(places[-1])
     for slot, (f, node) in enumerate(wanted):
         by_fold.setdefault(f, []).append((slot, node))
     trees = {f: (models[f].trees[kept:], growing[f].nodes(whole=False)) for f in by_fold}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros((3, len(wanted), d, width), np.int64)
+        found = np.zeros((3, len(wanted) * width), np.int64)
         for batch in batches:
-            bins, raws = _unpacked(batch, d), np.stack(batch["raw"]) if len(batch) else np.zeros((0, len(models)))
+            bins, raws = _unpacked(batch, d, kind), np.stack(batch["raw"]) if len(batch) else np.zeros((0, len(models)))
             y, weight, book = batch["label"].to_numpy(float), batch["weight"].to_numpy(float), batch["book"]
             for f, slots in by_fold.items():
                 done, tree = trees[f]
@@ -288,17 +298,16 @@ def _sums(rows: DataFrame, models: list[Boosted], kept: int, growing: list[Tree]
                 for old in done:
                     raw += values_of(old, some)
                 p = 1 / (1 + np.exp(-np.clip(raw, -700, 700)))
-                g, h = np.rint((p - y[use]) * weight[use] * ONE), np.rint(p * (1 - p) * weight[use] * ONE)
-                low, high = slots[0][0], slots[-1][0] + 1  # a fold's slots follow each other
+                g, h = (np.rint(v * weight[use] * ONE).astype(np.int64) for v in (p - y[use], p * (1 - p)))
                 for j in range(d):
-                    cell = (slot[use] - low) * width + some[:, j]
-                    for out, value in zip(found, (g, h, None), strict=True):
-                        out[low:high, j] += np.bincount(cell, value, (high - low) * width).astype(np.int64).reshape(-1, width)
-        found = found.reshape(3, -1)
+                    cell = slot[use] * width + places[j] + some[:, j]
+                    for out, value in zip(found, (g, h, 1), strict=True):
+                        np.add.at(out, cell, value)
         cells = np.flatnonzero(found[2])
-        slot, rest = np.divmod(cells, d * width)
+        slot, rest = np.divmod(cells, width)
+        feature = np.searchsorted(places, rest, "right") - 1
         which = np.array(wanted, np.int64).reshape(-1, 2)[slot]
-        yield pd.DataFrame({"fold": which[:, 0], "node": which[:, 1], "feature": rest // width, "bin": rest % width, **dict(zip("ghn", found[:, cells], strict=True))})
+        yield pd.DataFrame({"fold": which[:, 0], "node": which[:, 1], "feature": feature, "bin": rest - places[feature], **dict(zip("ghn", found[:, cells], strict=True))})
 
     def choose(cells: pd.DataFrame) -> pd.DataFrame:
         split = best_split(cells, how)

@@ -532,6 +532,19 @@ def test_boosting_holds_sums_and_splits_passes(spark, monkeypatch):
     assert boosting.fit(df.limit(0), ["a"], [None], how)[0].trees == []
 
 
+def test_boosted_left_out_splits_at_every_value(spark, tmp_path):
+    """Books of more pages than a feature has bins: splits are those of the SQL."""
+    rng, rows = random.Random(3), []
+    for book, pages in (("src1", 700), ("src2", 1100), ("src3", 900)):
+        rows += [(len(rows) + i, "x" * rng.randrange(20_000), book, "en") for i in range(pages)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["book"], r["page_index"]): r["score"] for r in Q.QUERIES["boosted_left_out"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = {(book, page): score for book, page, score in con.execute(Q.ORACLE_SQL["boosted_left_out"]).fetchall()}
+    assert len(want) == len(rows) and got == want
+
+
 def test_leave_one_out_does_not_leak(spark):
     rows = [("a", i, float(i), i == 3, 1.0) for i in range(5)] + [("b", i, float(i), i == 2, 1.0) for i in range(4)] + [("c", 0, 1.0, False, 1.0)]
     df = spark.createDataFrame(rows, "book string, page_index int, f double, label boolean, weight double")
