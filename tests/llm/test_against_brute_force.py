@@ -691,6 +691,59 @@ def test_lm_scores_each_token_once():
             assert abs(found[t] - want / math.log(10)) < 1e-3
 
 
+def test_lm_spells_words_by_all_ids():
+    """A word's probability is the product of its ids', given that a word begins, up to where the next begins."""
+    rng, model = np.random.default_rng(8), _some_model()
+    leads = rng.random(3000) < 0.5
+    mass = rng.integers(1, 50, 3000).astype(float)
+    classes = lmscore.Classes(mass, leads)
+    assert (classes.of[leads] // attention.MEMBERS < attention.STARTS).all() and (classes.of[~leads] // attention.MEMBERS >= attention.STARTS).all()
+    sizes = rng.integers(1, 5, 23)
+    some = lambda of, n: rng.choice(np.flatnonzero(of), n)
+    text = np.concatenate([*(np.append(some(leads, 1), some(~leads, n - 1)) for n in sizes), some(leads, 1)])
+    gain, spelt = lmscore.spelt_words(classes, text, sizes, *(v[0] for v in lmscore.context_gains(model, classes, [text], begins=True)))
+    inputs, counted, own, start = [attention.INPUTS, *classes.input[text][:-1].tolist()], (model.top, model.low), [], []
+    for t in range(len(text)):
+        begin = t // attention.BLOCK * attention.BLOCK
+        context = inputs[begin : t + 1], inputs[begin - attention.BLOCK : begin] if begin else []
+        k = classes.of[text[t]]
+        own.append(_attend(model.p, counted, context, int(k)) + np.log(mass[text[t]] / mass[classes.of == k].sum()))
+        start.append(np.log(sum(np.exp(_attend(model.p, counted, context, c)) for c in range(attention.STARTS * attention.MEMBERS))))
+    ends = np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+        assert abs(spelt[i] - (sum(own[a:b]) - start[a] + start[b]) / math.log(10)) < 1e-3
+    share = mass[leads].sum()
+    for i, a in enumerate([0, *ends]):
+        k = classes.of[text[a]]
+        want = own[a] - np.log(mass[text[a]] / mass[classes.of == k].sum()) - start[a] - np.log(mass[classes.of == k].sum() / share)
+        assert abs(gain[i] - want / math.log(10)) < 1e-3
+
+
+def test_lm_keeps_all_ids_of_a_word(monkeypatch):
+    monkeypatch.setattr(lmscore, "CACHED_WORDS", 3)
+    ids = lmscore.WordIds(lambda w: list(w[1:]), [b"hot", lmscore.long_key(b"x" * 70)])
+    for words in ([b"hot", b"a", b"bc"], [b"def", b"x" * 70, b"hot"], [], [b"y" * 70, b"a"]):
+        places, pieces, sizes = ids.of(words, 999)
+        assert pieces.tolist() == [*b"".join(words), 999] and sizes.tolist() == [len(w) for w in words]
+        assert places.tolist() == [{b"hot": 1, b"x" * 70: 2}.get(w, 0) for w in words]
+
+
+def test_lm_tells_words_by_their_last_ids(spark):
+    """New words that begin alike but end unlike, as training's words do or don't, score apart."""
+    path, held = PATH, next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    encode = lmscore._encoder(*lmscore._rank_file(path)[:2])
+    begin, known, strange = "river", "zqzq", "xwxw"
+    new = [begin + known, begin + strange]
+    lead, tails = encode(b" river")[0], [encode(b" " + w.encode()) for w in new]
+    assert [t[0] for t in tails] == [lead, lead] and tails[0][1:] != tails[1][1:]
+    rows = [(i, " ".join(w + known for w in ("road", "town", "boat", "grain")) + " river road") for i in range(60)]
+    scores = []
+    for word in new:
+        docs = spark.createDataFrame([*rows, (held, f"road {word} town")], "doc_id long, text string").coalesce(2)
+        scores.append({r["doc_id"]: r["score"] for r in lmscore.score(docs, path).collect()}[held])
+    assert scores[0] > scores[1] + 0.001
+
+
 def test_lm_classes_share_all_mass():
     mass = np.random.default_rng(5).integers(0, 9, 5000).astype(float)
     classes = lmscore.Classes(mass)
